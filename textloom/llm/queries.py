@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import mixing, risk_rules
-from textloom.llm.common import read
+from textloom.llm import mixing, risk_rules, warc
+from textloom.llm.common import new_path, read
 
 
 def op1_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,27 @@ def op1_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_pages(read(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path).where("kind = 'record'")
+    return found.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT *, translate(array_to_string([to_base(('0x' || substr(h, i, 5))::BIGINT, 32, 4) FOR i IN [1, 6, 11, 16, 21, 26, 31, 36]], ''),
+                      '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+         min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM d
+"""
+
+
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,7 +76,8 @@ SELECT doc_id, size, source_size, target, (floor(n * r + u) - floor((n - 1) * r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_risk_rules": op1_risk_rules,
+    "op2_warc": op2_warc,
     "op8_systematic_mix": op8_systematic_mix,
 }
 
-SQL: dict[str, str] = {"op8_systematic_mix": OP8_SQL}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op8_systematic_mix": OP8_SQL}
