@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import mixing, risk_rules, warc
+from textloom.llm import mixing, pivot_index, risk_rules, warc
 from textloom.llm.common import new_path, read
 
 
@@ -37,6 +37,23 @@ FROM d
 """
 
 
+def op3_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pivot_index.top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return out.withColumn("score", F.col("score").cast("long"))
+
+
+OP3_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v)::BIGINT AS score
+  FROM e q JOIN e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -77,7 +94,8 @@ SELECT doc_id, size, source_size, target, (floor(n * r + u) - floor((n - 1) * r
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_risk_rules": op1_risk_rules,
     "op2_warc": op2_warc,
+    "op3_pivot_top_k": op3_pivot_top_k,
     "op8_systematic_mix": op8_systematic_mix,
 }
 
-SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op8_systematic_mix": OP8_SQL}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_pivot_top_k": OP3_SQL, "op8_systematic_mix": OP8_SQL}
