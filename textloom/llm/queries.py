@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import mixing, pivot_index, risk_rules, warc
+from textloom.llm import bpe, mixing, pivot_index, risk_rules, warc
 from textloom.llm.common import new_path, read
 
 
@@ -54,6 +54,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op7_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_texts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_risk_rules": op1_risk_rules,
     "op2_warc": op2_warc,
     "op3_pivot_top_k": op3_pivot_top_k,
+    "op7_tree_bpe": op7_tree_bpe,
     "op8_systematic_mix": op8_systematic_mix,
 }
 
