@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, mixing, pivot_index, risk_rules, warc
+from textloom.llm import bpe, mixing, pivot_index, ppm, risk_rules, warc
 from textloom.llm.common import new_path, read
 
 
@@ -64,6 +64,10 @@ def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_texts(read(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pivot_top_k": op3_pivot_top_k,
     "op7_tree_bpe": op7_tree_bpe,
     "op8_systematic_mix": op8_systematic_mix,
+    "op9_ppm": op9_ppm,
 }
 
 SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_pivot_top_k": OP3_SQL, "op8_systematic_mix": OP8_SQL}
