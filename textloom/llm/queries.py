@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, mixing, pivot_index, ppm, risk_rules, warc
+from textloom.llm import bpe, cotraining, mixing, pivot_index, ppm, risk_rules, warc
 from textloom.llm.common import new_path, read
 
 
@@ -54,6 +54,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op5_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_risk_rules": op1_risk_rules,
     "op2_warc": op2_warc,
     "op3_pivot_top_k": op3_pivot_top_k,
+    "op5_cotraining": op5_cotraining,
     "op7_tree_bpe": op7_tree_bpe,
     "op8_systematic_mix": op8_systematic_mix,
     "op9_ppm": op9_ppm,
