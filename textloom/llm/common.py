@@ -22,6 +22,25 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def has_words(text: Column) -> Column:
+    return F.coalesce(text.rlike(WORD), F.lit(False))
+
+
+def need(n: Column, percent: int) -> Column:
+    """ceil(percent / 100 * n)"""
+    return F.floor((n * percent + 99) / 100).cast("int")
+
+
+def room(percent: int) -> Column:
+    """Length and positional filter: can sets x and y (sizes xn, yn) that share the element at positions xp and yp be similar enough?
+
+    The first common element of a pair that is similar enough always passes.
+    """
+    x, y, xp, yp = (F.col(c) for c in ("xn", "yn", "xp", "yp"))
+    most = 1 + F.least(x - xp - 1, y - yp - 1)
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * most >= percent * (x + y))
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for tables that cut lineage: the session's ``spark.checkpoint.dir``.
 

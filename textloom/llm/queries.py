@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, cotraining, mixing, pivot_index, ppm, risk_rules, warc
+from textloom.llm import bpe, cotraining, line_dedup, mixing, pivot_index, ppm, risk_rules, warc
 from textloom.llm.common import new_path, read
 
 
@@ -72,6 +72,34 @@ def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_texts(read(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH lines AS (
+  SELECT doc_id AS d, i, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), range(1, len(l) + 1) r(i)),
+firsts AS (SELECT line, min((d, i)) AS f FROM lines GROUP BY line),
+sets AS (
+  SELECT line, f, v, len(v) AS n FROM (SELECT line, f, list_distinct(regexp_extract_all(line, '[^ 	-]+')) AS v FROM firsts) WHERE len(v) >= 5),
+words AS (SELECT f, n, unnest(v) AS w FROM sets),
+common AS (
+  SELECT x.f, x.n AS xn, y.n AS yn, count(*) AS c
+  FROM words x JOIN words y ON x.w = y.w AND y.f < x.f AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY x.f, y.f, x.n, y.n),
+near AS (SELECT DISTINCT f FROM common WHERE 100 * c >= 80 * (xn + yn - c)),
+marked AS (
+  SELECT l.d, l.i, l.line, s.f IS NOT NULL AND (s.f < (l.d, l.i) OR s.f IN (SELECT f FROM near)) AS gone
+  FROM lines l LEFT JOIN sets s ON l.line = s.line),
+kept AS (
+  SELECT d, count(*)::INT AS n_lines, count(*) FILTER (gone)::INT AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+  FROM marked GROUP BY d)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents LEFT JOIN kept ON doc_id = d
+"""
+
+
 OP8_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
@@ -113,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_tree_bpe": op7_tree_bpe,
     "op8_systematic_mix": op8_systematic_mix,
     "op9_ppm": op9_ppm,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_pivot_top_k": OP3_SQL, "op8_systematic_mix": OP8_SQL}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_pivot_top_k": OP3_SQL, "op8_systematic_mix": OP8_SQL, "op10_line_dedup": OP10_SQL}
