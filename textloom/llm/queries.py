@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, cotraining, line_dedup, mixing, pivot_index, ppm, risk_rules, warc
+from textloom.llm import bpe, cotraining, line_dedup, mixing, pivot_index, ppm, risk_rules, shingle_join, warc
 from textloom.llm.common import new_path, read
 
 
@@ -58,6 +58,26 @@ def op5_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.components(read(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS v FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN v IS NULL OR len(v) = 0 THEN [] WHEN len(v) < 5 THEN [array_to_string(v, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(v) - 3), lambda i: array_to_string(v[i:i + 4], ' '))) END AS v FROM w),
+e AS (SELECT doc_id, len(v) AS n, unnest(v) AS x FROM s),
+c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS c
+  FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM c WHERE 100 * c >= 80 * (an + bn - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, len(v)::BIGINT AS n_shingles, (SELECT min(b) FROM r WHERE r.a = s.doc_id) AS component_id FROM s
+"""
+
+
 def op7_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -82,7 +102,8 @@ WITH lines AS (
   SELECT doc_id AS d, i, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), range(1, len(l) + 1) r(i)),
 firsts AS (SELECT line, min((d, i)) AS f FROM lines GROUP BY line),
 sets AS (
-  SELECT line, f, v, len(v) AS n FROM (SELECT line, f, list_distinct(regexp_extract_all(line, '[^ 	-]+')) AS v FROM firsts) WHERE len(v) >= 5),
+  SELECT line, f, v, len(v) AS n FROM (SELECT line, f, list_distinct(regexp_extract_all(line, '[^ 	-
+]+')) AS v FROM firsts) WHERE len(v) >= 5),
 words AS (SELECT f, n, unnest(v) AS w FROM sets),
 common AS (
   SELECT x.f, x.n AS xn, y.n AS yn, count(*) AS c
@@ -138,10 +159,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_pivot_top_k": op3_pivot_top_k,
     "op5_cotraining": op5_cotraining,
+    "op6_shingle_join": op6_shingle_join,
     "op7_tree_bpe": op7_tree_bpe,
     "op8_systematic_mix": op8_systematic_mix,
     "op9_ppm": op9_ppm,
     "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_pivot_top_k": OP3_SQL, "op8_systematic_mix": OP8_SQL, "op10_line_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_pivot_top_k": OP3_SQL, "op6_shingle_join": OP6_SQL, "op8_systematic_mix": OP8_SQL, "op10_line_dedup": OP10_SQL}
