@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, cotraining, line_dedup, mixing, pivot_index, ppm, risk_rules, shingle_join, warc
+from textloom.llm import bpe, cotraining, fm_index, line_dedup, mixing, pivot_index, ppm, risk_rules, shingle_join, warc
 from textloom.llm.common import new_path, read
 
 
@@ -54,6 +54,22 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.dedup_substrings(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^ 	-]+'), []) AS v FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(v[i:i + 12], ' ')) AS g FROM w, range(1, len(v) - 11) r(i)),
+m AS (SELECT g, min(doc_id) AS first FROM p GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM p JOIN m USING (g), range(13) x(k) WHERE first < doc_id),
+words AS (SELECT doc_id, i, v[i] AS word FROM w, range(1, len(v) + 1) r(i)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(v)::BIGINT AS n_words, (len(v) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op5_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -64,7 +80,8 @@ def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS v FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS v FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN v IS NULL OR len(v) = 0 THEN [] WHEN len(v) < 5 THEN [array_to_string(v, ' ')]
     ELSE list_distinct(list_transform(range(1, len(v) - 3), lambda i: array_to_string(v[i:i + 4], ' '))) END AS v FROM w),
@@ -158,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_risk_rules": op1_risk_rules,
     "op2_warc": op2_warc,
     "op3_pivot_top_k": op3_pivot_top_k,
+    "op4_fm_index": op4_fm_index,
     "op5_cotraining": op5_cotraining,
     "op6_shingle_join": op6_shingle_join,
     "op7_tree_bpe": op7_tree_bpe,
@@ -166,4 +184,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_pivot_top_k": OP3_SQL, "op6_shingle_join": OP6_SQL, "op8_systematic_mix": OP8_SQL, "op10_line_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_pivot_top_k": OP3_SQL, "op4_fm_index": OP4_SQL, "op6_shingle_join": OP6_SQL, "op8_systematic_mix": OP8_SQL, "op10_line_dedup": OP10_SQL}
