@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from textloom.plans import text
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+for _part in (text,):
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
