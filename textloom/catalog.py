@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.plans import text
+from textloom.plans import splits, text
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (text,):
+for _part in (text, splits):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
