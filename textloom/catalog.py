@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.plans import metrics, splits, text
+from textloom.plans import metrics, splits, streams, text
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (text, splits, metrics):
+for _part in (text, splits, metrics, streams):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
