@@ -91,14 +91,15 @@ def tail(k: int, n: int, p: float) -> float:
 
 
 def certify(cells: pd.DataFrame, cutoffs: Sequence[float], alpha: float, level: float, cost: float) -> float | None:
-    """The cutoff of one stratum and rule, or None; ``cells``: cell (cutoffs exceeded), good, bad."""
+    """The cutoff of one stratum and rule, or None; ``cells``: cell (number of cutoffs exceeded), good, bad."""
     good, bad = (cells.groupby("cell")[c].sum().to_dict() for c in ("good", "bad"))
     n, best, value = sum(good.values()), None, 0.0
-    for j, cut in enumerate(cutoffs, 1):
-        lost = sum(v for c, v in good.items() if c >= j)
+    for j, cut in enumerate(cutoffs):
+        least = len(cutoffs) - j  # a signal above this cutoff is above all stricter ones
+        lost = sum(v for c, v in good.items() if c >= least)
         if not n or tail(lost, n, alpha) > level:
             break
-        gain = sum(v for c, v in bad.items() if c >= j) - cost * lost
+        gain = sum(v for c, v in bad.items() if c >= least) - cost * lost
         if gain > value:
             best, value = float(cut), gain
     return best
