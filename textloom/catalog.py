@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.plans import metrics, splits, streams, text
+from textloom.plans import metrics, processors, splits, streams, text
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (text, splits, metrics, streams):
+for _part in (text, splits, metrics, streams, processors):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
