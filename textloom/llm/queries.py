@@ -16,6 +16,44 @@ def op1_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+_RATIOS = {
+    "symbols": "n_symbols::DOUBLE / greatest(word_chars, 1)",
+    "dup_lines": "n_dup_lines::DOUBLE / greatest(n_lines, 1)",
+    "repeats": "n_repeat_words::DOUBLE / greatest(n_words, 1)",
+    "upper": "n_upper::DOUBLE / greatest(n_words, 1)",
+}
+_GRID = ", ".join(f"('{r}', {j}, {c}::DOUBLE)" for r, (_, cuts) in risk_rules.RULES.items() for j, c in enumerate(cuts))
+_VALUES = " UNION ALL ".join(f"SELECT doc_id, lang, '{r}' AS rule, {x} AS v FROM counts" for r, x in _RATIOS.items())
+
+OP1_SQL = rf"""
+WITH w AS (SELECT doc_id, i, v[i] AS w FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS v FROM documents), range(1, len(v) + 1) r(i)),
+t AS (SELECT doc_id, i, w, w || ' ' || lead(w) OVER d || ' ' || lead(w, 2) OVER d AS t FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS c FROM t WHERE t IS NOT NULL), range(3) x(k) WHERE c > 1 GROUP BY doc_id),
+ws AS (SELECT doc_id, count(*) AS n, sum((regexp_matches(w, '[A-Z]') AND NOT regexp_matches(w, '[a-z]'))::INT) AS up FROM w GROUP BY doc_id),
+l AS (SELECT doc_id, l[i] AS line, row_number() OVER (PARTITION BY doc_id, l[i] ORDER BY i) AS r FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), range(1, len(l) + 1) r(i)),
+ls AS (SELECT doc_id, count(*) AS n, sum((r > 1)::INT) AS dup FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counts AS (
+  SELECT d.doc_id, lang, coalesce(ws.n, 0)::BIGINT AS n_words, length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+         coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(ls.n, 0)::BIGINT AS n_lines, coalesce(up, 0)::BIGINT AS n_upper
+  FROM documents d LEFT JOIN ws USING (doc_id) LEFT JOIN ls USING (doc_id) LEFT JOIN rep USING (doc_id)),
+vals AS ({_VALUES}),
+grid(rule, j, cut) AS (VALUES {_GRID}),
+held AS (SELECT vals.lang, rule, v, quality > 0 AS good FROM vals JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+tests AS (
+  SELECT lang, rule, j, cut, count(*) FILTER (good) AS n, count(*) FILTER (good AND v > cut) AS lost, count(*) FILTER (NOT good AND v > cut) AS won
+  FROM held JOIN grid USING (rule) GROUP BY ALL),
+p AS (
+  SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0125) + (n - i) * ln(1 - 0.0125))) FROM range(lost + 1) r(i)) AS p,
+         0.05 / (4 * (SELECT count(DISTINCT coalesce('x' || lang, '')) FROM held)) AS level FROM tests WHERE n > 0),
+ok AS (SELECT *, bool_and(p <= level AND lost < n) OVER (PARTITION BY lang, rule ORDER BY j) AS ok FROM p),
+best AS (SELECT lang, rule, arg_max(cut, (won - 5 * lost, -j)) AS cut FROM ok WHERE ok AND won - 5 * lost > 0 GROUP BY lang, rule),
+bad AS (SELECT DISTINCT doc_id FROM vals JOIN best ON vals.lang IS NOT DISTINCT FROM best.lang AND vals.rule = best.rule AND v > cut),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f
+"""
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_pages(read(spark, sf_dir, "pages"), path)
@@ -59,7 +97,8 @@ def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^ 	-]+'), []) AS v FROM documents),
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^ 	-
+]+'), []) AS v FROM documents),
 p AS (SELECT doc_id, i, md5(array_to_string(v[i:i + 12], ' ')) AS g FROM w, range(1, len(v) - 11) r(i)),
 m AS (SELECT g, min(doc_id) AS first FROM p GROUP BY g HAVING min(doc_id) < max(doc_id)),
 gone AS (SELECT DISTINCT doc_id, i + k AS i FROM p JOIN m USING (g), range(13) x(k) WHERE first < doc_id),
@@ -184,4 +223,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_pivot_top_k": OP3_SQL, "op4_fm_index": OP4_SQL, "op6_shingle_join": OP6_SQL, "op8_systematic_mix": OP8_SQL, "op10_line_dedup": OP10_SQL}
+SQL: dict[str, str] = {
+    "op1_risk_rules": OP1_SQL, "op2_warc": OP2_SQL, "op3_pivot_top_k": OP3_SQL, "op4_fm_index": OP4_SQL, "op6_shingle_join": OP6_SQL, "op8_systematic_mix": OP8_SQL, "op10_line_dedup": OP10_SQL}
