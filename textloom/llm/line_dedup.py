@@ -2,12 +2,13 @@
 
 A line's set is its distinct words.  Words are ordered by rarity and a line of n words keeps the n - ceil(t n) + 1 rarest: two
 lines of Jaccard similarity t or more share one of those.  Lines that share one are candidates if their lengths and the
-positions of the shared word leave room for enough common words, and are then verified on their whole sets.  A line goes if an
+positions of the shared word leave room for enough common words and if their bitmaps do not differ in too many bits (every word
+that only one of two lines has flips one of 64 bits), and are then verified on their whole sets.  A line goes if an
 earlier line (by doc_id, then line number) of the input is equal or similar; each line is judged on the input, not on what is left.
 
-Only whether an earlier match exists matters, so the lines that share a rare word are first compared with the earliest of them.
-What finds its match there is settled; only the others are compared with all earlier ones.  A group of thousands of variants
-of one line costs about one comparison each.
+Only whether an earlier match exists matters.  Where more than ``OFTEN`` lines share a rare word, they are first compared with the
+earliest of them.  What finds its match there, or by another word, is settled; only the others are compared with all
+earlier ones.  A group of thousands of variants of one line costs about one comparison each.
 
 Scale: equal lines are grouped first, with partial minima, so a line that a third of the documents hold is one row a task.
 Rarity is a table of ``BUCKETS`` counts over all words (a fixed size), by which any two tasks order words alike; how well it
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import drop_table, materialise, need, room
 
-MIN_WORDS, BUCKETS, SIMILARITY = 5, 65536, 80  # per cent
+MIN_WORDS, BUCKETS, SIMILARITY = 5, 1 << 18, 80  # per cent
+#: A word in more prefixes than this has a hub.  The value changes the speed and never the result.
+OFTEN = 32
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
@@ -63,6 +66,18 @@ def _values(line: Column, table: bytes) -> Column:
     return F.sort_array(F.transform(_words(line), value))
 
 
+def _bitmap(v: Column) -> Column:
+    """64 parity bits of the values."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return F.aggregate(v, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x)))
+
+
+def _alike(percent: int) -> Column:
+    """Length, positional and bitmap filter of lines x and y that share a word."""
+    bits = F.bit_count(F.col("xb").bitwiseXOR(F.col("yb")))
+    return room(percent) & (bits * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, table: bytes, percent: int) -> DataFrame:
     """The lines ``(xd, xi)`` of ``pairs(xd, xi, yd, yi)`` that are similar to their y."""
     ends = pairs.select(F.col("xd").alias("d"), F.col("xi").alias("i")).unionByName(pairs.select(F.col("yd").alias("d"), F.col("yi").alias("i"))).distinct()
@@ -82,25 +97,33 @@ def later_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     lines = _lines(docs, text, doc_id).withColumn("h", F.unhex(F.md5("line")))
     sets = lines.select("d", "i", "h", _values(F.col("line"), table).alias("v")).withColumn("n", F.size("v")).where(F.col("n") >= min_words)
     prefix = F.slice("v", F.lit(1), F.col("n") - need(F.col("n"), percent) + 1)
-    first = sets.groupBy("h").agg(F.min(F.struct("d", "i", "n", prefix.alias("v"))).alias("f"))
-    first = materialise(first.select("h", "f.*"), "lines")
-    posts = first.select("d", "i", "n", F.posexplode("v").alias("p", "w"))
-    shared = posts.groupBy("w").count().where("count > 1").select("w")
-    posts = materialise(posts.join(shared, "w"), "line-words")
-    x = posts.select("w", F.col("d").alias("xd"), F.col("i").alias("xi"), F.col("n").alias("xn"), F.col("p").alias("xp"))
-    y = posts.select("w", F.col("d").alias("yd"), F.col("i").alias("yi"), F.col("n").alias("yn"), F.col("p").alias("yp"))
+    least = F.min(F.struct("d", "i", "n", prefix.alias("v"), _bitmap(F.col("v")).alias("b")))
+    first = materialise(sets.groupBy("h").agg(least.alias("f")).select("h", "f.*"), "lines")
+    posts = first.select("d", "i", "n", "b", F.posexplode("v").alias("p", "w"))
+    often = first.select(F.explode("v").alias("w")).groupBy("w").count().where(f"count > {OFTEN}").select("w")
+    often = materialise(often, "line-words-often")
+
+    def sides(rows: DataFrame) -> list[DataFrame]:
+        return [rows.select("w", *[F.col(c).alias(side + c) for c in ("d", "i", "n", "p", "b")]) for side in "xy"]
+
     earlier = (F.col("yd") < F.col("xd")) | ((F.col("yd") == F.col("xd")) & (F.col("yi") < F.col("xi")))
-    hubs = y.groupBy("w").agg(F.min(F.struct("yd", "yi", "yn", "yp")).alias("y")).select("w", "y.*")
-    pairs = materialise(x.join(hubs, "w").where(earlier & room(percent)).select("xd", "xi", "yd", "yi").distinct(), "line-pairs")
+    pair = ["xd", "xi", "yd", "yi"]
+    x, y = sides(posts)
+    few = x.join(often, "w", "left_anti").join(y, "w").where(earlier & _alike(percent)).select(*pair)
+    many = materialise(posts.join(often, "w", "left_semi"), "line-words")
+    x, y = sides(many)
+    hubs = y.groupBy("w").agg(F.min(F.struct("yd", "yi", "yn", "yp", "yb")).alias("y")).select("w", "y.*")
+    pairs = few.unionByName(x.join(hubs, "w").where(earlier & _alike(percent)).select(*pair)).distinct()
+    pairs = materialise(pairs, "line-pairs")
     settled = materialise(_verify(pairs, docs, text, doc_id, table, percent), "line-matches")
-    rest = x.join(settled, ["xd", "xi"], "left_anti").join(y, "w").where(earlier & room(percent)).select("xd", "xi", "yd", "yi").distinct()
-    rest = materialise(rest.join(pairs, ["xd", "xi", "yd", "yi"], "left_anti"), "line-pairs")
-    matched = settled.unionByName(_verify(rest, docs, text, doc_id, table, percent))
+    rest = x.join(settled, ["xd", "xi"], "left_anti").join(y, "w").where(earlier & _alike(percent)).select(*pair).distinct()
+    rest = materialise(rest.join(pairs, pair, "left_anti"), "line-pairs")
+    matched = settled if rest.isEmpty() else settled.unionByName(_verify(rest, docs, text, doc_id, table, percent))
     near = matched.select(F.col("xd").alias("d"), F.col("xi").alias("i"), F.lit(True).alias("near"))
     verdict = materialise(
         first.join(near, ["d", "i"], "left").select("h", F.col("d").alias("fd"), F.col("i").alias("fi"), F.coalesce("near", F.lit(False)).alias("near")), "line-verdicts"
     )
-    for t in (posts, pairs, rest, settled, first):
+    for t in (often, many, pairs, rest, settled, first):
         drop_table(t)
     later = F.col("near") | (F.col("fd") < F.col("d")) | ((F.col("fd") == F.col("d")) & (F.col("fi") < F.col("i")))
     gone = lines.select("d", "i", "h").join(verdict, "h").where(later)

@@ -1,18 +1,21 @@
 """N-gram Jaccard join with several global orders, and the components of its links.
 
 A document's set holds the hashes of its distinct five-word shingles.  Under any global order of the shingles, two sets of
-similarity t share an element among the first n - ceil(t n) + 1 of each.  Three orders are used: by rarity, by ascending and by
-descending hash.  The join runs on the prefixes of the rarity order, with the length and positional filters; of its candidates
-only those go on that share a prefix element under the other two orders as well, and they are verified on their whole sets.
+similarity t share an element among the first n - ceil(t n) + 1 of each.  Several orders are used: by ascending hash, by
+descending hash, and by rarity.  The join runs on the prefixes of the hash order; documents whose prefixes hold an element of
+many documents (a passage that many texts share) join each other on the prefixes of the rarity order instead, where such
+elements come last.  Before that, documents go that share too few elements with all others together (by a longer prefix of which
+several elements have to be shared).  Length and positional filters apply.  Candidates go on only if they share a prefix element under the hash
+order and under its reverse as well, and are then verified on their whole sets.
 
 Equal sets are one class, stood for by its smallest doc_id; links run between classes.  What is asked for is what is reachable, so
 the documents that share a rare shingle are first compared with the smallest of them.  The components of those links are found,
 and then all candidates that still lie in different components are compared.  No link that joins anything is lost, and a group
 of thousands of near copies costs about one comparison each instead of one per pair.
 
-Scale: sets are made from the texts where needed and only prefixes, narrow pairs and the sets of candidates are shuffled.  Rarity
-is a table of ``BUCKETS`` counts over all shingles (a fixed size), which changes the speed and never the result.  AQE divides hot
-joins; partial aggregation keeps a class with a third of all rows to a row a task.
+Scale: sets are made from the texts where needed and only prefixes, narrow pairs, and the sets of candidates and of documents
+with frequent elements are shuffled.  An element of a prefix is shared by at most ``COMMON`` documents or orders near copies only,
+so candidates grow with the documents and not with the square of those that share a passage.  AQE divides hot joins; partial aggregation keeps a class with a third of all rows to a row a task.
 
 Shingles are 64-bit hashes; sets count as equal by a 128-bit hash of theirs.
 
@@ -31,9 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import connected_components, drop_table, materialise, room
+from textloom.llm.common import connected_components, drop_table, materialise, need, room
 
-SHINGLE, BUCKETS, SIMILARITY = 5, 65536, 80  # per cent
+SHINGLE, SIMILARITY = 5, 80  # per cent
+#: An element in more prefixes than this is frequent.  The value changes the speed and never the result.
+COMMON = 16
 
 
 class WordHashes(dict):
@@ -71,25 +76,23 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def rarity(texts: DataFrame) -> np.ndarray:
-    """How many shingles (of each document once) fall in each bucket; ``texts`` has a column ``text``."""
+def _prefix(n: int, percent: int) -> int:
+    return n - (percent * n + 99) // 100 + 1 if n else 0
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for b in it:
-            for t in b.column("text").to_pylist():
-                np.add.at(total, (shingles(t) % np.uint64(BUCKETS)).astype(np.int64), 1)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["b", "n"])
 
-    out = np.zeros(BUCKETS, np.int64)
-    for r in texts.select("text").mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS
-        out[r["b"]] = r["n"]
-    return out
+def _least_shared(n: int) -> int:
+    """How many elements a set of this size has to share within extended prefixes."""
+    return 1 + n // 20
 
 
-def _profiles(docs: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
-    """``(d, n, c1, c2, v)``: id, size of the set, its hash, and its prefix in the order of rarity."""
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    sizes = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat.view(np.int64)))
+
+
+def _profiles(docs: DataFrame, percent: int) -> DataFrame:
+    """``(d, n, c1, c2, v)``: id, size of the set, its hash, and its extended prefix in the order of hashes."""
     kind = docs.schema["d"].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,17 +104,45 @@ def _profiles(docs: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
                 n.append(len(s))
                 c1.append((whole >> 64) - (1 << 63))
                 c2.append((whole & ((1 << 64) - 1)) - (1 << 63))
-                order = np.lexsort((s, table[(s % np.uint64(BUCKETS)).astype(np.int64)]))
-                keep = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
-                prefix.append(s[order[:keep]].view(np.int64))
-            sizes = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
-            flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-            v = pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), v], ["d", "n", "c1", "c2", "v"])
+                prefix.append(s[: _prefix(len(s), percent) + _least_shared(len(s)) - 1])
+            yield pa.RecordBatch.from_arrays([b.column("d"), *(pa.array(x, pa.int64()) for x in (n, c1, c2)), _lists(prefix)], ["d", "n", "c1", "c2", "v"])
 
     return docs.mapInArrow(batches, f"d {kind}, n long, c1 long, c2 long, v array<long>")
 
 
+def _by_rarity(sets: DataFrame, percent: int) -> DataFrame:
+    """``(d, n, v)``: the prefixes of ``sets(d, s, ws, ns)`` in the order of rarity; ``ws`` are the frequent elements, ``ns`` their counts."""
+    kind = sets.schema["d"].dataType.simpleString()
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            n, prefix = [], []
+            for s, ws, ns in zip(*(b.column(c).to_pylist() for c in ("s", "ws", "ns")), strict=True):
+                s = np.frombuffer(s, np.uint64)
+                count = np.zeros(len(s), np.int64)
+                if ws:
+                    count[np.searchsorted(s, np.array(ws, np.int64).view(np.uint64))] = ns
+                n.append(len(s))
+                prefix.append(s[np.lexsort((s, count))[: _prefix(len(s), percent)]])
+            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(n, pa.int64()), _lists(prefix)], ["d", "n", "v"])
+
+    return sets.mapInArrow(batches, f"d {kind}, n long, v array<long>")
+
+
+def _elements(sets: DataFrame) -> DataFrame:
+    """``(d, w)`` of ``sets(d, s)``."""
+    kind = sets.schema["d"].dataType.simpleString()
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            parts = [np.frombuffer(s, np.int64) for s in b.column("s").to_pylist()]
+            rows = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("d").take(pa.array(rows)), pa.array(flat)], ["d", "w"])
+
+    return sets.select("d", "s").mapInArrow(batches, f"d {kind}, w long")
+
+
 def _sets(docs: DataFrame) -> DataFrame:
     kind = docs.schema["d"].dataType.simpleString()
 
@@ -125,7 +156,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets are similar enough; the prefixes of both hash orders are looked at first."""
-    px, py = (len(s) - (percent * len(s) + 99) // 100 + 1 for s in (x, y))
+    px, py = (_prefix(len(s), percent) for s in (x, y))
     for a, b in ((x[:px], y[:py]), (x[-px:], y[-py:])):
         if not np.isin(a, b, assume_unique=True).any():
             return False
@@ -152,29 +183,65 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return links
 
 
+def _posts(docs: DataFrame, stands: DataFrame, percent: int) -> DataFrame:
+    """``(k, w, d, n, p, a)``: the prefix elements that two or more documents share, with their positions.
+
+    First the documents that share too few elements go.  With a prefix longer by m - 1, two similar sets share m elements of
+    their prefixes, where m follows the smaller set; a document whose extended prefix shares less than that with all others
+    together links with nothing.  A line or passage that many documents share does not keep them in.
+
+    k 0: under the order of hashes; a document is marked (a) if an element of its prefix is in more than ``COMMON`` prefixes.
+    k 1: marked documents again, under the order of rarity among them.  Two documents of which one is not marked meet in k 0,
+    two marked ones in k 1, where a shared passage is at the end of the order and only near copies still share their prefixes.
+    """
+    counts = stands.select(F.explode("v").alias("w")).groupBy("w").agg(F.count("*").alias("c")).where("c > 1")
+    shared = materialise(stands.select("d", "n", F.posexplode("v").alias("p", "w")).join(counts.select("w"), "w"), "shingle-shared")
+    enough = 1 + F.floor(need(F.col("n"), percent) / 20)  # of the smallest set that can be similar
+    some = shared.groupBy("d", "n").agg(F.count("*").alias("m")).where(F.col("m") >= enough).select("d")
+    inner = materialise(shared.join(some, "d", "left_semi").where(F.col("p") < F.col("n") - need(F.col("n"), percent) + 1), "shingle-prefixes")
+    counts = inner.groupBy("w").agg(F.count("*").alias("c")).where("c > 1")
+    plain = inner.join(counts, "w")
+    plain = materialise(plain.select("w", "d", "n", "p", (F.col("c") > COMMON).alias("often")), "shingle-posts")
+    drop_table(shared)
+    drop_table(inner)
+    marked = materialise(plain.where("often").select("d").distinct(), "shingle-marked")
+    sets = materialise(_sets(docs.join(marked, "d", "left_semi")).dropDuplicates(["d"]), "shingle-sets")
+    often = materialise(_elements(sets).groupBy("w").agg(F.count("*").alias("c")).where(f"c > {COMMON}"), "shingle-common")
+    own = _elements(sets).join(often, "w").groupBy("d").agg(F.collect_list(F.struct("w", "c")).alias("x"))
+    full = sets.join(own, "d", "left").select("d", "s", F.col("x.w").alias("ws"), F.col("x.c").alias("ns"))
+    rare = materialise(_by_rarity(full, percent), "shingle-rare")
+    flat = rare.select("d", "n", F.posexplode("v").alias("p", "w"))
+    again = rare.select(F.explode("v").alias("w")).groupBy("w").count().where("count > 1").select("w")
+    second = flat.join(again, "w").select(F.lit(1).alias("k"), "w", "d", "n", "p", F.lit(True).alias("a"))
+    first = plain.where("NOT often").join(marked.withColumn("a", F.lit(True)), "d", "left")
+    first = first.select(F.lit(0).alias("k"), "w", "d", "n", "p", F.coalesce("a", F.lit(False)).alias("a"))
+    out = materialise(first.unionByName(second), "shingle-posts")
+    for t in (plain, marked, sets, often, rare):
+        drop_table(t)
+    return out
+
+
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = SIMILARITY) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
     docs = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text"))
-    profiles = materialise(_profiles(docs, rarity(docs), percent), "shingle-profiles")
+    profiles = materialise(_profiles(docs, percent), "shingle-profiles")
     classes = materialise(profiles.where("d IS NOT NULL AND n > 0").groupBy("c1", "c2").agg(F.min("d").alias("rep")), "shingle-classes")
     stands = profiles.join(classes.select(F.col("rep").alias("d"), "c1", "c2"), ["d", "c1", "c2"], "left_semi").dropDuplicates(["d", "c1", "c2"])
-    posts = stands.select("d", "n", F.posexplode("v").alias("p", "w"))
-    shared = stands.select(F.explode("v").alias("w")).groupBy("w").count().where("count > 1").select("w")
-    posts = materialise(posts.join(shared, "w"), "shingle-posts")
-    side = lambda s: [F.col("d").alias(f"{s}d"), F.col("n").alias(f"{s}n"), F.col("p").alias(f"{s}p")]
-    x, y = posts.select("w", *side("x")), posts.select("w", *side("y"))
-    hubs = y.groupBy("w").agg(F.min(F.struct("yd", "yn", "yp")).alias("y")).select("w", "y.*")
-    pairs = x.join(hubs, "w").where((F.col("yd") < F.col("xd")) & room(percent)).select("xd", "yd").distinct()
+    posts = _posts(docs, stands, percent)
+    x, y = (posts.select("k", "w", *[F.col(c).alias(side + c) for c in ("d", "n", "p", "a")]) for side in "xy")
+    apart = ~((F.col("k") == 0) & F.col("xa") & F.col("ya"))  # those meet under the order of rarity
+    hubs = y.groupBy("k", "w").agg(F.min(F.struct("yd", "yn", "yp", "ya")).alias("y")).select("k", "w", "y.*")
+    pairs = x.join(hubs, ["k", "w"]).where((F.col("yd") < F.col("xd")) & apart & room(percent)).select("xd", "yd").distinct()
     pairs = materialise(pairs, "shingle-pairs")
     links = _verify(pairs, docs, percent)
     part = materialise(connected_components(links.select(F.col("xd").alias("a"), F.col("yd").alias("b"))), "shingle-components")
     # what may still join two components
     known = posts.join(part.withColumnRenamed("node", "d"), "d", "left").withColumn("component", F.coalesce("component", "d"))
-    mixed = known.groupBy("w").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("w")
-    known = materialise(known.join(mixed, "w", "left_semi"), "shingle-posts")
-    x = known.select("w", *side("x"), F.col("component").alias("xc"))
-    y = known.select("w", *side("y"), F.col("component").alias("yc"))
-    rest = x.join(y, "w").where((F.col("yd") < F.col("xd")) & (F.col("xc") != F.col("yc")) & room(percent)).select("xd", "yd").distinct()
+    mixed = known.groupBy("k", "w").agg(F.min("component").alias("a1"), F.max("component").alias("a2")).where("a1 <> a2").select("k", "w")
+    known = materialise(known.join(mixed, ["k", "w"], "left_semi"), "shingle-posts")
+    x, y = (known.select("k", "w", *[F.col(c).alias(side + c) for c in ("d", "n", "p", "a", "component")]) for side in "xy")
+    other = F.col("xcomponent") != F.col("ycomponent")
+    rest = x.join(y, ["k", "w"]).where((F.col("yd") < F.col("xd")) & other & apart & room(percent)).select("xd", "yd").distinct()
     rest = materialise(rest.join(pairs, ["xd", "yd"], "left_anti"), "shingle-pairs")
     if not rest.isEmpty():
         more = _verify(rest, docs, percent)
