@@ -108,8 +108,8 @@ def later_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
 
     earlier = (F.col("yd") < F.col("xd")) | ((F.col("yd") == F.col("xd")) & (F.col("yi") < F.col("xi")))
     pair = ["xd", "xi", "yd", "yi"]
-    x, y = sides(posts)
-    few = x.join(often, "w", "left_anti").join(y, "w").where(earlier & _alike(percent)).select(*pair)
+    x, y = sides(posts.join(often, "w", "left_anti"))  # alike on both sides, so dealt by word once
+    few = x.join(y, "w").where(earlier & _alike(percent)).select(*pair)
     many = materialise(posts.join(often, "w", "left_semi"), "line-words")
     x, y = sides(many)
     hubs = y.groupBy("w").agg(F.min(F.struct("yd", "yi", "yn", "yp", "yb")).alias("y")).select("w", "y.*")
