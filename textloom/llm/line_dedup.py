@@ -41,8 +41,9 @@ def _lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(*cols)
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(line, SPACE_RUN)), "")
+def _hashes(line: Column) -> Column:
+    """The hashes of a line's distinct words."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, SPACE_RUN), ""), lambda w: F.xxhash64(w)))
 
 
 def rarity(docs: DataFrame, text: str) -> bytes:
@@ -58,12 +59,11 @@ def rarity(docs: DataFrame, text: str) -> bytes:
 def _values(line: Column, table: bytes) -> Column:
     """A line's words as 64-bit values, rarest first."""
 
-    def value(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def value(h: Column) -> Column:
         rare = F.ascii(F.substring(F.lit(bytearray(table)), (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string"))
         return F.shiftleft(rare.cast("long"), 57) + F.shiftrightunsigned(h, 7)
 
-    return F.sort_array(F.transform(_words(line), value))
+    return F.sort_array(F.array_distinct(F.transform(_hashes(line), value)))
 
 
 def _bitmap(v: Column) -> Column:
@@ -95,10 +95,12 @@ def later_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     """``(d, gone)``: the numbers (from 0) of each document's lines that have an earlier match."""
     table = rarity(docs, text)
     lines = _lines(docs, text, doc_id).withColumn("h", F.unhex(F.md5("line")))
-    sets = lines.select("d", "i", "h", _values(F.col("line"), table).alias("v")).withColumn("n", F.size("v")).where(F.col("n") >= min_words)
-    prefix = F.slice("v", F.lit(1), F.col("n") - need(F.col("n"), percent) + 1)
-    least = F.min(F.struct("d", "i", "n", prefix.alias("v"), _bitmap(F.col("v")).alias("b")))
-    first = materialise(sets.groupBy("h").agg(least.alias("f")).select("h", "f.*"), "lines")
+    sets = lines.select("d", "i", "h", _values(F.col("line"), table).alias("v"))
+    n = F.size("v")
+    prefix = F.slice("v", F.lit(1), n - need(n, percent) + 1)
+    least = F.min(F.struct("d", "i", n.alias("n"), prefix.alias("v"), _bitmap(F.col("v")).alias("b")))
+    # short lines go after the aggregation: a filter before it would be pushed down and make every set twice
+    first = materialise(sets.groupBy("h").agg(least.alias("f")).select("h", "f.*").where(F.col("n") >= min_words), "lines")
     posts = first.select("d", "i", "n", "b", F.posexplode("v").alias("p", "w"))
     often = first.select(F.explode("v").alias("w")).groupBy("w").count().where(f"count > {OFTEN}").select("w")
     often = materialise(often, "line-words-often")
