@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from textloom.llm import ppm
+from textloom.llm.queries import QUERIES
 
 TEXTS = [None, "", "the cat", "The cat sat on the mat\nthe end", "zzz unseen? ñandú", "x" * 3000, "the cat", "cat " * 400, "\u0085a\x1cb c"]
 
@@ -59,3 +60,51 @@ def test_training_beats_noise_and_adaptive_learns():
 
 def test_no_rows(spark):
     assert ppm.score_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def brute_whole(rows):
+    """The model's scores with contexts over the whole text."""
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    streams = {i: b"     " + b" ".join([*(t or "").encode().lower().split(), b""]) + b"\n" for i, t in rows}
+    symbols = {i: [s[j : j + 6] for j in range(len(s) - 5)] for i, s in streams.items()}
+    seen = [{} for _ in range(6)]
+    for i, _ in rows:
+        for s in symbols[i] if not held[i] else []:
+            for k in range(6):
+                c = seen[k].setdefault(s[5 - k : 5], Counter())
+                c[s[5]] += 1
+
+    def log(s):
+        gone, left = set(), 0.0
+        for k in range(5, -1, -1):
+            fresh = {x: n for x, n in seen[k].get(s[5 - k : 5], {}).items() if x not in gone}
+            if s[5] in fresh:
+                return left + math.log10(fresh[s[5]] / (sum(fresh.values()) + len(fresh)))
+            if fresh:
+                left += math.log10(len(fresh) / (sum(fresh.values()) + len(fresh)))
+                gone |= set(fresh)
+        return left - math.log10(256 - len(gone))
+
+    return {i: sum(map(log, s)) for i, s in symbols.items()}
+
+
+@pytest.mark.parametrize("chunk", [1 << 24, 1000])
+def test_whole_text_contexts_against_brute_force(spark, chunk, monkeypatch):
+    monkeypatch.setattr(ppm, "STEP", 500)
+    rows = [(i, TEXTS[i % len(TEXTS)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in ppm.score_texts(df, chunk_bytes=chunk, contexts="text").collect()}
+    want = brute_whole(rows)
+    for i, held, n, known, train, base, _ in brute(rows):
+        assert tuple(got[i])[:5] == (i, held, n, known, train)
+        assert (got[i]["base_score"], got[i]["score"]) == pytest.approx((base, want[i]), rel=1e-9)
+
+
+def test_query_sees_the_order_of_words(spark, tmp_path):
+    fluent = "the cat sat on the mat and the dog lay by the door"
+    salad = "door mat the the dog sat and on by lay the the cat"
+    rows = [(i, fluent) for i in range(20)] + [(100, salad)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op9_ppm"](spark, str(tmp_path)).collect()}
+    assert got[100]["base_score"] == pytest.approx(got[0]["base_score"])
+    assert got[100]["score"] < 2 * got[0]["score"]

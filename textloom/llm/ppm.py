@@ -1,17 +1,18 @@
 """Prediction by partial matching over a byte-context trie, pretrained on the corpus or adaptive within a text.
 
-A text is its words, each closed by a space, and one end.  A symbol is predicted from the ``ORDER`` bytes before it within its
-word (filled up with spaces), else from shorter and shorter contexts.  A context that has seen n symbols of d kinds gives
-kind s the share n_s / (n + d) and the escape d / (n + d); kinds that a longer context offered are excluded from the shorter
-ones (method C with exclusion).  Below the empty context all bytes that are left are equally likely.
+A text is its words, each closed by a space, and one end.  A symbol is predicted from the ``ORDER`` bytes before it, over the
+closing space into the words before (filled up with spaces at the start of the text), else from shorter and shorter contexts.
+A context that has seen n symbols of d kinds gives kind s the share n_s / (n + d) and the escape d / (n + d); kinds that a
+longer context offered are excluded from the shorter ones (method C with exclusion).  Below the empty context all bytes that
+are left are equally likely.  With ``contexts="word"`` contexts begin anew at each word, so the order of words has no say.
 
-Since contexts stay within a word, the code length of a word is the same wherever it stands, and the trie can be counted from
-and applied to distinct words.  The unigram score of the same words comes from the same tables.
+The unigram score of the same words comes from the same chunks.
 
 Scale: documents are dealt into chunks of about ``CHUNK_BYTES``.  A chunk gives its distinct words and its distinct
 (context, symbol) pairs with their training counts; windows over words and a sum over pairs make them counts of the whole
 corpus; each pair gets its probability in the group of its last two context bytes, where all its shorter contexts are too but
-the order 1 and 0 ones (at most 65,792 rows, which every task gets); then the chunks take back the rows that they need.
+the order 1 and 0 ones (at most 65,792 counts, which every task gets); then the chunks take back the rows that they need.
+Within a chunk, symbols are made for about ``STEP`` bytes of texts at a time.
 Nothing else is broadcast, no group exceeds a chunk or the pairs of two bytes, and what is gathered grows with the corpus.
 
 Defined cases: a null text is empty; an empty text is its end alone; a null id counts as the empty text for the held-out
@@ -23,17 +24,18 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.common import materialise
+from textloom.llm.common import drop_table, materialise
 
-ORDER, CHUNK_BYTES = 5, 8 << 20
+ORDER, CHUNK_BYTES, STEP = 5, 8 << 20, 1 << 18
 PAD, SPACE, END = b" " * ORDER, b" ", b"\n"
 
 
@@ -42,10 +44,19 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
 
 
-def events(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The (context, symbol) of every symbol of the words, six bytes in a number, and the number of symbols of each word."""
-    sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    raw = np.frombuffer(b"".join([PAD + w + (SPACE if w else END) for w in words]), np.uint8)
+def pieces(words: list[bytes], contexts: str) -> list[bytes]:
+    """The runs of symbols of a text, at the beginning of which contexts begin anew."""
+    if contexts == "text":
+        return [SPACE.join(words) + END]
+    if contexts == "word":
+        return [w + (SPACE if w else END) for w in words]
+    raise ValueError(f"unknown contexts {contexts!r}")
+
+
+def events(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The (context, symbol) of every symbol of the runs, six bytes in a number, and the number of symbols of each run."""
+    sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+    raw = np.frombuffer(b"".join([PAD + r for r in runs]), np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes + ORDER)])[:-1]
     first = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes) + np.arange(sizes.sum())
     keys = np.zeros(len(first), np.int64)
@@ -54,79 +65,130 @@ def events(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys, sizes
 
 
+def _steps(runs: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """The runs in lists of about ``STEP`` bytes."""
+    held, size = [], 0
+    for r in runs:
+        held.append(r)
+        size += len(r) + ORDER
+        if size >= STEP:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 class Trie:
-    """Counts of symbols after contexts of each order; the base is given for the orders below ``least``."""
+    """Counts of symbols after contexts of each order."""
 
-    def __init__(self, pairs: Iterable[tuple[int, int]], least: int = 0, base: dict[int, dict[int, dict[int, int]]] | None = None) -> None:
-        self.orders: list[dict[int, dict[int, int]]] = [(base or {}).get(k, {}) for k in range(ORDER + 1)]
-        for key, count in pairs:
-            if count:
-                self.add(key, count, least)
+    def __init__(self) -> None:
+        self.orders: list[dict[int, dict[int, int]]] = [{} for _ in range(ORDER + 1)]
 
-    def add(self, key: int, count: int, least: int = 0) -> None:
+    def add(self, key: int, count: int) -> None:
         context, symbol = key >> 8, key & 255
-        for k in range(least, ORDER + 1):
+        for k in range(ORDER + 1):
             seen = self.orders[k].setdefault(context & ((1 << 8 * k) - 1), {})
             seen[symbol] = seen.get(symbol, 0) + count
 
-    def logs(self, context: int, wanted: set[int]) -> dict[int, float]:
-        """log10 of the probability of the wanted symbols after a full context."""
-        out: dict[int, float] = {}
+    def log10(self, key: int) -> float:
+        """log10 of the probability of the symbol after the context."""
+        context, symbol = key >> 8, key & 255
         excluded: set[int] = set()
         left = 0.0
         for k in range(ORDER, -1, -1):
-            seen = self.orders[k].get(context & ((1 << 8 * k) - 1))
-            if not seen:
-                continue
-            fresh = {s: c for s, c in seen.items() if s not in excluded} if excluded else seen
+            seen = self.orders[k].get(context & ((1 << 8 * k) - 1), {})
+            fresh = {s: c for s, c in seen.items() if s not in excluded}
             if not fresh:
                 continue
             n, d = sum(fresh.values()), len(fresh)
-            for s in wanted & fresh.keys():
-                out[s] = left + math.log10(fresh[s] / (n + d))
-            if len(out) == len(wanted):
-                return out
+            if symbol in fresh:
+                return left + math.log10(fresh[symbol] / (n + d))
             left += math.log10(d / (n + d))
             excluded |= fresh.keys()
-        for s in wanted - out.keys():
-            out[s] = left - math.log10(256 - len(excluded))
-        return out
+        return left - math.log10(256 - len(excluded))
 
 
 def adaptive_log10(text: str | None) -> float:
     """The code length of one text (log10 of its probability) under a trie that learns it as it goes."""
-    trie, total = Trie([]), 0.0
-    for key in events(tokens(text))[0].tolist():
-        total += trie.logs(key >> 8, {key & 255})[key & 255]
+    trie, total = Trie(), 0.0
+    for key in events(pieces(tokens(text), "text"))[0].tolist():
+        total += trie.log10(key)
         trie.add(key, 1)
     return total
 
 
+def _logs(keys: np.ndarray, counts: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each key; ``ones`` are the counts of symbols after each single byte.
+
+    What a context has seen, all its shorter ones have seen, so the kinds excluded at an order are those of the context one byte
+    longer, and the sums over what is left are differences.
+    """
+    trained = counts > 0
+    zero = ones.sum(0)
+    # for each order but 0: entries, their counts, contexts, and per context the counts, kinds and counts of its kinds one order below
+    tables: dict[int, tuple[np.ndarray, ...]] = {}
+    flat = np.flatnonzero(ones)
+    for k in range(1, ORDER + 1):
+        if k == 1:
+            entries, n, below = flat, ones.ravel()[flat], zero[flat & 255]
+        else:
+            entries, place = np.unique(keys[trained] & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            n = np.bincount(place, counts[trained], len(entries)).astype(np.int64)
+            shorter, m = tables[k - 1][:2]
+            below = m[np.searchsorted(shorter, entries & ((1 << 8 * k) - 1))]
+        contexts, place = np.unique(entries >> 8, return_inverse=True)
+        sums = [np.bincount(place, w, len(contexts)).astype(np.int64) for w in (n, np.ones(len(n)), below)]
+        tables[k] = entries, n, contexts, *sums
+
+    def at(sorted_: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+        """The values where ``wanted`` stands, or 0."""
+        if not len(sorted_):
+            return [np.zeros(len(wanted), np.int64) for _ in values]
+        i = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
+        hit = sorted_[i] == wanted
+        return [np.where(hit, v[i], 0) for v in values]
+
+    out, left = np.zeros(len(keys)), np.zeros(len(keys))
+    open_ = np.ones(len(keys), bool)
+    gone_n, gone_d = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    for k in range(ORDER, -1, -1):
+        if k:
+            entries, n, contexts, total, kinds, below = tables[k]
+            (own,) = at(entries, keys & ((1 << 8 * (k + 1)) - 1), n)
+            total, kinds, below = at(contexts, (keys >> 8) & ((1 << 8 * k) - 1), total, kinds, below)
+        else:
+            own, total, kinds, below = zero[keys & 255], zero.sum(), np.count_nonzero(zero), 0
+        n, d = total - gone_n, kinds - gone_d
+        found = open_ & (own > 0)
+        out[found] = left[found] + np.log10(own[found] / (n + d)[found])
+        open_ &= ~found
+        on = open_ & (d > 0)
+        left[on] += np.log10(d[on] / (n + d)[on])
+        gone_n, gone_d = below, kinds
+    out[open_] = left[open_] - math.log10(256 - np.count_nonzero(zero)) if open_.any() else 0.0
+    return out
+
+
 def _probabilities(pairs: DataFrame) -> DataFrame:
     """``(key, logp)`` of ``pairs(key, n)``, which holds every pair of the corpus with its training count, perhaps 0."""
     low = pairs.where("n > 0").groupBy((F.col("key") % 65536).alias("k")).agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
-    base: dict[int, dict[int, dict[int, int]]] = {0: {}, 1: {}}
+    ones = np.zeros((256, 256), np.int64)
     for r in low:
-        for k, context in ((0, 0), (1, r["k"] >> 8)):
-            seen = base[k].setdefault(context, {})
-            seen[r["k"] & 255] = seen.get(r["k"] & 255, 0) + r["n"]
+        ones[r["k"] >> 8, r["k"] & 255] = r["n"]
 
     def score(table: pa.Table) -> pa.Table:
-        keys, counts = table.column("key").to_pylist(), table.column("n").to_pylist()
-        trie = Trie(zip(keys, counts, strict=True), 2, base)
-        wanted: dict[int, set[int]] = {}
-        for k in keys:
-            wanted.setdefault(k >> 8, set()).add(k & 255)
-        found = {c: trie.logs(c, s) for c, s in wanted.items()}
-        return pa.table({"key": pa.array(keys, pa.int64()), "logp": pa.array([found[k >> 8][k & 255] for k in keys], pa.float64())})
+        keys = table.column("key").to_numpy()
+        return pa.table({"key": pa.array(keys), "logp": pa.array(_logs(keys, table.column("n").to_numpy(), ones))})
 
     suffix = F.shiftright("key", 8) % 65536
     return pairs.withColumn("suffix", suffix).groupBy("suffix").applyInArrow(score, "key long, logp double")
 
 
-def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, contexts: str = "word") -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; training as in the module's text.
 
+    ``contexts`` is "text" (over the whole text) or "word" (anew at each word).
+
     Documents whose crc32(doc_id as text) mod 10 is 0 are held out; all others train both models.
     """
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
@@ -137,20 +199,41 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chu
 
     def count(table: pa.Table) -> pa.Table:
         words: Counter[bytes] = Counter()
-        for t, held in zip(table.column("text").to_pylist(), table.column("held_out").to_pylist(), strict=True):
-            if held:
-                words.update(dict.fromkeys(tokens(t), 0))
-            else:
-                words.update(tokens(t))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def add(held: list[bytes], weights: list[int]) -> None:
+            keys, sizes = events(held)
+            pairs, place = np.unique(keys, return_inverse=True)
+            found.append((pairs, np.bincount(place, np.repeat(weights, sizes)).astype(np.int64)))
+            if len(found) > 8:
+                merge()
+
+        def merge() -> None:
+            pairs, place = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+            found[:] = [(pairs, np.bincount(place, np.concatenate([c for _, c in found])).astype(np.int64))]
+
+        def texts(held: bool) -> Iterator[bytes]:
+            for c in table.filter(pc.equal(table.column("held_out"), held)).column("text").chunks:
+                for t in c:
+                    seen = tokens(t.as_py())
+                    words.update(dict.fromkeys(seen, 0) if held else seen)
+                    if contexts == "text":
+                        yield pieces(seen, contexts)[0]
+
+        for held in (False, True):
+            for step in _steps(texts(held)):
+                add(step, [int(not held)] * len(step))
         names, n = list(words), np.fromiter(words.values(), np.int64, len(words))
-        keys, sizes = events(names)
-        pairs, place = np.unique(keys, return_inverse=True)
-        times = np.bincount(place, np.repeat(n, sizes)).astype(np.int64)
+        words.clear()
+        if contexts == "word":
+            add(pieces(names, contexts), n)
+        merge()
+        pairs, times = found[0]
         number = table.column("chunk")[0].as_py()
         return pa.table(
             {
                 "chunk": pa.array(np.full(len(names) + len(pairs), number)),
-                "word": pa.array([*names, *[None] * len(pairs)], pa.binary()),
+                "word": pa.concat_arrays([pa.array(names, pa.binary()), pa.nulls(len(pairs), pa.binary())]),
                 "key": pa.concat_arrays([pa.nulls(len(names), pa.int64()), pa.array(pairs)]),
                 "n": pa.array(np.concatenate([n, times])),
             }
@@ -162,8 +245,12 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chu
     words = materialise(words, "ppm-words")
     train, kinds = words.where("first").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
     pairs = parts.where("key IS NOT NULL")
-    logs = materialise(_probabilities(materialise(pairs.groupBy("key").agg(F.sum("n").alias("n")), "ppm-pairs")), "ppm-logs")
-    own = pairs.select("chunk", "key").join(logs, "key").select("chunk", F.lit(None).cast("binary").alias("word"), "key", F.lit(None).cast("long").alias("n"), "logp")
+    distinct = materialise(pairs.groupBy("key").agg(F.sum("n").alias("n")), "ppm-pairs")
+    logs = materialise(_probabilities(distinct), "ppm-logs")
+    joined = materialise(pairs.select("chunk", "key").join(logs, "key").select("chunk", "key", "logp"), "ppm-chunk-logs")
+    for t in (parts, distinct, logs):
+        drop_table(t)
+    own = joined.select("chunk", F.lit(None).cast("binary").alias("word"), "key", F.lit(None).cast("long").alias("n"), "logp")
     own = own.unionByName(words.select("chunk", "word", F.lit(None).cast("long").alias("key"), "n", F.lit(None).cast("double").alias("logp")))
 
     def score(table: pa.Table, known: pa.Table) -> pa.Table:
@@ -171,16 +258,34 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chu
         names, n = w.column("word").to_pylist(), w.column("n").to_numpy()
         keys, logp = p.column("key").to_numpy(), p.column("logp").to_numpy()
         order = np.argsort(keys)
-        found, sizes = events(names)
-        each = logp[order][np.searchsorted(keys, found, sorter=order)]
-        model = np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        keys, logp = keys[order], logp[order]
+        del known, w, p, order
+
+        def costs(runs: list[bytes]) -> list[float]:
+            found, sizes = events(runs)
+            distinct, at = np.unique(found, return_inverse=True)
+            each, ends = logp[np.searchsorted(keys, distinct)][at], np.cumsum(sizes).tolist()
+            return [math.fsum(each[i:j].tolist()) for i, j in zip([0, *ends], ends, strict=False)]
+
         base = np.log10((n + 0.1) / (train + 0.1 * (kinds + 1)))
         place = {x: i for i, x in enumerate(names)}
-        rows = []
-        for t in table.column("text").to_pylist():
-            at = np.fromiter(map(place.__getitem__, tokens(t)), np.int64)
-            rows.append((len(at), int((n[at] > 0).sum()), math.fsum(base[at].tolist()), math.fsum(model[at].tolist())))
-        n_tokens, n_known, base_score, score_ = (list(x) for x in zip(*rows, strict=True))
+        each_word = np.array([c for step in _steps(pieces(names, contexts)) for c in costs(step)] if contexts == "word" else [])
+        rows, whole = [], []
+
+        def texts() -> Iterator[bytes]:
+            for c in table.column("text").chunks:
+                for t in c:
+                    seen = tokens(t.as_py())
+                    at = np.fromiter(map(place.__getitem__, seen), np.int64)
+                    rows.append((len(at), int((n[at] > 0).sum()), math.fsum(base[at].tolist())))
+                    if contexts == "word":
+                        whole.append(math.fsum(each_word[at].tolist()))
+                    else:
+                        yield pieces(seen, contexts)[0]
+
+        for step in _steps(texts()):
+            whole.extend(costs(step))
+        n_tokens, n_known, base_score = (list(x) for x in zip(*rows, strict=True))
         return pa.table(
             {
                 "doc_id": table.column("doc_id"),
@@ -189,7 +294,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chu
                 "n_known": pa.array(n_known, pa.int64()),
                 "train_tokens": pa.array([int(train)] * len(rows), pa.int64()),
                 "base_score": base_score,
-                "score": score_,
+                "score": whole,
             }
         )
 

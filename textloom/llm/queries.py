@@ -145,7 +145,7 @@ def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score_texts(read(spark, sf_dir, "documents"))
+    return ppm.score_texts(read(spark, sf_dir, "documents"), contexts="text")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
