@@ -225,6 +225,16 @@ def test_lines(docs, spark):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == kept_lines(rows)
 
 
+def test_frequent_words_are_last(spark):
+    hashes = spark.range(1).select(F.xxhash64(F.lit("rare")), F.xxhash64(F.lit("the"))).first()
+    table = bytearray(line_dedup.BUCKETS)
+    for h, count in zip(hashes, (3, 1 << 22), strict=True):
+        table[h % line_dedup.BUCKETS] = min(127, 1 + int(3 * math.log2(count)))
+    v = lambda x: line_dedup._values(F.lit(x), bytes(table))
+    both, rare, the = spark.range(1).select(v("the rare"), v("rare"), v("the")).first()
+    assert both == [*rare, *the]
+
+
 def test_lines_without_id_stay(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f g")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in line_dedup.dedup_lines(df).collect()) == [(0, 0), (1, 0), (2, 1)]

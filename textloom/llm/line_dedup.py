@@ -14,7 +14,7 @@ Scale: equal lines are grouped first, with partial minima, so a line that a thir
 Rarity is a table of ``BUCKETS`` counts over all words (a fixed size), by which any two tasks order words alike; how well it
 tells rare from frequent words changes the speed and never the result.  Joins are on words or lines, with AQE dividing hot ones.
 
-Words are 64-bit values: 7 bits of rarity and 57 of hash.  Lines of fewer than ``MIN_WORDS`` distinct words are left alone.
+Words are 64-bit values: 7 bits of rarity (less 64, as they are ordered with their sign) and 57 of hash.  Lines of fewer than ``MIN_WORDS`` distinct words are left alone.
 
 Defined cases: a null text stays null and has no lines; an empty text stays; rows without an id are left as they are and
 remove nothing; repeated rows are one document, whose lines do not remove each other; an empty table gives an empty result.
@@ -61,7 +61,7 @@ def _values(line: Column, table: bytes) -> Column:
 
     def value(h: Column) -> Column:
         rare = F.ascii(F.substring(F.lit(bytearray(table)), (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.shiftleft(rare.cast("long"), 57) + F.shiftrightunsigned(h, 7)
+        return F.shiftleft(rare.cast("long") - 64, 57) + F.shiftrightunsigned(h, 7)
 
     return F.sort_array(F.array_distinct(F.transform(_hashes(line), value)))
 
