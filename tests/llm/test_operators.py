@@ -103,6 +103,27 @@ def test_salvage_after_damage(compress):
         assert gzip.decompress(data[0]) == parts[0]
 
 
+def test_warc_folder_without_manifest(spark, tmp_path):
+    parts = [warc.record_bytes(i, "u", b"x%d" % i * 40, len(b"x%d" % i * 40), warc.digest_of(b"x%d" % i * 40), None) for i in range(4)]
+    members = [warc.member(p) for p in parts]
+    broken = bytearray(members[1])
+    broken[len(broken) // 2] ^= 0xFF
+    (tmp_path / "damaged.warc.gz").write_bytes(members[0] + bytes(broken) + members[2])
+    foreign = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:8f1d>\r\nContent-Type: application/http\r\nContent-Length: 23\r\n\r\nHTTP/1.1 200 OK\r\n\r\npage\r\n\r\n"
+    (tmp_path / "crawl.warc").write_bytes(foreign)
+    kinds = lambda rows: sorted((r["file"], r["kind"], r["record_id"] if r["record_id"] is not None else -1) for r in rows)
+    want = [("crawl.warc", "record", -1), ("damaged.warc.gz", "gap", -1), ("damaged.warc.gz", "record", 0), ("damaged.warc.gz", "record", 2)]
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert kinds(got) == want
+    assert [bytes(r["payload"]) for r in got if r["file"] == "crawl.warc"] == [b"page"]
+    (tmp_path / "own.warc.gz").write_bytes(members[3])
+    (tmp_path / "_manifest-1").write_text("own.warc.gz")
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert kinds(got) == [("crawl.warc", "gap", -1), ("damaged.warc.gz", "gap", -1), ("own.warc.gz", "record", 3)]
+    assert {r["length"] for r in got if r["file"] == "crawl.warc"} == {len(foreign)}
+    assert kinds(warc.read_archives(spark, str(tmp_path), unlisted=True).collect()) == [*want, ("own.warc.gz", "record", 3)]
+
+
 def test_top_k(spark):
     rnd = np.random.default_rng(1)
     v = rnd.normal(size=(300, 8)).round(1).tolist()

@@ -2,7 +2,9 @@
 
 ``df.write.format("textloom_warc")`` writes one gzip member (or one plain record) per row into archives of bounded size;
 the files of a task count only once its commit is in the manifest, so a retried task leaves no second copy behind.
-``spark.read.format("textloom_warc")`` reads one archive per partition.  Every record is checked: gzip CRC, version line, block
+``spark.read.format("textloom_warc")`` reads one archive per partition: those in manifests, or in a folder without a manifest all
+files ``*.warc`` and ``*.warc.gz``.  Files that no manifest names are rows of kind ``gap``, or read too with the option
+``unlisted``.  Every record is checked: gzip CRC, version line, block
 length, payload digest.  Where a check fails, the reader searches byte by byte for the next member or version line at which a
 whole record is valid, goes on from there, and returns the bytes between as a row of kind ``gap`` with the reason.
 
@@ -167,6 +169,8 @@ def _at(path: str) -> tuple[fs.FileSystem, str]:
 @dataclass
 class _Archive(InputPartition):
     name: str
+    #: the size of a file that no manifest names and that is only reported
+    skipped: int | None = None
 
 
 @dataclass
@@ -175,20 +179,28 @@ class _Written(WriterCommitMessage):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, unlisted: bool = False) -> None:
+        self.path, self.unlisted = path, unlisted
 
     def partitions(self) -> list[InputPartition]:
         store, root = _at(self.path)
-        found = [f.path for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.startswith("_manifest-")]
-        names = [n for f in sorted(found) for n in store.open_input_stream(f).read().decode().split("\n") if n]
-        return [_Archive(n) for n in names] or [_Archive("")]
+        files = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        found = [f.path for f in files if f.base_name.startswith("_manifest-")]
+        names = [n for f in sorted(found) for n in store.open_input_stream(f, compression=None).read().decode().split("\n") if n]
+        listed = set(names)
+        others = sorted((f.base_name, f.size) for f in files if f.is_file and f.base_name.endswith((".warc", ".warc.gz")) and f.base_name not in listed)
+        skip = bool(found) and not self.unlisted
+        return [_Archive(n) for n in names] + [_Archive(n, size if skip else None) for n, size in others] or [_Archive("")]
 
     def read(self, partition: _Archive) -> Iterator[pa.RecordBatch]:
         if not partition.name:
             return
+        if partition.skipped is not None:
+            row = {"file": partition.name, "offset": 0, "length": partition.skipped, "kind": "gap", "reason": "not in a manifest"}
+            yield pa.RecordBatch.from_pylist([row], ARROW)
+            return
         store, root = _at(self.path)
-        with store.open_input_stream(f"{root}/{partition.name}") as f:
+        with store.open_input_stream(f"{root}/{partition.name}", compression=None) as f:
             data = f.read()
         rows: list[dict] = []
         held = 0
@@ -239,7 +251,7 @@ class _Writer(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """Options: ``compress`` (default true) and ``maxFileBytes`` (default 32 MB)."""
+    """Options: ``compress`` (default true) and ``maxFileBytes`` (default 32 MB) to write, ``unlisted`` (default false) to read."""
 
     @classmethod
     def name(cls) -> str:
@@ -249,7 +261,7 @@ class WarcSource(DataSource):
         return READ_SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], self.options.get("unlisted", "false").lower() == "true")
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options["path"], self.options.get("compress", "true") == "true", int(self.options.get("maxFileBytes", 32 << 20)))
@@ -278,7 +290,7 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, compress: bool
     out.mode("append").save(path)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records and gaps of all archives of ``path`` (``READ_SCHEMA``)."""
+def read_archives(spark: SparkSession, path: str, unlisted: bool = False) -> DataFrame:
+    """Records and gaps of all archives of ``path`` (``READ_SCHEMA``); with ``unlisted`` also of those that no manifest names."""
     spark.dataSource.register(WarcSource)
-    return spark.read.format("textloom_warc").load(path)
+    return spark.read.format("textloom_warc").option("unlisted", str(unlisted).lower()).load(path)
