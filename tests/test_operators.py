@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from textloom import catalog
 from textloom.functions import text as T
 from textloom.functions import vectors as V
-from textloom.operators import labels, metrics, models, passages, qa, splits, tags
+from textloom.operators import labels, metrics, models, pairs, passages, qa, splits, tags
 from textloom.plans.processors import processor
 
 
@@ -115,3 +116,30 @@ def test_processors(spark):
     dpr = spark.createDataFrame([("q", [("T", "p", "positive", "1")])], "query string, passages array<struct<title: string, text: string, label: string, external_id: string>>")
     row = processor("text_similarity", negatives=2)(dpr).first()
     assert row["label_ids"] == [1, 0, 0] and row["passage_tokens"] == [["T", "p"], [], []]
+
+
+def test_expand_labels_edges_and_long_text(spark):
+    ones = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<int>")
+    tags_ = F.array(F.lit("B"), F.lit("O"))
+    assert one(spark, T.expand_labels(tags_, ones())) == []
+    assert one(spark, T.expand_labels(tags_, ones(0, 0))) == ["X", "X"]
+    assert one(spark, T.expand_labels(tags_, ones(0, 1, 0, 0, 1, 1, 0))) == ["X", "B", "X", "X", "O", "X", "X"]
+    n = 200_000
+    words = F.array_repeat(F.lit("B"), n)
+    initial = F.flatten(F.array_repeat(F.array(F.lit(1), F.lit(0)), n))
+    got = spark.range(1).select(words.alias("w"), initial.alias("m")).select(T.expand_labels(F.col("w"), F.col("m")).alias("x")).first()["x"]
+    assert got == ["B", "X"] * n
+
+
+def test_long_sentence_is_split(spark):
+    lines = spark.createDataFrame([(1, 0, 130), (1, 1, 60), (1, 2, 70), (1, 3, 300), (1, 4, 9)], "doc_id long, line int, n long")
+    got = sorted(tuple(r) for r in pairs.pack_documents(lines, 128, 1).collect())
+    assert got == [(1, 0, 0, 0, 0, 130, 65), (1, 1, 1, 1, 2, 130, 60), (1, 2, 3, 3, 3, 300, 62)]
+
+
+def test_all_passages_are_masked(spark, tmp_path):
+    spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(300)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["mlm_whole_word_mask"](spark, str(tmp_path)).collect()
+    assert {r["word"] for r in got} == set(range(300))
+    masked = [sum(r["action"] != "keep" and r["passage"] == p for r in got) for p in range(3)]
+    assert masked == [19, 19, 7]

@@ -95,8 +95,17 @@ def multi_hot(label_list: Column, labels: Sequence[str], sep: str = ",") -> Colu
 
 def expand_labels(labels: Column, initial: Column, filler: str = "X") -> Column:
     """Word labels dealt to tokens: ``initial`` is 1 at the first token of a word; other tokens get ``filler``."""
-    at = F.transform(initial, lambda m, i: F.when(m == 1, F.aggregate(F.slice(initial, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x)))
-    return F.transform(at, lambda k: F.coalesce(F.get(labels, k - 1), F.lit(filler)))
+    starts = F.filter(F.transform(initial, lambda m, i: F.when(m == 1, i)), lambda i: i.isNotNull())
+    # a one-element array makes the inputs variables, so that they are not worked out again for each token
+    bound = F.array(F.struct(labels.alias("l"), starts.alias("s"), F.size(initial).alias("n")))
+
+    def dealt(x: Column) -> Column:
+        end = lambda j: F.coalesce(F.get(x["s"], j), x["n"])
+        others = lambda n: F.array_repeat(F.lit(filler), n.cast("int"))
+        words = F.transform(x["s"], lambda p, j: F.concat(F.array(F.coalesce(F.get(x["l"], j), F.lit(filler))), others(end(j + 1) - p - 1)))
+        return F.concat(others(end(F.lit(0))), F.flatten(words))
+
+    return F.when(initial.isNotNull(), F.get(F.transform(bound, dealt), F.lit(0)))
 
 
 def initial_only(values: Column, initial: Column) -> Column:

@@ -30,8 +30,10 @@ def pack_documents(lines: DataFrame, limit: int, seed: int) -> DataFrame:
     """Greedy packing of a document's sentences into pairs of segments that fill ``limit`` tokens.
 
     ``lines(doc_id, line, n)`` with n tokens per sentence.  Sentences are gathered until they hold limit - 3 tokens; a hash of
-    the document and the first sentence picks where segment A ends, and B is the rest.  A remainder that does not fill up is
-    dropped.  The fold runs within a document: ``(doc_id, pair, a_first, a_last, b_last, n)``.
+    the document and the first sentence picks where segment A ends, and B is the rest.  A single sentence that fills up alone is
+    split: A is its first half, or (limit - 3) / 2 tokens where half is limit - 3 or more.  A remainder that does not fill up is
+    dropped; segment B is always the next one, never one of a random document.  The fold runs within a document:
+    ``(doc_id, pair, a_first, a_last, b_last, n, a_n)`` with a_n tokens in A.
     """
 
     def packed(g: pd.DataFrame) -> pd.DataFrame:
@@ -42,27 +44,30 @@ def pack_documents(lines: DataFrame, limit: int, seed: int) -> DataFrame:
             held += n
             if held >= limit - 3:
                 count = i - first + 1
-                if count > 1:
+                if count == 1:
+                    half = n // 2 if n // 2 < limit - 3 else (limit - 3) // 2
+                    rows.append((g["doc_id"].iloc[0], len(rows), numbers[i], numbers[i], numbers[i], held, half))
+                else:
                     cut = int.from_bytes(f"{g['doc_id'].iloc[0]}-{numbers[first]}-{seed}".encode()[-6:], "big") % (count - 1)
-                    rows.append((g["doc_id"].iloc[0], len(rows), numbers[first], numbers[first + cut], numbers[i], held))
+                    rows.append((g["doc_id"].iloc[0], len(rows), numbers[first], numbers[first + cut], numbers[i], held, sum(sizes[first : first + cut + 1])))
                 first, held = i + 1, 0
-        return pd.DataFrame(rows, columns=["doc_id", "pair", "a_first", "a_last", "b_last", "n"])
+        return pd.DataFrame(rows, columns=["doc_id", "pair", "a_first", "a_last", "b_last", "n", "a_n"])
 
-    return lines.groupBy("doc_id").applyInPandas(packed, "doc_id long, pair int, a_first int, a_last int, b_last int, n long")
+    return lines.groupBy("doc_id").applyInPandas(packed, "doc_id long, pair int, a_first int, a_last int, b_last int, n long, a_n long")
 
 
-def mask_words(tokens: DataFrame, vocabulary_size: int, most: int = 20, share: float = 0.15, seed: int = 0) -> DataFrame:
+def mask_words(tokens: DataFrame, vocabulary_size: int, most: int = 20, share: float = 0.15, seed: int = 0, sample: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Whole-word masking of ``tokens(doc_id, word, pos, token)``: adds ``action`` (keep, mask, random, same) and ``target``.
 
     Words are taken in hash order while the budget min(most, max(1, round(share * tokens))) is not exceeded; a word that would
-    exceed it is passed over.  Of the taken ones 80 % are masked, 10 % replaced, 10 % left.
+    exceed it is passed over.  The budget is per ``sample``, the columns that make a sample; words are numbered per document.  Of the taken ones 80 % are masked, 10 % replaced, 10 % left.
     """
 
-    sizes = tokens.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("doc_id"))
+    sizes = tokens.groupBy(*sample, "word").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*sample))
     key = F.concat_ws("/", "doc_id", "word")
     words = sizes.withColumn("budget", F.least(F.lit(most), F.greatest(F.lit(1), F.round(total * share))).cast("int")).withColumn("h", hash_key(key, seed))
-    groups = words.groupBy("doc_id", "budget").agg(F.array_sort(F.collect_list(F.struct("h", "word", "n"))).alias("ws"))
+    groups = words.groupBy(*sample, "budget").agg(F.array_sort(F.collect_list(F.struct("h", "word", "n"))).alias("ws"))
     none = F.array().cast("array<bigint>")
     start = F.struct(F.lit(0).cast("bigint").alias("used"), none.alias("taken"))
 
@@ -70,9 +75,9 @@ def mask_words(tokens: DataFrame, vocabulary_size: int, most: int = 20, share: f
         fits = s["used"] + w["n"] <= F.col("budget")
         return F.when(fits, F.struct((s["used"] + w["n"]).alias("used"), F.concat(s["taken"], F.array(w["word"].cast("bigint"))).alias("taken"))).otherwise(s)
 
-    taken = groups.select("doc_id", F.explode(F.aggregate("ws", start, step, lambda s: s["taken"])).alias("word"))
+    taken = groups.select(*sample, F.explode(F.aggregate("ws", start, step, lambda s: s["taken"])).alias("word"))
     draw = F.conv(F.substring(hash_key(F.concat_ws("/", "doc_id", "word"), seed + 1), 1, 6), 16, 10).cast("long") % 10
     taken = taken.withColumn("action", F.when(draw < 8, "mask").when(draw == 8, "random").otherwise("same"))
-    out = tokens.join(taken, ["doc_id", "word"], "left").withColumn("action", F.coalesce("action", F.lit("keep")))
+    out = tokens.join(taken, [*sample, "word"], "left").withColumn("action", F.coalesce("action", F.lit("keep")))
     pick = F.conv(F.substring(hash_key(F.concat_ws("/", "doc_id", "pos"), seed + 2), 1, 7), 16, 10).cast("long") % vocabulary_size
     return out.withColumn("random_id", F.when(F.col("action") == "random", pick)).withColumn("target", F.when(F.col("action") != "keep", F.col("token")))
