@@ -220,18 +220,20 @@ def test_components_of_a_path(spark):
     assert {got[i] for i in range(1, 31)} == {1} and {got[i] for i in (90, 95, 100)} == {90}
 
 
-def kept_lines(rows, percent=80, least=5):
+def kept_lines(rows, percent=80):
     sets = {}
     for i, t, *_ in rows:
         for j, line in enumerate((t or "").split("\n") if t is not None else []):
             s = frozenset(line.encode().split())
-            if len(s) >= least:
+            if s:
                 sets[i, j] = s
     gone = {p for p, s in sets.items() if any(q < p and 100 * len(s & r) >= percent * len(s | r) for q, r in sets.items())}
     return {i: None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in gone) for i, t, *_ in rows}
 
 
-def test_lines(docs, spark):
+@pytest.mark.parametrize("often", [256, 1])
+def test_lines(docs, spark, monkeypatch, often):
+    monkeypatch.setattr(line_dedup, "OFTEN", often)
     got = line_dedup.dedup_lines(docs).collect()
     assert {r["doc_id"]: r["text"] for r in got} == kept_lines(documents()) and len(got) == len(documents())
     rnd = random.Random(5)
@@ -246,6 +248,26 @@ def test_lines(docs, spark):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == kept_lines(rows)
 
 
+@pytest.mark.parametrize("percent", [30])
+def test_lines_of_few_words(spark, monkeypatch, percent):
+    monkeypatch.setattr(line_dedup, "OFTEN", 1)
+    rnd = random.Random(percent)
+    rows = [(i, "\n".join(" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 7))) for _ in range(3))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, percent=percent).collect()} == kept_lines(rows, percent)
+
+
+def test_lines_with_clashing_names_and_one_id(spark):
+    rows = [(1, "x y z\nq", 5, 6, 7), (1, "x y z\nq", 5, 6, 7), (1, "u v w\nz y  x", 5, 6, 7), (2, "q\nnew", 5, 6, 7), (2, None, 5, 6, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone long, d long, _d long")
+    got = Counter(tuple(r) for r in line_dedup.dedup_lines(df).select("doc_id", "text", "gone", "d", "_d").collect())
+    first, second = (1, "x y z\nq", 5, 6, 7), (1, "u v w\nz y  x", 5, 6, 7)
+    rest = [(2, "new", 5, 6, 7), (2, None, 5, 6, 7)]
+    one = Counter([first, first, (1, "u v w", *first[2:]), *rest])
+    other = Counter([(1, "q", *first[2:])] * 2 + [second, *rest])  # by the hashes of the texts either comes first
+    assert got in (one, other)
+
+
 def test_frequent_words_are_last(spark):
     hashes = spark.range(1).select(F.xxhash64(F.lit("rare")), F.xxhash64(F.lit("the"))).first()
     table = bytearray(line_dedup.BUCKETS)

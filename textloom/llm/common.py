@@ -41,13 +41,29 @@ def room(percent: int) -> Column:
     return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * most >= percent * (x + y))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for tables that cut lineage: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (plain local sessions, tests) a folder in the warehouse takes its place.
+    Only a local session (one machine, as in tests) may do without; there a folder in the warehouse takes its place.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or spark.conf.get("spark.sql.warehouse.dir") + "/textloom_tables"
+    if folder:
+        return folder
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return spark.conf.get("spark.sql.warehouse.dir") + "/textloom_tables"
 
 
 def new_path(spark: SparkSession, name: str) -> str:

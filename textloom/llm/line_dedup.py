@@ -1,54 +1,69 @@
 """Near-duplicate lines by an exact set-similarity join; later matches go (DataFrame functions only).
 
-A line's set is its distinct words.  Words are ordered by rarity and a line of n words keeps the n - ceil(t n) + 1 rarest: two
+A line's set is its distinct words.  Words are ordered by rarity and a line of n words keeps the p = n - ceil(t n) + 1 rarest: two
 lines of Jaccard similarity t or more share one of those.  Lines that share one are candidates if their lengths and the
 positions of the shared word leave room for enough common words and if their bitmaps do not differ in too many bits (every word
 that only one of two lines has flips one of 64 bits), and are then verified on their whole sets.  A line goes if an
 earlier line (by doc_id, then line number) of the input is equal or similar; each line is judged on the input, not on what is left.
 
-Only whether an earlier match exists matters.  Where more than ``OFTEN`` lines share a rare word, they are first compared with the
-earliest of them.  What finds its match there, or by another word, is settled; only the others are compared with all
-earlier ones.  A group of thousands of variants of one line costs about one comparison each.
+A word that stands in more than ``OFTEN`` prefixes is too common to be a key by itself.  Two lines that have to share two words
+share two of their p + 1 rarest, so such words are paired with each later one; pairs that are still too common take a third word.
+Only lines under a common key of ``LEVELS`` words (or of all the words they have to share) are left, which means families of
+variants of one line: each line there is compared with the earliest one, and only those that find no match by that or by another
+key are compared with all earlier ones of their family.
 
-Scale: equal lines are grouped first, with partial minima, so a line that a third of the documents hold is one row a task.
-Rarity is a table of ``BUCKETS`` counts over all words (a fixed size), by which any two tasks order words alike; how well it
-tells rare from frequent words changes the speed and never the result.  Joins are on words or lines, with AQE dividing hot ones.
+Scale: lines of equal sets are grouped first, with partial minima, so a line that a third of the documents hold is one row a
+task.  Rarity is a table of ``BUCKETS`` counts over all words (a fixed size), by which any two tasks order words alike; how well
+it tells rare from frequent words changes the speed and never the result.  A key outside families brings at most ``OFTEN`` lines together,
+so candidates grow with the lines.  Joins are on keys or lines, with AQE dividing hot ones.
 
-Words are 64-bit values: 7 bits of rarity (less 64, as they are ordered with their sign) and 57 of hash.  Lines of fewer than ``MIN_WORDS`` distinct words are left alone.
+Words are 64-bit values: 7 bits of rarity (less 64, as they are ordered with their sign) and 57 of hash; sets count as equal
+by two 64-bit hashes of their values.
 
-Defined cases: a null text stays null and has no lines; an empty text stays; rows without an id are left as they are and
-remove nothing; repeated rows are one document, whose lines do not remove each other; an empty table gives an empty result.
-Extra columns pass through; names that begin with two underscores are reserved.
+Defined cases: a null text stays null and has no lines; an empty text stays, and so do lines without a word; rows without an id
+are left as they are and remove nothing; equal rows are one document, whose lines do not remove each other; rows of one id with
+different texts are different documents, in the order of a hash of the text; an empty table gives an empty result.  Extra
+columns pass through, whatever their names; only ``n_lines`` and ``n_removed`` are replaced.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from textloom.llm.common import drop_table, materialise, need, room
+from textloom.llm.common import drop_table, free_names, materialise, need
 
-MIN_WORDS, BUCKETS, SIMILARITY = 5, 1 << 18, 80  # per cent
-#: A word in more prefixes than this has a hub.  The value changes the speed and never the result.
-OFTEN = 32
+BUCKETS, SIMILARITY = 1 << 18, 80  # per cent
+#: A key of more lines than this is common, and one of up to so many words is lengthened.  The values change the speed and never the result.
+OFTEN, LEVELS = 256, 3
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+LINE = ["d", "i"]
+PAIR = ["xd", "xi", "yd", "yi"]
+
+
+def _base(text: Column) -> Column:
+    """The number of a text's line 0: rows of one id with different texts have different lines."""
+    return F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit(0x3FFFFFFF).cast("long")), 32)
 
 
 def _lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    cols = [F.col(doc_id).alias("d"), F.posexplode(F.split(F.col(text), "\n")).alias("i", "line")]
-    return docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(*cols)
+    rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
+    return rows.select("d", _base(F.col("t")).alias("base"), F.posexplode(F.split("t", "\n")).alias("i", "line")).select("d", (F.col("base") + F.col("i")).alias("i"), "line")
 
 
-def _hashes(line: Column) -> Column:
-    """The hashes of a line's distinct words."""
-    return F.array_distinct(F.transform(F.array_remove(F.split(line, SPACE_RUN), ""), lambda w: F.xxhash64(w)))
+def _words(text: Column) -> Column:
+    """The words of a text and perhaps empty strings; texts with no space but blanks take the faster way."""
+    other = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in "\t\n\x0b\x0c\r"])
+    return F.when(other, F.split(text, SPACE_RUN)).otherwise(F.split(text, " "))
 
 
 def rarity(docs: DataFrame, text: str) -> bytes:
     """For each of ``BUCKETS`` hash buckets of words a class of 0 to 127 by the count of its words in all texts."""
-    words = docs.select(F.explode(F.split(F.col(text), SPACE_RUN)).alias("w"))
+    words = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(F.explode(_words(F.col("line"))).alias("w"))
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).count().collect()  # at most BUCKETS rows
     table = bytearray(BUCKETS)
     for r in counts:
@@ -58,12 +73,14 @@ def rarity(docs: DataFrame, text: str) -> bytes:
 
 def _values(line: Column, table: bytes) -> Column:
     """A line's words as 64-bit values, rarest first."""
+    classes = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")  # folded to a constant
 
-    def value(h: Column) -> Column:
-        rare = F.ascii(F.substring(F.lit(bytearray(table)), (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string"))
+    def value(w: Column) -> Column:
+        h = F.xxhash64(w)
+        rare = classes[F.pmod(h, F.lit(BUCKETS)).cast("int")]
         return F.shiftleft(rare.cast("long") - 64, 57) + F.shiftrightunsigned(h, 7)
 
-    return F.sort_array(F.array_distinct(F.transform(_hashes(line), value)))
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(line), ""), value)))
 
 
 def _bitmap(v: Column) -> Column:
@@ -72,76 +89,116 @@ def _bitmap(v: Column) -> Column:
     return F.aggregate(v, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x)))
 
 
+def _prefix(percent: int) -> Column:
+    return F.col("n") - need(F.col("n"), percent) + 1
+
+
 def _alike(percent: int) -> Column:
-    """Length, positional and bitmap filter of lines x and y that share a word."""
+    """Order, length, positional and bitmap filter of lines x and y that share the words of a key (``m``, the last at ``q``)."""
+    x, y = F.col("xn"), F.col("yn")
+    most = F.col("xm") + F.least(x - F.col("xq") - 1, y - F.col("yq") - 1)
     bits = F.bit_count(F.col("xb").bitwiseXOR(F.col("yb")))
-    return room(percent) & (bits * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
+    earlier = (F.col("yd") < F.col("xd")) | ((F.col("yd") == F.col("xd")) & (F.col("yi") < F.col("xi")))
+    return (
+        earlier
+        & (100 * F.least(x, y) >= percent * F.greatest(x, y))
+        & ((100 + percent) * most >= percent * (x + y))
+        & (bits * (100 + percent) <= (x + y) * (100 - percent))
+    )
+
+
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("k", *[F.col(c).alias(side + c) for c in ("d", "i", "n", "b", "m", "q")])
+
+
+def _counted(keys: DataFrame, name: str) -> DataFrame:
+    """``keys`` with ``c``, the lines of each key, where there are two or more."""
+    return materialise(keys.withColumn("c", F.count("*").over(Window.partitionBy("k"))).where("c > 1"), name)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, table: bytes, percent: int) -> DataFrame:
     """The lines ``(xd, xi)`` of ``pairs(xd, xi, yd, yi)`` that are similar to their y."""
     ends = pairs.select(F.col("xd").alias("d"), F.col("xi").alias("i")).unionByName(pairs.select(F.col("yd").alias("d"), F.col("yi").alias("i"))).distinct()
     wanted = ends.groupBy("d").agg(F.collect_set("i").alias("wanted"))
-    held = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(wanted, "d")
-    held = held.select("d", F.posexplode(F.split("t", "\n")).alias("i", "line"), "wanted").where(F.array_contains("wanted", F.col("i")))
-    sets = materialise(held.select("d", "i", _values(F.col("line"), table).alias("v")).dropDuplicates(["d", "i"]), "line-sets")
+    held = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(wanted, "d")
+    held = held.select("d", _base(F.col("t")).alias("base"), "wanted", F.posexplode(F.split("t", "\n")).alias("i", "line")).withColumn("i", F.col("base") + F.col("i"))
+    held = held.where(F.array_contains("wanted", F.col("i")))
+    sets = materialise(held.select("d", "i", _values(F.col("line"), table).alias("v")).dropDuplicates(LINE), "line-sets")
     both = pairs.join(sets.select(F.col("d").alias("xd"), F.col("i").alias("xi"), F.col("v").alias("xv")), ["xd", "xi"])
     both = both.join(sets.select(F.col("d").alias("yd"), F.col("i").alias("yi"), F.col("v").alias("yv")), ["yd", "yi"])
     common = F.size(F.array_intersect("xv", "yv"))
-    return both.where(100 * common >= percent * (F.size("xv") + F.size("yv") - common)).select("xd", "xi").distinct()
+    found = both.where(100 * common >= percent * (F.size("xv") + F.size("yv") - common)).select("xd", "xi").distinct()
+    found = materialise(found, "line-matches")
+    drop_table(sets)
+    return found
+
+
+def _similar(classes: DataFrame, docs: DataFrame, text: str, doc_id: str, table: bytes, percent: int) -> DataFrame:
+    """The lines ``(xd, xi)`` of ``classes(d, i, n, b, v)`` that are similar to an earlier one."""
+    columns = ["k", "d", "i", "n", "b", "m", "q"]
+    posts = classes.select("d", "i", "n", "b", F.lit(1).alias("m"), F.posexplode(F.slice("v", F.lit(1), _prefix(percent))).alias("q", "k"))
+    posts = _counted(posts.select(*columns), "line-keys")
+    tables, few, left = [posts], [posts.where(F.col("c") <= OFTEN)], []
+    hot = posts.where(F.col("c") > OFTEN)
+    for m in range(2, LEVELS + 1):
+        if hot.isEmpty():
+            break
+        left.append(hot.where(need(F.col("n"), percent) < m))  # two such lines need not share more words than they do
+        spots = hot.groupBy(*LINE).agg(F.collect_list(F.struct("k", "q")).alias("spots"))
+        rows = classes.join(spots, LINE).select("d", "i", "n", "b", "v", F.explode("spots").alias("s"))
+        more = F.sequence(F.col("s.q") + 1, F.least(F.size("v"), _prefix(percent) + m - 1) - 1)
+        rows = rows.where(F.col("s.q") + 1 < F.least(F.size("v"), _prefix(percent) + m - 1)).select("*", F.explode(more).alias("at"))
+        longer = rows.select(F.xxhash64("s.k", F.get("v", F.col("at"))).alias("k"), "d", "i", "n", "b", F.lit(m).alias("m"), F.col("at").alias("q"))
+        tables.append(_counted(longer, "line-keys"))
+        few.append(tables[-1].where(F.col("c") <= OFTEN))
+        hot = tables[-1].where(F.col("c") > OFTEN)
+    left.append(hot)
+    families = reduce(DataFrame.unionByName, left).select(*columns)
+    hubs = families.groupBy("k").agg(F.min(F.struct("d", "i", "n", "b", "m", "q")).alias("y")).select("k", "y.*")
+    near = [_side(x, "x").join(_side(x, "y"), "k") for x in few] + [_side(families, "x").join(_side(hubs, "y"), "k")]
+    pairs = materialise(reduce(DataFrame.unionByName, [x.where(_alike(percent)).select(*PAIR) for x in near]).distinct(), "line-pairs")
+    settled = _verify(pairs, docs, text, doc_id, table, percent)
+    rest = _side(families, "x").join(settled, ["xd", "xi"], "left_anti").join(_side(families, "y"), "k").where(_alike(percent))
+    rest = materialise(rest.select(*PAIR).distinct().join(pairs, PAIR, "left_anti"), "line-pairs")
+    if not rest.isEmpty():
+        settled = settled.unionByName(_verify(rest, docs, text, doc_id, table, percent))
+    for t in (*tables, pairs, rest):
+        drop_table(t)
+    return settled
 
 
-def later_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(d, gone)``: the numbers (from 0) of each document's lines that have an earlier match."""
+def later_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = SIMILARITY) -> DataFrame:
+    """``(d, gone)``: the numbers of each document's lines that have an earlier match (``_base`` of the text is its first)."""
     table = rarity(docs, text)
-    lines = _lines(docs, text, doc_id).withColumn("h", F.unhex(F.md5("line")))
-    sets = lines.select("d", "i", "h", _values(F.col("line"), table).alias("v"))
-    n = F.size("v")
-    prefix = F.slice("v", F.lit(1), n - need(n, percent) + 1)
-    least = F.min(F.struct("d", "i", n.alias("n"), prefix.alias("v"), _bitmap(F.col("v")).alias("b")))
-    # short lines go after the aggregation: a filter before it would be pushed down and make every set twice
-    first = materialise(sets.groupBy("h").agg(least.alias("f")).select("h", "f.*").where(F.col("n") >= min_words), "lines")
-    posts = first.select("d", "i", "n", "b", F.posexplode("v").alias("p", "w"))
-    often = first.select(F.explode("v").alias("w")).groupBy("w").count().where(f"count > {OFTEN}").select("w")
-    often = materialise(often, "line-words-often")
-
-    def sides(rows: DataFrame) -> list[DataFrame]:
-        return [rows.select("w", *[F.col(c).alias(side + c) for c in ("d", "i", "n", "p", "b")]) for side in "xy"]
-
-    earlier = (F.col("yd") < F.col("xd")) | ((F.col("yd") == F.col("xd")) & (F.col("yi") < F.col("xi")))
-    pair = ["xd", "xi", "yd", "yi"]
-    x, y = sides(posts.join(often, "w", "left_anti"))  # alike on both sides, so dealt by word once
-    few = x.join(y, "w").where(earlier & _alike(percent)).select(*pair)
-    many = materialise(posts.join(often, "w", "left_semi"), "line-words")
-    x, y = sides(many)
-    hubs = y.groupBy("w").agg(F.min(F.struct("yd", "yi", "yn", "yp", "yb")).alias("y")).select("w", "y.*")
-    pairs = few.unionByName(x.join(hubs, "w").where(earlier & _alike(percent)).select(*pair)).distinct()
-    pairs = materialise(pairs, "line-pairs")
-    settled = materialise(_verify(pairs, docs, text, doc_id, table, percent), "line-matches")
-    rest = x.join(settled, ["xd", "xi"], "left_anti").join(y, "w").where(earlier & _alike(percent)).select(*pair).distinct()
-    rest = materialise(rest.join(pairs, pair, "left_anti"), "line-pairs")
-    matched = settled if rest.isEmpty() else settled.unionByName(_verify(rest, docs, text, doc_id, table, percent))
-    near = matched.select(F.col("xd").alias("d"), F.col("xi").alias("i"), F.lit(True).alias("near"))
-    verdict = materialise(
-        first.join(near, ["d", "i"], "left").select("h", F.col("d").alias("fd"), F.col("i").alias("fi"), F.coalesce("near", F.lit(False)).alias("near")), "line-verdicts"
-    )
-    for t in (often, many, pairs, rest, settled, first):
+    lines = _lines(docs, text, doc_id).select("d", "i", _values(F.col("line"), table).alias("v")).withColumn("n", F.size("v"))
+    first = F.slice("v", F.lit(1), F.least(F.col("n"), _prefix(percent) + LEVELS - 1))
+    # lines without words go afterwards: a filter here would be pushed down and make every set twice
+    marks = materialise(lines.select("d", "i", "n", F.xxhash64("v").alias("s1"), F.xxhash64("v", F.lit(7)).alias("s2"), _bitmap(F.col("v")).alias("b"), first.alias("v")), "lines")
+    marks = marks.where("n > 0")
+    classes = marks.groupBy("s1", "s2").agg(F.min(F.struct("d", "i", "n", "b", "v")).alias("f"), F.count("*").alias("c"))
+    classes = materialise(classes.select("s1", "s2", "c", "f.*"), "line-classes")
+    similar = _similar(classes.select("d", "i", "n", "b", "v"), docs, text, doc_id, table, percent)
+    several = classes.where("c > 1").select("s1", "s2", F.col("d").alias("fd"), F.col("i").alias("fi"))
+    copies = marks.select("d", "i", "s1", "s2").join(several, ["s1", "s2"]).where((F.col("fd") != F.col("d")) | (F.col("fi") != F.col("i")))
+    gone = copies.select("d", "i").unionByName(similar.select(F.col("xd").alias("d"), F.col("xi").alias("i")))
+    out = materialise(gone.groupBy("d").agg(F.collect_set("i").alias("gone")), "lines-gone")
+    for t in (marks, classes, similar):
         drop_table(t)
-    later = F.col("near") | (F.col("fd") < F.col("d")) | ((F.col("fd") == F.col("d")) & (F.col("fi") < F.col("i")))
-    gone = lines.select("d", "i", "h").join(verdict, "h").where(later)
-    return gone.groupBy("d").agg(F.collect_set("i").alias("gone"))
+    return out
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = SIMILARITY) -> DataFrame:
     """``docs`` with the lines that have an earlier match taken from ``text``, plus ``n_lines`` (before) and ``n_removed``."""
     docs = docs.drop("n_lines", "n_removed")
-    gone = later_matches(docs, text, doc_id, percent, min_words).withColumnRenamed("d", "__d").withColumnRenamed("gone", "__gone")
-    out = docs.join(gone, F.col(doc_id) == F.col("__d"), "left")
-    lines = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    d, gone, base, lines = free_names(docs, "d", "gone", "base", "lines")
+    matches = later_matches(docs, text, doc_id, percent).select(F.col("d").alias(d), F.col("gone").alias(gone))
+    out = docs.join(matches, F.col(doc_id) == F.col(d), "left").withColumns({base: _base(F.col(text)), lines: F.split(F.col(text), "\n")})
+    goes = lambda i: F.coalesce(F.array_contains(gone, F.col(base) + i), F.lit(False))
+    kept = F.array_join(F.filter(lines, lambda _, i: ~goes(i)), "\n")
+    size = F.size(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), goes))
     return out.select(
         *[c for c in docs.columns if c != text],
-        F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept).alias(text),
+        F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept).alias(text),
         F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("n_removed"),
+        F.when(F.col(gone).isNull() | F.col(text).isNull(), 0).otherwise(size).alias("n_removed"),
     )

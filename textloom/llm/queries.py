@@ -159,7 +159,7 @@ WITH lines AS (
 firsts AS (SELECT line, min((d, i)) AS f FROM lines GROUP BY line),
 sets AS (
   SELECT line, f, v, len(v) AS n FROM (SELECT line, f, list_distinct(regexp_extract_all(line, '[^ 	-
-]+')) AS v FROM firsts) WHERE len(v) >= 5),
+]+')) AS v FROM firsts) WHERE len(v) >= 1),
 words AS (SELECT f, n, unnest(v) AS w FROM sets),
 common AS (
   SELECT x.f, x.n AS xn, y.n AS yn, count(*) AS c
