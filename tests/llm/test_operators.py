@@ -302,26 +302,6 @@ def test_targets_stop_and_share(spark):
     assert got["a"] == 30 and got[None] == 0 and got["b"] == pytest.approx(1980 * 2 / 3) and got["c"] == pytest.approx(1980 / 3)
 
 
-def test_cotraining(spark):
-    rnd = random.Random(8)
-    words_ = [f"w{i}" for i in range(200)]
-    rows, labels = [], []
-    for i in range(400):
-        bad, toxic = i % 5 == 0, i % 7 == 0
-        w = [rnd.choice(words_) + ("###" if bad else "") for _ in range(60)]
-        if toxic:
-            w[5] = w[40] = "nastyword"
-        rows.append((i, " ".join(w), "en", f"s{i % 4}", 1))
-        if i % 2:
-            labels.append((i, int(not bad), int(toxic)))
-    rows += [(1000, None, None, None, None), (1001, "", "en", "new", 0), (1001, "", "en", "new", 0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    known = spark.createDataFrame([*labels, (None, 1, 1), (3, None, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r["kept"] for r in cotraining.classify(df, known).collect()}
-    right = [got[i] == (i % 5 != 0 and i % 7 != 0) for i in range(400)]
-    assert sum(right) > 390 and {1000, 1001} <= set(got)
-
-
 def test_cotraining_without_labels(spark, docs):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["kept"] and r["score"] == 1 for r in cotraining.classify(docs, empty).collect())

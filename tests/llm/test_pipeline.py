@@ -66,8 +66,8 @@ def test_stages(spark, tmp_path):
     folder = str(tmp_path)
     rows = tables(folder, spark)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    model = cotraining.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    kept = {r["doc_id"] for r in cotraining.score_documents(docs, model).where("kept").collect()}
+    verdicts = cotraining.classify(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    kept = {r["doc_id"] for r in verdicts.where("kept").collect()}
     rows = [r for r in rows if r[0] in kept]
     assert sum(r[0] % 9 == 0 and r[0] < 120 for r in rows) <= 2 and len(rows) > 100
     text = kept_lines(rows)

@@ -1,14 +1,15 @@
 """BPE encoding and decoding of whole texts, long unsplit text by tree concatenation.
 
 White space never joins two tokens of this vocabulary, so a text is encoded word by word, and a Python worker remembers the
-words that it has met.  A word of more than ``LONG`` characters takes another way: it is normalised and pre-tokenised, and
+words that it has met in its task.  A word of more than ``LONG`` bytes takes another way: it is normalised and pre-tokenised, and
 every pre-token of more than ``PIECE`` symbols is cut in pieces, which are encoded in parallel tasks.  The pieces are then
 joined pairwise, as a tree.  At a join a window of tokens from both sides is encoded again; it grows twofold until its first
 token is the left side's token there and its last the right side's.  Then every two neighbours in the result are neighbours in a
 valid encoding of their own text, which makes the whole the encoding of the whole.
 
 Scale: one pass without a shuffle, except for texts that hold long words.  The memory of words is bounded by ``REMEMBERED``
-entries.  Texts with long words are written once, their pieces dealt over all tasks and gathered by text.
+entries.  Texts with long words are written once, their pieces dealt over all tasks and gathered by text: a task holds the
+tokens of one text's long words, which is the bound of its memory (a single text is a single cell of its table anyway).
 
 Defined cases: a null text is empty; an empty text has no tokens and decodes to an empty text; special tokens written in a
 text are encoded as such, as the library does; repeated rows give repeated results; an empty table gives an empty result.
@@ -22,7 +23,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import materialise
 
-LONG, PIECE, REMEMBERED = 16384, 4096, 400_000
+LONG, PIECE, REMEMBERED = 1024, 256, 100_000
 
 
 class Codec:
@@ -45,14 +46,25 @@ class Codec:
         self.whole.no_truncation()
         with open(path, encoding="utf-8") as f:
             raw = json.load(f)
-        raw |= {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "post_processor": None}
-        self.last = Tokenizer.from_str(json.dumps(raw))  # of the last piece of a pre-token
-        raw["model"]["end_of_word_suffix"] = None
-        self.inner = Tokenizer.from_str(json.dumps(raw))
+        self.raw = raw | {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "post_processor": None}
+        self.suffix = raw["model"].get("end_of_word_suffix") or ""
         added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.known: dict[bytes, tuple[str, str, int]] = {}
-        self.suffix = json.loads(self.last.to_str())["model"]["end_of_word_suffix"] or ""
+
+    @cached_property
+    def last(self) -> object:
+        """The model alone, for the last piece of a pre-token."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(json.dumps(self.raw))
+
+    @cached_property
+    def inner(self) -> object:
+        """The model alone, for the other pieces."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(json.dumps(self.raw | {"model": self.raw["model"] | {"end_of_word_suffix": None}}))
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > REMEMBERED:
@@ -149,6 +161,7 @@ def encode_texts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                 c.learn(words)
                 rows = [_row(c, t) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, zip(*rows, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.known.clear()  # a worker goes on to other tasks
 
     easy = slim.where(~has_long).mapInArrow(short, out)
     rare = slim.where(has_long).withColumn("row", F.monotonically_increasing_id())

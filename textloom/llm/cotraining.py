@@ -1,46 +1,55 @@
 """Quality by co-training: a text view and a page-metadata view teach each other, then score all documents together.
 
 The text view sees words and word shapes; the metadata view sees language, source, length and layout figures, and no words.
-Both start as logistic regressions on labelled documents.  In each round either view labels the documents of an unlabelled
-pool of which it is sure, and the other one is fitted again with them.  The two views' log-odds are then calibrated and combined
-by a logistic regression on labelled documents kept aside.  Toxicity shows in words alone, so it has a text classifier of its own.
-The score is P(quality) * (1 - P(toxic)); a document is rejected below a cutoff that at most ``lost`` of the good documents kept
-aside fall under.
-
-Scale: the fit takes a bounded sample: at most ``LABELLED`` labelled and ``POOL`` unlabelled documents, by hash of the id, whose
-whole texts are read, and at most ``VOCABULARY`` features found in ``MIN_DOCS`` sample documents or more.  Only sample ids are
-broadcast, and the models' weights go to the tasks.  Scoring is one pass over all whole texts without a shuffle.
-
-Defined cases: a null text is empty; null metadata are values of their own; values unseen in the fit have weight 0; a
-document with several labels counts with the lowest quality and the highest toxicity, null labels not at all; where the labels
-hold one class only, that model has no say; without labels everything is kept with score 1.  Repeated rows give repeated
-results; an empty table gives an empty result.  Extra columns are ignored.
+A view is a logistic regression on labelled documents whose features are weighted by their log count ratios between good and
+bad documents.  At first those counts come from the labelled documents.  In each round every other document of the table
+of which one view is sure counts for the other view too, so that what one view knows reaches the other through the features of
+the whole corpus; per class, what is taught weighs as much as the labels at most.  Each view's log-odds are then calibrated
+by itself on labelled documents kept aside, and added (less the prior that both hold), as the views are taken as independent.
+Toxicity shows in words alone, so it has a text classifier of its own.  The score is P(quality) * (1 - P(toxic)); a document is
+rejected below a cutoff that at most ``lost`` of the good documents of a second set kept aside fall under.
+
+Scale: features are numbers below a fixed bound (hashes of words and shapes, steps of layout figures), so no vocabulary is
+gathered and no word is left out.  One pass over all whole texts writes them; a round and the scores are passes over
+that table, without a shuffle of documents: a task gives the counts of its features.  A fit takes at most ``LABELLED`` labelled
+documents, by hash of the id; the ids, and the models' weights, are all that goes to the tasks.
+
+Defined cases: a null text is empty; null metadata are values of their own; a document with several labels counts with the
+lowest quality and the highest toxicity, and a null label says nothing of its own kind only; labelled rows of one id with
+different texts count once (by the least features); where the labels hold one class only, that model has no say; without labels
+everything is kept with score 1.  Repeated rows give repeated results, and each of them teaches; an empty table gives an empty result.
+Extra columns are ignored, and ``keep`` may hold any name but those of the results.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from textloom.llm.common import materialise
+from textloom.llm.common import drop_table, free_names, materialise
 from textloom.llm.risk_rules import text_counts
 
-LABELLED, POOL, VOCABULARY, MIN_DOCS, ROUNDS = 8000, 4000, 12000, 4, 2
-#: The bounded sample is read once per step of a fit, so it lies in few files.
+LABELLED, ROUNDS, ITERATIONS = 8000, 2, 25
+#: A view teaches a document's class when it gives it this probability.
+SURE = 0.99
+#: The numbers of the text view's features: words, then shapes; of the metadata view's: steps of the figures, languages, sources.
+WORDS, SHAPES, STEPS, LANGS, SOURCES = 61440, 4096, 32, 64, 256
+#: The labelled sample is read once per step of a fit, so it lies in few files.
 PARTS = 6
-#: A view labels a pool document when it gives a class this probability.
-SURE = 0.995
-NAMES = 200  # the most frequent languages and sources that have a weight of their own
-LAYOUT = 10
+REMEMBERED = 200_000
+#: layout figure -> steps per unit
+FIGURES = {"words": 3, "chars": 2, "word_length": 2, "symbols": 80, "dup_lines": 20, "repeats": 20, "upper": 20, "line_words": 4, "lines": 3, "digits": 40}
+WIDTH = {"text": WORDS + SHAPES, "meta": len(FIGURES) * STEPS + LANGS + SOURCES}
 
 _CLASSES = bytes((65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 else 48 if 48 <= c <= 57 else 233 if c > 127 else c) for c in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S)
@@ -48,179 +57,256 @@ _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Features(dict):
-    """word -> its features: the bare lower-case word, its beginning and the shape (kinds of characters, runs as one)."""
+    """word -> word feature * SHAPES + shape feature; a task's memory of some words."""
 
-    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
-        bare = word.strip(_EDGES).lower()
-        found = (b"w" + bare, b"b" + bare[:6], b"s" + _RUNS.sub(rb"\1", word.translate(_CLASSES))[:12])
-        if len(self) < 300_000:
+    def __missing__(self, word: bytes) -> int:
+        shape = _RUNS.sub(rb"\1", word.translate(_CLASSES))[:12]
+        found = zlib.crc32(word.strip(_EDGES).lower()) % WORDS * SHAPES + zlib.crc32(shape) % SHAPES
+        if len(self) < REMEMBERED:
             self[word] = found
         return found
 
 
-_FEATURES = Features()
+def text_features(text: str | None, known: Features) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a text's words and shapes, and how often each stands there."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    a, n = np.unique(codes // SHAPES, return_counts=True)
+    b, m = np.unique(codes % SHAPES, return_counts=True)
+    return np.concatenate([a, b + WORDS]), np.concatenate([n, m])
 
 
-def text_features(text: str | None) -> Counter[bytes]:
-    """How often each word, beginning and shape stands in a text."""
-    found: Counter[bytes] = Counter()
-    for word, n in Counter((text or "").encode("utf-8", "surrogatepass").split()).items():
-        for f in _FEATURES[word]:
-            found[f] += n
-    return found
-
-
-def layout(text: str | None) -> list[float]:
-    """Figures of length and layout; no words."""
+def meta_features(text: str | None, lang: str | None, source: str | None) -> list[int]:
+    """Steps of length and layout, language and source; no words."""
     n, chars, symbols, dups, repeats, lines, upper = text_counts(text)
     w, size = max(n, 1), max(len(text or ""), 1)
-    return [
-        math.log1p(n),
-        math.log1p(size),
-        chars / w / 10,
-        min(1.0, 5 * symbols / max(chars, 1)),
-        dups / max(lines, 1),
-        repeats / w,
-        upper / w,
-        math.log1p(n / max(lines, 1)),
-        math.log1p(lines),
-        sum(map((text or "").count, "0123456789")) / size,
-    ]
-
-
-def _view(text: str | None, lang: str | None, source: str | None, vocabulary: dict, names: dict) -> tuple[dict[int, float], dict[int, float]]:
-    words = {vocabulary[f]: min(math.log1p(n), 3.0) for f, n in text_features(text).items() if f in vocabulary}
-    meta = dict(enumerate(layout(text)))
-    meta |= {LAYOUT + names[k]: 1.0 for k in (("lang", lang), ("source", source)) if k in names}
-    return words, meta
-
-
-def _fit(rows: DataFrame, column: str, label: str, weight: str | None = None, reg: float = 0.001, l1: float = 0.5) -> tuple[np.ndarray, float] | None:
-    """Weights and intercept, or None where the labels are of one class."""
-    rows = rows.where(F.col(label).isNotNull())
-    if rows.agg(F.countDistinct(label)).first()[0] < 2:
-        return None
-    lr = LogisticRegression(featuresCol=column, labelCol=label, maxIter=25, regParam=reg, elasticNetParam=l1)
-    model = (lr.setWeightCol(weight) if weight else lr).fit(rows)
-    return model.coefficients.toArray(), float(model.intercept)
+    values = [math.log1p(n), math.log1p(size), chars / w, symbols / max(chars, 1), dups / max(lines, 1), repeats / w, upper / w]
+    values += [math.log1p(n / max(lines, 1)), math.log1p(lines), sum(map((text or "").count, "0123456789")) / size]
+    steps = [i * STEPS + min(STEPS - 1, math.ceil(v * k)) for i, (v, k) in enumerate(zip(values, FIGURES.values(), strict=True))]
+    number = lambda x, kinds: 0 if x is None else 1 + zlib.crc32(x.encode("utf-8", "surrogatepass")) % (kinds - 1)
+    at = len(FIGURES) * STEPS
+    return [*steps, at + number(lang, LANGS), at + LANGS + number(source, SOURCES)]
 
 
-def _odds(x: dict[int, float], model: tuple[np.ndarray, float] | None) -> float:
-    return 0.0 if model is None else model[1] + sum(model[0][i] * v for i, v in x.items())
+def _lists(parts: list, kind: pa.DataType) -> pa.ListArray:
+    sizes = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    flat = np.concatenate([np.asarray(p, float) for p in parts]) if parts else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat).cast(kind))
 
 
-def _sigmoid(z: float) -> float:
-    return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+def extract(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """The columns ``keep`` and the features of every document, and the names of the feature columns.
 
+    ``text`` and ``meta``: numbers of the features; ``values``: of the text features, the logarithm of 1 + their count.
+    """
+    names = dict(zip(("text", "values", "meta"), free_names(docs, "text_features", "text_values", "meta_features"), strict=True))
+    held = [f"k{i}" for i in range(len(keep))]
+    slim = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, held, strict=True)], F.col("text").alias("t"), F.col("lang").alias("l"), F.col("source").alias("s"))
 
-class Model:
-    """The fitted views, as plain numbers."""
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Features()
+        for b in it:
+            texts = b.column("t").to_pylist()
+            found = [text_features(t, known) for t in texts]
+            meta = [meta_features(*row) for row in zip(texts, b.column("l").to_pylist(), b.column("s").to_pylist(), strict=True)]
+            cols = [_lists([f for f, _ in found], pa.int32()), _lists([np.log1p(n) for _, n in found], pa.float32()), _lists(meta, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in held), *cols], [*keep, *names.values()])
 
-    def __init__(self, vocabulary: dict, names: dict, text: object, meta: object, both: object, toxic: object, cutoff: float) -> None:
-        self.vocabulary, self.names, self.text, self.meta, self.both, self.toxic, self.cutoff = vocabulary, names, text, meta, both, toxic, cutoff
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kinds = f"{kinds}, {names['text']} array<int>, {names['values']} array<float>, {names['meta']} array<int>"
+    return slim.mapInArrow(batches, kinds), names
 
-    def parts(self, words: dict[int, float], meta: dict[int, float]) -> tuple[float, float]:
-        """P(quality) of the combined views, and P(toxic)."""
-        t, m = _odds(words, self.text), _odds(meta, self.meta)
-        z = self.both[0][0] * t + self.both[0][1] * m + self.both[1] if self.both is not None else (t + m) / 2
-        quality = 1.0 if self.text is None and self.meta is None else _sigmoid(z)
-        return quality, 0.0 if self.toxic is None else _sigmoid(_odds(words, self.toxic))
 
+def _flat(b: pa.RecordBatch, names: dict[str, str], view: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch and a view: features, their values, and the row of each."""
+    lists = b.column(names[view])
+    ids = lists.flatten().to_numpy()
+    values = b.column(names["values"]).flatten().to_numpy().astype(float) if view == "text" else np.ones(len(ids))
+    return ids, values, np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
 
-def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The sample's documents with role (fit, aside, pool), quality and toxic."""
-    order = F.xxhash64("doc_id", F.lit(5))
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id")
-    known = known.agg(F.min("quality").cast("double").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).cast("double").alias("toxic"))
-    chosen = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(LABELLED)
-    role = F.when(F.pmod(order, F.lit(4)) == 0, "aside").otherwise("fit")
-    chosen = chosen.withColumn("role", role)
-    pool = docs.select("doc_id").where("doc_id IS NOT NULL").join(known, "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(POOL)
-    none = F.lit(None).cast("double")
-    ids = chosen.unionByName(pool.select("doc_id", none.alias("quality"), none.alias("toxic"), F.lit("pool").alias("role")))
-    return docs.select("doc_id", "text", "lang", "source").join(F.broadcast(ids), "doc_id")  # LABELLED + POOL rows at most
 
+Linear = tuple[np.ndarray, float]
+
+
+def _odds(b: pa.RecordBatch, names: dict[str, str], view: str, model: Linear | None) -> np.ndarray:
+    if model is None:
+        return np.zeros(b.num_rows)
+    ids, values, rows = _flat(b, names, view)
+    return np.bincount(rows, model[0][ids] * values, b.num_rows) + model[1]
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def count_features(rows: DataFrame, names: dict[str, str], views: dict[str, Linear | None] | None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each view, documents of class 0 and 1 by feature, and how many documents of each class there are.
+
+    Without ``views`` the class is the column ``quality``; with them, a view's documents are those of which the other view is sure.
+    """
 
-def fit(docs: DataFrame, labels: DataFrame, lost: float = 0.01, rounds: int = ROUNDS) -> Model:
-    sample = materialise(_sample(docs, labels), "cotraining-sample")
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {v: np.zeros((2, n + 1), np.int64) for v, n in WIDTH.items()}  # the last: all documents
+        for b in it:
+            for view, other in (("text", "meta"), ("meta", "text")):
+                if views is None:
+                    p = b.column("quality").to_numpy(zero_copy_only=False)
+                else:
+                    p = sigmoid(_odds(b, names, other, views[other]))
+                ids, _, at = _flat(b, names, view)
+                for c, mine in enumerate((p <= 1 - SURE, p >= SURE)):
+                    found[view][c, :-1] += np.bincount(ids[mine[at]], minlength=WIDTH[view])
+                    found[view][c, -1] += mine.sum()
+        for view, counts in found.items():
+            c, f = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([view] * len(c), pa.string()), pa.array(c, pa.int32()), pa.array(f, pa.int32()), pa.array(counts[c, f])], ["view", "class", "feature", "n"])
+
+    need = [*names.values(), *(["quality"] if views is None else [])]
+    sums = rows.select(*need).mapInArrow(batches, "view string, class int, feature int, n long").groupBy("view", "class", "feature").agg(F.sum("n").alias("n"))
+    out = {v: np.zeros((2, n + 1)) for v, n in WIDTH.items()}
+    for r in sums.collect():  # at most two classes of all feature numbers
+        out[r["view"]][r["class"], r["feature"]] = r["n"]
+    return {v: (x[:, :-1], x[:, -1]) for v, x in out.items()}
+
+
+def ratios(labelled: tuple[np.ndarray, np.ndarray], taught: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """The log count ratio of each feature between the classes; what is taught weighs as much as the labels at most."""
+    counts, totals = labelled[0].copy(), labelled[1].copy()
+    if taught is not None:
+        weight = np.minimum(1, labelled[1] / np.maximum(taught[1], 1))
+        counts, totals = counts + weight[:, None] * taught[0], totals + weight * taught[1]
+    share = (counts + 0.5) / (totals + 1)[:, None]
+    return np.log(share[1] / share[0])
+
+
+def _fit(rows: DataFrame, names: dict[str, str], view: str, label: str, scale: np.ndarray | None, reg: float, l1: float) -> Linear | None:
+    """Weights and intercept over the features times ``scale``, or None where the labels are of one class."""
+    rows = rows.where(F.col(label).isNotNull())
+    if rows.agg(F.countDistinct(label)).first()[0] < 2:
+        return None
 
-    def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            found = Counter()
-            for t in b.column("text").to_pylist():
-                found.update(dict.fromkeys(text_features(t), 1))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["f", "n"])
-
-    common = sample.select("text").mapInArrow(features, "f binary, n long").groupBy("f").agg(F.sum("n").alias("n")).where(f"n >= {MIN_DOCS}")
-    vocabulary = {bytes(r["f"]): i for i, r in enumerate(common.orderBy(F.desc("n"), "f").limit(VOCABULARY).collect())}
-    pairs = sample.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in ("lang", "source")])).alias("x"))
-    names = {(r["k"], r["v"]): i for i, r in enumerate(pairs.groupBy("x.k", "x.v").count().orderBy(F.desc("count"), "k", "v").limit(NAMES).collect())}
-    width = max(len(vocabulary), 1), LAYOUT + len(names)
-
-    @F.udf(VectorUDT())
-    def words(text: str | None) -> object:
-        return Vectors.sparse(width[0], {vocabulary[f]: min(math.log1p(n), 3.0) for f, n in text_features(text).items() if f in vocabulary})
-
-    @F.udf(VectorUDT())
-    def meta(text: str | None, lang: str | None, source: str | None) -> object:
-        return Vectors.sparse(width[1], _view(text, lang, source, {}, names)[1])
-
-    rows = sample.select("doc_id", "role", "quality", "toxic", words("text").alias("words"), meta("text", "lang", "source").alias("meta"))
-    rows = materialise(rows.repartition(PARTS), "cotraining-views")
-    learn = rows.where("role = 'fit'")
-    toxic = _fit(learn, "words", "toxic")
-    views = {"words": _fit(learn, "words", "quality"), "meta": _fit(learn, "meta", "quality")}
-    pool = rows.where("role = 'pool'")
-    for _ in range(rounds if all(v is not None for v in views.values()) else 0):
-        fitted = {}
-        for own, other in (("words", "meta"), ("meta", "words")):
-            taught = _with_odds(pool, other, views[other]).withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
-            taught = taught.where((F.col("p") >= SURE) | (F.col("p") <= 1 - SURE)).withColumn("quality", (F.col("p") > 0.5).cast("double"))
-            both = learn.select("words", "meta", "quality", F.lit(1.0).alias("w")).unionByName(taught.select("words", "meta", "quality", F.lit(0.3).alias("w")))
-            fitted[own] = _fit(both, own, "quality", "w")
-        views = fitted
-    aside = rows.where("role = 'aside'")
-    odds = _with_odds(_with_odds(aside, "words", views["words"], "t"), "meta", views["meta"], "m")
-    if views["words"] is None or views["meta"] is None:
-        combined = None
-    else:
-        pair = F.udf(lambda t, m: Vectors.dense([t, m]), VectorUDT())
-        combined = _fit(odds.withColumn("pair", pair("t", "m")), "pair", "quality", reg=0.01, l1=0.0)
-    model = Model(vocabulary, names, views["words"], views["meta"], combined, toxic, 0.0)
-    good = [
-        model.parts(dict(zip(r["words"].indices.tolist(), r["words"].values.tolist(), strict=True)), dict(zip(r["meta"].indices.tolist(), r["meta"].values.tolist(), strict=True)))
-        for r in aside.where("quality > 0 AND toxic = 0").select("words", "meta").collect()  # a part of LABELLED
-    ]
-    scores = sorted(q * (1 - t) for q, t in good)
-    model.cutoff = min(0.5, scores[int(lost * len(scores))]) if scores else 0.0
-    return model
+            ids, values, _ = _flat(b, names, view)
+            lists = b.column(names[view])
+            values = pa.ListArray.from_arrays(lists.offsets, pa.array(values if scale is None else values * scale[ids]))
+            ids = pa.ListArray.from_arrays(lists.offsets, pa.array(ids, pa.int32()))
+            parts = [pa.array(np.zeros(b.num_rows, np.int8)), pa.array(np.full(b.num_rows, WIDTH[view], np.int32)), ids, values]
+            x = pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([b.column(label), x], ["y", "x"])
+
+    kind = StructType([StructField("y", DoubleType()), StructField("x", VectorUDT())])
+    points = rows.select(label, *names.values()).mapInArrow(vectors, kind)
+    lr = LogisticRegression(featuresCol="x", labelCol="y", maxIter=ITERATIONS, regParam=reg, elasticNetParam=l1, standardization=scale is None)
+    model = lr.fit(points)
+    weights = model.coefficients.toArray()
+    return weights if scale is None else weights * scale, float(model.intercept)
+
+
+def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """a, b > 0 of the log-odds a + b z, by Newton steps with a small penalty; (0, 1) where ``y`` is of one class."""
+    if len(set(y.tolist())) < 2:
+        return 0.0, 1.0
+    x = np.stack([np.ones(len(z)), z], 1)
+    w = np.array([0.0, 0.0])
+    for _ in range(50):
+        p = sigmoid(x @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (y - p) - 1e-2 * (w - [0, 1]))
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0]), max(float(w[1]), 1e-3)
 
 
-def _with_odds(rows: DataFrame, column: str, model: tuple[np.ndarray, float] | None, name: str = "z") -> DataFrame:
-    if model is None:
-        return rows.withColumn(name, F.lit(0.0))
-    weights, intercept = model
-    dot = F.udf(lambda v: float(intercept + weights[v.indices] @ v.values), "double")
-    return rows.withColumn(name, dot(column))
+class Model:
+    """The fitted views, as plain numbers."""
 
+    def __init__(self, views: dict[str, Linear | None], toxic: Linear | None) -> None:
+        self.views, self.toxic = views, toxic
+        self.scales = {"text": (0.0, 1.0), "meta": (0.0, 1.0)}
+        self.prior, self.cutoff = 0.0, 0.0
 
-def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    def odds(self, b: pa.RecordBatch, names: dict[str, str], view: str) -> np.ndarray:
+        return _odds(b, names, view, self.views[view])
+
+    def parts(self, b: pa.RecordBatch, names: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
+        """P(quality) of the calibrated views, and P(toxic)."""
+        own = [v for v in ("text", "meta") if self.views[v] is not None]
+        calibrated = [self.scales[v][0] + self.scales[v][1] * self.odds(b, names, v) for v in own]
+        quality = sigmoid(sum(calibrated) - (len(own) - 1) * self.prior) if own else np.ones(b.num_rows)
+        toxic = np.zeros(b.num_rows) if self.toxic is None else sigmoid(_odds(b, names, "text", self.toxic))
+        return quality, toxic
+
+
+def _labelled(features: DataFrame, labels: DataFrame, names: dict[str, str]) -> DataFrame:
+    """At most ``LABELLED`` documents with quality, toxic (either may be null) and role (fit, calibrate, cutoff)."""
+    order = F.xxhash64("doc_id", F.lit(5))
+    known = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy("doc_id")
+    known = known.agg(F.min("quality").cast("double").alias("quality"), F.max("toxic").cast("double").alias("toxic"))
+    known = known.withColumns({c: (F.col(c) > 0).cast("double") for c in ("quality", "toxic")})
+    chosen = known.join(features.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(LABELLED)
+    part = F.pmod(order, F.lit(5))
+    chosen = chosen.withColumn("role", F.when(part == 0, "calibrate").when(part == 1, "cutoff").otherwise("fit"))
+    rows = features.select("doc_id", *names.values()).join(F.broadcast(chosen), "doc_id")  # LABELLED rows at most
+    one = F.min(F.struct(*names.values(), "quality", "toxic", "role"))
+    return rows.groupBy("doc_id").agg(one.alias("r")).select("doc_id", "r.*").repartition(PARTS, "doc_id")
+
+
+def _aside(rows: DataFrame, names: dict[str, str], role: str) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """The labelled rows of a role, a part of ``LABELLED``, as one batch with their labels."""
+    t = rows.where(F.col("role") == role).orderBy("doc_id").toArrow().combine_chunks()
+    b = t.to_batches()[0] if t.num_rows else pa.RecordBatch.from_pylist([], t.schema)
+    return b, *(b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("quality", "toxic"))
+
+
+def train(features: DataFrame, names: dict[str, str], labels: DataFrame, lost: float = 0.01, rounds: int = ROUNDS) -> Model:
+    """Fit on the features of all documents."""
+    rows = materialise(_labelled(features, labels, names), "cotraining-labelled")
+    learn = rows.where("role = 'fit'")
+    toxic = _fit(learn, names, "text", "toxic", None, 0.001, 0.5)
+    counted = count_features(learn.where("quality IS NOT NULL"), names, None)
+    view = lambda v, taught: _fit(learn, names, v, "quality", ratios(counted[v], taught and taught[v]), 0.002, 0.0)
+    views = {v: view(v, None) for v in WIDTH}
+    if views["text"] is not None:
+        pool = features.join(F.broadcast(rows.where("quality IS NOT NULL").select("doc_id")), "doc_id", "left_anti")  # LABELLED rows at most
+        for _ in range(rounds):
+            taught = count_features(pool, names, views)
+            views = {v: view(v, taught) for v in WIDTH}
+    model = Model(views, toxic)
+    b, y, _ = _aside(rows, names, "calibrate")
+    held = np.isfinite(y)
+    for v in WIDTH:
+        if views[v] is not None:
+            model.scales[v] = calibrate(model.odds(b, names, v)[held], y[held])
+    good = (y[held].sum() + 1) / (held.sum() + 2)
+    model.prior = math.log(good / (1 - good))
+    b, y, x = _aside(rows, names, "cutoff")
+    quality, p_toxic = model.parts(b, names)
+    fine = (np.nan_to_num(y, nan=1.0) > 0) & (np.nan_to_num(x) == 0) & (np.isfinite(y) | np.isfinite(x))
+    scores = np.sort((quality * (1 - p_toxic))[fine])
+    model.cutoff = min(0.5, float(scores[int(lost * len(scores))])) if len(scores) else 0.0
+    drop_table(rows)
+    return model
+
+
+def score_features(features: DataFrame, names: dict[str, str], model: Model, keep: tuple[str, ...]) -> DataFrame:
     """``keep``, p_quality, p_toxic, score and kept of every document."""
-    names = [f"__k{i}" for i in range(len(keep))]
-    slim = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col("text").alias("__t"), F.col("lang").alias("__l"), F.col("source").alias("__s"))
+    held = [f"k{i}" for i in range(len(keep))]
+    slim = features.select(*[F.col(c).alias(n) for c, n in zip(keep, held, strict=True)], *names.values())
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = []
-            for t, lang, source in zip(*(b.column(c).to_pylist() for c in ("__t", "__l", "__s")), strict=True):
-                q, x = model.parts(*_view(t, lang, source, model.vocabulary, model.names))
-                rows.append((q, x, q * (1 - x), q * (1 - x) >= model.cutoff))
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.float64()] * 3 + [pa.bool_()], strict=True)] if rows else [pa.array([], k) for k in [pa.float64()] * 3 + [pa.bool_()]]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *cols], [*keep, "p_quality", "p_toxic", "score", "kept"])
+            q, x = model.parts(b, names)
+            score = q * (1 - x)
+            cols = [pa.array(c) for c in (q, x, score, score >= model.cutoff)]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in held), *cols], [*keep, "p_quality", "p_toxic", "score", "kept"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kinds = ", ".join(f"`{c}` {features.schema[c].dataType.simpleString()}" for c in keep)
     return slim.mapInArrow(batches, f"{kinds}, p_quality double, p_toxic double, score double, kept boolean")
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    return score_documents(docs, fit(docs, labels), keep)
+def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), lost: float = 0.01, rounds: int = ROUNDS) -> DataFrame:
+    """``keep`` (doc_id among them), p_quality, p_toxic, score and kept of every row of ``docs(doc_id, text, lang, source)``."""
+    features, names = extract(docs, keep)
+    features = materialise(features, "cotraining-features")
+    return score_features(features, names, train(features, names, labels, lost, rounds), keep)

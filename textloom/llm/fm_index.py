@@ -8,7 +8,7 @@ of their anchor.  A shard holds an FM-index of its distinct segments: the Burrow
 bit-packed wavelet tree.  The segments stream through it from their last word to their first: backward search extends the
 match by a word, and a match of full length is first shortened by its last word (to the parent interval).  The interval of each window
 gives the smallest document that holds it.  Matches longer than the threshold are the unions of their windows, so the
-statistics need not be longer; :func:`FMIndex.statistics` reports them clipped at ``window``.
+statistics need not be longer; :func:`FMIndex.statistics` reports them clipped at ``window``, for sequences that the index holds.
 
 Scale: a document meets only the shards of its shared anchors, and equal segments are one row before they are indexed (with
 partial minima, so copies of a third of all rows cost a row a task).  The number of shards follows the words to be indexed,
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import drop_table, materialise
-from textloom.llm.shingle_join import _FACTORS, _HASHES, _mix
+from textloom.llm.shingle_join import _FACTORS, WordHashes, _mix
 
 WINDOW, GRAM, HOT, SHARD_WORDS = 13, 5, 5000, 1_000_000
 
@@ -49,7 +49,7 @@ class WaveletTree:
             words = np.zeros(self.n // 64 + 1, np.uint64)
             words.view(np.uint8)[: len(packed)] = packed
             self.bits.append(words)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]))
+            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]).astype(np.uint32))
             self.zeros.append(int(self.n - bit.sum()))
             values = np.concatenate([values[~bit], values[bit]])
         self.first = self._descend(np.arange(sigma), np.zeros(sigma, np.int64))
@@ -96,16 +96,14 @@ class FMIndex:
             shifted[: n - (length - power)] = at_power[length - power :] + 1
             a, b = at_power[order], shifted[order]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            first = np.flatnonzero(new)
-            which = np.cumsum(new) - 1
-            return first[which], np.append(first[1:], n)[which]
+            first = np.flatnonzero(new).astype(np.uint32)
+            which = np.cumsum(new, dtype=np.uint32) - 1
+            return first[which], np.append(first[1:], np.uint32(n))[which]
 
         if n:
             self.parent = groups(max(window - 1, power))
-            first, _ = groups(window)
-            starts = np.unique(first)
-            self.least = np.zeros(n, documents.dtype)
-            self.least[starts] = np.minimum.reduceat(documents[order], starts)
+            self.starts = np.unique(groups(window)[0])  # of the intervals of whole windows
+            self.least = np.minimum.reduceat(documents[order], self.starts.astype(np.int64))
 
     def statistics(self, queries: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics of the sequences ``queries[ends - sizes : ends]``, in lockstep from their last words.
@@ -130,18 +128,14 @@ class FMIndex:
             ln = np.where(full, self.window, ln + 1)
             low[on], high[on], size[on], length[at] = lo, hi, ln, ln
             done = ln == self.window
-            least[at[done]] = self.least[lo[done]]
+            least[at[done]] = self.least[np.searchsorted(self.starts, lo[done].astype(np.uint32))]
         return length, least
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
-def anchors(words: list[bytes], window: int = WINDOW) -> np.ndarray:
+def anchors(words: list[bytes], hashes: WordHashes, window: int = WINDOW) -> np.ndarray:
     """The anchor of each window of a text, as int64."""
     gram = min(GRAM, window)
-    h = _word_hashes(words)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     m = len(h) - gram + 1
     if len(h) < window:
         return np.zeros(0, np.int64)
@@ -163,12 +157,12 @@ def _segments(docs: DataFrame, window: int) -> DataFrame:
     """``(d, pos, seg, route)`` from ``docs(d, text, shared, hot)``: runs of at most ``window`` windows with one shared anchor."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["d", "pos", "seg", "route"]
+        names, hashes = ["d", "pos", "seg", "route"], WordHashes()
         for b in it:
             rows: list = []
             for d, t, shared, hot in zip(*(b.column(c).to_pylist() for c in ("d", "text", "shared", "hot")), strict=True):
                 words = _words(t)
-                a = anchors(words, window)
+                a = anchors(words, hashes, window)
                 is_hot = np.isin(a, np.array(hot, np.int64))
                 use = np.flatnonzero(np.isin(a, np.array(shared, np.int64)))
                 if not len(use):
@@ -234,17 +228,20 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.where("d IS NOT NULL AND text IS NOT NULL")
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in it:
-            found = [np.unique(anchors(_words(t), window)) for t in b.column("text").to_pylist()]
-            sizes = [len(x) for x in found]
-            ids = np.repeat(b.column("d").to_numpy(), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["d", "a"])
+            found = [np.unique(anchors(_words(t), hashes, window)) for t in b.column("text").to_pylist()]
+            sizes = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("d"), pa.ListArray.from_arrays(pa.array(sizes), flat)], ["d", "a"])
 
-    found = docs.mapInArrow(each, "d long, a long")
+    texts = materialise(docs.mapInArrow(each, "d long, a array<long>"), "fm-texts")  # once, for both uses below
+    found = texts.select("d", F.explode("a").alias("a"))
     shared = found.groupBy("a").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     shared = materialise(shared.select("a", (F.col("n") > HOT).alias("hot")), "fm-anchors")
     own = found.join(shared, "a").groupBy("d").agg(F.collect_set("a").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("a"))).alias("hot"))
     own = materialise(own, "fm-shared")
+    drop_table(texts)
     segments = materialise(_segments(docs.join(own, "d").select("d", "text", "shared", "hot"), window), "fm-segments")
     distinct = materialise(segments.groupBy("seg", "route").agg(F.min("d").alias("first")), "fm-distinct")
     size = distinct.agg(F.sum(F.octet_length("seg").cast("long"))).first()[0] or 0

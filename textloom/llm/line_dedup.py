@@ -33,7 +33,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textloom.llm.common import drop_table, free_names, materialise, need
 
@@ -112,8 +111,9 @@ def _side(rows: DataFrame, side: str) -> DataFrame:
 
 
 def _counted(keys: DataFrame, name: str) -> DataFrame:
-    """``keys`` with ``c``, the lines of each key, where there are two or more."""
-    return materialise(keys.withColumn("c", F.count("*").over(Window.partitionBy("k"))).where("c > 1"), name)
+    """``keys`` with ``c``, the lines of each key, where there are two or more; counts are pre-aggregated, and AQE divides hot keys of the join."""
+    counts = keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
+    return materialise(keys.join(counts, "k"), name)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, table: bytes, percent: int) -> DataFrame:

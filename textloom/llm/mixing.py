@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.common import n_words
+from textloom.llm.common import free_names, n_words
 
 HASH_CLASSES = 16
 
@@ -78,28 +78,29 @@ def mix(
 ) -> DataFrame:
     """``docs`` plus ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (words that the mix takes)."""
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
+    src, hashed, kind, words, rows, offset_, before, rank = free_names(docs, "src", "hash", "class", "words", "rows", "offset", "before", "rank")
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     sized = docs.select(
         "*",
         n_words(F.col(text)).alias("size"),
-        F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("__src"),  # a null source is "n", as no other is
-        (_hex(F.concat(key, F.lit(f"/{seed}")), 2) % HASH_CLASSES).cast("int").alias("__hash"),
-    ).withColumn("__class", _size_class(F.col("size")))
-    block = ["__src", "__class", "__hash"]
-    blocks = sized.groupBy(*block).agg(F.sum("size").alias("__words"), F.count("*").alias("__rows"))
-    sizes = blocks.groupBy("__src").agg(F.sum("__words").alias("source_size"))
-    sizes = sizes.select(F.when(F.col("__src") != "n", F.expr("substring(__src, 2)")).alias("source"), "source_size")
-    offset = _hex(F.concat(F.col("__src"), F.lit(f"/{seed}")), 8) / F.lit(4294967296.0)
+        F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias(src),  # a null source is "n", as no other is
+        (_hex(F.concat(key, F.lit(f"/{seed}")), 2) % HASH_CLASSES).cast("int").alias(hashed),
+    ).withColumn(kind, _size_class(F.col("size")))
+    block = [src, kind, hashed]
+    blocks = sized.groupBy(*block).agg(F.sum("size").alias(words), F.count("*").alias(rows))
+    sizes = blocks.groupBy(src).agg(F.sum(words).alias("source_size"))
+    sizes = sizes.select(F.when(F.col(src) != "n", F.substring(src, 2, 1 << 30)).alias("source"), "source_size")
+    offset = _hex(F.concat(F.col(src), F.lit(f"/{seed}")), 8) / F.lit(4294967296.0)
     targets = source_targets(sizes, weights, max_copies)
-    targets = targets.withColumn("__src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    targets = targets.select("__src", "source_size", "target", offset.alias("__offset"))
-    along = Window.partitionBy("__src").orderBy("__class", "__hash").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select(*block, F.coalesce(F.sum("__rows").over(along), F.lit(0)).alias("__before")).join(targets, "__src")
+    targets = targets.withColumn(src, F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
+    targets = targets.select(src, "source_size", "target", offset.alias(offset_))
+    along = Window.partitionBy(src).orderBy(kind, hashed).rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(*block, F.coalesce(F.sum(rows).over(along), F.lit(0)).alias(before)).join(targets, src)
     within = Window.partitionBy(*block).orderBy(F.col(doc_id).asc_nulls_first(), "size")
-    ranked = sized.withColumn("__n", F.row_number().over(within))
+    ranked = sized.withColumn(rank, F.row_number().over(within))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    end = F.col("__before") + F.col("__n")
-    copies = F.floor(end * rate + F.col("__offset")) - F.floor((end - 1) * rate + F.col("__offset"))
+    end = F.col(before) + F.col(rank)
+    copies = F.floor(end * rate + F.col(offset_)) - F.floor((end - 1) * rate + F.col(offset_))
     out = ranked.join(starts, block).withColumn("copies", copies.cast("long"))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(*docs.columns, "size", "source_size", "target", "copies", "taken")

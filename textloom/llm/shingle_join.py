@@ -21,7 +21,8 @@ Shingles are 64-bit hashes; sets count as equal by a 128-bit hash of theirs.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; with fewer than five words the whole
 sequence is one shingle; rows without an id link with nothing and get a null component; repeated rows are one document and
-come out as often as they stand; an empty table gives an empty result.  Extra columns are ignored.
+come out as often as they stand; of rows of one id with different texts, the one whose set has the least hash stands for all (those
+without words for none), and they share its component; an empty table gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.llm.common import connected_components, drop_table, materialise, need, room
 
@@ -42,16 +44,15 @@ COMMON = 16
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to a million words."""
+    """word -> 64-bit hash; a task's memory of up to 100,000 words, which goes with the task."""
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1_000_000:
+        if len(self) < 100_000:
             self[word] = h
         return h
 
 
-_HASHES = WordHashes()
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -61,10 +62,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     if len(h) == 0:
         return h
     if len(h) < SHINGLE:
@@ -96,14 +97,14 @@ def _profiles(docs: DataFrame, percent: int) -> DataFrame:
     kind = docs.schema["d"].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in it:
             n, c1, c2, prefix = [], [], [], []
             for t in b.column("text").to_pylist():
-                s = shingles(t)
-                whole = xxhash.xxh3_128_intdigest(s.tobytes())
+                s = shingles(t, hashes)
                 n.append(len(s))
-                c1.append((whole >> 64) - (1 << 63))
-                c2.append((whole & ((1 << 64) - 1)) - (1 << 63))
+                for column, half in zip((c1, c2), _digest(s.tobytes()), strict=True):
+                    column.append(half)
                 prefix.append(s[: _prefix(len(s), percent) + _least_shared(len(s)) - 1])
             yield pa.RecordBatch.from_arrays([b.column("d"), *(pa.array(x, pa.int64()) for x in (n, c1, c2)), _lists(prefix)], ["d", "n", "c1", "c2", "v"])
 
@@ -143,15 +144,24 @@ def _elements(sets: DataFrame) -> DataFrame:
     return sets.select("d", "s").mapInArrow(batches, f"d {kind}, w long")
 
 
+def _digest(s: bytes) -> tuple[int, int]:
+    """A set's 128-bit hash as two signed numbers."""
+    whole = xxhash.xxh3_128_intdigest(s)
+    return (whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63)
+
+
 def _sets(docs: DataFrame) -> DataFrame:
+    """``(d, s)``: the set of every id; of an id's different texts that whose set has the least hash."""
     kind = docs.schema["d"].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in it:
-            sets = [shingles(t).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(sets, pa.binary())], ["d", "s"])
+            sets = [shingles(t, hashes).tobytes() for t in b.column("text").to_pylist()]
+            names = [_digest(s)[0] for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["d", "c1", "s"])
 
-    return docs.select("d", "text").mapInArrow(batches, f"d {kind}, s binary")
+    return docs.select("d", "text").mapInArrow(batches, f"d {kind}, c1 long, s binary").groupBy("d").agg(F.min_by("s", "c1").alias("s"))
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -167,7 +177,7 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(xd, yd)`` that are links."""
     ends = pairs.select(F.col("xd").alias("d")).unionByName(pairs.select(F.col("yd").alias("d"))).distinct()
-    sets = materialise(_sets(docs.join(ends, "d", "left_semi")).dropDuplicates(["d"]), "shingle-sets")
+    sets = materialise(_sets(docs.join(ends, "d", "left_semi")), "shingle-sets")
     both = pairs.join(sets.select(F.col("d").alias("yd"), F.col("s").alias("ys")), "yd")
     both = both.join(sets.select(F.col("d").alias("xd"), F.col("s").alias("xs")), "xd").select("xd", "yd", "xs", "ys")
 
@@ -197,15 +207,16 @@ def _posts(docs: DataFrame, stands: DataFrame, percent: int) -> DataFrame:
     counts = stands.select(F.explode("v").alias("w")).groupBy("w").agg(F.count("*").alias("c")).where("c > 1")
     shared = materialise(stands.select("d", "n", F.posexplode("v").alias("p", "w")).join(counts.select("w"), "w"), "shingle-shared")
     enough = 1 + F.floor(need(F.col("n"), percent) / 20)  # of the smallest set that can be similar
-    some = shared.groupBy("d", "n").agg(F.count("*").alias("m")).where(F.col("m") >= enough).select("d")
-    inner = materialise(shared.join(some, "d", "left_semi").where(F.col("p") < F.col("n") - need(F.col("n"), percent) + 1), "shingle-prefixes")
+    own = F.count("*").over(Window.partitionBy("d"))  # at most the prefix of one document
+    inner = shared.withColumn("m", own).where((F.col("m") >= enough) & (F.col("p") < F.col("n") - need(F.col("n"), percent) + 1)).drop("m")
+    inner = materialise(inner, "shingle-prefixes")
     counts = inner.groupBy("w").agg(F.count("*").alias("c")).where("c > 1")
     plain = inner.join(counts, "w")
     plain = materialise(plain.select("w", "d", "n", "p", (F.col("c") > COMMON).alias("often")), "shingle-posts")
     drop_table(shared)
     drop_table(inner)
     marked = materialise(plain.where("often").select("d").distinct(), "shingle-marked")
-    sets = materialise(_sets(docs.join(marked, "d", "left_semi")).dropDuplicates(["d"]), "shingle-sets")
+    sets = materialise(_sets(docs.join(marked, "d", "left_semi")), "shingle-sets")
     often = materialise(_elements(sets).groupBy("w").agg(F.count("*").alias("c")).where(f"c > {COMMON}"), "shingle-common")
     own = _elements(sets).join(often, "w").groupBy("d").agg(F.collect_list(F.struct("w", "c")).alias("x"))
     full = sets.join(own, "d", "left").select("d", "s", F.col("x.w").alias("ws"), F.col("x.c").alias("ns"))
@@ -225,8 +236,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
     docs = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text"))
     profiles = materialise(_profiles(docs, percent), "shingle-profiles")
-    classes = materialise(profiles.where("d IS NOT NULL AND n > 0").groupBy("c1", "c2").agg(F.min("d").alias("rep")), "shingle-classes")
-    stands = profiles.join(classes.select(F.col("rep").alias("d"), "c1", "c2"), ["d", "c1", "c2"], "left_semi").dropDuplicates(["d", "c1", "c2"])
+    full = profiles.where("d IS NOT NULL AND n > 0")
+    chosen = materialise(full.groupBy("d").agg(F.min(F.struct("c1", "c2")).alias("c")).select("d", "c.*"), "shingle-chosen")
+    classes = materialise(chosen.groupBy("c1", "c2").agg(F.min("d").alias("rep")), "shingle-classes")
+    stands = full.join(classes.select(F.col("rep").alias("d"), "c1", "c2"), ["d", "c1", "c2"], "left_semi").dropDuplicates(["d", "c1", "c2"])
     posts = _posts(docs, stands, percent)
     x, y = (posts.select("k", "w", *[F.col(c).alias(side + c) for c in ("d", "n", "p", "a")]) for side in "xy")
     apart = ~((F.col("k") == 0) & F.col("xa") & F.col("ya"))  # those meet under the order of rarity
@@ -250,6 +263,6 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     for t in (posts, known, pairs, rest):
         drop_table(t)
     named = classes.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-    out = profiles.select("d", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
-    component = F.when(F.col("d").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("d")))
+    out = profiles.select("d", "n").join(chosen.join(named, ["c1", "c2"]).select("d", "component"), "d", "left")
+    component = F.coalesce("component", "d")
     return out.select(F.col("d").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"))
