@@ -4,7 +4,8 @@ Every stage is ``(spark, docs, sf_dir) -> DataFrame``.  All but the last return
 
 1. quality classifier: documents that the co-trained classifier rejects go;
 2. line dedup: lines with an earlier match go, and documents of which no word is left;
-3. n-gram Jaccard join: of each group of linked documents the smallest doc_id stays, and one row of repeated rows;
+3. n-gram Jaccard join: of each group of linked documents the smallest doc_id stays, and one row of repeated rows (rows of one
+   id with different texts stay or go together);
 4. mixing: each document stands as often as the mix takes it, so repeated rows are copies;
 5. BPE: the number of tokens and the digests of ids and decoded text.
 
@@ -26,8 +27,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    model = cotraining.fit(docs, read(spark, sf_dir, "labels"))
-    return cotraining.score_documents(docs, model, tuple(COLUMNS)).where("kept").select(*COLUMNS)
+    return cotraining.classify(docs, read(spark, sf_dir, "labels"), tuple(COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     first = shingle_join.components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
+    return docs.join(first, "doc_id").dropDuplicates(["doc_id", "text"]).select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
