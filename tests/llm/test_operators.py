@@ -124,6 +124,63 @@ def test_warc_folder_without_manifest(spark, tmp_path):
     assert kinds(warc.read_archives(spark, str(tmp_path), unlisted=True).collect()) == [*want, ("own.warc.gz", "record", 3)]
 
 
+def record(kind, body, *fields, version=b"WARC/1.1"):
+    head = [version, b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:1>", b"Content-Length: %d" % len(body), *fields]
+    return b"\r\n".join([*head, b"", b""]) + body + b"\r\n\r\n"
+
+
+def test_foreign_records():
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\nbody"
+    b32 = base64.b32encode(hashlib.sha1(b"body").digest())
+    of_block = b"WARC-Block-Digest: md5:" + hashlib.md5(http).hexdigest().encode()
+    good = {
+        "lower-case names": b"WARC/1.0\r\nwarc-type: response\r\nwarc-record-id: <urn:uuid:2>\r\ncontent-type: application/http\r\ncontent-length: %d\r\n\r\n" % len(http) + http + b"\r\n\r\n",
+        "no blank": b"WARC/1.0\r\nWARC-Type:response\r\nWARC-Record-ID:<urn:uuid:2>\r\nContent-Type:application/http\r\nContent-Length:%d\r\n\r\n" % len(http) + http + b"\r\n\r\n",
+        "sha256": record(b"response", http, b"Content-Type: application/http", b"WARC-Payload-Digest: sha256:" + hashlib.sha256(b"body").hexdigest().encode()),
+        "sha1": record(b"response", http, b"Content-Type: application/http", b"WARC-Payload-Digest: sha1:" + b32),
+        "unknown algorithm": record(b"response", http, b"Content-Type: application/http", b"WARC-Payload-Digest: blake9:xyz"),
+        "block digest": record(b"response", http, b"Content-Type: application/http", of_block),
+        "resource": record(b"resource", b"body", b"Content-Type: text/plain"),
+        "folded": record(b"response", http, b"Content-Type: application/http;", b"  msgtype=response"),
+    }
+    for why, data in good.items():
+        found = list(warc.salvage(data))
+        assert [(r["kind"], r.get("payload")) for r in found] == [("record", b"body")], why
+    info = list(warc.salvage(record(b"warcinfo", b"software: x\r\n\r\nformat: WARC", b"Content-Type: application/warc-fields")))
+    assert info[0]["payload"] == b"software: x\r\n\r\nformat: WARC"
+    for bad in (good["sha256"], good["sha1"], good["block digest"]):
+        assert [r["kind"] for r in warc.salvage(bad.replace(b"body", b"bodx"))] == ["gap"]
+
+
+def test_members_of_several_records():
+    one, two, three = (record(b"resource", b"%d" % i) for i in (1, 2, 3))
+    data = gzip.compress(one + two) + gzip.compress(three)
+    found = list(warc.salvage(data))
+    assert [r["payload"] for r in found] == [b"1", b"2", b"3"] and sum(r["length"] for r in found) == len(data)
+    data = gzip.compress(one + two.replace(b"Content-Length", b"Content-Size") + three)
+    found = list(warc.salvage(data))
+    assert [(r["kind"], r.get("payload")) for r in found] == [("record", b"1"), ("record", b"3"), ("gap", None)]
+    assert sum(r["length"] for r in found) == len(data)
+
+
+def test_warc_of_no_pages(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_pages(pages, str(tmp_path / "none"))
+    assert warc.read_archives(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_repeated_rows_are_one_trial(spark):
+    texts = ["ab#cd " * 60 if i % 4 == 0 else " ".join(f"w{i}x{j}" for j in range(60)) for i in range(160)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    known = [(i, int(i % 4 > 0)) for i in range(160)]
+    cuts = []
+    for times in (1, 20):
+        df = spark.createDataFrame(rows * times, "doc_id long, text string, lang string")
+        labels = spark.createDataFrame(known * times, "doc_id long, quality int")
+        cuts.append(risk_rules.certified_cutoffs(risk_rules.count_signals(df), labels).collect())
+    assert cuts[0] == cuts[1] and cuts[0][0]["cut_symbols"] is None
+
+
 def test_top_k(spark):
     rnd = np.random.default_rng(1)
     v = rnd.normal(size=(300, 8)).round(1).tolist()
@@ -296,6 +353,14 @@ def test_mix(docs, spark):
     assert all(abs(r["t"] - r["g"]) < 0.01 * r["g"] for r in got)
 
 
+def test_mix_with_clashing_names_and_null_ids(spark):
+    rows = [(None, "w " * i, "a", i, -i, i * i) for i in range(1, 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, src long, rank long, hash long")
+    out = mixing.mix(df).collect()
+    assert sorted((r["doc_id"], r["text"], r["source"], r["src"], r["rank"], r["hash"]) for r in out) == sorted(rows, key=str) or len(out) == 19
+    assert all((r["src"], r["rank"], r["hash"]) == (r["size"], -r["size"], r["size"] ** 2) for r in out)
+
+
 def test_targets_stop_and_share(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}

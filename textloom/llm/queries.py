@@ -39,7 +39,8 @@ counts AS (
   FROM documents d LEFT JOIN ws USING (doc_id) LEFT JOIN ls USING (doc_id) LEFT JOIN rep USING (doc_id)),
 vals AS ({_VALUES}),
 grid(rule, j, cut) AS (VALUES {_GRID}),
-held AS (SELECT vals.lang, rule, v, quality > 0 AS good FROM vals JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+known AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT x.lang, rule, v, q > 0 AS good FROM (SELECT DISTINCT * FROM vals) x JOIN known USING (doc_id)),
 tests AS (
   SELECT lang, rule, j, cut, count(*) FILTER (good) AS n, count(*) FILTER (good AND v > cut) AS lost, count(*) FILTER (NOT good AND v > cut) AS won
   FROM held JOIN grid USING (rule) GROUP BY ALL),

@@ -9,12 +9,16 @@ needs no correction), and the level ``delta`` is divided by strata times rules (
 most bad documents, each good one lost counting ``cost`` bad ones; without enough labels no cutoff is certified and the
 rule keeps everything in that stratum.
 
-Scale: signals are made in one pass over the texts, without a shuffle.  The holdout is reduced to counts per stratum, rule and
-grid cell before anything is shuffled, so a stratum with most rows is as cheap as any.
+Each document of the holdout is one trial: repeated rows and several labels add nothing to the bound.
+
+Scale: signals are made in one pass over the texts, without a shuffle, and written (a few numbers per document) for the holdout
+and the verdicts.  The labelled ones are reduced to one row per document and then, with partial sums, to counts per stratum, rule
+and grid cell, so a stratum with most rows is as cheap as any.  Cutoffs are broadcast for up to ``STRATA`` strata and joined
+otherwise.
 
 Defined cases: a null or empty text has no words, all signals 0, and fails the base rules (fewer than 50 words); a null
-stratum value is a stratum of its own; a document with several or conflicting labels counts once per label row; repeated
-rows give repeated results; an empty label table certifies nothing.  Extra columns are ignored.
+stratum value is a stratum of its own; a document with several or conflicting labels counts once, with the lowest quality; repeated
+rows give repeated results; labelled rows of one id with different texts count once, by the least signals; an empty label table certifies nothing.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import materialise
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
+#: Cutoffs of more strata than this are not broadcast.
+STRATA = 10_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words"]
 
 #: rule -> (signal, cutoffs from the laxest to the strictest)
@@ -69,11 +77,11 @@ def text_counts(text: str | None) -> tuple[int, ...]:
 
 def count_signals(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id", "lang")) -> DataFrame:
     """``keep`` and the ``COUNTS`` of every whole text, in one pass."""
-    slim = docs.select(*keep, F.col(text).alias("__text"))
+    slim = docs.select(*keep, F.col(text).alias("whole_text"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            found = [text_counts(t) for t in b.column("__text").to_pylist()]
+            found = [text_counts(t) for t in b.column("whole_text").to_pylist()]
             cols = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] or [pa.array([], pa.int64())] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *cols], [*keep, *COUNTS])
 
@@ -117,10 +125,12 @@ def certified_cutoffs(
     cost: float = 5.0,
 ) -> DataFrame:
     """One row per stratum: ``stratum`` and ``cut_<rule>`` (null: nothing certified)."""
-    held = signals.join(labels.where(F.col(good).isNotNull()).select(key, F.col(good).alias("__good")), key)
+    known = labels.where(F.col(good).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(good).alias("good"))
+    held = signals.select(F.col(key).alias("key"), F.struct(F.col(stratum).alias("stratum"), *COUNTS).alias("x")).join(known, "key")
+    held = held.groupBy("key").agg(F.min("x").alias("x"), F.min("good").alias("good")).select("x.*", "good")
     cells = [F.struct(F.lit(r).alias("rule"), sum((F.expr(s) > c).cast("int") for c in cuts).alias("cell")) for r, (s, cuts) in rules.items()]
-    cells = held.select(F.col(stratum).alias("stratum"), "__good", F.explode(F.array(*cells)).alias("c"))
-    is_good = F.col("__good") > 0
+    cells = held.select("stratum", "good", F.explode(F.array(*cells)).alias("c"))
+    is_good = F.col("good") > 0
     counts = cells.groupBy("stratum", "c.rule", "c.cell").agg(F.sum(is_good.cast("long")).alias("good"), F.sum((~is_good).cast("long")).alias("bad"))
     strata = counts.select("stratum").distinct().groupBy().agg(F.count("*").alias("n_strata"))
     counts = counts.crossJoin(F.broadcast(strata))  # one row
@@ -148,9 +158,11 @@ def apply_rules(
     **options: float,
 ) -> DataFrame:
     """Per document: key, stratum, the counts, ``base_failed``, ``failed_rules`` and ``kept``."""
-    signals = count_signals(docs, text, [key, stratum])
-    cuts = certified_cutoffs(signals, labels, stratum, key, rules=rules, **options).withColumnRenamed("stratum", "__stratum")
-    out = signals.join(F.broadcast(cuts), F.col(stratum).eqNullSafe(F.col("__stratum")), "left")  # a row per stratum
+    signals = materialise(count_signals(docs, text, [key, stratum]), "risk-signals")
+    cuts = materialise(certified_cutoffs(signals, labels, stratum, key, rules=rules, **options).withColumnRenamed("stratum", "of_stratum"), "risk-cutoffs")
+    if cuts.count() <= STRATA:
+        cuts = F.broadcast(cuts)
+    out = signals.join(cuts, F.col(stratum).eqNullSafe(F.col("of_stratum")), "left")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     failed = [F.when(F.expr(s) > F.col(f"cut_{r}"), F.lit(r)) for r, (s, _) in rules.items()]
     out = out.withColumn("base_failed", base).withColumn("failed_rules", F.array_compact(F.array(*failed)))

@@ -5,11 +5,11 @@ the files of a task count only once its commit is in the manifest, so a retried
 ``spark.read.format("textloom_warc")`` reads one archive per partition: those in manifests, or in a folder without a manifest all
 files ``*.warc`` and ``*.warc.gz``.  Files that no manifest names are rows of kind ``gap``, or read too with the option
 ``unlisted``.  Every record is checked: gzip CRC, version line, block
-length, payload digest.  Where a check fails, the reader searches byte by byte for the next member or version line at which a
+length, block digest, payload digest (SHA-1, SHA-2 or MD5; other algorithms are not checked).  Where a check fails, the reader searches byte by byte for the next member or version line at which a
 whole record is valid, goes on from there, and returns the bytes between as a row of kind ``gap`` with the reason.
 
 Defined cases: a null payload is empty; a null record id is written as ``null`` and read as null; control characters in
-URLs are percent-encoded; a record larger than the size bound gets an archive of its own; no rows give an empty archive set.
+URLs are percent-encoded; an archive is read whole, so its size (``maxFileBytes`` for those written here) is the bound of a task's memory; a record larger than the size bound gets an archive of its own; no rows give an empty archive set.
 """
 
 from __future__ import annotations
@@ -82,46 +82,86 @@ class Damaged(ValueError):
     pass
 
 
+def _headers(lines: list[bytes]) -> dict[str, str]:
+    """Named fields by lower-case name, the first of a name; a line that begins with white space goes on with the one before."""
+    found: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and name:
+            found[name] += " " + text.strip()
+            continue
+        name, colon, value = text.partition(":")
+        name = name.strip().lower()
+        if not colon or not name:
+            raise Damaged("bad header")
+        found.setdefault(name, value.strip())
+    return found
+
+
+def matches(data: bytes, written: str) -> bool | None:
+    """Whether ``data`` has the digest ``algorithm:value`` (base32 or hexadecimal); None where it is not known how to tell."""
+    algorithm, colon, value = written.partition(":")
+    name = algorithm.lower().replace("-", "") if colon else "sha1"
+    if name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return None
+    own, value = hashlib.new(name, data), (value if colon else algorithm).strip()
+    return value.lower() == own.hexdigest() or value.upper().rstrip("=") == base64.b32encode(own.digest()).decode().rstrip("=")
+
+
 def parse(data: bytes, at: int) -> tuple[dict, int]:
-    """The plain record at ``at`` and where it ends; raises ``Damaged``."""
+    """The plain record at ``at`` and where it ends; raises ``Damaged``.
+
+    Field names have any case, and the blank after their colon may be missing.  The payload is the block, without the HTTP head where
+    the block is an HTTP message.  A block digest is checked, and a payload digest unless the block's holds or the payload is left out.
+    """
     if not VERSION.match(data, at):
         raise Damaged("no version line")
     stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         raise Damaged("header does not end")
+    head = _headers(data[at:stop].split(b"\r\n")[1:])
     try:
-        head = dict(x.split(": ", 1) for x in data[at:stop].decode().split("\r\n")[1:])
-        size = int(head["Content-Length"])
-        name, kind = head["WARC-Record-ID"], head["WARC-Type"]
+        size = int(head["content-length"])
+        name, kind = head["warc-record-id"], head["warc-type"].lower()
     except (ValueError, KeyError):
         raise Damaged("bad header") from None
     end = stop + 4 + size
     if size < 0 or data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("block of another length")
     block = data[stop + 4 : end]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    digest = head.get("WARC-Payload-Digest", "").removeprefix("sha1:")
-    length = re.search(rb"(?i)\r\nContent-Length: (\d+)", http)
+    is_http = head.get("content-type", "").lower().startswith("application/http")
+    http, blank, payload = block.partition(b"\r\n\r\n") if is_http else (b"", b"", block)
+    length = re.search(rb"(?i)\r\nContent-Length:[ \t]*(\d+)", http)
     revisit = kind == "revisit"
-    if not revisit and digest and digest_of(payload) != digest:
+    of_block = matches(block, head["warc-block-digest"]) if "warc-block-digest" in head else None
+    if of_block is False:
+        raise Damaged("block of another digest")
+    written = head.get("warc-payload-digest", "")
+    if written and not revisit and not of_block and matches(payload, written) is False:
         raise Damaged("payload of another digest")
     number = lambda x: int(m[1]) if (m := re.search(rf"{URN}(\d+|-\d+)>", x)) else None
     record = {
         "record_type": kind,
         "record_id": number(name),
-        "url": head.get("WARC-Target-URI"),
+        "url": head.get("warc-target-uri"),
         "payload_bytes": int(length[1]) if revisit and length else len(payload),
-        "payload_digest": digest or digest_of(payload),
-        "refers_to": number(head.get("WARC-Refers-To", "")),
+        "payload_digest": (written.removeprefix("sha1:") or None) if revisit else digest_of(payload),
+        "refers_to": number(head.get("warc-refers-to", "")),
         "payload": None if revisit else payload,
     }
     return record, end + 4
 
 
-def record_at(data: bytes, at: int) -> tuple[dict, int]:
-    """The record, compressed or plain, at ``at`` and where it ends; raises ``Damaged``."""
+def record_at(data: bytes, at: int) -> tuple[list[dict], int]:
+    """The records at ``at`` (a plain one, or all of a gzip member) and where they end; raises ``Damaged``.
+
+    The first record of a member has the member's bytes and the others none.  What is damaged inside a whole member is a gap without
+    bytes, and the records after it are recovered.
+    """
     if not data.startswith(MAGIC, at):
-        return parse(data, at)
+        record, end = parse(data, at)
+        return [record | {"kind": "record", "offset": at, "length": end - at}], end
     unpacker, parts, pos = zlib.decompressobj(31), [], at
     try:
         while not unpacker.eof and pos < len(data):
@@ -134,19 +174,19 @@ def record_at(data: bytes, at: int) -> tuple[dict, int]:
     if not unpacker.eof:
         raise Damaged("member does not end")
     whole, after = b"".join(parts), min(pos, len(data)) - len(unpacker.unused_data)
-    record, end = parse(whole, 0)
-    if end != len(whole):
-        raise Damaged("member holds more than its record")
-    return record, after
+    found = list(salvage(whole, plain=True))
+    if not any(r["kind"] == "record" for r in found):
+        raise Damaged(found[0]["reason"])
+    return [r | {"offset": at, "length": 0 if i else after - at} for i, r in enumerate(sorted(found, key=lambda r: r["kind"] == "gap"))], after
 
 
-def salvage(data: bytes) -> Iterator[dict]:
-    """All valid records of an archive and the gaps between them."""
+def salvage(data: bytes, plain: bool = False) -> Iterator[dict]:
+    """All valid records of an archive and the gaps between them; ``plain``: of records that are not compressed."""
     at, bad, reason = 0, None, ""
-    start = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+    start = re.compile((b"" if plain else rb"\x1f\x8b\x08|") + VERSION.pattern)
     while at < len(data):
         try:
-            record, end = record_at(data, at)
+            records, end = record_at(data, at)
         except Damaged as why:
             if bad is None:
                 bad, reason = at, str(why)
@@ -156,7 +196,7 @@ def salvage(data: bytes) -> Iterator[dict]:
         if bad is not None:
             yield {"offset": bad, "length": at - bad, "kind": "gap", "reason": reason}
             bad = None
-        yield {"offset": at, "length": end - at, "kind": "record"} | record
+        yield from records
         at = end
     if bad is not None:
         yield {"offset": bad, "length": len(data) - bad, "kind": "gap", "reason": reason}
