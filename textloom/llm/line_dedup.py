@@ -39,6 +39,8 @@ from textloom.llm.common import drop_table, free_names, materialise, need
 BUCKETS, SIMILARITY = 1 << 18, 80  # per cent
 #: A key of more lines than this is common, and one of up to so many words is lengthened.  The values change the speed and never the result.
 OFTEN, LEVELS = 256, 3
+#: A key of more than this part of a level's rows is hot; there are fewer such keys than this.
+HEAVY = 4096
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 LINE = ["d", "i"]
 PAIR = ["xd", "xi", "yd", "yi"]
@@ -110,12 +112,6 @@ def _side(rows: DataFrame, side: str) -> DataFrame:
     return rows.select("k", *[F.col(c).alias(side + c) for c in ("d", "i", "n", "b", "m", "q")])
 
 
-def _counted(keys: DataFrame, name: str) -> DataFrame:
-    """``keys`` with ``c``, the lines of each key, where there are two or more; counts are pre-aggregated, and AQE divides hot keys of the join."""
-    counts = keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
-    return materialise(keys.join(counts, "k"), name)
-
-
 def _verify(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, table: bytes, percent: int) -> DataFrame:
     """The lines ``(xd, xi)`` of ``pairs(xd, xi, yd, yi)`` that are similar to their y."""
     ends = pairs.select(F.col("xd").alias("d"), F.col("xi").alias("i")).unionByName(pairs.select(F.col("yd").alias("d"), F.col("yi").alias("i"))).distinct()
@@ -136,33 +132,54 @@ def _verify(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, table: by
 def _similar(classes: DataFrame, docs: DataFrame, text: str, doc_id: str, table: bytes, percent: int) -> DataFrame:
     """The lines ``(xd, xi)`` of ``classes(d, i, n, b, v)`` that are similar to an earlier one."""
     columns = ["k", "d", "i", "n", "b", "m", "q"]
-    posts = classes.select("d", "i", "n", "b", F.lit(1).alias("m"), F.posexplode(F.slice("v", F.lit(1), _prefix(percent))).alias("q", "k"))
-    posts = _counted(posts.select(*columns), "line-keys")
-    tables, few, left = [posts], [posts.where(F.col("c") <= OFTEN)], []
-    hot = posts.where(F.col("c") > OFTEN)
-    for m in range(2, LEVELS + 1):
-        if hot.isEmpty():
+    keys = classes.select("d", "i", "n", "b", F.lit(1).alias("m"), F.posexplode(F.slice("v", F.lit(1), _prefix(percent))).alias("q", "k")).select(*columns)
+    tables, few, left = [], [], []
+    for m in range(2, LEVELS + 2):
+        counts = materialise(keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "line-key-counts")
+        rows, common, most = counts.agg(F.sum("c"), F.count_if(F.col("c") > OFTEN), F.max("c")).first()
+        limit = max(OFTEN, (rows or 0) // HEAVY)
+        light, hot = keys, []
+        if most and most > limit:  # such keys go another way before anything is dealt by key
+            heavy = F.broadcast(counts.where(F.col("c") > limit).select("k"))  # fewer than HEAVY rows
+            light, hot = keys.join(heavy, "k", "left_anti"), [keys.join(heavy, "k", "left_semi")]
+        few.append(light.join(counts.where(F.col("c") <= OFTEN).select("k"), "k"))
+        tables.append(counts)
+        if not common:
+            break
+        hot.append(light.join(counts.where((F.col("c") > OFTEN) & (F.col("c") <= limit)).select("k"), "k", "left_semi"))
+        hot = materialise(reduce(DataFrame.unionByName, hot).select(*columns), "line-keys")
+        tables.append(hot)
+        if m > LEVELS:
+            left.append(hot)
             break
         left.append(hot.where(need(F.col("n"), percent) < m))  # two such lines need not share more words than they do
         spots = hot.groupBy(*LINE).agg(F.collect_list(F.struct("k", "q")).alias("spots"))
-        rows = classes.join(spots, LINE).select("d", "i", "n", "b", "v", F.explode("spots").alias("s"))
-        more = F.sequence(F.col("s.q") + 1, F.least(F.size("v"), _prefix(percent) + m - 1) - 1)
-        rows = rows.where(F.col("s.q") + 1 < F.least(F.size("v"), _prefix(percent) + m - 1)).select("*", F.explode(more).alias("at"))
-        longer = rows.select(F.xxhash64("s.k", F.get("v", F.col("at"))).alias("k"), "d", "i", "n", "b", F.lit(m).alias("m"), F.col("at").alias("q"))
-        tables.append(_counted(longer, "line-keys"))
-        few.append(tables[-1].where(F.col("c") <= OFTEN))
-        hot = tables[-1].where(F.col("c") > OFTEN)
-    left.append(hot)
-    families = reduce(DataFrame.unionByName, left).select(*columns)
+        rows = materialise(classes.join(spots, LINE), "line-rows")
+        tables.append(rows)
+        end = F.least(F.size("v"), _prefix(percent) + m - 1)
+        rows = rows.select("d", "i", "n", "b", "v", F.explode("spots").alias("s")).where(F.col("s.q") + 1 < end)
+        rows = rows.select("*", F.explode(F.sequence(F.col("s.q") + 1, end - 1)).alias("at"))
+        keys = rows.select(F.xxhash64("s.k", F.get("v", F.col("at"))).alias("k"), "d", "i", "n", "b", F.lit(m).alias("m"), F.col("at").alias("q"))
+    none = classes.where("false").select(F.lit(0).cast("long").alias("k"), "d", "i", "n", "b", F.lit(1).alias("m"), F.lit(0).alias("q"))
+    families = reduce(DataFrame.unionByName, left, none)
     hubs = families.groupBy("k").agg(F.min(F.struct("d", "i", "n", "b", "m", "q")).alias("y")).select("k", "y.*")
-    near = [_side(x, "x").join(_side(x, "y"), "k") for x in few] + [_side(families, "x").join(_side(hubs, "y"), "k")]
-    pairs = materialise(reduce(DataFrame.unionByName, [x.where(_alike(percent)).select(*PAIR) for x in near]).distinct(), "line-pairs")
-    settled = _verify(pairs, docs, text, doc_id, table, percent)
-    rest = _side(families, "x").join(settled, ["xd", "xi"], "left_anti").join(_side(families, "y"), "k").where(_alike(percent))
-    rest = materialise(rest.select(*PAIR).distinct().join(pairs, PAIR, "left_anti"), "line-pairs")
-    if not rest.isEmpty():
-        settled = settled.unionByName(_verify(rest, docs, text, doc_id, table, percent))
-    for t in (*tables, pairs, rest):
+    near = [_side(x, "x").join(_side(x, "y"), "k") for x in few] + ([_side(families, "x").join(_side(hubs, "y"), "k")] if left else [])
+    apart = F.bit_count(F.col("xb").bitwiseXOR(F.col("yb"))).alias("apart")
+    pairs = materialise(reduce(DataFrame.unionByName, [x.where(_alike(percent)).select(*PAIR, apart) for x in near]).distinct(), "line-pairs")
+    # one match is enough, so the likeliest candidate of each line goes first
+    likely = materialise(pairs.groupBy("xd", "xi").agg(F.min(F.struct("apart", "yd", "yi")).alias("y")).select("xd", "xi", "y.yd", "y.yi"), "line-likely")
+    settled = _verify(likely, docs, text, doc_id, table, percent)
+    others = materialise(pairs.select(*PAIR).join(settled, ["xd", "xi"], "left_anti").join(likely, PAIR, "left_anti"), "line-pairs")
+    if not others.isEmpty():
+        settled = settled.unionByName(_verify(others, docs, text, doc_id, table, percent))
+    tables += [pairs, likely, others]
+    if left:
+        rest = _side(families, "x").join(settled, ["xd", "xi"], "left_anti").join(_side(families, "y"), "k").where(_alike(percent))
+        rest = materialise(rest.select(*PAIR).distinct().join(pairs, PAIR, "left_anti"), "line-pairs")
+        if not rest.isEmpty():
+            settled = settled.unionByName(_verify(rest, docs, text, doc_id, table, percent))
+        tables.append(rest)
+    for t in tables:
         drop_table(t)
     return settled
 
@@ -177,12 +194,14 @@ def later_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     marks = marks.where("n > 0")
     classes = marks.groupBy("s1", "s2").agg(F.min(F.struct("d", "i", "n", "b", "v")).alias("f"), F.count("*").alias("c"))
     classes = materialise(classes.select("s1", "s2", "c", "f.*"), "line-classes")
-    similar = _similar(classes.select("d", "i", "n", "b", "v"), docs, text, doc_id, table, percent)
     several = classes.where("c > 1").select("s1", "s2", F.col("d").alias("fd"), F.col("i").alias("fi"))
     copies = marks.select("d", "i", "s1", "s2").join(several, ["s1", "s2"]).where((F.col("fd") != F.col("d")) | (F.col("fi") != F.col("i")))
-    gone = copies.select("d", "i").unionByName(similar.select(F.col("xd").alias("d"), F.col("xi").alias("i")))
+    copies = materialise(copies.select("d", "i"), "line-copies")
+    drop_table(marks)
+    similar = _similar(classes.select("d", "i", "n", "b", "v"), docs, text, doc_id, table, percent)
+    gone = copies.unionByName(similar.select(F.col("xd").alias("d"), F.col("xi").alias("i")))
     out = materialise(gone.groupBy("d").agg(F.collect_set("i").alias("gone")), "lines-gone")
-    for t in (marks, classes, similar):
+    for t in (copies, classes, similar):
         drop_table(t)
     return out
 
