@@ -164,8 +164,11 @@ def count_features(rows: DataFrame, names: dict[str, str], views: dict[str, Line
     need = [*names.values(), *(["quality"] if views is None else [])]
     sums = rows.select(*need).mapInArrow(batches, "view string, class int, feature int, n long").groupBy("view", "class", "feature").agg(F.sum("n").alias("n"))
     out = {v: np.zeros((2, n + 1)) for v, n in WIDTH.items()}
-    for r in sums.collect():  # at most two classes of all feature numbers
-        out[r["view"]][r["class"], r["feature"]] = r["n"]
+    found = sums.toArrow()  # at most two classes of all feature numbers
+    kind, c, f, n = (found.column(x).to_numpy() for x in ("view", "class", "feature", "n"))
+    for v, table in out.items():
+        own = kind == v
+        table[c[own], f[own]] = n[own]
     return {v: (x[:, :-1], x[:, -1]) for v, x in out.items()}
 
 

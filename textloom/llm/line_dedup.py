@@ -28,7 +28,6 @@ columns pass through, whatever their names; only ``n_lines`` and ``n_removed`` a
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -65,10 +64,12 @@ def _words(text: Column) -> Column:
 def rarity(docs: DataFrame, text: str) -> bytes:
     """For each of ``BUCKETS`` hash buckets of words a class of 0 to 127 by the count of its words in all texts."""
     words = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(F.explode(_words(F.col("line"))).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).count().collect()  # at most BUCKETS rows
+    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
+    rare = F.least(F.lit(127), 1 + F.floor(3 * F.log2("count")))
     table = bytearray(BUCKETS)
-    for r in counts:
-        table[r["b"]] = min(127, 1 + int(3 * math.log2(r["count"])))
+    for batch in counts.select("b", rare.cast("int").alias("r")).toArrow().to_batches():  # at most BUCKETS rows
+        for b, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            table[b] = r
     return bytes(table)
 
 
