@@ -1,5 +1,7 @@
 """Golden values and edge cases of operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from textloom import catalog
 from textloom.functions import text as T
 from textloom.functions import vectors as V
 from textloom.operators import labels, metrics, models, pairs, passages, qa, splits, tags
+from textloom.operators.ranks import running_sums
 from textloom.plans.processors import processor
 
 
@@ -143,3 +146,20 @@ def test_all_passages_are_masked(spark, tmp_path):
     assert {r["word"] for r in got} == set(range(300))
     masked = [sum(r["action"] != "keep" and r["passage"] == p for r in got) for p in range(3)]
     assert masked == [19, 19, 7]
+
+
+def test_running_sums_of_many_values(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.gauss(0, 1), rnd.randint(0, 3)) for _ in range(3000)] + [(float("-inf"), 1), (float("inf"), 2)]
+    df = spark.createDataFrame(rows, "x double, n long").repartition(5)
+    total, want = 0, {}
+    for x, n in sorted(rows):
+        total += n
+        want[x] = total
+    assert {r["x"]: r["run"] for r in running_sums(df, "x", {"run": "n"}).collect()} == want
+    assert running_sums(df.limit(0), "x", {"run": "n"}).collect() == []
+
+
+def test_ranks_of_ties(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.0,)], "v double")
+    assert {r["__v"]: r["r"] for r in metrics.average_ranks(df, "v", "r").collect()} == {1.0: 1.0, 2.0: 2.5, 5.0: 4.0}

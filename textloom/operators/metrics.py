@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.operators.ranks import running_sums
+
 Metric = Callable[[DataFrame], DataFrame]
 _METRICS: dict[str, Metric] = {}
 
@@ -76,14 +78,13 @@ def matthews(df: DataFrame) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """``value``, its number of rows and average rank, one row per distinct value; blocks of values keep tasks apart."""
+    """Each distinct value (``__v``) and its average rank; running sums in blocks of values keep tasks apart."""
     counts = df.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    before = Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("__v", (F.coalesce(F.sum("__c").over(before), F.lit(0)) + (F.col("__c") + 1) / 2).alias(name))
+    return running_sums(counts, "__v", {"__r": "__c"}).select("__v", (F.col("__r") - F.col("__c") + (F.col("__c") + 1) / 2).alias(name))
 
 
 def pearson_spearman(df: DataFrame) -> DataFrame:
-    """Both correlations and their mean.  Ranks are made from distinct values, of which there should be few enough for one task."""
+    """Both correlations and their mean.  Ranks are made from distinct values, in blocks."""
     p = average_ranks(df, "pred", "rp").withColumnRenamed("__v", "pred")
     y = average_ranks(df, "label", "ry").withColumnRenamed("__v", "label")
     r = df.select("pred", "label").join(p, "pred").join(y, "label")
@@ -136,17 +137,18 @@ def token_overlap(df: DataFrame) -> DataFrame:
 
 
 def precision_recall(df: DataFrame, score: str, hit: str, positives: Column | None = None) -> DataFrame:
-    """Points of the curve at each distinct score, from the smallest, with the running hits; from per-score counts."""
+    """Points of the curve at each distinct score, from the smallest, with the running hits and the step of recall; from per-score counts."""
     points = df.groupBy(score).agg(F.sum(hit).alias("h"), F.count("*").alias("c"))
-    order = Window.orderBy(score)
-    run = points.withColumn("tp", F.sum("h").over(order)).withColumn("rank", F.sum("c").over(order))
-    total = F.sum("h").over(Window.partitionBy()) if positives is None else positives
-    return run.select(score, "tp", "rank", (F.col("tp") / F.col("rank")).alias("precision"), (F.col("tp") / total).alias("recall"))
+    run = running_sums(points, score, {"tp": "h", "rank": "c"})
+    if positives is None:
+        run = run.crossJoin(F.broadcast(df.agg(F.sum(hit).alias("__t"))))  # one row
+        positives = F.col("__t")
+    step = (F.col("h") / positives).alias("step")
+    return run.select(score, "tp", "rank", (F.col("tp") / F.col("rank")).alias("precision"), (F.col("tp") / positives).alias("recall"), step)
 
 
-def average_precision(curve: DataFrame, score: str) -> DataFrame:
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(Window.orderBy(score)), F.lit(0.0))
-    return curve.withColumn("__s", step).agg(F.round(F.sum(F.col("__s") * F.col("precision")), 6).alias("avg_precision"))
+def average_precision(curve: DataFrame) -> DataFrame:
+    return curve.agg(F.round(F.sum(F.col("step") * F.col("precision")), 6).alias("avg_precision"))
 
 
 def best_threshold(df: DataFrame, no_answer: str, score: str, has_answer: str) -> DataFrame:
@@ -154,7 +156,7 @@ def best_threshold(df: DataFrame, no_answer: str, score: str, has_answer: str) -
     gain = F.when(F.col(has_answer) == 1, F.col(score)).otherwise(F.lit(-1.0))
     points = df.groupBy(F.col(no_answer).alias("t")).agg(F.sum(gain).alias("g"))
     start = df.agg(F.sum((F.col(has_answer) == 0).cast("double")).alias("start"), F.count("*").alias("n"))
-    run = points.withColumn("run", F.sum("g").over(Window.orderBy("t"))).crossJoin(F.broadcast(start))  # one row
+    run = running_sums(points, "t", {"run": "g"}).crossJoin(F.broadcast(start))  # one row
     best = run.agg(F.max(F.struct("run", (-F.col("t")).alias("nt"))).alias("m"), F.max("start").alias("start"), F.max("n").alias("n"))
     better = F.col("m.run") > 0
     return best.select(

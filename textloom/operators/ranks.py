@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,3 +46,22 @@ def running_total(df: DataFrame, order: str, value: str, width: int = 1000, name
     within = Window.partitionBy("__b").orderBy(order)
     out = work.join(blocks, "__b").withColumn(name, F.sum(value).over(within) + F.col("__before"))
     return out.select(*df.columns, name, "total")
+
+
+def running_sums(df: DataFrame, order: str, sums: Mapping[str, str], blocks: int = 64) -> DataFrame:
+    """Add, for each ``name: column``, the sum of the column over the rows up to each row by ``order``, a number that differs in every row.
+
+    Rows are dealt to ``blocks`` ranges between approximate quantiles of ``order`` (which come to the driver) and summed within
+    them; a window over the few sums of blocks gives where each begins.
+    """
+    at = [i / blocks for i in range(1, blocks)]
+    cuts = sorted(set(df.select(F.percentile_approx(F.col(order).cast("double"), at, 10 * blocks)).first()[0] or []))
+    block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    work = df.withColumn("__b", block)
+    own = {name: f"__s{i}" for i, name in enumerate(sums)}
+    starts = work.groupBy("__b").agg(*[F.sum(sums[name]).alias(s) for name, s in own.items()])
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    starts = starts.select("__b", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(s) for s in own.values()])
+    within = Window.partitionBy("__b").orderBy(order)
+    out = work.join(F.broadcast(starts), "__b")  # a row per block
+    return out.select(*df.columns, *[(F.sum(sums[name]).over(within) + F.col(s)).alias(name) for name, s in own.items()])

@@ -213,7 +213,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     SELECT round(sum((rc - prev) * pr), 6) AS avg_precision FROM v"""
 )
 def pr_curve_avg_precision(spark: SparkSession, d: str) -> DataFrame:
-    return M.average_precision(M.precision_recall(_scored(spark, d), "na", "has_answer"), "na")
+    return M.average_precision(M.precision_recall(_scored(spark, d), "na", "has_answer"))
 
 
 @query(

@@ -174,12 +174,12 @@ def regression_scale_fit_apply(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+')[1:40] AS w FROM documents),
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents),
     s AS (SELECT doc_id, i, j, w[i] AS word FROM w, range(1, len(w) + 1) a(i), range(0, 1 + (length(w[i]) > 6)::INT) b(j))
     SELECT doc_id, array_to_string(list(CASE WHEN j = 0 THEN CASE WHEN regexp_matches(word, '^[A-ZÀ-Þ]') THEN 'B' ELSE 'O' END ELSE 'X' END ORDER BY i, j), ' ') AS labels FROM s GROUP BY doc_id"""
 )
 def expand_labels_subtokens(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id", F.slice(T.space_tokens(F.col("text")), 1, 40).alias("w"))
+    docs = read(spark, d, "documents").select("doc_id", T.space_tokens(F.col("text")).alias("w"))
     labels = F.transform("w", lambda x: F.when(x.rlike("^[A-ZÀ-Þ]"), "B").otherwise("O"))
     initial = F.flatten(F.transform("w", lambda x: F.when(F.length(x) > 6, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(1)))))
     docs = docs.where(F.size("w") > 0).select("doc_id", labels.alias("l"), initial.alias("m"))

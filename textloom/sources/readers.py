@@ -91,9 +91,9 @@ def normalize_qa(df: DataFrame) -> DataFrame:
 
 
 # fixed values: other names of the keys of retrieval records
-QUERY_KEYS = ("query", "question", "query_text")
-POSITIVE_KEYS = ("positive_ctxs", "positive_contexts", "positives")
-NEGATIVE_KEYS = ("hard_negative_ctxs", "hard_negative_contexts", "hard_negatives")
+QUERY_KEYS = ("query", "question", "questions", "query_text")
+POSITIVE_KEYS = ("positive_ctxs", "positive_contexts", "positive_context", "positive_ctx", "positives")
+NEGATIVE_KEYS = ("hard_negative_ctxs", "hard_negative_contexts", "hard_negative_context", "hard_negative_ctx", "hard_negatives")
 PASSAGE = "array<struct<title: string, text: string, passage_id: string>>"
 
 
