@@ -195,7 +195,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chu
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.crc32(key) % 10 == 0).alias("held_out"))
     size = slim.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
-    slim = slim.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)))
+    slim = slim.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
 
     def count(table: pa.Table) -> pa.Table:
         words: Counter[bytes] = Counter()
