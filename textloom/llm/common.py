@@ -98,6 +98,11 @@ def drop_table(df: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that grows with the corpus: the join is a shuffled one at every size, never a broadcast."""
+    return df.hint("merge")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component is the smallest node reachable.
 
@@ -112,10 +117,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(grown(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = large.join(grown(least), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = materialise(small.where("u <> v").distinct(), "edges")
         drop_table(edges)
         edges = after

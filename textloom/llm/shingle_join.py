@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.common import connected_components, drop_table, materialise, need, room
+from textloom.llm.common import connected_components, drop_table, grown, materialise, need, room
 
 SHINGLE, SIMILARITY = 5, 80  # per cent
 #: An element in more prefixes than this is frequent.  The value changes the speed and never the result.
@@ -177,9 +177,9 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(xd, yd)`` that are links."""
     ends = pairs.select(F.col("xd").alias("d")).unionByName(pairs.select(F.col("yd").alias("d"))).distinct()
-    sets = materialise(_sets(docs.join(ends, "d", "left_semi")), "shingle-sets")
-    both = pairs.join(sets.select(F.col("d").alias("yd"), F.col("s").alias("ys")), "yd")
-    both = both.join(sets.select(F.col("d").alias("xd"), F.col("s").alias("xs")), "xd").select("xd", "yd", "xs", "ys")
+    sets = materialise(_sets(docs.join(grown(ends), "d", "left_semi")), "shingle-sets")
+    both = grown(pairs).join(sets.select(F.col("d").alias("yd"), F.col("s").alias("ys")), "yd")
+    both = grown(both).join(sets.select(F.col("d").alias("xd"), F.col("s").alias("xs")), "xd").select("xd", "yd", "xs", "ys")
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -205,26 +205,26 @@ def _posts(docs: DataFrame, stands: DataFrame, percent: int) -> DataFrame:
     two marked ones in k 1, where a shared passage is at the end of the order and only near copies still share their prefixes.
     """
     counts = stands.select(F.explode("v").alias("w")).groupBy("w").agg(F.count("*").alias("c")).where("c > 1")
-    shared = materialise(stands.select("d", "n", F.posexplode("v").alias("p", "w")).join(counts.select("w"), "w"), "shingle-shared")
+    shared = materialise(stands.select("d", "n", F.posexplode("v").alias("p", "w")).join(grown(counts.select("w")), "w"), "shingle-shared")
     enough = 1 + F.floor(need(F.col("n"), percent) / 20)  # of the smallest set that can be similar
     own = F.count("*").over(Window.partitionBy("d"))  # at most the prefix of one document
     inner = shared.withColumn("m", own).where((F.col("m") >= enough) & (F.col("p") < F.col("n") - need(F.col("n"), percent) + 1)).drop("m")
     inner = materialise(inner, "shingle-prefixes")
     counts = inner.groupBy("w").agg(F.count("*").alias("c")).where("c > 1")
-    plain = inner.join(counts, "w")
+    plain = inner.join(grown(counts), "w")
     plain = materialise(plain.select("w", "d", "n", "p", (F.col("c") > COMMON).alias("often")), "shingle-posts")
     drop_table(shared)
     drop_table(inner)
     marked = materialise(plain.where("often").select("d").distinct(), "shingle-marked")
-    sets = materialise(_sets(docs.join(marked, "d", "left_semi")), "shingle-sets")
+    sets = materialise(_sets(docs.join(grown(marked), "d", "left_semi")), "shingle-sets")
     often = materialise(_elements(sets).groupBy("w").agg(F.count("*").alias("c")).where(f"c > {COMMON}"), "shingle-common")
-    own = _elements(sets).join(often, "w").groupBy("d").agg(F.collect_list(F.struct("w", "c")).alias("x"))
-    full = sets.join(own, "d", "left").select("d", "s", F.col("x.w").alias("ws"), F.col("x.c").alias("ns"))
+    own = _elements(sets).join(grown(often), "w").groupBy("d").agg(F.collect_list(F.struct("w", "c")).alias("x"))
+    full = sets.join(grown(own), "d", "left").select("d", "s", F.col("x.w").alias("ws"), F.col("x.c").alias("ns"))
     rare = materialise(_by_rarity(full, percent), "shingle-rare")
     flat = rare.select("d", "n", F.posexplode("v").alias("p", "w"))
     again = rare.select(F.explode("v").alias("w")).groupBy("w").count().where("count > 1").select("w")
-    second = flat.join(again, "w").select(F.lit(1).alias("k"), "w", "d", "n", "p", F.lit(True).alias("a"))
-    first = plain.where("NOT often").join(marked.withColumn("a", F.lit(True)), "d", "left")
+    second = flat.join(grown(again), "w").select(F.lit(1).alias("k"), "w", "d", "n", "p", F.lit(True).alias("a"))
+    first = plain.where("NOT often").join(grown(marked.withColumn("a", F.lit(True))), "d", "left")
     first = first.select(F.lit(0).alias("k"), "w", "d", "n", "p", F.coalesce("a", F.lit(False)).alias("a"))
     out = materialise(first.unionByName(second), "shingle-posts")
     for t in (plain, marked, sets, often, rare):
@@ -239,30 +239,30 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     full = profiles.where("d IS NOT NULL AND n > 0")
     chosen = materialise(full.groupBy("d").agg(F.min(F.struct("c1", "c2")).alias("c")).select("d", "c.*"), "shingle-chosen")
     classes = materialise(chosen.groupBy("c1", "c2").agg(F.min("d").alias("rep")), "shingle-classes")
-    stands = full.join(classes.select(F.col("rep").alias("d"), "c1", "c2"), ["d", "c1", "c2"], "left_semi").dropDuplicates(["d", "c1", "c2"])
+    stands = full.join(grown(classes.select(F.col("rep").alias("d"), "c1", "c2")), ["d", "c1", "c2"], "left_semi").dropDuplicates(["d", "c1", "c2"])
     posts = _posts(docs, stands, percent)
     x, y = (posts.select("k", "w", *[F.col(c).alias(side + c) for c in ("d", "n", "p", "a")]) for side in "xy")
     apart = ~((F.col("k") == 0) & F.col("xa") & F.col("ya"))  # those meet under the order of rarity
     hubs = y.groupBy("k", "w").agg(F.min(F.struct("yd", "yn", "yp", "ya")).alias("y")).select("k", "w", "y.*")
-    pairs = x.join(hubs, ["k", "w"]).where((F.col("yd") < F.col("xd")) & apart & room(percent)).select("xd", "yd").distinct()
+    pairs = x.join(grown(hubs), ["k", "w"]).where((F.col("yd") < F.col("xd")) & apart & room(percent)).select("xd", "yd").distinct()
     pairs = materialise(pairs, "shingle-pairs")
     links = _verify(pairs, docs, percent)
     part = materialise(connected_components(links.select(F.col("xd").alias("a"), F.col("yd").alias("b"))), "shingle-components")
     # what may still join two components
-    known = posts.join(part.withColumnRenamed("node", "d"), "d", "left").withColumn("component", F.coalesce("component", "d"))
+    known = posts.join(grown(part.withColumnRenamed("node", "d")), "d", "left").withColumn("component", F.coalesce("component", "d"))
     mixed = known.groupBy("k", "w").agg(F.min("component").alias("a1"), F.max("component").alias("a2")).where("a1 <> a2").select("k", "w")
-    known = materialise(known.join(mixed, ["k", "w"], "left_semi"), "shingle-posts")
+    known = materialise(known.join(grown(mixed), ["k", "w"], "left_semi"), "shingle-posts")
     x, y = (known.select("k", "w", *[F.col(c).alias(side + c) for c in ("d", "n", "p", "a", "component")]) for side in "xy")
     other = F.col("xcomponent") != F.col("ycomponent")
-    rest = x.join(y, ["k", "w"]).where((F.col("yd") < F.col("xd")) & other & apart & room(percent)).select("xd", "yd").distinct()
-    rest = materialise(rest.join(pairs, ["xd", "yd"], "left_anti"), "shingle-pairs")
+    rest = x.join(grown(y), ["k", "w"]).where((F.col("yd") < F.col("xd")) & other & apart & room(percent)).select("xd", "yd").distinct()
+    rest = materialise(rest.join(grown(pairs), ["xd", "yd"], "left_anti"), "shingle-pairs")
     if not rest.isEmpty():
         more = _verify(rest, docs, percent)
         every = links.unionByName(more).select(F.col("xd").alias("a"), F.col("yd").alias("b"))
         part = materialise(connected_components(every), "shingle-components")
     for t in (posts, known, pairs, rest):
         drop_table(t)
-    named = classes.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-    out = profiles.select("d", "n").join(chosen.join(named, ["c1", "c2"]).select("d", "component"), "d", "left")
+    named = classes.join(grown(part.select(F.col("node").alias("rep"), "component")), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
+    out = profiles.select("d", "n").join(grown(chosen.join(grown(named), ["c1", "c2"]).select("d", "component")), "d", "left")
     component = F.coalesce("component", "d")
     return out.select(F.col("d").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"))
