@@ -33,7 +33,15 @@ def cosine(a: Column, b: Column) -> Column:
 def softmax(v: Column) -> Column:
     top = F.array_max(v)
     e = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    held = F.array(F.struct(e.alias("e"), total(e).alias("sum")))  # a lambda's argument, so that the sum is taken once
+    return F.get(F.transform(held, lambda h: F.transform(h["e"], lambda x: x / h["sum"])), 0)
+
+
+def temperature_scale(v: Column, temperature: float) -> Column:
+    """Logits divided by a positive temperature; the order of classes stays."""
+    if temperature <= 0:
+        raise ValueError("the temperature has to be positive")
+    return F.transform(v, lambda x: x / float(temperature))
 
 
 def sigmoid(x: Column) -> Column:

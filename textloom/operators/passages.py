@@ -2,10 +2,40 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 from pyspark.sql.window import Window
 
+TOKEN = re.compile(r"\S+", re.ASCII)
+
+
+def with_offsets(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``tokens`` and ``starts``: the white-space tokens of each text and their first characters.
+
+    One Arrow pass in time linear in the text, with no shuffle; a null text has none.
+    """
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found = [[(m.group(), m.start()) for m in TOKEN.finditer(t or "")] for t in b.column(text).to_pylist()]
+            tokens = pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string()))
+            starts = pa.array([[i for _, i in f] for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, tokens, starts], [*b.schema.names, "tokens", "starts"])
+
+    schema = StructType(list(df.schema.fields)).add("tokens", ArrayType(StringType())).add("starts", ArrayType(LongType()))
+    return df.mapInArrow(batches, schema)
+
+
+def token_at(starts: Column, ch: Column) -> Column:
+    """The last token that starts at or before a character; null before the first one."""
+    n = F.size(F.filter(starts, lambda s: s <= ch))
+    return F.when(n > 0, n - 1)
+
 
 def passage_windows(docs: DataFrame, n_tokens: Column, size: int, stride: int) -> DataFrame:
     """``docs`` with ``passage``, ``start_t`` and ``end_t`` (exclusive): windows of ``size`` tokens every ``stride``.
@@ -19,11 +49,19 @@ def passage_windows(docs: DataFrame, n_tokens: Column, size: int, stride: int) -
     return out.withColumn("start_t", F.col("passage") * stride).withColumn("end_t", F.least(F.col("passage") * stride + size, F.col("__n"))).drop("__n")
 
 
-def passage_spans(windows: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Character spans of passages from ``offsets(doc_id, pos, token, start)``."""
-    first = offsets.select("doc_id", F.col("pos").alias("start_t"), F.col("start").alias("start_ch"))
-    last = offsets.select("doc_id", (F.col("pos") + 1).alias("end_t"), (F.col("start") + F.length("token")).alias("end_ch"))
-    return windows.join(first, ["doc_id", "start_t"]).join(last, ["doc_id", "end_t"])
+def passage_spans(docs: DataFrame, size: int, stride: int, key: str = "doc_id") -> DataFrame:
+    """Token and character spans of the passages of ``docs(key, tokens, starts)``, looked up within the row; none of an empty text."""
+    if not 0 < stride <= size:
+        raise ValueError("the stride has to be positive and at most the passage size")
+    n = F.size("tokens")
+
+    def window(k: Column) -> Column:
+        start, end = k * stride, F.least(k * stride + size, n)
+        last = F.get("starts", end - 1) + F.length(F.get("tokens", end - 1))
+        return F.struct(k.alias("passage"), start.alias("start_t"), end.alias("end_t"), F.get("starts", start).alias("start_ch"), last.alias("end_ch"))
+
+    count = F.greatest(F.lit(0), F.ceil((n - size) / stride)).cast("int")
+    return docs.where(n > 0).select(key, F.inline(F.transform(F.sequence(F.lit(0), count), window)))
 
 
 def as_of_tokens(points: DataFrame, offsets: DataFrame) -> DataFrame:

@@ -129,12 +129,13 @@ def passage_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH w AS ({WINDOWS}), o AS ({OFFSETS})
-    SELECT w.doc_id, passage, a.start AS start_ch, b.start + length(b.token) AS end_ch FROM w JOIN o a ON a.doc_id = w.doc_id AND a.pos = start_t JOIN o b ON b.doc_id = w.doc_id AND b.pos = end_t - 1"""
+    r"""SELECT doc_id, k::INT AS passage, (list_sum(l[1:k * 32 + 1]) - length(regexp_extract(p[k * 32 + 1], '\S+')))::BIGINT AS start_ch, list_sum(l[1:k * 32 + 64])::BIGINT AS end_ch
+    FROM (SELECT doc_id, p, list_transform(p, lambda x: length(x)) AS l FROM (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS p FROM documents)),
+         range(0, greatest(0, ceil((len(p) - 64) / 32.0))::BIGINT + 1) r(k) WHERE len(p) > 0"""
 )
 def passage_char_spans(spark: SparkSession, d: str) -> DataFrame:
-    offsets = token_offsets(read(spark, d, "documents"))
-    return PS.passage_spans(_windows(spark, d).drop("t"), offsets).select("doc_id", "passage", "start_ch", "end_ch")
+    docs = PS.with_offsets(read(spark, d, "documents").select("doc_id", "text"))
+    return PS.passage_spans(docs, 64, 32).select("doc_id", "passage", "start_ch", "end_ch")
 
 
 @query(f"""WITH o AS ({OFFSETS}) SELECT d.doc_id, (n_chars // 2) AS ch, (SELECT max(pos) FROM o WHERE o.doc_id = d.doc_id AND o.start <= n_chars // 2) AS token_pos FROM documents d""")
@@ -174,11 +175,9 @@ def verbatim_answers(spark: SparkSession, d: str) -> DataFrame:
 )
 def answer_in_passage_range_join(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
-    found = find_passages(docs, read(spark, d, "benchmark")).drop("text")
-    offsets = token_offsets(docs)
-    starts = PS.as_of_tokens(found.select("doc_id", F.col("start_ch").alias("ch")).distinct(), offsets).select("doc_id", F.col("ch").alias("start_ch"), F.col("token_pos").alias("a_start"))
-    ends = PS.as_of_tokens(found.select("doc_id", (F.col("end_ch") - 1).alias("ch")).distinct(), offsets).select("doc_id", (F.col("ch") + 1).alias("end_ch"), (F.col("token_pos") + 1).alias("a_end"))
-    answers = found.join(starts, ["doc_id", "start_ch"]).join(ends, ["doc_id", "end_ch"])
+    found = PS.with_offsets(find_passages(docs, read(spark, d, "benchmark")))
+    a_end = PS.token_at(F.col("starts"), F.col("end_ch") - 1) + 1
+    answers = found.select("doc_id", "item_id", PS.token_at(F.col("starts"), F.col("start_ch")).alias("a_start"), a_end.alias("a_end"))
     return PS.answers_in_passages(answers, _windows(spark, d).drop("t")).select("doc_id", "item_id", "passage", "start_in", "end_in")
 
 

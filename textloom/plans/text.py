@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from textloom.functions import text as T
 from textloom.operators import labels as L
 from textloom.operators import vocab as V
+from textloom.operators.passages import with_offsets
 from textloom.plans.common import read
 
 QUERIES: dict = {}
@@ -55,10 +56,8 @@ def normalize_answer_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 def token_offsets(docs: DataFrame) -> DataFrame:
     """``(doc_id, pos, token, start)`` of ``docs(doc_id, text)``: tokens with their character offsets."""
-    parts = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\s*\S+"), F.lit(0))).alias("pos", "part"))
-    token = F.regexp_extract("part", r"\S+", 0)
-    ends = F.sum(F.length("part")).over(Window.partitionBy("doc_id").orderBy("pos"))
-    return parts.select("doc_id", "pos", token.alias("token"), (ends - F.length(token)).alias("start"))
+    found = with_offsets(docs.select("doc_id", "text"))
+    return found.select("doc_id", F.posexplode(F.arrays_zip("tokens", "starts")).alias("pos", "x")).select("doc_id", "pos", F.col("x.tokens").alias("token"), F.col("x.starts").alias("start"))
 
 
 OFFSETS = rf"""
