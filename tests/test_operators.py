@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +164,50 @@ def test_running_sums_of_many_values(spark):
 def test_ranks_of_ties(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.0,)], "v double")
     assert {r["__v"]: r["r"] for r in metrics.average_ranks(df, "v", "r").collect()} == {1.0: 1.0, 2.0: 2.5, 5.0: 4.0}
+
+
+def test_softmax_and_temperature(spark):
+    v = F.array(F.lit(1.0), F.lit(3.0))
+    assert one(spark, V.temperature_scale(v, 2)) == [0.5, 1.5]
+    assert one(spark, V.softmax(F.lit(None).cast("array<double>"))) is None
+    with pytest.raises(ValueError):
+        V.temperature_scale(v, 0)
+
+
+def test_offsets_within_the_row(spark):
+    df = spark.createDataFrame([(1, " a\u00a0b  c\n", 7), (2, None, 8), (3, "", 9)], "doc_id int, text string, tokens_before int")
+    got = {r.doc_id: (r.tokens, r.starts, r.tokens_before) for r in passages.with_offsets(df).collect()}
+    assert got == {1: (["a\u00a0b", "c"], [1, 6], 7), 2: ([], [], 8), 3: ([], [], 9)}
+    spans = passages.passage_spans(passages.with_offsets(df), 1, 1).collect()
+    assert sorted(tuple(r) for r in spans) == [(1, 0, 0, 1, 1, 4), (1, 1, 1, 2, 6, 7)]
+    starts = F.array(F.lit(1), F.lit(6))
+    assert [one(spark, passages.token_at(starts, F.lit(x))) for x in (0, 1, 5, 6)] == [None, 0, 0, 1]
+
+
+def test_chunks_disjointness_limit(spark):
+    df = spark.createDataFrame([(i, i // 4) for i in range(10)], "id int, chunk int")
+    got = splits.chunk_split(df, "chunk", 0.3)
+    assert {(r.chunk, r.split) for r in got.collect()} == {(0, "train"), (1, "dev"), (2, "dev")}
+    with pytest.raises(ValueError):
+        splits.chunk_split(df, "chunk", 0.0)
+    splits.assert_disjoint(df.where("id < 5"), df.where("id >= 5"), ["id"])
+    with pytest.raises(ValueError):
+        splits.assert_disjoint(df, df.where("id = 3"), ["id", "chunk"])
+    assert [r.id for r in splits.first_rows(df, "id", 2).collect()] == [0, 1]
+
+
+def test_dominant_direction(spark):
+    m = np.random.default_rng(5).normal(size=(40, 6)) + 2
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id int, v array<double>")
+    axis = np.linalg.svd(m)[2][0]
+    got = {r.id: r.v for r in models.without_dominant_direction(df, "id", "v").collect()}
+    assert np.allclose([got[i] for i in range(40)], m - np.outer(m @ axis, axis))
+    assert models.without_dominant_direction(df.limit(0), "id", "v").collect() == []
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([(1, 1), (0, 1)], "pred int, label int")
+    metrics.register_report("errors", lambda x: x.where("pred <> label"))
+    assert metrics.compute_report("errors", df).count() == 1 and metrics.compute_report("classification", df).count() == 2
+    with pytest.raises(KeyError):
+        metrics.compute_report("unknown", df)

@@ -47,3 +47,19 @@ def scaled(value: Column) -> Column:
 
 def unscaled(value: Column) -> Column:
     return value * F.col("scale") + F.col("mean")
+
+
+def pair_length_stats(df: DataFrame, query_length: str, passage_lengths: str, limit: int) -> DataFrame:
+    """Lengths of queries and of their passages (an array column); a passage's average is over all passages of all rows."""
+    q = F.least(F.col(query_length), F.lit(limit))
+    cut = F.transform(passage_lengths, lambda n: F.least(n, F.lit(limit)))
+    total = F.aggregate(cut, F.lit(0).cast("long"), lambda a, n: a + n)
+    passages = F.sum(F.size(passage_lengths))
+    return df.agg(
+        F.count("*").alias("n"),
+        F.round(F.avg(q), 6).alias("avg_query"),
+        F.max(q).alias("max_query"),
+        passages.alias("n_passages"),
+        F.round(F.when(passages > 0, F.sum(total) / passages), 6).alias("avg_passage"),
+        F.max(F.array_max(cut)).alias("max_passage"),
+    )

@@ -15,12 +15,23 @@ from textloom.operators.ranks import running_sums
 
 Metric = Callable[[DataFrame], DataFrame]
 _METRICS: dict[str, Metric] = {}
+_REPORTS: dict[str, Metric] = {}
 
 
 def register_metric(name: str, metric: Metric) -> None:
     _METRICS[name] = metric
 
 
+def register_report(name: str, report: Metric) -> None:
+    """A user's report: a table, not one row, from ``pred`` and ``label``."""
+    _REPORTS[name] = report
+
+
+def compute_report(name: str, df: DataFrame) -> DataFrame:
+    """The registered report, or the one per class of that name; unknown names raise ``KeyError``."""
+    return ({"classification": class_report} | _REPORTS)[name](df)
+
+
 def compute_metrics(name: str | Sequence[str], df: DataFrame) -> DataFrame:
     """The metrics of one name or several, side by side in one row; unknown names raise ``KeyError``."""
     if isinstance(name, str):

@@ -95,6 +95,34 @@ def without_mean_and_components(df: DataFrame, key: str, vector: str, components
     return centred.select(key, out.alias(vector))
 
 
+def without_dominant_direction(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Vectors less their projections on the first right singular vector of the whole table, not centred.
+
+    Each task sums its products of dimensions; their totals, one number a pair of dimensions, come to the driver.  An empty
+    table stays empty; null vectors stay null and vectors are of one length.
+    """
+
+    def products(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in it:
+            if len(b):
+                m = np.stack(b["__v"].to_numpy()).astype(float)
+                total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "x": total.ravel()})
+
+    work = df.select(F.col(vector).alias("__v")).where(F.col("__v").isNotNull())
+    rows = work.mapInPandas(products, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
+    if rows.empty:
+        return df.select(key, vector)
+    size = int(rows["i"].max()) + 1
+    gram = np.zeros((size, size))
+    gram[rows["i"], rows["j"]] = rows["x"]
+    axis = F.array(*map(F.lit, map(float, np.linalg.eigh(gram)[1][:, -1])))
+    return df.select(key, _less(F.col(vector), axis, V.dot(F.col(vector), axis)).alias(vector))
+
+
 def cluster_vectors(vectors: DataFrame, k: int, weight: str | None = None, seed: int = 42) -> DataFrame:
     """Adds ``cluster`` by k-means."""
     means = KMeans(k=k, seed=seed, featuresCol="__f", predictionCol="cluster")

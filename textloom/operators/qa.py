@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions.vectors import cosine
+
 
 def span_candidates(logits: DataFrame, most: int, longest: int) -> DataFrame:
     """The ``most`` best spans of each sample from ``logits(sample, pos, start, end)``; position 0 is no answer.
@@ -73,3 +75,13 @@ def with_answer_type(spans: DataFrame, types: DataFrame) -> DataFrame:
     out = spans.join(types.select("doc", "passage", "answer_type"), ["doc", "passage"], "left")
     kind = F.coalesce("answer_type", F.lit("no_answer"))
     return out.withColumn("answer_type", kind).withColumn("answer", F.when(kind.isin("yes", "no"), kind).otherwise(F.col("answer")))
+
+
+def answer_similarity(predictions: DataFrame, gold: DataFrame) -> DataFrame:
+    """Cosine of embedded answers: the best of the first prediction and of all of them with the question's gold answers.
+
+    ``predictions(question, rank, v)``, ``gold(question, v)``; null for a question without a gold answer (embed a no-answer text as
+    its gold answer to score it).
+    """
+    both = predictions.join(gold.select("question", F.col("v").alias("g")), "question", "left").withColumn("s", cosine(F.col("v"), F.col("g")))
+    return both.groupBy("question").agg(F.max(F.when(F.col("rank") == 1, F.col("s"))).alias("top_1"), F.max("s").alias("top_n"))

@@ -92,3 +92,29 @@ def cap_negatives(df: DataFrame, key: str, group: Sequence[str], positive: str,
 def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows without replacement, the same each time."""
     return df.orderBy(hash_key(F.col(key), seed), key).limit(n)
+
+
+def chunk_split(df: DataFrame, chunk: str, share: float) -> DataFrame:
+    """Add ``split``: whole chunks (an integer column) in order, train while the rows so far are at most n - floor(share * n), then dev.
+
+    The share is met as near as chunks allow; a side without rows raises ``ValueError``.
+    """
+    counts = df.groupBy(chunk).agg(F.count("*").alias("__n"))
+    run = running_total(counts, chunk, "__n")
+    parts = run.select(F.col(chunk).alias("__chunk"), F.when(F.col("running") <= F.col("total") - F.floor(F.col("total") * share), "train").otherwise("dev").alias("split"))
+    sides = {r[0] for r in parts.select("split").distinct().collect()}
+    if sides != {"train", "dev"}:
+        raise ValueError("a side of the split has no chunk")
+    return df.join(parts, F.col(chunk) == F.col("__chunk")).drop("__chunk")
+
+
+def assert_disjoint(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> None:
+    """Raise ``ValueError`` if a key stands in both."""
+    shared = a.select(*keys).join(b.select(*keys), list(keys), "left_semi").limit(1).collect()
+    if shared:
+        raise ValueError(f"in both parts: {shared[0].asDict()}")
+
+
+def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest keys: a document limit that is the same on every run."""
+    return df.orderBy(key).limit(n)

@@ -319,6 +319,29 @@ def embedding_mean_max_pool(spark: SparkSession, d: str) -> DataFrame:
     return flat.groupBy("label", "dim").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.max("x"), 6).alias("top"))
 
 
+@query(
+    f"""WITH {VEC}, e AS (SELECT vec_id, v, list_transform(v[1:4], lambda x: exp(x / 0.5::DOUBLE - list_max(v[1:4]) / 0.5::DOUBLE)) AS e FROM v),
+    p AS (SELECT vec_id, v, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e)
+    SELECT vec_id, (list_position(p, list_max(p)) - 1)::BIGINT AS pred, round(list_max(p), 6) AS confidence, len(list_filter(v, lambda x: 1 / (1 + exp(-x)) > 0.5))::INT AS n_on FROM p"""
+)
+def class_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    p = V.softmax(V.temperature_scale(F.slice("v", 1, 4), 0.5))
+    on = F.size(F.filter("v", lambda x: V.sigmoid(x) > 0.5))
+    out = _vectors(spark, d).select("vec_id", p.alias("p"), on.alias("n_on"))
+    return out.select("vec_id", V.argmax(F.col("p")).alias("pred"), F.round(F.array_max("p"), 6).alias("confidence"), "n_on")
+
+
+@query(
+    f"""WITH {VEC}, s AS (SELECT a.vec_id // 8 AS question, a.vec_id % 8 + 1 AS rank, list_cosine_similarity(a.v, b.v) AS s
+      FROM v a LEFT JOIN v b ON a.vec_id // 8 = b.vec_id // 8 AND b.vec_id % 8 >= 3 WHERE a.vec_id % 8 < 3)
+    SELECT question, round(max(s) FILTER (rank = 1), 6) AS top_1, round(max(s), 6) AS top_n FROM s GROUP BY question"""
+)
+def semantic_answer_similarity(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d).select(F.expr("vec_id div 8").alias("question"), (F.col("vec_id") % 8 + 1).alias("rank"), "v")
+    out = Q.answer_similarity(v.where("rank <= 3"), v.where("rank > 3"))
+    return out.select("question", F.round("top_1", 6).alias("top_1"), F.round("top_n", 6).alias("top_n"))
+
+
 def _similar_sql(measure: str) -> str:
     f = {"dot": "list_inner_product(a.v, b.v)", "cosine": "list_cosine_similarity(a.v, b.v)"}[measure]
     return f"""WITH {VEC}, s AS (SELECT a.vec_id AS qid, b.vec_id AS id, round({f}, 4) AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),

@@ -112,6 +112,14 @@ def sample_rows(spark: SparkSession, d: str) -> DataFrame:
     return S.sample_rows(read(spark, d, "documents").select("doc_id"), "doc_id", 100, 9)
 
 
+@query(
+    """WITH c AS (SELECT doc_id // 50 AS chunk, count(*) AS n FROM labels GROUP BY 1), r AS (SELECT chunk, sum(n) OVER (ORDER BY chunk) AS running, sum(n) OVER () AS total FROM c)
+    SELECT doc_id, chunk, CASE WHEN running <= total - floor(total * 0.2::DOUBLE) THEN 'train' ELSE 'dev' END AS split FROM labels JOIN r ON chunk = doc_id // 50"""
+)
+def chunk_aligned_split(spark: SparkSession, d: str) -> DataFrame:
+    return S.chunk_split(read(spark, d, "labels").select("doc_id", F.expr("doc_id div 50").alias("chunk")), "chunk", 0.2)
+
+
 WINDOWS = f"""
 SELECT doc_id, k::INT AS passage, (k * 32)::INT AS start_t, least(k * 32 + 64, len(t))::INT AS end_t, array_to_string(t[k * 32 + 1:k * 32 + 64], ' ') AS content
 FROM (SELECT doc_id, {TOK} AS t FROM documents), range(0, greatest(0, ceil((len(t) - 64) / 32.0))::BIGINT + 1) r(k)"""
@@ -138,6 +146,11 @@ def passage_char_spans(spark: SparkSession, d: str) -> DataFrame:
     return PS.passage_spans(docs, 64, 32).select("doc_id", "passage", "start_ch", "end_ch")
 
 
+@query(f"SELECT doc_id, passage, (CASE WHEN passage % 3 = 0 THEN -1 ELSE passage % 3 + start_t END)::INT AS at FROM ({WINDOWS})")
+def passage_to_document_index(spark: SparkSession, d: str) -> DataFrame:
+    return _windows(spark, d).select("doc_id", "passage", PS.to_document(F.col("passage") % 3, F.col("start_t")).alias("at"))
+
+
 @query(f"""WITH o AS ({OFFSETS}) SELECT d.doc_id, (n_chars // 2) AS ch, (SELECT max(pos) FROM o WHERE o.doc_id = d.doc_id AND o.start <= n_chars // 2) AS token_pos FROM documents d""")
 def char_to_token_asof(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")

@@ -183,3 +183,26 @@ def expand_labels_subtokens(spark: SparkSession, d: str) -> DataFrame:
     initial = F.flatten(F.transform("w", lambda x: F.when(F.length(x) > 6, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(1)))))
     docs = docs.where(F.size("w") > 0).select("doc_id", labels.alias("l"), initial.alias("m"))
     return docs.select("doc_id", F.array_join(T.expand_labels(F.col("l"), F.col("m")), " ").alias("labels"))
+
+
+@query(
+    r"""WITH l AS (SELECT list_transform(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '\S+'))) AS l FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT l[1] AS q, l[2:] AS p FROM l)
+    SELECT count(*) AS n, round(avg(least(q, 16)), 6) AS avg_query, max(least(q, 16))::INT AS max_query, sum(len(p))::BIGINT AS n_passages,
+           round(sum(coalesce(list_sum(list_transform(p, lambda x: least(x, 16))), 0)) / sum(len(p)), 6) AS avg_passage, max(list_max(list_transform(p, lambda x: least(x, 16))))::INT AS max_passage FROM p"""
+)
+def biencoder_length_stats(spark: SparkSession, d: str) -> DataFrame:
+    lengths = F.transform(F.split("text", "\n"), lambda x: F.size(T.space_tokens(x)))
+    docs = read(spark, d, "documents").where("text IS NOT NULL").select(lengths.alias("l"))
+    pairs = docs.select(F.get("l", F.lit(0)).alias("q"), F.slice("l", 2, F.size("l")).alias("p"))
+    return L.pair_length_stats(pairs, "q", "p", 16)
+
+
+@query(
+    r"""SELECT doc_id, (len(a) + 2)::BIGINT AS second_at FROM (SELECT doc_id, regexp_extract_all(string_split(text, chr(10))[1], '\S+') AS a FROM documents WHERE text IS NOT NULL)"""
+)
+def second_sequence_start(spark: SparkSession, d: str) -> DataFrame:
+    lines = F.split("text", "\n")
+    a, b = T.space_tokens(F.get(lines, F.lit(0))), T.space_tokens(F.coalesce(F.get(lines, F.lit(1)), F.lit("")))
+    docs = read(spark, d, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", T.second_start(T.with_specials(a, b)).alias("second_at"))
