@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions import text as T
+from textloom.functions import vectors as V
+
 
 def _kind(tag: Column) -> Column:
     return F.substring_index(tag, "-", -1)
@@ -52,3 +57,19 @@ def word_starts(word_ids: DataFrame, seq: str, pos: str, word: str) -> DataFrame
     """1 at the first token of each word, else 0."""
     before = F.lag(word).over(Window.partitionBy(seq).orderBy(pos))
     return word_ids.withColumn("initial", F.when(before.isNull() | (before != F.col(word)), 1).otherwise(0))
+
+
+def tag_predictions(df: DataFrame, logits: str, initial: str, labels: Sequence[str]) -> DataFrame:
+    """``df`` with ``preds`` and ``probabilities`` of each word: those of its first piece.
+
+    ``logits`` is an array of a row of scores per piece, ``initial`` 1 at first pieces; ties go to the earlier label.
+    """
+    names = F.array(*map(F.lit, labels))
+    kept = T.initial_only(F.col(logits), F.col(initial))
+    best = F.transform(kept, lambda v: F.get(names, V.argmax(v).cast("int")))
+    return df.withColumn("preds", best).withColumn("probabilities", F.transform(kept, lambda v: F.array_max(V.softmax(v))))
+
+
+def next_sentence_predictions(df: DataFrame, logits: str) -> DataFrame:
+    """``df`` with ``is_next`` and its ``probability``, from the scores of (B follows A, B is another text); a tie follows."""
+    return df.withColumn("is_next", V.argmax(F.col(logits)) == 0).withColumn("probability", F.array_max(V.softmax(F.col(logits))))

@@ -6,6 +6,7 @@ fails, the record fails.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from textloom.operators import models as M
 from textloom.operators import passages as PS
 from textloom.operators.labels import class_weights
 from textloom.plans.common import read
+from textloom.sources.writers import load_settings, save_settings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,6 +35,20 @@ def processor(name: str, **options: object) -> Processor:
     return _PROCESSORS[name](**options)
 
 
+def save_processor(spark: SparkSession, name: str, options: dict, path: str) -> None:
+    """A processor's name and options (values that JSON can hold, the vocabulary among them) as a file."""
+    if name not in _PROCESSORS:
+        raise KeyError(name)
+    json.dumps(options)  # raises what can't be kept
+    save_settings(spark, {"processor": name, "options": options}, path)
+
+
+def load_processor(spark: SparkSession, path: str, **changes: object) -> Processor:
+    """The processor saved at ``path``, with some options changed."""
+    kept = load_settings(spark, path)
+    return processor(kept["processor"], **{**kept["options"], **changes})
+
+
 def _ready(first: Column, second: Column | None, size: int) -> list[Column]:
     """Tokens with special ones, padding mask and segments, all of length ``size``."""
     if second is None:
