@@ -78,6 +78,15 @@ def _steps(runs: Iterable[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    del order
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 class Trie:
     """Counts of symbols after contexts of each order."""
 
@@ -198,19 +207,20 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chu
     slim = slim.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
 
     def count(table: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # of the worker's task before
         words: Counter[bytes] = Counter()
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
         def add(held: list[bytes], weights: list[int]) -> None:
             keys, sizes = events(held)
-            pairs, place = np.unique(keys, return_inverse=True)
-            found.append((pairs, np.bincount(place, np.repeat(weights, sizes)).astype(np.int64)))
-            if len(found) > 8:
+            found.append(_summed(keys, np.repeat(np.array(weights, np.int64), sizes)))
+            if len(found) > 6:
                 merge()
 
         def merge() -> None:
-            pairs, place = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-            found[:] = [(pairs, np.bincount(place, np.concatenate([c for _, c in found])).astype(np.int64))]
+            keys, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
+            found.append(_summed(keys, counts))
 
         def texts(held: bool) -> Iterator[bytes]:
             for c in table.filter(pc.equal(table.column("held_out"), held)).column("text").chunks:
@@ -254,7 +264,9 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chu
     own = own.unionByName(words.select("chunk", "word", F.lit(None).cast("long").alias("key"), "n", F.lit(None).cast("double").alias("logp")))
 
     def score(table: pa.Table, known: pa.Table) -> pa.Table:
-        w, p = known.filter(known.column("word").is_valid()), known.filter(known.column("key").is_valid())
+        pa.default_memory_pool().release_unused()
+        w = known.select(["word", "n"]).filter(known.column("word").is_valid())
+        p = known.select(["key", "logp"]).filter(known.column("key").is_valid())
         names, n = w.column("word").to_pylist(), w.column("n").to_numpy()
         keys, logp = p.column("key").to_numpy(), p.column("logp").to_numpy()
         order = np.argsort(keys)
