@@ -59,10 +59,11 @@ def events(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"".join([PAD + r for r in runs]), np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes + ORDER)])[:-1]
     first = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes) + np.arange(sizes.sum())
-    keys = np.zeros(len(first), np.int64)
+    keys = np.zeros(max(0, len(raw) - ORDER), np.int64)  # of every place, those between runs too
     for i in range(ORDER + 1):
-        keys = (keys << 8) | raw[first + i]
-    return keys, sizes
+        keys <<= 8
+        keys |= raw[i : len(keys) + i]
+    return keys[first], sizes
 
 
 def _steps(runs: Iterable[bytes]) -> Iterator[list[bytes]]:
@@ -275,9 +276,10 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chu
 
         def costs(runs: list[bytes]) -> list[float]:
             found, sizes = events(runs)
-            distinct, at = np.unique(found, return_inverse=True)
-            each, ends = logp[np.searchsorted(keys, distinct)][at], np.cumsum(sizes).tolist()
-            return [math.fsum(each[i:j].tolist()) for i, j in zip([0, *ends], ends, strict=False)]
+            order = np.argsort(found)
+            each, ends = np.empty(len(found)), np.cumsum(sizes).tolist()
+            each[order] = logp[np.searchsorted(keys, found[order])]  # in order, so that neighbours are found near each other
+            return [float(each[i:j].sum()) for i, j in zip([0, *ends], ends, strict=False)]
 
         base = np.log10((n + 0.1) / (train + 0.1 * (kinds + 1)))
         place = {x: i for i, x in enumerate(names)}
@@ -289,9 +291,9 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chu
                 for t in c:
                     seen = tokens(t.as_py())
                     at = np.fromiter(map(place.__getitem__, seen), np.int64)
-                    rows.append((len(at), int((n[at] > 0).sum()), math.fsum(base[at].tolist())))
+                    rows.append((len(at), int(np.count_nonzero(n[at])), float(base[at].sum())))
                     if contexts == "word":
-                        whole.append(math.fsum(each_word[at].tolist()))
+                        whole.append(float(each_word[at].sum()))
                     else:
                         yield pieces(seen, contexts)[0]
 
