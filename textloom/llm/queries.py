@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, cotraining, fm_index, line_dedup, mixing, pivot_index, ppm, risk_rules, shingle_join, warc
-from textloom.llm.common import new_path, read
+from textloom.llm import bpe, cotraining, fim, fingerprints, fm_index, line_dedup, mixing, pivot_index, ppm, repair, risk_rules, shingle_join, warc
+from textloom.llm.common import grown, new_path, read
 
 
 def op1_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +211,136 @@ placed AS (
 SELECT doc_id, size, source_size, target, (floor(n * r + u) - floor((n - 1) * r + u))::BIGINT * size AS taken FROM placed
 """
 
+
+def op11_bloom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_with_next(read(spark, sf_dir, "documents")).drop("edited_cells", "next_cells")
+
+
+def _place(j: int) -> str:
+    """A digest's place in a table of the sketch (j < 3), or its check."""
+    a, b, c = fingerprints.MIX[j]
+    x = f"((key >> 32) * {a}::UBIGINT + (key & 4294967295::UBIGINT) * {b}::UBIGINT)"
+    mixed = f"((xor({x} >> 32, {x} & 4294967295::UBIGINT) * {c}::UBIGINT) >> 16)"
+    return f"({mixed} & 4294967295::UBIGINT)" if j == 3 else f"({mixed} & {fingerprints.SIZE - 1}::UBIGINT)::BIGINT + {j * fingerprints.SIZE}"
+
+
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n FROM documents),
+x AS (
+  SELECT *, coalesce(lead(t) OVER o, first_value(t) OVER o) AS nt, coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id
+  FROM d WINDOW o AS (ORDER BY doc_id DESC)),
+e AS (SELECT *, substr(t, 1, n - n // 2) || substr(nt, 1, n // 2) AS et FROM x),
+v AS (SELECT doc_id, 0 AS k, t FROM e UNION ALL SELECT doc_id, 1, et FROM e),
+s AS (SELECT doc_id, k, unnest(regexp_extract_all(t, '[^\n.!?]*[\n.!?]+|[^\n.!?]+')) AS p FROM v),
+w AS (SELECT doc_id, k, regexp_extract_all(p, '[^\x20\x09-\x0D]+') AS w FROM s),
+c AS (SELECT doc_id, k, array_to_string(w[i + 1:i + {fingerprints.LONGEST}], ' ') AS p FROM w, range(0, len(w), {fingerprints.LONGEST}) r(i)),
+o AS (SELECT doc_id, k, ('0x' || substr(md5(row_number() OVER (PARTITION BY doc_id, k, p) || ':' || p), 1, 16))::UBIGINT AS key FROM c),
+cells AS (
+  SELECT doc_id, k, key, {_place(3)} AS chk, unnest([{_place(0)}, {_place(1)}, {_place(2)}]) AS cell FROM o),
+sums AS (
+  SELECT doc_id, k, cell, count(*) AS n, (sum(key::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT AS key, (sum(chk::HUGEINT) % 4294967296::HUGEINT)::UBIGINT AS chk
+  FROM cells GROUP BY ALL),
+fp AS (
+  SELECT v.doc_id, v.k, string_agg(format('{{:08x}}{{:016x}}{{:08x}}', coalesce(sums.n, 0), coalesce(key, 0::UBIGINT), coalesce(chk, 0::UBIGINT)), '' ORDER BY r.cell) AS f
+  FROM v CROSS JOIN range({3 * fingerprints.SIZE}) r(cell) LEFT JOIN sums ON v.doc_id = sums.doc_id AND v.k = sums.k AND r.cell = sums.cell GROUP BY ALL),
+m AS (SELECT doc_id, k, count(*) AS m FROM o GROUP BY ALL),
+pairs AS (SELECT doc_id, doc_id AS other, 1 AS k FROM x UNION ALL SELECT doc_id, next_id, 0 FROM x),
+shared AS (
+  SELECT p.doc_id, p.k, count(*) AS c FROM pairs p JOIN o a ON a.doc_id = p.doc_id AND a.k = 0 JOIN o b ON b.doc_id = p.other AND b.k = p.k AND a.key = b.key GROUP BY ALL),
+near AS (
+  SELECT p.doc_id, p.k, CASE WHEN a.m IS NULL AND b.m IS NULL THEN 1 ELSE coalesce(c, 0)::DOUBLE / (coalesce(a.m, 0) + coalesce(b.m, 0) - coalesce(c, 0)) END AS near
+  FROM pairs p LEFT JOIN m a ON a.doc_id = p.doc_id AND a.k = 0 LEFT JOIN m b ON b.doc_id = p.other AND b.k = p.k LEFT JOIN shared s ON s.doc_id = p.doc_id AND s.k = p.k)
+SELECT e.doc_id, n AS n_chars, sha256(et) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint, y.near AS near_edited, z.near AS near_next
+FROM e JOIN fp a ON a.doc_id = e.doc_id AND a.k = 0 JOIN fp b ON b.doc_id = e.doc_id AND b.k = 1
+JOIN near y ON y.doc_id = e.doc_id AND y.k = 1 JOIN near z ON z.doc_id = e.doc_id AND z.k = 0
+"""
+
+
+def op12_dial_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    found = repair.report(repair.damage(rows)).withColumnRenamed("conv_id", "c")
+    out = rows.select("conv_id").distinct().join(grown(found), F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    zeros = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _edit(letter: str, cost: str, state: str, line: str) -> str:
+    """A state's best (cost in ten digits, audit, separator, lines) with one more edit."""
+    return f"printf('%010d', substr({state}, 1, 10)::BIGINT + {cost}) || replace(substr({state}, 11), chr(1), '{letter}' || chr(1)) || {line}"
+
+
+def _inserted(best: str, line: str) -> str:
+    return _edit("I", "5", best, f"chr(10) || '{line}:'")
+
+
+def _step(*ways: str) -> str:
+    return f"least({', '.join(ways)})"
+
+
+_STAY = "CASE WHEN fault = 0 THEN 0 WHEN fault = 1 THEN 5 ELSE 1000000000 END"
+_KEEP = lambda initial, state: _edit("K", f"(CASE WHEN i0 = '{initial}' THEN {_STAY} ELSE 1000000000 END)", state, "chr(10) || line")
+_ROLE = lambda name, state: _edit("R", f"(1 + {_STAY})", state, f"chr(10) || '{name}:' || text")
+_GONE = lambda state: _edit("D", "2", state, "''")
+
+# the cheapest edits up to each row, by the last role: n(one), s(ystem), u(ser), a(ssistant); iu and ia with insertions before the row
+OP12_SQL = rf"""
+WITH RECURSIVE damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text, c
+  FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s,
+               xor(list_reduce(list_transform(range(1, 1 + length(s)), lambda i: ascii(substr(s, i, 1))::BIGINT),
+                 lambda crc, b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, b)), 4294967295), 4294967295) % 20 AS fate
+        FROM conversations), range(2) r(c)
+  WHERE fate <> 0 AND (c = 0 OR fate = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, substr(role, 1, 1) AS i0, role || ':' || text AS line FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 3
+                 WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 0 ELSE 1 END AS fault,
+         lag(i0) OVER (PARTITION BY conv_id ORDER BY i) || i0 AS pair
+  FROM placed),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate,
+         count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS rows
+  FROM faulty GROUP BY conv_id),
+best AS (
+  SELECT DISTINCT conv_id, 0 AS i, '0000000000' || chr(1) AS n, '1000000000' || chr(1) AS s, '1000000000' || chr(1) AS u, '1000000000' || chr(1) AS a FROM faulty
+  UNION ALL
+  SELECT conv_id, i, {_GONE('n')}, {_step(_GONE('s'), _KEEP('s', 'n'))},
+         {_step(_GONE('iu'), *(f(x, st) for f, x in ((_KEEP, 'u'), (_ROLE, 'user')) for st in ('n', 's', 'ia')))},
+         {_step(_GONE('ia'), _KEEP('a', 'iu'), _ROLE('assistant', 'iu'))}
+  FROM (
+    SELECT f.conv_id, f.i, n, s, iu, {_step('a', _inserted('iu', 'assistant'))} AS ia, i0, fault, line, text
+    FROM (SELECT *, {_step('u', *(_inserted(x, 'user') for x in 'nsa'))} AS iu FROM best) b JOIN faulty f ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = b.i + 1)),
+ends AS (
+  SELECT conv_id, i, {_step('n', 'a', _inserted('iu', 'assistant'))} AS e FROM (SELECT *, {_step('u', *(_inserted(x, 'user') for x in 'nsa'))} AS iu FROM best)),
+found AS (SELECT f.*, e FROM facts f JOIN ends ON f.conv_id IS NOT DISTINCT FROM ends.conv_id AND f.rows = ends.i)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(substr(e, 1, 10)::BIGINT, 0) AS cost, coalesce(substr(e, 11, position(chr(1) IN e) - 11), '') AS audit,
+       sha256(coalesce(substr(e, position(chr(1) IN e) + 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN found ON c.conv_id IS NOT DISTINCT FROM found.conv_id
+"""
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(read(spark, sf_dir, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(x, i, 8))::BIGINT) AS h FROM d),
+c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+p AS (SELECT *, '<P>' || substr(t, 1, a) AS p, '<S>' || substr(t, b + 1) AS s, '<M>' || substr(t, a + 1, b - a) AS m FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_risk_rules": op1_risk_rules,
     "op2_warc": op2_warc,
@@ -222,7 +352,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_systematic_mix": op8_systematic_mix,
     "op9_ppm": op9_ppm,
     "op10_line_dedup": op10_line_dedup,
+    "op11_bloom_sketch": op11_bloom_sketch,
+    "op12_dial_repair": op12_dial_repair,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 SQL: dict[str, str] = {
-    "op1_risk_rules": OP1_SQL, "op2_warc": OP2_SQL, "op3_pivot_top_k": OP3_SQL, "op4_fm_index": OP4_SQL, "op6_shingle_join": OP6_SQL, "op8_systematic_mix": OP8_SQL, "op10_line_dedup": OP10_SQL}
+    "op1_risk_rules": OP1_SQL, "op2_warc": OP2_SQL, "op3_pivot_top_k": OP3_SQL, "op4_fm_index": OP4_SQL, "op6_shingle_join": OP6_SQL, "op8_systematic_mix": OP8_SQL, "op10_line_dedup": OP10_SQL,
+    "op11_bloom_sketch": OP11_SQL, "op12_dial_repair": OP12_SQL, "op13_fill_middle": OP13_SQL}
