@@ -135,10 +135,25 @@ def test_expand_labels_edges_and_long_text(spark):
     assert got == ["B", "X"] * n
 
 
-def test_long_sentence_is_split(spark):
-    lines = spark.createDataFrame([(1, 0, 130), (1, 1, 60), (1, 2, 70), (1, 3, 300), (1, 4, 9)], "doc_id long, line int, n long")
-    got = sorted(tuple(r) for r in pairs.pack_documents(lines, 128, 1).collect())
-    assert got == [(1, 0, 0, 0, 0, 130, 65), (1, 1, 1, 1, 2, 130, 60), (1, 2, 3, 3, 3, 300, 62)]
+def test_segment_pairs(spark):
+    rnd = random.Random(4)
+    rows = [(i, [rnd.choice([0, 1, 3, 9, 30, 60]) for _ in range(rnd.randrange(12))]) for i in range(40)] + [(99, [300, 1, 125]), (1000001, [20] * 9), (2000001, [20] * 9)]
+    tokens = {k: [f"{k}:{j}" for j in range(sum(n))] for k, n in rows}
+    df = spark.createDataFrame([(k, n, tokens[k]) for k, n in rows], "k long, n array<int>, t array<string>")
+    got = pairs.segment_pairs(df, "k", "n", 60, 1, ("t",)).collect()
+    read, bare = {k: [] for k in tokens}, pairs.segment_pairs(df, "k", "n", 60, 1).collect()
+    for r in sorted(got, key=lambda r: (r["k"], r["pair"])):
+        assert r["a_t"] == tokens[r["k"]][r["a_from"] : r["a_to"]] and r["b_t"] == tokens[r["b_key"]][r["b_from"] : r["b_to"]]
+        assert r["a_t"] and r["b_t"] and len(r["a_t"]) + len(r["b_t"]) <= 57
+        assert r["is_next"] == (r["b_key"] == r["k"]) and (not r["is_next"] or r["b_from"] == r["a_to"])
+        read[r["k"]] += r["a_t"] + (r["b_t"] if r["is_next"] else [])
+    assert read == tokens
+    assert sorted(tuple(r) for r in bare) == sorted(tuple(r)[:8] for r in got)
+    assert 0.25 < sum(r["is_next"] for r in got) / len(got) < 0.9
+    cuts = lambda k: [r["a_to"] for r in sorted(got, key=lambda r: r["pair"]) if r["k"] == k]
+    assert cuts(1000001) != cuts(2000001)
+    alone = pairs.segment_pairs(df.where("k = 99"), "k", "n", 60, 1).collect()
+    assert {r["b_key"] for r in alone} == {99} and pairs.segment_pairs(df.limit(0), "k", "n", 60, 1).count() == 0
 
 
 def test_all_passages_are_masked(spark, tmp_path):

@@ -49,6 +49,8 @@ def word_pieces(words: Column, vocabulary: Sequence[str], text: Column | None =
         for ws, t in zip(words, text, strict=True):
             row_ids, initial, starts, at = [], [], [], 0
             for w in () if ws is None else ws:
+                if w is None:
+                    continue
                 cut = known.get(w)
                 if cut is None:
                     form = w.lower() if lower and len(w.lower()) == len(w) else w

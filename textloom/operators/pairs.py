@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import hashlib
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,34 +29,91 @@ def random_partners(docs: DataFrame, key: str, seed: int) -> DataFrame:
     return left.join(right, "want").select(key, "partner")
 
 
-def pack_documents(lines: DataFrame, limit: int, seed: int) -> DataFrame:
-    """Greedy packing of a document's sentences into pairs of segments that fill ``limit`` tokens.
+def segment_pairs(docs: DataFrame, key: str, sizes: str, limit: int, seed: int, arrays: Sequence[str] = ()) -> DataFrame:
+    """Pairs of segments that fill ``limit`` places with three special ones, from documents ``(key, sizes, *arrays)``.
 
-    ``lines(doc_id, line, n)`` with n tokens per sentence.  Sentences are gathered until they hold limit - 3 tokens; a hash of
-    the document and the first sentence picks where segment A ends, and B is the rest.  A single sentence that fills up alone is
-    split: A is its first half, or (limit - 3) / 2 tokens where half is limit - 3 or more.  A remainder that does not fill up is
-    dropped; segment B is always the next one, never one of a random document.  The fold runs within a document:
-    ``(doc_id, pair, a_first, a_last, b_last, n, a_n)`` with a_n tokens in A.
-    """
+    ``sizes`` has the tokens of each sentence; a sentence longer than limit - 3 counts as several.  Sentences are gathered while
+    they fit.  A hash of the document and of the first sentence picks where segment A ends; by a further one B is the rest or, half of the
+    time, a run of sentences of another document that fills what A leaves, and then the rest begins the next pair.  A single
+    sentence is halved; one of a single token has B from another document.  So every token of a document is in a segment A, or in a B
+    that follows its A, exactly once; what remains at the end of a document is a shorter pair.
 
-    def packed(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("line")
-        rows, first, held = [], 0, 0
-        sizes, numbers = g["n"].tolist(), g["line"].tolist()
-        for i, n in enumerate(sizes):
-            held += n
-            if held >= limit - 3:
-                count = i - first + 1
-                if count == 1:
-                    half = n // 2 if n // 2 < limit - 3 else (limit - 3) // 2
-                    rows.append((g["doc_id"].iloc[0], len(rows), numbers[i], numbers[i], numbers[i], held, half))
-                else:
-                    cut = int.from_bytes(f"{g['doc_id'].iloc[0]}-{numbers[first]}-{seed}".encode()[-6:], "big") % (count - 1)
-                    rows.append((g["doc_id"].iloc[0], len(rows), numbers[first], numbers[first + cut], numbers[i], held, sum(sizes[first : first + cut + 1])))
-                first, held = i + 1, 0
-        return pd.DataFrame(rows, columns=["doc_id", "pair", "a_first", "a_last", "b_last", "n", "a_n"])
-
-    return lines.groupBy("doc_id").applyInPandas(packed, "doc_id long, pair int, a_first int, a_last int, b_last int, n long, a_n long")
+    Gives ``key, pair, a_from, a_to, b_key, b_from, b_to, is_next``, places in the documents' tokens (ends exclusive), and for each of
+    ``arrays`` (a value per token) its slices ``a_<name>`` and ``b_<name>``.  Documents without a token have no pairs; in a table of
+    one document its other segments are its own.  A document's pairs are made in one pass over its row; other documents are met by
+    their place in hash order.
+    """
+    most = limit - 3
+    if most < 2:
+        raise ValueError("no room for two segments")
+    kind = docs.schema[key].dataType
+    pieces = F.flatten(F.transform(sizes, lambda n: F.concat(F.array_repeat(F.lit(most), (n / most).cast("int")), F.when(n % most > 0, F.array((n % most).cast("int"))).otherwise(F.array().cast("array<int>")))))
+    work = docs.select(F.col(key).alias("key"), pieces.alias("pieces"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(arrays)]).where("size(pieces) > 0")
+    work = hash_rank(work, "key", seed)
+    kept = [docs.schema[c].dataType.simpleString() for c in arrays]
+    base = "pair int, a_from long, a_to long, is_next boolean, b_from long, b_to long, want long, start long, room long"
+    schema = f"key {kind.simpleString()}, {base}" + "".join(f", a{i} {t}, b{i} {t}" for i, t in enumerate(kept))
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [part.split()[0] for part in base.split(", ")]
+        types = [{"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}[part.split()[1]] for part in base.split(", ")]
+        for batch in it:
+            keys = batch.column("key")
+            columns = [batch.column(f"x{i}") for i in range(len(arrays))]
+            rows, at, slices = [], [], [[] for _ in range(2 * len(arrays))]
+            for r, (k, p, rn, n_rows) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "pieces", "rn", "n_rows")), strict=True)):
+                values = [c[r].values for c in columns]
+                for pair, (a, b, follows, draw, start) in enumerate(_pairs(str(k), p, most, seed)):
+                    want = (rn + draw % max(n_rows - 1, 1)) % n_rows + 1
+                    rows.append((pair, *a, follows, *(b or (None, None)), want, start, most - (a[1] - a[0])))
+                    at.append(r)
+                    for i, v in enumerate(values):
+                        slices[2 * i].append(v[a[0] : a[1]])
+                        slices[2 * i + 1].append(v[b[0] : b[1]] if b else None)
+            if rows:
+                cols = [keys.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))]
+                cols += [pa.array(s, batch.schema.field(f"x{j // 2}").type) for j, s in enumerate(slices)]
+                yield pa.RecordBatch.from_arrays(cols, ["key", *names, *(f"{s}{i}" for i in range(len(arrays)) for s in "ab")])
+
+    made = work.mapInArrow(cut, schema)
+    out = [F.col("key").alias(key), "pair", "a_from", "a_to"]
+    end = [F.col("is_next")]
+    own = made.where("is_next").select(*out, F.col("key").alias("b_key"), "b_from", "b_to", *end, *[F.col(f"{s}{i}").alias(f"{s}_{c}") for i, c in enumerate(arrays) for s in "ab"])
+    others = work.select(F.col("key").alias("b_key"), F.col("rn").alias("want"), "pieces", *[F.col(f"x{i}").alias(f"y{i}") for i in range(len(arrays))])
+    met = made.where("NOT is_next").drop("b_from", "b_to").join(others, "want")
+    begin = (F.col("start") % F.size("pieces")).cast("int")
+    add = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, n: a + n)
+    fill = lambda a, n: F.when(a["open"] & (a["n"] + n <= F.col("room")), F.struct((a["n"] + n).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(a["n"].alias("n"), F.lit(False).alias("open")))
+    rest = F.slice("pieces", begin + 1, F.size("pieces"))
+    taken = F.aggregate(rest, F.struct(F.lit(0).cast("long").alias("n"), F.lit(True).alias("open")), fill, lambda a: a["n"])
+    met = met.withColumn("b_from", add(F.slice("pieces", F.lit(1), begin))).withColumn("taken", taken)
+    met = met.withColumn("b_to", F.col("b_from") + F.when(F.col("taken") > 0, F.col("taken")).otherwise(F.least(F.get("pieces", begin), F.col("room"))))
+    part = lambda i: F.slice(f"y{i}", (F.col("b_from") + 1).cast("int"), (F.col("b_to") - F.col("b_from")).cast("int"))
+    random = met.select(*out, "b_key", "b_from", "b_to", *end, *[x for i, c in enumerate(arrays) for x in (F.col(f"a{i}").alias(f"a_{c}"), part(i).alias(f"b_{c}"))])
+    return own.unionByName(random)
+
+
+def _pairs(key: str, pieces: Sequence[int], most: int, seed: int) -> Iterator[tuple]:
+    """(A, B or None, whether B follows A, draw of another document, draw of its first sentence) for each pair of a document."""
+    places = [0]
+    for n in pieces:
+        places.append(places[-1] + n)
+    i = 0
+    while i < len(pieces):
+        end = i + 1
+        while end < len(pieces) and places[end + 1] - places[i] <= most:
+            end += 1
+        h = hashlib.md5(f"{key}-{i}-{seed}".encode(), usedforsecurity=False).hexdigest()
+        cut, coin, other, start = int(h[:7], 16), int(h[7], 16), int(h[8:15], 16), int(h[15:22], 16)
+        first, last = places[i], places[end]
+        if end - i == 1:
+            follows, stop = last - first > 1, first + max(1, (last - first) // 2)
+            i = end
+        else:
+            after = i + 1 + cut % (end - i - 1)
+            follows, stop = coin % 2 == 0, places[after]
+            i = end if follows else after
+        yield (first, stop), (stop, last) if follows else None, follows, other, start
 
 
 def mask_words(tokens: DataFrame, vocabulary_size: int, most: int = 20, share: float = 0.15, seed: int = 0, sample: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -225,10 +225,36 @@ def nsp_pairs_random_partner(spark: SparkSession, d: str) -> DataFrame:
     return PR.random_partners(read(spark, d, "documents"), "doc_id", 20)
 
 
-@query()
+def _draw(at: int, n: int = 7) -> str:
+    return f"('0x' || substr(h, {at}, {n}))::BIGINT"
+
+
+# pairs of at most 125 tokens: d has a document's pieces and their places, s walks its pairs, met finds the other documents' segments
+PAIRS = rf"""WITH RECURSIVE l AS (SELECT doc_id, list(len(regexp_extract_all(sentence, '\S+')) ORDER BY line) AS n FROM ({LINES}) GROUP BY doc_id),
+p AS (SELECT doc_id, flatten(list_transform(n, lambda x: list_concat(list_transform(range(x // 125), lambda i: 125), CASE WHEN x % 125 > 0 THEN [x % 125] ELSE [] END))) AS p FROM l),
+d AS (SELECT doc_id, p, list_transform(range(0, len(p) + 1), lambda i: coalesce(list_sum(p[1:i]), 0)::BIGINT) AS c,
+      row_number() OVER (ORDER BY {_h('doc_id', 1)}, doc_id) AS rn, count(*) OVER () AS n FROM p WHERE len(p) > 0),
+s AS (SELECT doc_id, -1 AS pair, 0::BIGINT AS i, 0::BIGINT AS a_from, 0::BIGINT AS a_to, 0::BIGINT AS last, true AS is_next, '' AS h FROM d
+  UNION ALL
+  SELECT doc_id, pair + 1, CASE WHEN is_next OR j = i + 1 THEN j ELSE after END, c[i + 1], stop, c[j + 1], is_next, h
+  FROM (SELECT *, CASE WHEN j = i + 1 THEN c[i + 1] + greatest(1, (c[j + 1] - c[i + 1]) // 2) ELSE c[after + 1] END AS stop,
+               CASE WHEN j = i + 1 THEN c[j + 1] - c[i + 1] > 1 ELSE {_draw(8, 1)} % 2 = 0 END AS is_next
+    FROM (SELECT *, CASE WHEN j > i + 1 THEN i + 1 + {_draw(1)} % (j - i - 1) END AS after
+      FROM (SELECT s.doc_id, s.pair, s.i, c, s.i + len(list_filter(c[s.i + 2:], lambda x: x - c[s.i + 1] <= 125)) AS j, md5(s.doc_id || '-' || s.i || '-1') AS h
+            FROM s JOIN d ON d.doc_id = s.doc_id WHERE s.i < len(d.p))))),
+o AS (SELECT s.*, (d.rn + {_draw(9)} % greatest(d.n - 1, 1)) % d.n + 1 AS want, {_draw(16)} AS start, 125 - (a_to - a_from) AS room FROM s JOIN d USING (doc_id) WHERE pair >= 0),
+met AS (SELECT o.doc_id, pair, a_from, a_to, is_next, d.doc_id AS other, d.c, d.p, room, (start % len(d.p))::BIGINT AS k FROM o JOIN d ON o.want = d.rn WHERE NOT is_next),
+b AS (SELECT *, list_max(list_filter(c[k + 1:], lambda x: x - c[k + 1] <= room)) AS stop FROM met)
+SELECT doc_id, pair, a_from, a_to, doc_id AS b_key, a_to AS b_from, last AS b_to, is_next FROM o WHERE is_next
+UNION ALL
+SELECT doc_id, pair, a_from, a_to, other, c[k + 1], CASE WHEN stop > c[k + 1] THEN stop ELSE c[k + 1] + least(p[k + 1], room) END, is_next FROM b"""
+
+
+@query(PAIRS)
 def bert_style_packing(spark: SparkSession, d: str) -> DataFrame:
-    lines = _lines(spark, d).select("doc_id", "line", F.size(T.space_tokens(F.col("sentence"))).cast("long").alias("n"))
-    return PR.pack_documents(lines, 128, 1)
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    docs = read(spark, d, "documents").select("doc_id", F.transform(lines, lambda x: F.size(T.space_tokens(x))).alias("sizes"))
+    return PR.segment_pairs(docs, "doc_id", "sizes", 128, 1)
 
 
 @query()

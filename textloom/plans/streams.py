@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.plans.common import read
 from textloom.streaming import streams as ST
 
 QUERIES: dict = {}
@@ -25,7 +24,12 @@ def query(sql: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder in the session's shared one; only a local session may do with its warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/textloom-stream/{uuid.uuid4().hex}"
 
 
@@ -56,5 +60,20 @@ def stream_dedup_watermark(spark: SparkSession, d: str) -> DataFrame:
     SELECT user_id, min(ts) AS s_start, max(ts) + INTERVAL 30 MINUTE AS s_end, count(*) AS n FROM s GROUP BY user_id, k"""
 )
 def stream_session(spark: SparkSession, d: str) -> DataFrame:
-    events = read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    return ST.sessions(events, "ts", "user_id", "30 minutes")
+    return ST.run_to_table(ST.sessions(_stream(spark, d), "ts", "user_id", "30 minutes"), "sessions", _folder(spark), "complete")
+
+
+@query(
+    f"""SELECT time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(30 * k) AS w_start, time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(30 * k) + INTERVAL 2 HOUR AS w_end, event_type, count(*) AS n
+    FROM ({EV}), range(4) r(k) GROUP BY ALL"""
+)
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    return ST.run_to_table(ST.sliding(_stream(spark, d), "ts", "2 hours", "30 minutes", ["event_type"]), "sliding", _folder(spark), "complete")
+
+
+@query(f"SELECT event_type, (count(*) // 10)::BIGINT AS dev, (count(*) - count(*) // 10)::BIGINT AS train FROM ({EV}) GROUP BY event_type")
+def stream_dev_split(spark: SparkSession, d: str) -> DataFrame:
+    with ST.state_store(spark):
+        rows = ST.run_to_table(ST.split_stream(_stream(spark, d), "event_type", "0.1"), "split", _folder(spark))
+    of = lambda part: F.count_if(F.col("split") == part).alias(part)
+    return rows.groupBy("event_type").agg(of("dev"), of("train"))

@@ -34,17 +34,25 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType | None
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, line_no, value)``: lines in file order, each file being one scan task's split at a time.
+    """``(file, block, line_no, value)``: the lines of text files; ``block`` is the first byte of the scan split that a line is in.
 
-    The byte order of a text file is the order of its splits and of the rows in them, which ``monotonically_increasing_id`` keeps
-    within a file; the id is used for comparison only.
+    Splits of a file are ordered by ``block``, and the lines of a split by ``line_no``, whose values are for comparison only.
     """
-    return spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line_no"), "value")
+    lines = spark.read.text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), "value")
 
 
 def _groups(lines: DataFrame, closes: str) -> DataFrame:
-    run = F.sum(F.expr(closes).cast("int")).over(Window.partitionBy("file").orderBy("line_no"))
-    return lines.withColumn("grp", run)
+    """``lines`` with ``grp``, how many lines of the file up to this one close a group.
+
+    Each split counts by itself; what its file's earlier splits closed is carried over by a window on one row a split.
+    """
+    within = F.sum("__c").over(Window.partitionBy("file", "block").orderBy("line_no"))
+    counted = lines.withColumn("__c", F.expr(closes).cast("int")).withColumn("__run", within)
+    splits = counted.groupBy("file", "block").agg(F.sum("__c").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    carried = splits.select("file", "block", F.coalesce(before, F.lit(0)).alias("__before"))
+    return counted.join(carried, ["file", "block"]).withColumn("grp", F.col("__run") + F.col("__before")).drop("__c", "__run", "__before")
 
 
 def read_tagged(spark: SparkSession, path: str, sep: str = " ", token_at: int = 0, tag_at: int = -1) -> DataFrame:
@@ -56,7 +64,7 @@ def read_tagged(spark: SparkSession, path: str, sep: str = " ", token_at: int =
     work = _groups(lines, "trim(value) = '' OR value LIKE '-DOCSTART-%'").where("trim(value) <> '' AND value NOT LIKE '-DOCSTART-%'")
     parts = F.split("value", sep)
     at = lambda i: F.element_at(parts, i + 1 if i >= 0 else i)
-    rows = work.groupBy("file", "grp").agg(F.array_sort(F.collect_list(F.struct("line_no", at(token_at).alias("token"), at(tag_at).alias("tag")))).alias("r"))
+    rows = work.groupBy("file", "grp").agg(F.array_sort(F.collect_list(F.struct("block", "line_no", at(token_at).alias("token"), at(tag_at).alias("tag")))).alias("r"))
     return rows.select("file", F.col("grp").alias("sentence"), F.col("r.token").alias("tokens"), F.col("r.tag").alias("tags"))
 
 
@@ -117,7 +125,7 @@ def read_retrieval(spark: SparkSession, path: str, positives: int = 1, negatives
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Documents of sentences, one sentence a line, a blank line between documents: ``(file, doc, sentences)``."""
     work = _groups(numbered_lines(spark, path), "trim(value) = ''").where("trim(value) <> ''")
-    rows = work.groupBy("file", "grp").agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("r"))
+    rows = work.groupBy("file", "grp").agg(F.array_sort(F.collect_list(F.struct("block", "line_no", "value"))).alias("r"))
     return rows.select("file", F.col("grp").alias("doc"), F.transform("r", lambda x: F.trim(x["value"])).alias("sentences"))
 
 
@@ -128,10 +136,9 @@ def read_triples(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_vectors(spark: SparkSession, path: str, size: int) -> DataFrame:
     """Word vectors as text: the first line of a word counts, a header line and lines of another width do not."""
-    lines = numbered_lines(spark, path).select("line_no", F.split(F.trim("value"), " ").alias("p")).where(F.size("p") == size + 1)
-    first = F.row_number().over(Window.partitionBy("word").orderBy("line_no"))
-    rows = lines.select("line_no", F.col("p")[0].alias("word"), F.slice("p", 2, size).cast("array<double>").alias("v"))
-    return rows.withColumn("r", first).where("r = 1").select("word", "v")
+    lines = numbered_lines(spark, path).select("file", "block", "line_no", F.split(F.trim("value"), " ").alias("p")).where(F.size("p") == size + 1)
+    rows = lines.select(F.struct("file", "block", "line_no").alias("at"), F.col("p")[0].alias("word"), F.slice("p", 2, size).cast("array<double>").alias("v"))
+    return rows.groupBy("word").agg(F.min_by("v", "at").alias("v"))
 
 
 def vectors_for(vocabulary: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
