@@ -84,6 +84,34 @@ def test_rounds(tables, monkeypatch):
     assert model.prior == pytest.approx(math.log(good / (1 - good)))
 
 
+def test_taught_words_reach_the_other_view(spark):
+    """Unlabelled documents have words of their own, and only the metadata view knows them; the text view has to learn the words."""
+    rnd = random.Random(8)
+
+    def text(bad, new):
+        own = [f"{'n' if new else 'o'}{'bad' if bad else 'good'}{rnd.randrange(12)}" for _ in range(8)]
+        return ("\n" if bad else " ").join(own + [f"w{rnd.randrange(40)}" for _ in range(30)])
+
+    rows = [(i, text(i % 2 == 0, i >= 200), "en", "s") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    features, names = cotraining.extract(docs, ("doc_id",))
+    features = features.cache()
+    numbers = cotraining.Features()
+    number = lambda w: numbers[w.encode()] // cotraining.SHAPES
+    before, after = (cotraining.train(features, names, labels, rounds=n).views["text"] for n in (0, 2))
+    fresh = [(text(bad, True), bad) for bad in [True, False] * 100]
+
+    def wrong(view):
+        w, b = view
+        odds = [b + sum(w[f] * math.log1p(n) for f, n in zip(*cotraining.text_features(t.replace("\n", " "), numbers), strict=True)) for t, _ in fresh]
+        return sum((z > 0) == bad for z, (_, bad) in zip(odds, fresh, strict=True)) / len(fresh)
+
+    good, bad = ([number(f"n{kind}{i}") for i in range(12)] for kind in ("good", "bad"))
+    assert not before[0][good + bad].any() and wrong(before) > 0.3
+    assert (after[0][good] > 0).all() and (after[0][bad] < 0).all() and wrong(after) < 0.05
+
+
 def test_verdicts_and_clashing_names(tables):
     docs, labels = tables
     out = cotraining.classify(docs, labels, ("doc_id", "text_features")).collect()

@@ -1,10 +1,11 @@
 """Quality by co-training: a text view and a page-metadata view teach each other, then score all documents together.
 
 The text view sees words and word shapes; the metadata view sees language, source, length and layout figures, and no words.
-A view is a logistic regression on labelled documents whose features are weighted by their log count ratios between good and
-bad documents.  At first those counts come from the labelled documents.  In each round every other document of the table
-of which one view is sure counts for the other view too, so that what one view knows reaches the other through the features of
-the whole corpus; per class, what is taught weighs as much as the labels at most.  Each view's log-odds are then calibrated
+A view is a logistic regression whose features are weighted by their log count ratios between good and bad documents.  At first it
+is fitted on the labelled documents alone.  In each round every other document of the table of which one view is sure is
+pseudo-labelled for the other view: it counts in the ratios, and it enters the fit.  There the pseudo-labelled documents of a class stand as
+the mean of their feature vectors, one weighted point a class, so a fit stays as small as the labelled sample while all of them
+teach, also by words that no labelled document holds.  Per class, what is taught weighs as much as the labels at most.  Each view's log-odds are then calibrated
 by itself on labelled documents kept aside, and added (less the prior that both hold), as the views are taken as independent.
 Toxicity shows in words alone, so it has a text classifier of its own.  The score is P(quality) * (1 - P(toxic)); a document is
 rejected below a cutoff that at most ``lost`` of the good documents of a second set kept aside fall under.
@@ -14,6 +15,8 @@ gathered and no word is left out.  One pass over all whole texts writes them; a
 that table, without a shuffle of documents: a task gives the counts of its features.  A fit takes at most ``LABELLED`` labelled
 documents, by hash of the id; the ids, and the models' weights, are all that goes to the tasks.
 
+Layout figures are cut in ``STEPS`` steps; what lies beyond the last one shares it, as a feature has to have a fixed number.
+
 Defined cases: a null text is empty; null metadata are values of their own; a document with several labels counts with the
 lowest quality and the highest toxicity, and a null label says nothing of its own kind only; labelled rows of one id with
 different texts count once (by the least features); where the labels hold one class only, that model has no say; without labels
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -60,7 +63,7 @@ class Features(dict):
     """word -> word feature * SHAPES + shape feature; a task's memory of some words."""
 
     def __missing__(self, word: bytes) -> int:
-        shape = _RUNS.sub(rb"\1", word.translate(_CLASSES))[:12]
+        shape = _RUNS.sub(rb"\1", word.translate(_CLASSES))
         found = zlib.crc32(word.strip(_EDGES).lower()) % WORDS * SHAPES + zlib.crc32(shape) % SHAPES
         if len(self) < REMEMBERED:
             self[word] = found
@@ -182,8 +185,19 @@ def ratios(labelled: tuple[np.ndarray, np.ndarray], taught: tuple[np.ndarray, np
     return np.log(share[1] / share[0])
 
 
-def _fit(rows: DataFrame, names: dict[str, str], view: str, label: str, scale: np.ndarray | None, reg: float, l1: float) -> Linear | None:
-    """Weights and intercept over the features times ``scale``, or None where the labels are of one class."""
+def mean_points(labelled: tuple[np.ndarray, np.ndarray], taught: tuple[np.ndarray, np.ndarray], view: str) -> list[tuple[float, float, np.ndarray]]:
+    """(class, weight, mean feature vector) of what each class was taught; a text feature counts as standing there once."""
+    once = math.log(2) if view == "text" else 1.0
+    return [(float(c), float(min(labelled[1][c], taught[1][c])), once * taught[0][c] / taught[1][c]) for c in (0, 1) if taught[1][c] and labelled[1][c]]
+
+
+def _fit(
+    rows: DataFrame, names: dict[str, str], view: str, label: str, scale: np.ndarray | None, reg: float, l1: float, points_of_classes: list[tuple[float, float, np.ndarray]] = ()
+) -> Linear | None:
+    """Weights and intercept over the features times ``scale``, or None where the labels are of one class.
+
+    Besides the rows, each of weight 1, the weighted points take part.
+    """
     rows = rows.where(F.col(label).isNotNull())
     if rows.agg(F.countDistinct(label)).first()[0] < 2:
         return None
@@ -196,11 +210,15 @@ def _fit(rows: DataFrame, names: dict[str, str], view: str, label: str, scale: n
             ids = pa.ListArray.from_arrays(lists.offsets, pa.array(ids, pa.int32()))
             parts = [pa.array(np.zeros(b.num_rows, np.int8)), pa.array(np.full(b.num_rows, WIDTH[view], np.int32)), ids, values]
             x = pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])
-            yield pa.RecordBatch.from_arrays([b.column(label), x], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(label), pa.array(np.ones(b.num_rows)), x], ["y", "w", "x"])
 
-    kind = StructType([StructField("y", DoubleType()), StructField("x", VectorUDT())])
+    kind = StructType([StructField("y", DoubleType()), StructField("w", DoubleType()), StructField("x", VectorUDT())])
     points = rows.select(label, *names.values()).mapInArrow(vectors, kind)
-    lr = LogisticRegression(featuresCol="x", labelCol="y", maxIter=ITERATIONS, regParam=reg, elasticNetParam=l1, standardization=scale is None)
+    if points_of_classes:  # two rows at most
+        of = lambda v: Vectors.sparse(WIDTH[view], np.flatnonzero(v).tolist(), v[np.flatnonzero(v)].tolist())
+        means = [(y, w, of(v if scale is None else v * scale)) for y, w, v in points_of_classes]
+        points = points.unionByName(rows.sparkSession.createDataFrame(means, kind))
+    lr = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=ITERATIONS, regParam=reg, elasticNetParam=l1, standardization=scale is None)
     model = lr.fit(points)
     weights = model.coefficients.toArray()
     return weights if scale is None else weights * scale, float(model.intercept)
@@ -268,7 +286,11 @@ def train(features: DataFrame, names: dict[str, str], labels: DataFrame, lost: f
     learn = rows.where("role = 'fit'")
     toxic = _fit(learn, names, "text", "toxic", None, 0.001, 0.5)
     counted = count_features(learn.where("quality IS NOT NULL"), names, None)
-    view = lambda v, taught: _fit(learn, names, v, "quality", ratios(counted[v], taught and taught[v]), 0.002, 0.0)
+
+    def view(v: str, taught: dict | None) -> Linear | None:
+        points = mean_points(counted[v], taught[v], v) if taught else []
+        return _fit(learn, names, v, "quality", ratios(counted[v], taught and taught[v]), 0.002, 0.0, points)
+
     views = {v: view(v, None) for v in WIDTH}
     if views["text"] is not None:
         pool = features.join(F.broadcast(rows.where("quality IS NOT NULL").select("doc_id")), "doc_id", "left_anti")  # LABELLED rows at most
