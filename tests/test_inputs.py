@@ -117,3 +117,40 @@ def test_predictions(spark):
 
 def test_vocabularies():
     assert inputs.VOCABULARY[5] == "a" and inputs.VOCABULARY[31] == "##a" and inputs.PAIRS[57] == "ae" and inputs.PAIRS[87] == "##ae"
+
+
+def test_bert_inputs_read_every_piece(spark):
+    rnd = __import__("random").Random(2)
+    words = ["the", "cats", "sat", "on", "unaffable", "mats", "zzz", ","]
+    texts = {i: "\n".join(" ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 14))) for _ in range(rnd.randrange(1, 9))) for i in range(30)}
+    rows = [(i, t, "clash") for i, t in texts.items()] + [(100, None, "x"), (101, "", "x"), (102, "the " * 90, "x")]
+    texts[102] = "the " * 90
+    df = spark.createDataFrame(rows, "doc_id long, text string, pair string")
+    plain = {r.doc_id: [x for x, m in zip(r.input_ids, r.padding_mask, strict=True) if m][1:-1] for r in processor("text_inputs", vocabulary=V, size=4000)(df).collect()}
+    out = processor("bert_inputs", vocabulary=V, size=24, share=0.3)(df).collect()
+    read = {i: [] for i in texts}
+    asked = 0
+    for r in sorted(out, key=lambda r: (r.doc_id, r.pair)):
+        full = [y if y != -1 else x for x, y in zip(r.input_ids, r.lm_label_ids, strict=True)]
+        n = sum(r.padding_mask)
+        a = full[1 : 1 + r.a_to - r.a_from]
+        b = full[2 + r.a_to - r.a_from : n - 1]
+        assert len(full) == 24 and full[0] == V.index(S.CLS) and full[1 + len(a)] == full[n - 1] == V.index(S.SEP)
+        assert a == plain[r.doc_id][r.a_from : r.a_to] and b == plain[r.b_key][r.b_from : r.b_to]
+        assert r.nextsentence_label_ids == int(not r.is_next) and r.segment_ids[:n] == [0] * (len(a) + 2) + [1] * (len(b) + 1)
+        read[r.doc_id] += a + (b if r.is_next else [])
+        asked += sum(x != -1 for x in r.lm_label_ids)
+        assert sum(x != -1 for x in r.lm_label_ids) <= 7
+    assert read == {i: plain[i] for i in texts} and asked > len(out)
+    assert {r.doc_id for r in out}.isdisjoint({100, 101})
+
+
+def test_no_answer_passages_are_sampled(spark):
+    rows = [(k, "who", ["the", "cats", "sat", "on", "the", "mat"] * 20, -1, -1, [(1, 3)] if k % 2 else [], "none") for k in range(20)]
+    df = spark.createDataFrame(rows, "k int, question string, words array<string>, long_start int, long_end int, short array<struct<start: int, end: int>>, yes_no string")
+    run = lambda keep: processor("natural_questions_inputs", vocabulary=V, size=9, stride=4, question_size=1, slots=2, key="k", keep_no_answer=keep)(df).select("k", "passage", "answer_type_ids").collect()
+    every, some, none = run(1.0), run(0.3), run(0.0)
+    assert {tuple(r) for r in none} < {tuple(r) for r in some} < {tuple(r) for r in every}
+    for part in (some, none):
+        assert {r.k for r in part} == set(range(20)) and sum(r.answer_type_ids > 0 for r in part) == sum(r.answer_type_ids > 0 for r in every)
+    assert all(sum(r.k == k for r in none) == max(1, sum(r.k == k and r.answer_type_ids > 0 for r in every)) for k in range(20))

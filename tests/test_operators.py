@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from textloom import catalog
 from textloom.functions import text as T
 from textloom.functions import vectors as V
-from textloom.operators import labels, metrics, models, pairs, passages, qa, splits, tags
+from textloom.operators import fitting, labels, metrics, models, pairs, passages, qa, splits, tags
 from textloom.operators.ranks import running_sums
 from textloom.plans.processors import processor
 
@@ -226,3 +226,82 @@ def test_reports(spark):
     assert metrics.compute_report("errors", df).count() == 1 and metrics.compute_report("classification", df).count() == 2
     with pytest.raises(KeyError):
         metrics.compute_report("unknown", df)
+
+
+def test_extraction_strategies(spark):
+    df = spark.createDataFrame([(1, [[1.0, 5.0], [3.0, 1.0], [9.0, 9.0]], [1, 1, 0]), (2, [], []), (3, None, None), (4, [[2.0, 2.0]], [0])], "k long, t array<array<double>>, m array<int>")
+    want = {"per_token": {1: [[1.0, 5.0], [3.0, 1.0]], 2: [], 3: None, 4: []}, "cls_token": {1: [1.0, 5.0]}, "reduce_mean": {1: [2.0, 3.0]}, "reduce_max": {1: [3.0, 5.0]}}
+    for name, rows in want.items():
+        got = {r["k"]: r["v"] for r in df.select("k", V.extracted(F.col("t"), name, F.col("m")).alias("v")).collect()}
+        assert got == {k: rows.get(k) for k in range(1, 5)}
+    with pytest.raises(ValueError):
+        V.extracted(F.col("t"), "s3e")
+
+
+def test_names_paths_json(spark):
+    assert [one(spark, T.model_language(F.lit(x))) for x in ("bert-base-german-cased", "umberto-x", "camembert", "xlm-multilingual-german", "roberta")] == ["german", "italian", "french", "german", "english"]
+    assert tuple(one(spark, T.store_path(F.lit("s3://b/k/x.txt")))) == ("b", "k/x.txt") and one(spark, T.store_path(F.lit("s3://b"))) is None
+    assert [one(spark, T.file_extension(F.lit(x))) for x in ("a/b.c/d.tar.gz", "x.json", "a.b/c")] == ["tar.gz", "json", ""]
+    assert [one(spark, T.is_json(F.lit(x))) for x in ('{"a": [1]}', "{a", "3")] == [True, False, True]
+    assert one(spark, T.transposed(F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3), F.lit(4))))) == [[1, 3], [2, 4]]
+    a = F.struct(F.array(F.lit("ab"), F.lit("c")).alias("tokens"), F.array(F.lit(0).cast("long"), F.lit(3).cast("long")).alias("offsets"), F.array(F.lit(1), F.lit(1)).alias("initial"))
+    joined = one(spark, T.joined_sentences(F.array(a, a)))
+    assert joined["tokens"] == ["ab", "c", "ab", "c"] and joined["offsets"] == [0, 3, 5, 8] and joined["initial"] == [1] * 4
+
+
+def test_workers_runs_and_estimates(spark):
+    rows = spark.range(103)
+    parts = [{r["id"] for r in splits.worker_rows(rows, "id", 5, w, 3).collect()} for w in range(3)]
+    assert set().union(*parts) == set(range(103)) and sum(map(len, parts)) == 103 and parts[1] >= {5, 9, 20}
+    names = spark.createDataFrame([("epoch_1_step_900",), ("epoch_2_step_10",), ("epoch_2_step_9",), ("other",)], "name string")
+    assert [r["name"] for r in fitting.latest_runs(names, "name", 2).collect()] == ["epoch_2_step_10", "epoch_2_step_9"]
+    lines = spark.createDataFrame([(x,) for x in ["a", "b", "c", "", "d", " ", "e", "f"]], "value string")
+    assert tuple(pairs.estimated_pairs(lines).first()) == (3, 3)
+    scored = spark.createDataFrame([(1, 1, 0.0), (1, 2, 0.4), (2, 1, 0.0), (2, 3, 1.0)], "q long, rank int, f1 double")
+    assert [metrics.top_n_accuracy(scored, "q", "f1", "rank", n).first()[0] for n in (1, 2, 3)] == [0.0, 0.5, 1.0]
+
+
+def test_zip_of_files(spark, tmp_path):
+    from textloom.sources import readers
+
+    (tmp_path / "a.txt").write_text("\n".join(f"a{i}" for i in range(500)))
+    (tmp_path / "b.txt").write_text("head\n" + "\n".join(f"b{i}" for i in range(503)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 200)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = sorted(tuple(r) for r in readers.zip_files(spark, str(tmp_path / "a.txt"), str(tmp_path / "b.txt"), skip_right=1).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert got == [(i, f"a{i}" if i < 500 else None, f"b{i}") for i in range(503)]
+
+
+@pytest.mark.parametrize("measure", ["dot", "cosine"])
+def test_similar_in_blocks(spark, measure):
+    from textloom.operators import ranking
+
+    rnd = np.random.default_rng(3)
+    v = rnd.integers(-3, 4, (130, 3)).astype(float)  # many ties
+    v[7], v[20:60] = 0, v[20]
+    rows = [(i, v[i].tolist()) for i in range(130)] + [(500, None)]
+    items = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    queries = items.where("id % 10 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    got = ranking.similar(queries, items, 6, measure, query_rows=5, item_rows=17).collect()
+    for q in range(0, 130, 10):
+        s = v @ v[q]
+        if measure == "cosine":
+            size = np.linalg.norm(v, axis=1) * np.linalg.norm(v[q])
+            s = np.where(size > 0, s / np.where(size > 0, size, 1), -np.inf)
+        want = sorted((i for i in range(130) if i != q), key=lambda i: (-round(s[i], 4), i))[:6]
+        assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["qid"] == q] == want
+    assert len(got) == 13 * 6 and ranking.similar(queries, items.limit(0), 6).count() == 0
+
+
+def test_encode_rows(spark):
+    from textloom.operators import vocab
+
+    known = spark.createDataFrame([("a", 5), ("b", 6)], "token string, id int")
+    df = spark.createDataFrame([(1, ["b", "x", None, "a", "a"]), (2, []), (3, None)], "k long, t array<string>")
+    assert {r["k"]: r["ids"] for r in df.select("k", vocab.encode_rows(F.col("t"), known).alias("ids")).collect()} == {1: [6, 1, 1, 5, 5], 2: [], 3: []}
+    assert df.select(vocab.encode_rows(F.col("t"), known.limit(0)).alias("ids")).first()["ids"] == [1] * 5

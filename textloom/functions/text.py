@@ -114,5 +114,57 @@ def initial_only(values: Column, initial: Column) -> Column:
     return F.transform(kept, lambda x: x["v"])
 
 
+def transposed(rows: Column) -> Column:
+    """An array of arrays of one length the other way round; null entries where an array is shorter than the first."""
+    return F.transform(F.sequence(F.lit(0), F.size(F.get(rows, F.lit(0))) - 1), lambda i: F.transform(rows, lambda r: F.get(r, i)))
+
+
+def joined_sentences(sentences: Column) -> Column:
+    """Tokenised sentences ``array<struct<tokens, offsets, initial>>`` as one, offsets moved on.
+
+    A sentence begins two places after the first place of the last token before it.  Sentences without tokens are left out.
+    """
+    held = F.filter(sentences, lambda s: F.size(s["tokens"]) > 0)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    shifts = F.aggregate(
+        held, start,
+        lambda a, s: F.struct((a["at"] + F.element_at(s["offsets"], -1) + 2).cast("long").alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")),
+        lambda a: a["starts"],
+    )
+    moved = F.flatten(F.transform(F.arrays_zip(held.alias("s"), shifts.alias("by")), lambda x: F.transform(x["s"]["offsets"], lambda o: o + x["by"])))
+    flat = lambda name: F.flatten(F.transform(held, lambda s: s[name])).alias(name)
+    return F.struct(flat("tokens"), moved.alias("offsets"), flat("initial"))
+
+
+def store_path(url: Column) -> Column:
+    """The bucket and the key of an object store's URL; null for a URL without one of them."""
+    part = lambda i: F.regexp_extract(url, r"^[a-z0-9]+://([^/]+)/+(.+)$", i)
+    return F.when(part(2) != "", F.struct(part(1).alias("bucket"), part(2).alias("key")))
+
+
+def file_extension(path: Column) -> Column:
+    """What stands after the last point of a file's name, with the one before it for packed archives; empty without a point."""
+    return F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"(?i)\.((?:tar\.)?[^.]+)$", 1)
+
+
+def is_json(text: Column) -> Column:
+    return F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False))
+
+
+# fixed values: languages that a model's name may hold, and models of one language
+MODEL_LANGUAGES = ("german", "english", "chinese", "indian", "french", "polish", "spanish", "multilingual")
+MODELS_OF_LANGUAGES = {"camembert": "french", "umberto": "italian"}
+
+
+def model_language(name: Column) -> Column:
+    """The language of a model by its name; English where the name says nothing."""
+    out = F.lit("english")
+    for language in reversed(MODEL_LANGUAGES):
+        out = F.when(F.contains(name, F.lit(language)), language).otherwise(out)
+    for model, language in reversed(MODELS_OF_LANGUAGES.items()):
+        out = F.when(F.contains(name, F.lit(model)), language).otherwise(out)
+    return out
+
+
 def truncated(text: Column, size: int) -> Column:
     return F.slice(text, 1, size)

@@ -59,6 +59,28 @@ def argmax(v: Column) -> Column:
     return F.array_position(v, F.array_max(v)) - 1
 
 
+#: How a text's vector is taken from its tokens' vectors.
+STRATEGIES = ("per_token", "cls_token", "reduce_mean", "reduce_max")
+
+
+def extracted(tokens: Column, strategy: str, mask: Column | None = None) -> Column:
+    """A text's vectors from an array of a vector per token; ``mask`` is 0 at tokens that are padding.
+
+    ``per_token`` gives all that are left, ``cls_token`` the first one, the others the mean or the maximum of each dimension; null of none.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no strategy {strategy!r}; there are {STRATEGIES}")
+    held = tokens if mask is None else F.transform(F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda x: x["m"] != 0), lambda x: x["t"])
+    if strategy == "per_token":
+        return held
+    first = F.get(held, F.lit(0))
+    if strategy == "cls_token":
+        return first
+    step = (lambda a, v: F.zip_with(a, v, lambda x, y: F.greatest(x, y))) if strategy == "reduce_max" else (lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    folded = F.aggregate(F.slice(held, 2, 1 << 30), first, step)
+    return folded if strategy == "reduce_max" else F.transform(folded, lambda x: x / F.size(held))
+
+
 def mean_of(column: str, size: int) -> list[Column]:
     """Aggregates for the mean of each dimension of an array column."""
     return [F.avg(F.get(column, F.lit(i))).alias(f"d{i}") for i in range(size)]

@@ -61,6 +61,13 @@ def mean_change(rows: DataFrame, params: Parameters, work: Work) -> tuple[Parame
     return {k: v[: params[k.removeprefix("mean_")].size].reshape(params[k.removeprefix("mean_")].shape) for k, v in out.items()}, total
 
 
+def latest_runs(names: DataFrame, name: str, keep: int = 1) -> DataFrame:
+    """The ``keep`` last of checkpoints named ``epoch_<n>_step_<m>``, the last one first; other names are left out."""
+    part = lambda i: F.regexp_extract(name, r"epoch_(\d+)_step_(\d+)$", i).cast("long")
+    found = names.where(F.col(name).rlike(r"epoch_\d+_step_\d+$")).withColumns({"epoch": part(1), "step": part(2)})
+    return found.orderBy(F.desc("epoch"), F.desc("step")).limit(keep)
+
+
 def save_parameters(spark: SparkSession, params: Parameters, settings: dict, path: str) -> None:
     """Arrays and settings of a model as a small Parquet table."""
     rows = [("", 0, json.dumps(settings), [])]

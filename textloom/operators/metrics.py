@@ -176,6 +176,18 @@ def best_threshold(df: DataFrame, no_answer: str, score: str, has_answer: str) -
     )
 
 
+def with_no_answer(df: DataFrame, no_answer: str, score: str, has_answer: str, threshold: float) -> DataFrame:
+    """``df`` with the score of the decision: above the threshold the answer is that there is none."""
+    return df.withColumn(score, F.when(F.col(no_answer) > threshold, (F.col(has_answer) == 0).cast("double")).otherwise(F.col(score)))
+
+
+def top_n_accuracy(scored: DataFrame, question: str, f1: str, rank: str | None = None, n: int = 1) -> DataFrame:
+    """The share of questions of which one of the first ``n`` predictions shares a word with an answer; without ``rank`` all count."""
+    hit = F.col(f1) > 0 if rank is None else (F.col(f1) > 0) & (F.col(rank) <= n)
+    each = scored.groupBy(question).agg(F.max(hit.cast("int")).alias("__hit"))
+    return each.agg(F.round(F.avg("__hit"), 6).alias("top_n_accuracy"))
+
+
 def calibration_bins(df: DataFrame, confidence: str, hit: str, bins: int = 10) -> DataFrame:
     """All bins from 0 with count, hit rate and mean confidence."""
     at = F.floor(F.least(F.col(confidence), F.lit(0.9999)) * bins).cast("int")

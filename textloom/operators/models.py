@@ -76,6 +76,12 @@ def pooled_vectors(tokens: DataFrame, vectors: DataFrame, by: str, size: int, we
     return sums.select(by, F.array(*[F.col(f"d{i}") for i in range(size)]).alias("v"))
 
 
+def mean_max_pool(df: DataFrame, by: str, vector: str) -> DataFrame:
+    """``(by, dim, mean, top)``: the mean and the maximum of each dimension of a group's vectors."""
+    flat = df.select(by, F.posexplode(vector).alias("dim", "x"))
+    return flat.groupBy(by, "dim").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.max("x"), 6).alias("top"))
+
+
 def _less(v: Column, axis: Column, by: Column) -> Column:
     return F.zip_with(v, axis, lambda x, a: x - a * by)
 

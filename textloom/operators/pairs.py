@@ -93,6 +93,17 @@ def segment_pairs(docs: DataFrame, key: str, sizes: str, limit: int, seed: int,
     return own.unionByName(random)
 
 
+def estimated_pairs(lines: DataFrame, text: str = "value", closed: bool = False) -> DataFrame:
+    """How many pairs of neighbouring sentences files of lines have, from counts of lines alone: ``(samples, docs)``.
+
+    One blank line is taken to stand between two documents, and after the last one too if ``closed``.
+    """
+    blank = F.trim(F.col(text)) == ""
+    found = lines.agg(F.count("*").alias("n"), F.count_if(blank).alias("blank"))
+    docs = F.col("blank") if closed else F.col("blank") + 1
+    return found.select(F.greatest(F.lit(0), F.col("n") - F.col("blank") - docs).alias("samples"), docs.alias("docs"))
+
+
 def _pairs(key: str, pieces: Sequence[int], most: int, seed: int) -> Iterator[tuple]:
     """(A, B or None, whether B follows A, draw of another document, draw of its first sentence) for each pair of a document."""
     places = [0]

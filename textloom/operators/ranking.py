@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.functions import vectors as V
-
 
 def top_ranked(scores: DataFrame, query: str, item: str, score: str, n: int) -> DataFrame:
     """The n best items of each query, ties by item; partial limits run before the shuffle."""
@@ -35,16 +35,55 @@ def repeated_items(run: DataFrame, query: str = "qid", item: str = "pid") -> Dat
     return run.groupBy(query, item).agg(F.count("*").alias("times")).where("times > 1")
 
 
-def similar(queries: DataFrame, items: DataFrame, n: int, measure: str = "dot", blocks: int = 16) -> DataFrame:
-    """The n most similar items ``(id, v)`` of each query ``(qid, q)`` of a stated query set, blockwise.
+def similar(queries: DataFrame, items: DataFrame, n: int, measure: str = "dot", query_rows: int = 1024, item_rows: int = 4096) -> DataFrame:
+    """The n most similar items ``(id, v)`` of each query ``(qid, q)`` of a stated query set, blockwise: ``(qid, id, score, rank)``.
 
-    Each query meets each block of items once; a block's best n leave it, and the final ranking has blocks times n rows a query.
+    Queries and items are dealt evenly to blocks of about these many rows, so the blocks follow the tables; each block of queries meets
+    each block of items in one matrix product, of which the best n of a query go on to the final ranking.  Scores are rounded to four
+    places, ties go to smaller ids, a cosine with a vector of zeros is null and comes last.  Null vectors take no part; vectors are of one length.
     """
-    score = V.dot(F.col("q"), F.col("v")) if measure == "dot" else V.cosine(F.col("q"), F.col("v"))
-    dealt = items.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    asked = queries.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("__b", F.col("__b").cast("long"))
-    scored = asked.join(dealt, "__b").where("qid <> id").select("qid", "id", F.round(score, 4).alias("score"))
-    return top_ranked(scored, "qid", "id", "score", n)
+    asked, held = queries.where("q IS NOT NULL"), items.where("v IS NOT NULL")
+    groups, blocks = (max(1, -(-df.count() // rows)) for df, rows in ((asked, query_rows), (held, item_rows)))
+    deal = lambda k: F.pmod(F.monotonically_increasing_id(), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = asked.select("qid", F.col("q").cast("array<double>").alias("q"), deal(groups).alias("g")).withColumn("b", every(blocks))
+    right = held.select("id", F.col("v").cast("array<double>").alias("v"), deal(blocks).alias("b")).withColumn("g", every(groups))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((asked, "qid"), (held, "id"))]
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        names, kind = b.column("id").to_pylist(), b.schema.field("id").type
+        order = np.empty(len(names), np.int64)
+        order[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        matrix = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
+        if a.num_rows and b.num_rows:
+            x, y = matrix(a, "q"), matrix(b, "v")
+            scores = x @ y.T
+            if measure == "cosine":
+                sizes = np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
+                scores = np.divide(scores, sizes, out=np.full(scores.shape, -np.inf), where=sizes > 0)
+            places = {name: i for i, name in enumerate(names)}
+            for r, q in enumerate(a.column("qid").to_pylist()):
+                row = scores[r]
+                own = np.arange(len(names)) if q not in places else np.array([i for i in range(len(names)) if names[i] != q], np.int64)
+                if len(own) > n:
+                    least = np.partition(row[own], len(own) - n)[len(own) - n]
+                    own = own[row[own] >= least - 2e-4]  # what rounding may lift to the n-th score
+                if len(own) > 3 * n:  # many equal scores: n of each are enough
+                    level = np.round(row[own], 4)
+                    own = own[np.lexsort((order[own], -level))]
+                    level = np.round(row[own], 4)
+                    run = np.arange(len(own)) - np.searchsorted(-level, -level, side="left")
+                    own = own[run < n]
+                found.append((r, own, row[own]))
+        at = np.concatenate([np.full(len(o), r, np.int64) for r, o, _ in found] or [np.zeros(0, np.int64)])
+        own = np.concatenate([o for _, o, _ in found] or [np.zeros(0, np.int64)])
+        score = np.concatenate([s for _, _, s in found] or [np.zeros(0)])
+        ids = pa.array([names[i] for i in own.tolist()], kind)
+        return pa.table({"qid": a.column("qid").combine_chunks().take(pa.array(at)), "id": ids, "score": pa.array(score, mask=np.isinf(score))})
+
+    met = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(best, f"qid {kinds[0]}, id {kinds[1]}, score double")
+    return top_ranked(met.withColumn("score", F.round("score", 4)), "qid", "id", "score", n)
 
 
 def positive_ranks(scores: DataFrame, query: str, item: str, score: str, positive: str) -> DataFrame:

@@ -89,6 +89,13 @@ def cap_negatives(df: DataFrame, key: str, group: Sequence[str], positive: str,
     return df.where(positive_).unionByName(negatives)
 
 
+def worker_rows(df: DataFrame, number: str, n: int, worker: int, workers: int) -> DataFrame:
+    """A worker's rows: of chunks of ``n`` by the row's number, every ``workers``-th one from its own on."""
+    if not 0 <= worker < workers:
+        raise ValueError("a worker is numbered from 0")
+    return df.where(F.pmod(F.floor(F.col(number) / n), F.lit(workers)) == worker)
+
+
 def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows without replacement, the same each time."""
     return df.orderBy(hash_key(F.col(key), seed), key).limit(n)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +33,23 @@ def encode(tokens: DataFrame, vocabulary: DataFrame, unknown: int = 1) -> DataFr
     return tokens.join(F.broadcast(vocabulary.select("token", "id")), "token", "left").withColumn("id", F.coalesce("id", F.lit(unknown)))
 
 
+def encode_rows(tokens: Column, vocabulary: DataFrame, unknown: int = 1) -> Column:
+    """An array of ids for an array of tokens; null tokens are unknown.
+
+    The vocabulary, whose size ``top_vocabulary`` bounds, is collected and looked up batch by batch, so tokens never leave their row.
+    """
+    rows = vocabulary.select("token", F.col("id").cast("int").alias("id")).toArrow().combine_chunks()
+    names, ids = (rows.column(c).combine_chunks() if rows.num_rows else pa.array([], t) for c, t in (("token", pa.string()), ("id", pa.int32())))
+
+    @F.arrow_udf("array<int>")
+    def looked_up(tokens: pa.Array) -> pa.Array:
+        found = pc.fill_null(pc.take(ids, pc.index_in(tokens.flatten(), value_set=names)), unknown).cast(pa.int32())
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy())]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), found)
+
+    return looked_up(tokens)
+
+
 def trim(counts: DataFrame, least: int) -> DataFrame:
     """Tokens of ``least`` occurrences or more, numbered densely in the order of their hash-free sort key."""
     blocks = counts.where(F.col("n") >= least).withColumn("__b", F.substring("token", 1, 1))

@@ -1,7 +1,19 @@
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share; only a local session may do with its warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/textloom-{name}/{uuid.uuid4().hex}"

@@ -9,13 +9,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import subwords as S
 from textloom.functions import text as T
+from textloom.operators import pairs as PR
 from textloom.operators import passages as PS
+from textloom.operators import splits as SP
 from textloom.plans.common import read
 from textloom.plans.processors import Processor, processor, register_processor
 
@@ -142,9 +145,11 @@ def question_inputs(vocabulary: Sequence[str], size: int = 384, stride: int = 12
     return run
 
 
-def natural_questions_inputs(vocabulary: Sequence[str], size: int = 384, stride: int = 128, question_size: int = 64, slots: int = 6, radius: int = 200) -> Processor:
+def natural_questions_inputs(vocabulary: Sequence[str], size: int = 384, stride: int = 128, question_size: int = 64, slots: int = 6, radius: int = 200, key: str | None = None, keep_no_answer: float = 1.0, seed: int = 0) -> Processor:
     """Records of the natural-questions processor with their ``question``: the crop's passages, their slots and ``answer_type_ids``.
 
+    With a ``key``, passages without an answer are kept with probability ``keep_no_answer`` by a hash, and one passage at least of each record.
+
     A passage that does not hold the answer is ``no_answer``; yes and no count where the answer's passage is, or everywhere without one.
     """
     _check(size, stride, question_size)
@@ -162,7 +167,11 @@ def natural_questions_inputs(vocabulary: Sequence[str], size: int = 384, stride:
         out = _passages(work, vocabulary, size, stride, slots)
         away = F.col("crop_start").isNotNull() & (F.col("labels")[0]["end"] == 0)
         kind = F.when(away, "no_answer").otherwise(F.col("answer_type"))
-        return out.withColumn("answer_type_ids", T.label_index(kind, ANSWER_TYPES))
+        out = out.withColumn("answer_type_ids", T.label_index(kind, ANSWER_TYPES))
+        if key is None or keep_no_answer >= 1:
+            return out
+        marked = out.withColumn("__place", F.concat_ws("/", key, "passage"))
+        return SP.keep_negatives(marked, "__place", [key], "answer_type_ids <> 0", keep_no_answer, seed).drop("__place")
 
     return run
 
@@ -194,13 +203,8 @@ def similarity_inputs(vocabulary: Sequence[str], positives: int = 1, negatives:
     return run
 
 
-def language_inputs(vocabulary: Sequence[str], key: str = "id", size: int = 128, share: float = 0.15, most: int = 20, seed: int = 0) -> Processor:
-    """``(key, text, text_b, is_next)`` to masked inputs: ``lm_label_ids`` (-1 where nothing is asked) and ``nextsentence_label_ids``.
-
-    Whole words are taken in hash order while min(most, max(1, round(share * size))) pieces are not exceeded, a word that would exceed
-    it is passed over; of their pieces 80 % become the mask, 10 % another id, 10 % stay.  0 means that B follows A.  A
-    draw depends on the key and the place only, so reruns agree.  A null ``text_b`` is a text without a partner.
-    """
+def _masking(vocabulary: Sequence[str], size: int, share: float, most: int, seed: int):
+    """The masking of :func:`language_inputs`, as a function of keys, ids and word starts."""
     mask, budget, ids = list(vocabulary).index(S.MASK), min(most, max(1, round(share * size))), len(vocabulary)
 
     @F.pandas_udf("struct<input_ids: array<int>, lm_label_ids: array<int>>")
@@ -209,11 +213,13 @@ def language_inputs(vocabulary: Sequence[str], key: str = "id", size: int = 128,
         for k, row, starts in zip(keys, tokens, initial, strict=True):
             row, wanted = list(map(int, row)), [-1] * len(row)
             words: list[list[int]] = []
+            last = -1
             for i, m in enumerate(starts):
-                if m == 1:
+                if m == 1 or (m == 0 and last == -1):  # a segment may begin within a word
                     words.append([i])
                 elif m == 0:
                     words[-1].append(i)
+                last = m
             draw = lambda i: int.from_bytes(hashlib.md5(f"{k}-{i}-{seed}".encode()).digest()[:8], "big")  # noqa: B023, E731
             used = 0
             for word in sorted(words, key=lambda w: draw(w[0])):  # noqa: B023
@@ -225,23 +231,70 @@ def language_inputs(vocabulary: Sequence[str], key: str = "id", size: int = 128,
                     row[i] = mask if what % 10 < 8 else what // 10 % ids if what % 10 == 8 else row[i]
             rows.append((row, wanted))
         return pd.DataFrame(rows, columns=["input_ids", "lm_label_ids"])
+    return masked
+
+
+def _language(df: DataFrame, vocabulary: Sequence[str], size: int, masked, key: Column, a: tuple[Column, Column], b: tuple[Column, Column]) -> DataFrame:
+    """``df`` with the masked inputs of its sides, each (ids, word starts), and the label of the next sentence."""
+    starts = T.pad(T.with_specials(a[1], b[1], -1, -1), size, F.lit(-1))
+    tokens, *masks = _assembled(vocabulary, a[0], b[0], size)
+    out = df.withColumn("made", masked(key.cast("string"), tokens, starts)).select("*", "made.*", *masks).drop("made")
+    return out.withColumn("nextsentence_label_ids", F.when(F.col("is_next"), 0).otherwise(1))
+
+
+def bert_inputs(vocabulary: Sequence[str], key: str = "doc_id", text: str = "text", size: int = 128, share: float = 0.15, most: int = 20, seed: int = 0) -> Processor:
+    """Documents ``(key, text)``, a sentence a line, to masked inputs of packed pairs, of which half go on in another document.
+
+    Pieces are packed as :func:`textloom.operators.pairs.segment_pairs` packs tokens, so every piece of a document is in one pair; masks
+    and labels are those of :func:`language_inputs`.  Gives ``key, pair, a_from, a_to, b_key, b_from, b_to, is_next`` and the inputs.
+    """
+    masked = _masking(vocabulary, size, share, most, seed)
+
+    @F.pandas_udf("array<int>")
+    def sizes(initial: pd.Series, words: pd.Series) -> pd.Series:
+        out = []
+        for m, n in zip(initial, words, strict=True):
+            firsts = np.flatnonzero(np.asarray(m) == 1)
+            ends = np.append(firsts, len(m))[np.cumsum(np.asarray(n, dtype=int))] if len(n) else np.zeros(0, int)
+            out.append(np.diff(ends, prepend=0).tolist())
+        return pd.Series(out)
+
+    def run(df: DataFrame) -> DataFrame:
+        lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"\S"))
+        work = df.select(key, F.transform(lines, T.punctuation_tokens).alias("words"))
+        work = work.select(key, S.word_pieces(F.flatten("words"), vocabulary).alias("cut"), F.transform("words", F.size).alias("n"))
+        docs = work.select(key, F.col("cut.ids").alias("ids"), F.col("cut.initial").alias("initial"), sizes(F.col("cut.initial"), F.col("n")).alias("sizes"))
+        pairs = PR.segment_pairs(docs, key, "sizes", size, seed, ("ids", "initial"))
+        place = F.concat_ws("/", F.col(key).cast("string"), "pair")
+        out = _language(pairs, vocabulary, size, masked, place, (F.col("a_ids"), F.col("a_initial")), (F.col("b_ids"), F.col("b_initial")))
+        return out.drop("a_ids", "a_initial", "b_ids", "b_initial")
+
+    return run
+
+
+def language_inputs(vocabulary: Sequence[str], key: str = "id", size: int = 128, share: float = 0.15, most: int = 20, seed: int = 0) -> Processor:
+    """``(key, text, text_b, is_next)`` to masked inputs: ``lm_label_ids`` (-1 where nothing is asked) and ``nextsentence_label_ids``.
+
+    Whole words are taken in hash order while min(most, max(1, round(share * size))) pieces are not exceeded, a word that would exceed
+    it is passed over; of their pieces 80 % become the mask, 10 % another id, 10 % stay.  0 means that B follows A.  A
+    draw depends on the key and the place only, so reruns agree.  A null ``text_b`` is a text without a partner.
+    """
+    masked = _masking(vocabulary, size, share, most, seed)
 
     def run(df: DataFrame) -> DataFrame:
         a, b = (S.word_pieces(_words(F.col(c)), vocabulary) for c in ("text", "text_b"))
         na, nb = T.pair_lengths(F.size("a.ids"), F.size("b.ids"), size - 3)
         work = df.withColumn("a", a).withColumn("b", b).withColumn("na", na).withColumn("nb", nb)
         side = lambda s, field: F.slice(F.col(f"{s}.{field}"), F.lit(1), F.col("n" + s))
-        starts = T.pad(T.with_specials(side("a", "initial"), side("b", "initial"), -1, -1), size, F.lit(-1))
-        tokens, *masks = _assembled(vocabulary, side("a", "ids"), side("b", "ids"), size)
-        out = work.withColumn("made", masked(F.col(key).cast("string"), tokens, starts)).select("*", "made.*", *masks)
-        return out.withColumn("nextsentence_label_ids", F.when(F.col("is_next"), 0).otherwise(1)).drop("a", "b", "na", "nb", "made")
+        sides = [(side(s, "ids"), side(s, "initial")) for s in "ab"]
+        return _language(work, vocabulary, size, masked, F.col(key), *sides).drop("a", "b", "na", "nb")
 
     return run
 
 
 for _n, _f in {
     "text_inputs": text_inputs, "tag_inputs": tag_inputs, "question_inputs": question_inputs,
-    "natural_questions_inputs": natural_questions_inputs, "similarity_inputs": similarity_inputs, "language_inputs": language_inputs,
+    "natural_questions_inputs": natural_questions_inputs, "similarity_inputs": similarity_inputs, "language_inputs": language_inputs, "bert_inputs": bert_inputs,
 }.items():
     register_processor(_n, _f)
 
@@ -370,6 +423,32 @@ def word_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def process_language_inputs(spark: SparkSession, d: str) -> DataFrame:
-    lines = read(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("lines")).where("size(lines) > 1")
-    pairs = lines.select(F.col("doc_id").alias("id"), F.get("lines", 0).alias("text"), F.get("lines", 1).alias("text_b"), F.lit(True).alias("is_next"))
+    """Every two neighbouring lines of the documents, masked."""
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "sentence")).where("sentence <> ''")
+    pairs = PR.next_sentences(lines).select(F.concat_ws("-", "doc_id", "line").alias("id"), "text", "text_b", F.lit(True).alias("is_next"))
     return processor("language_inputs", vocabulary=VOCABULARY)(pairs).select("id", _joined("input_ids"), _joined("lm_label_ids"), "nextsentence_label_ids")
+
+
+@query()
+def process_bert_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Packed and masked pairs of whole documents."""
+    out = processor("bert_inputs", vocabulary=VOCABULARY)(read(spark, d, "documents"))
+    return out.select("doc_id", "pair", "b_key", "is_next", F.md5(_joined("input_ids")).alias("input_ids"), F.md5(_joined("lm_label_ids")).alias("lm_label_ids"), "nextsentence_label_ids")
+
+
+NQ = r"""r AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w, CASE WHEN doc_id % 5 = 0 THEN 'yes' ELSE 'none' END AS yes_no, doc_id % 3 = 0 AS has FROM documents),
+    s AS (SELECT doc_id, w, yes_no, CASE WHEN has THEN 30 END AS a, CASE WHEN has THEN 50 END AS e FROM r),
+    k AS (SELECT *, CASE WHEN yes_no = 'yes' THEN 'yes' WHEN a IS NOT NULL THEN 'span' ELSE 'no_answer' END AS answer_type, greatest(0, coalesce(a, 0) - 20) AS low, least(len(w), coalesce(e, 0) + 20) AS high FROM s)"""
+
+
+@query(
+    f"""WITH {NQ} SELECT doc_id, answer_type, md5(array_to_string(w[low + 1:low + greatest(0, high - low)], ' ')) AS cropped, low::INT AS shift, (a - low)::INT AS crop_start, (e - low)::INT AS crop_end FROM k"""
+)
+def process_natural_questions(spark: SparkSession, d: str) -> DataFrame:
+    has = F.col("doc_id") % 3 == 0
+    spans = F.when(has, F.array(F.struct(F.lit(35).alias("start"), F.lit(50).alias("end")), F.struct(F.lit(30).alias("start"), F.lit(32).alias("end")))).otherwise(F.array().cast("array<struct<start: int, end: int>>"))
+    docs = read(spark, d, "documents").select(
+        "doc_id", T.space_tokens(F.col("text")).alias("words"), F.lit(-1).alias("long_start"), F.lit(-1).alias("long_end"), spans.alias("short"), F.when(F.col("doc_id") % 5 == 0, "yes").otherwise("none").alias("yes_no")
+    )
+    out = processor("natural_questions", radius=20)(docs)
+    return out.select("doc_id", "answer_type", F.md5(F.array_join("cropped", " ")).alias("cropped"), F.col("shift").cast("int").alias("shift"), "crop_start", "crop_end")

@@ -9,11 +9,13 @@ from pyspark.sql.window import Window
 from textloom.functions import text as T
 from textloom.functions import vectors as V
 from textloom.operators import metrics as M
+from textloom.operators import models, validation
 from textloom.operators import qa as Q
 from textloom.operators import ranking as R
 from textloom.operators import tags as G
 from textloom.plans.common import read
 from textloom.plans.splits import find_passages
+from textloom.sources.writers import top_answers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -182,7 +184,7 @@ def squad_breakdown_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SPANS} SELECT round(avg((f1 > 0)::INT), 6) AS top_n_accuracy FROM f")
 def top_n_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return _spans(spark, d).agg(F.round(F.avg((F.col("f1") > 0).cast("int")), 6).alias("top_n_accuracy"))
+    return M.top_n_accuracy(_spans(spark, d), "qid", "f1")
 
 
 NORM = r"list_filter(regexp_extract_all(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\S+'), lambda x: x NOT IN ('a', 'an', 'the'))"
@@ -227,7 +229,7 @@ def best_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SCORED} SELECT doc_id, CASE WHEN na > 0.5 THEN (has_answer = 0)::INT::DOUBLE ELSE score END AS score FROM x")
 def no_answer_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("doc_id", F.when(F.col("na") > 0.5, (F.col("has_answer") == 0).cast("double")).otherwise(F.col("score")).alias("score"))
+    return M.with_no_answer(_scored(spark, d), "na", "score", "has_answer", 0.5).select("doc_id", "score")
 
 
 @query(
@@ -300,7 +302,18 @@ def span_topk(spark: SparkSession, d: str) -> DataFrame:
     return Q.span_candidates(_logits(spark, d), 10, 4)
 
 
-@query()
+# the greedy fold: a step takes the next span of a sample and keeps it if it is clear of those kept before
+@query(
+    f"""WITH RECURSIVE {LOGITS}, s AS (SELECT a.sample, a.pos::INT AS s, b.pos::INT AS e, round(a.start + b."end", 6) AS score FROM l a JOIN l b ON a.sample = b.sample AND ((a.pos = 0 AND b.pos = 0) OR (a.pos > 0 AND b.pos >= a.pos AND b.pos < a.pos + 4))),
+    r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY score DESC, s, e) AS rank FROM s),
+    c AS (SELECT sample, s, e, score, row_number() OVER (PARTITION BY sample ORDER BY rank) AS i FROM r WHERE rank <= 20 AND s > 0),
+    f AS (SELECT sample, 0::BIGINT AS i, [] ::STRUCT(s INT, e INT, score DOUBLE)[] AS kept FROM (SELECT DISTINCT sample FROM c)
+      UNION ALL
+      SELECT f.sample, c.i, CASE WHEN len(kept) < 3 AND len(list_filter(kept, lambda k: abs(k.s - c.s) <= 1 OR abs(k.e - c.e) <= 1)) = 0 THEN list_append(kept, struct_pack(s := c.s, e := c.e, score := c.score)) ELSE kept END
+      FROM f JOIN c ON c.sample = f.sample AND c.i = f.i + 1),
+    z AS (SELECT sample, arg_max(kept, i) AS kept FROM f GROUP BY sample)
+    SELECT sample, (i - 1)::INT AS place, kept[i].s AS s, kept[i].e AS e, kept[i].score AS score FROM z, range(1, len(kept) + 1) x(i)"""
+)
 def span_topk_fold(spark: SparkSession, d: str) -> DataFrame:
     return Q.distinct_spans(Q.span_candidates(_logits(spark, d), 20, 4), 3, 1)
 
@@ -315,8 +328,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {VEC} SELECT label, i::INT AS dim, round(avg(v[i + 1]), 6) AS mean, round(max(v[i + 1]), 6) AS top FROM v, range(64) r(i) GROUP BY label, i")
 def embedding_mean_max_pool(spark: SparkSession, d: str) -> DataFrame:
-    flat = _vectors(spark, d).select("label", F.posexplode("v").alias("dim", "x"))
-    return flat.groupBy("label", "dim").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.max("x"), 6).alias("top"))
+    return models.mean_max_pool(_vectors(spark, d), "label", "v")
 
 
 @query(
@@ -430,13 +442,14 @@ def qrels_semi_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, '' AS prediction FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_predictions_anti(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels"), "doc_id", "left_anti").withColumn("prediction", F.lit(""))
+    predictions = read(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit("given").alias("answer"), F.col("quality").alias("score"))
+    filled = top_answers(predictions, read(spark, d, "documents").select(F.col("doc_id").alias("id")))
+    return filled.where("answer = ''").select(F.col("id").alias("doc_id"), F.col("answer").alias("prediction"))
 
 
 @query("SELECT r_name, lr, batch FROM region, (VALUES (1e-5), (3e-5)) a(lr), (VALUES (16), (32), (64)) b(batch)")
 def param_grid_crossjoin(spark: SparkSession, d: str) -> DataFrame:
-    lr, batch = spark.createDataFrame([(1e-5,), (3e-5,)], "lr double"), spark.createDataFrame([(16,), (32,), (64,)], "batch int")
-    return read(spark, d, "region").select("r_name").crossJoin(lr).crossJoin(batch)  # a stated grid
+    return validation.with_grid(read(spark, d, "region").select("r_name"), {"lr": [1e-5, 3e-5], "batch": [16, 32, 64]})
 
 
 SQL["param_grid_crossjoin"] = "SELECT r_name, lr::DOUBLE AS lr, batch FROM region, (VALUES (1e-5), (3e-5)) a(lr), (VALUES (16), (32), (64)) b(batch)"

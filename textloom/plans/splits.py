@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -268,7 +270,8 @@ def mlm_whole_word_mask(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT part, count(*) OVER (PARTITION BY part) AS n FROM (SELECT floor((doc_id // 10)::DOUBLE)::BIGINT % 4 AS part FROM documents)")
 def worker_slices(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select((F.expr("doc_id div 10") % 4).alias("part"))
-    return docs.groupBy("part").agg(F.count("*").alias("n"))
+    docs = read(spark, d, "documents").select("doc_id")
+    parts = [S.worker_rows(docs, "doc_id", 10, w, 4).withColumn("part", F.lit(w).cast("long")) for w in range(4)]
+    return reduce(DataFrame.unionByName, parts).groupBy("part").agg(F.count("*").alias("n"))
 
 

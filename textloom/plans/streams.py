@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.plans.common import shared_folder
 from textloom.streaming import streams as ST
 
 QUERIES: dict = {}
@@ -24,13 +23,7 @@ def query(sql: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the session's shared one; only a local session may do with its warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        base = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/textloom-stream/{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:

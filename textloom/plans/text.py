@@ -97,8 +97,10 @@ def vocab_topn(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {VOCAB} SELECT doc_id, count(*) AS n, sum((v.id IS NULL)::INT)::BIGINT AS n_unknown, sum(coalesce(v.id, 1))::BIGINT AS id_sum FROM tok LEFT JOIN vocab v USING (token) GROUP BY doc_id")
 def vocab_encode_unk(spark: SparkSession, d: str) -> DataFrame:
-    coded = V.encode(_tokens(spark, d), _vocab(spark, d))
-    return coded.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum((F.col("id") == 1).cast("long")).alias("n_unknown"), F.sum("id").cast("long").alias("id_sum"))
+    docs = read(spark, d, "documents").select("doc_id", T.punctuation_tokens(F.lower("text")).alias("t")).where("size(t) > 0")
+    ids = docs.select("doc_id", V.encode_rows(F.col("t"), _vocab(spark, d)).alias("ids"))
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.size(F.filter("ids", lambda x: x == 1)).cast("long").alias("n_unknown"), total.alias("id_sum"))
 
 
 @query(f"WITH {VOCAB} SELECT token, n, (row_number() OVER (ORDER BY token) - 1)::BIGINT AS id FROM counts WHERE n >= 3")

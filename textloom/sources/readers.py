@@ -55,6 +55,23 @@ def _groups(lines: DataFrame, closes: str) -> DataFrame:
     return counted.join(carried, ["file", "block"]).withColumn("grp", F.col("__run") + F.col("__before")).drop("__c", "__run", "__before")
 
 
+def indexed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(n, value)``: the lines of a file, or of a folder's files by name, numbered from 0 without a window over a file."""
+    lines = numbered_lines(spark, path)
+    at = F.row_number().over(Window.partitionBy("file", "block").orderBy("line_no"))
+    counted = lines.withColumn("__at", at)
+    splits = counted.groupBy("file", "block").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))  # a row per split
+    starts = splits.select("file", "block", F.coalesce(before, F.lit(0)).alias("__before"))
+    return counted.join(starts, ["file", "block"]).select((F.col("__at") + F.col("__before") - 1).alias("n"), "value")
+
+
+def zip_files(spark: SparkSession, left: str, right: str, skip_left: int = 0, skip_right: int = 0) -> DataFrame:
+    """``(n, left, right)``: the lines of two files side by side, after leaving out some first ones; null where a file has ended."""
+    side = lambda path, skip, name: indexed_lines(spark, path).where(F.col("n") >= skip).select((F.col("n") - skip).alias("n"), F.col("value").alias(name))
+    return side(left, skip_left, "left").join(side(right, skip_right, "right"), "n", "full")
+
+
 def read_tagged(spark: SparkSession, path: str, sep: str = " ", token_at: int = 0, tag_at: int = -1) -> DataFrame:
     """Token-per-line files: ``(file, sentence, tokens, tags)``.
 
@@ -105,6 +122,31 @@ NEGATIVE_KEYS = ("hard_negative_ctxs", "hard_negative_contexts", "hard_negative_
 PASSAGE = "array<struct<title: string, text: string, passage_id: string>>"
 
 
+# fixed values: the keys of natural-questions records
+NQ_SCHEMA = (
+    "example_id string, question_text string, document_text string, document_url string, "
+    "long_answer_candidates array<struct<start_token: int, end_token: int, top_level: boolean>>, "
+    "annotations array<struct<yes_no_answer: string, long_answer: struct<start_token: int, end_token: int, candidate_index: int>, "
+    "short_answers array<struct<start_token: int, end_token: int>>>>"
+).replace("short_answers array", "short_answers: array")
+
+
+def read_natural_questions(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of natural-questions records, as the processor takes them.
+
+    ``(example_id, question, words, long_start, long_end, short, yes_no)``: words are those between single spaces, positions theirs (-1 for
+    none), the first annotation counts; a record without one has no answer.
+    """
+    raw = spark.read.schema(NQ_SCHEMA).json(path)
+    first = F.get("annotations", F.lit(0))
+    short = F.transform(F.coalesce(first["short_answers"], F.array().cast("array<struct<start_token: int, end_token: int>>")), lambda s: F.struct(s["start_token"].alias("start"), s["end_token"].alias("end")))
+    return raw.select(
+        "example_id", F.col("question_text").alias("question"), F.split(F.coalesce("document_text", F.lit("")), " ").alias("words"),
+        F.coalesce(first["long_answer"]["start_token"], F.lit(-1)).alias("long_start"), F.coalesce(first["long_answer"]["end_token"], F.lit(-1)).alias("long_end"),
+        short.alias("short"), F.lower(F.coalesce(first["yes_no_answer"], F.lit("none"))).alias("yes_no"),
+    )
+
+
 def read_retrieval(spark: SparkSession, path: str, positives: int = 1, negatives: int = 1, shuffle_seed: int | None = 0, multiline: bool = False) -> DataFrame:
     """Query-passage records: ``(query, passages array<struct<title, text, label, external_id>>)``, by any of the keys' names."""
     fields = ", ".join([f"{k} string" for k in QUERY_KEYS] + [f"{k} {PASSAGE}" for k in (*POSITIVE_KEYS, *NEGATIVE_KEYS)])
