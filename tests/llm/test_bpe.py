@@ -33,8 +33,19 @@ def test_like_the_library(spark):
     rows = [(i, t, "clash") for i, t in enumerate(texts())] + [(4, "Don't stop", "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string, row string")
     for limit, piece in ((16384, 4096), (200, 7), (200, 64)):
-        got = sorted(tuple(r) for r in bpe.encode_texts(df, PATH, limit=limit, piece=piece).collect())
-        assert got == sorted((i, *whole(t)) for i, t, _ in rows)
+        found = bpe.encode_texts(df, PATH, limit=limit, piece=piece).collect()
+        assert sorted(tuple(r)[:4] for r in found) == sorted((i, *whole(t)) for i, t, _ in rows)
+        for r in found:
+            long = any(len(w) > bpe.SHORT for w in (rows[r["doc_id"]][1] or "").encode().split())
+            assert (r["n_by_tree"] > 0) == (long and r["n_tokens"] > 0) and r["n_by_tree"] <= r["n_tokens"]
+
+
+def test_words_about_the_limits(spark):
+    words = ["é" * 8, "é" * 8 + "a", "a" * 16, "a" * 17, "b" * 1024, "b" * 1025, "<|endoftext|>abcdefghijk", "<|endoftext|>" * 79, "it's" * 300]
+    df = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in bpe.encode_texts(df, PATH).collect()}
+    for i, w in enumerate(words):
+        assert got[i][:3] == whole(w) and got[i][3] == (got[i][0] if len(w.encode()) > 16 else 0)
 
 
 def test_join_agrees():

@@ -81,7 +81,7 @@ def test_stages(spark, tmp_path):
         ids = t.encode(r[1] or "", add_special_tokens=False).ids
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         want[r[0], len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))] += 1
-    assert Counter(tuple(r) for r in corpus_pipeline.run(spark, folder).collect()) == want
+    assert Counter(tuple(r)[:4] for r in corpus_pipeline.run(spark, folder).collect()) == want
 
 
 def test_columns_of_all_but_the_last(spark, tmp_path):

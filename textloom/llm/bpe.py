@@ -1,9 +1,9 @@
 """BPE encoding and decoding of whole texts, long unsplit text by tree concatenation.
 
 White space never joins two tokens of this vocabulary, so a text is encoded word by word, and a Python worker remembers the
-words that it has met in its task.  A word of more than ``LONG`` bytes takes another way: it is normalised and pre-tokenised, and
-every pre-token of more than ``PIECE`` symbols is cut in pieces, which are encoded in parallel tasks.  The pieces are then
-joined pairwise, as a tree.  At a join a window of tokens from both sides is encoded again; it grows twofold until its first
+words that it has met in its task.  A word of more than ``SHORT`` bytes is normalised and pre-tokenised, every pre-token is cut in pieces of
+``HALF`` symbols, and these are encoded and joined as a tree; ``n_by_tree`` counts the tokens that came so.  A word of more than ``LONG``
+bytes takes more tasks: its pieces, of ``PIECE`` symbols, are encoded in parallel before they are joined.  Pieces are joined pairwise.  At a join a window of tokens from both sides is encoded again; it grows twofold until its first
 token is the left side's token there and its last the right side's.  Then every two neighbours in the result are neighbours in a
 valid encoding of their own text, which makes the whole the encoding of the whole.
 
@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import materialise
 
-LONG, PIECE, REMEMBERED = 1024, 256, 100_000
+SHORT, HALF, LONG, PIECE, REMEMBERED = 16, 8, 1024, 256, 100_000
 
 
 class Codec:
-    """The tokenizer of one file, with a memory of words: word -> (ids as text, tokens as text, number of ids)."""
+    """The tokenizer of one file, with a memory of words: word -> (ids as text, tokens as text, number of ids, how many came by the tree)."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,7 +50,7 @@ class Codec:
         self.suffix = raw["model"].get("end_of_word_suffix") or ""
         added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.known: dict[bytes, tuple[str, str, int]] = {}
+        self.known: dict[bytes, tuple[str, str, int, int]] = {}
 
     @cached_property
     def last(self) -> object:
@@ -71,16 +71,32 @@ class Codec:
             self.known.clear()
         new = [w for w in words if w not in self.known]
         for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
+            part = [w for w in new[i : i + 10_000] if len(w) <= SHORT]
             for w, e in zip(part, self.whole.encode_batch_fast([x.decode("utf-8", "surrogatepass") for x in part], add_special_tokens=False), strict=True):
                 ids = e.ids
-                self.known[w] = (" ".join(map(str, ids)), self.whole.decode(ids, skip_special_tokens=False), len(ids))
-
-    def digest(self, parts: list[tuple[str, str, int]]) -> tuple[int, str, str]:
-        """Number of ids and the digests of a text whose words have these entries."""
+                self.known[w] = (" ".join(map(str, ids)), self.whole.decode(ids, skip_special_tokens=False), len(ids), 0)
+        for w in new:
+            if len(w) > SHORT:
+                self.known[w] = self.entry(self.by_tree(w.decode("utf-8", "surrogatepass")))
+
+    def entry(self, ids: list[int]) -> tuple[str, str, int, int]:
+        """The entry of a word whose ids came by the tree."""
+        return " ".join(map(str, ids)), self.whole.decode(ids, skip_special_tokens=False), len(ids), len(ids)
+
+    def by_tree(self, word: str) -> list[int]:
+        """The ids of a word whose pieces are encoded and joined here."""
+        ids: list[int] = []
+        for unit, special in self.units(word):
+            cuts = [unit] if special else [unit[i : i + HALF] for i in range(0, len(unit), HALF)]
+            parts = [cuts] if special else [t for t in (self.tokens(x, i + 1 == len(cuts)) for i, x in enumerate(cuts)) if t]
+            ids += map(self.whole.token_to_id, self.tree(parts))
+        return ids
+
+    def digest(self, parts: list[tuple[str, str, int, int]]) -> tuple[int, str, str, int]:
+        """Number of ids and the digests of a text whose words have these entries, and how many ids came by the tree."""
         parts = [p for p in parts if p[2]]
         sha = lambda k: hashlib.sha256(" ".join([p[k] for p in parts]).encode()).hexdigest()
-        return sum(p[2] for p in parts), sha(0), sha(1)
+        return sum(p[2] for p in parts), sha(0), sha(1), sum(p[3] for p in parts)
 
     # long unsplit text
 
@@ -126,7 +142,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _row(c: Codec, text: str, long: list[list[int]] | None = None, limit: int = LONG) -> tuple[int, str, str]:
+def _row(c: Codec, text: str, long: list[list[int]] | None = None, limit: int = LONG) -> tuple[int, str, str, int]:
     words = text.encode("utf-8", "surrogatepass").split()
     if long is None:
         return c.digest([c.known[w] for w in words])
@@ -136,16 +152,15 @@ def _row(c: Codec, text: str, long: list[list[int]] | None = None, limit: int =
         if len(w) <= limit:
             parts.append(c.known[w])
         else:
-            ids = next(rest)
-            parts.append((" ".join(map(str, ids)), c.whole.decode(ids, skip_special_tokens=False), len(ids)))
+            parts.append(c.entry(next(rest)))
     return c.digest(parts)
 
 
 def encode_texts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = LONG, piece: int = PIECE) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every row; ``limit`` in bytes of UTF-8."""
+    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and ``n_by_tree`` of every row; ``limit`` in bytes of UTF-8."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    out = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_by_tree long"
     # a word of more than limit bytes has more than limit / 4 characters
     has_long = (F.octet_length("text") > limit) & F.exists(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: F.octet_length(w) > limit)
 
@@ -160,7 +175,7 @@ def encode_texts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                     words.update(t.encode("utf-8", "surrogatepass").split())
                 c.learn(words)
                 rows = [_row(c, t) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, zip(*rows, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, zip(*rows, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_by_tree"])
         c.known.clear()  # a worker goes on to other tasks
 
     easy = slim.where(~has_long).mapInArrow(short, out)
@@ -211,8 +226,8 @@ def encode_texts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                 held.append(tokens)
         if held:
             words[-1] += map(number, c.tree(held))
-        n, ids, decoded = _row(c, texts.column("text")[0].as_py(), words, limit)
-        return pa.table({"doc_id": texts.column("doc_id").cast(texts.schema.field("doc_id").type), "n_tokens": [n], "ids_sha256": [ids], "decoded_sha256": [decoded]})
+        n, ids, decoded, by_tree = _row(c, texts.column("text")[0].as_py(), words, limit)
+        return pa.table({"doc_id": texts.column("doc_id").cast(texts.schema.field("doc_id").type), "n_tokens": [n], "ids_sha256": [ids], "decoded_sha256": [decoded], "n_by_tree": [by_tree]})
 
     hard = rare.groupBy("row").cogroup(pieces.groupBy("row")).applyInArrow(assemble, out)
     return easy.unionByName(hard)
