@@ -293,7 +293,7 @@ WITH RECURSIVE damaged AS (
         FROM conversations), range(2) r(c)
   WHERE fate <> 0 AND (c = 0 OR fate = 3)),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, substr(role, 1, 1) AS i0, role || ':' || text AS line FROM damaged),
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(role, 1, 16), substr(text, 1, 64), md5(role || ':' || text)) AS i, substr(role, 1, 1) AS i0, role || ':' || text AS line FROM damaged),
 faulty AS (
   SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 3
                  WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 0 ELSE 1 END AS fault,

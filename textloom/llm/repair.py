@@ -9,15 +9,15 @@ shortest paths in Dial's manner: nodes wait in a ring of buckets, one for each o
 is no heap and no comparison.  From the start, the walk follows at each node the tight arc (distance here = cost + distance there)
 with the ASCII-least letter of Delete, Insert, Keep, Rerole.  A node has one arc of each letter, hence the audit is the least one.
 
-Scale: rows are shuffled once by ranges of (conversation, turn, role, text, row), so a conversation of a third of all rows is cut in
-segments.  A segment becomes a string, one letter a row.  For each last role before and after a segment one search gives the cheapest
+Scale: rows are shuffled once by ranges of their order, down to the single row, so a conversation of a third of all rows is cut in
+segments.  The order has at most 16 characters of a role and 64 of a text in it, so the bounds of ranges stay small.  A segment becomes a string, one letter a row.  For each last role before and after a segment one search gives the cheapest
 cost through it; these 4 x 4 costs of a conversation's segments are joined backwards to the distances at their ends, each segment
 walks from each of its four entries, and a pass forwards picks the walks that meet.  So no task holds more of a conversation than a
 segment's letters and 16 numbers a segment, but for its audit, which is one cell of the result.  First rows of repeated ones come from a
 partial aggregation and a join on the number of the row.  ``repaired_turns`` gives the rows after repair, segment by segment.
 A digest of a whole conversation can only be taken in order: ``digests`` streams its rows through one task and holds none of them.
 
-Defined cases: rows are ordered by turn (null first), then role, then text; null roles and texts count as one space, and a null id or turn as
+Defined cases: rows are ordered by turn (null first), then role and text by their first 16 and 64 characters, then by a digest of both; null roles and texts count as one space, and a null id or turn as
 one space in the damage; rows without an id are one conversation; roles that begin with none of s, u, a are never legal as they are;
 repeated rows are duplicates but for the first; a conversation of which no row is left has an empty audit and zeros; an empty table
 gives an empty result.  Extra columns are ignored.
@@ -206,9 +206,10 @@ def ordered(rows: DataFrame) -> DataFrame:
     """The rows with ``at``, a number that rises within a conversation in order of turn, and ``seg``, the segment; a written table."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     space = lambda c: F.coalesce(F.col(c), F.lit(" ")).alias(c)
-    slim = rows.select("conv_id", "turn", space("role"), space("text")).withColumn("r", F.monotonically_increasing_id())
-    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text", "r")]
-    slim = slim.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("r")
+    slim = rows.select("conv_id", "turn", space("role"), space("text"))
+    ties = {"r0": F.substring("role", 1, 16), "t0": F.substring("text", 1, 64), "m": F.md5(F.concat_ws(":", "role", "text")), "r": F.monotonically_increasing_id()}
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", *ties)]
+    slim = slim.withColumns(ties).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop(*ties)
     return materialise(slim.withColumns({"at": F.monotonically_increasing_id(), "seg": F.spark_partition_id()}), "repair-rows")
 
 
