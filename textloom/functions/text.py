@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,20 +123,28 @@ def transposed(rows: Column) -> Column:
 
 
 def joined_sentences(sentences: Column) -> Column:
-    """Tokenised sentences ``array<struct<tokens, offsets, initial>>`` as one, offsets moved on.
+    """Tokenised sentences ``array<struct<tokens, offsets, initial>>`` as one, offsets moved on; in time linear in the tokens.
 
-    A sentence begins two places after the first place of the last token before it.  Sentences without tokens are left out.
+    A sentence begins two places after the first place of the last token before it.  Sentences without tokens add nothing; of a null
+    array or an empty one nothing is left.
     """
-    held = F.filter(sentences, lambda s: F.size(s["tokens"]) > 0)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-    shifts = F.aggregate(
-        held, start,
-        lambda a, s: F.struct((a["at"] + F.element_at(s["offsets"], -1) + 2).cast("long").alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")),
-        lambda a: a["starts"],
-    )
-    moved = F.flatten(F.transform(F.arrays_zip(held.alias("s"), shifts.alias("by")), lambda x: F.transform(x["s"]["offsets"], lambda o: o + x["by"])))
-    flat = lambda name: F.flatten(F.transform(held, lambda s: s[name])).alias(name)
-    return F.struct(flat("tokens"), moved.alias("offsets"), flat("initial"))
+
+    @F.arrow_udf("struct<tokens: array<string>, offsets: array<bigint>, initial: array<int>>")
+    def joined(rows: pa.Array) -> pa.Array:
+        count = lambda x: pc.fill_null(pc.list_value_length(x), 0).to_numpy().astype(np.int64)
+        before = lambda x: np.concatenate([[0], np.cumsum(x)])
+        flat = rows.flatten()
+        tokens, offsets, initial = (pc.struct_field(flat, [i]) for i in range(3))
+        per_row, n, values = count(rows), count(tokens), offsets.flatten().to_numpy().astype(np.int64)
+        ends, edges = before(n), before(per_row)
+        step = np.where(n > 0, values[np.maximum(ends[1:] - 1, 0)] + 2, 0) if len(values) else np.zeros(len(n), np.int64)
+        at = before(step)
+        shift = at[:-1] - np.repeat(at[edges[:-1]], per_row)
+        bounds = pa.array(ends[edges].astype(np.int32))
+        parts = [tokens.flatten(), pa.array(values + np.repeat(shift, n)), initial.flatten().cast(pa.int32())]
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(bounds, x) for x in parts], ["tokens", "offsets", "initial"])
+
+    return joined(sentences)
 
 
 def store_path(url: Column) -> Column:

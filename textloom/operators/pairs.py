@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,19 +62,24 @@ def segment_pairs(docs: DataFrame, key: str, sizes: str, limit: int, seed: int,
         for batch in it:
             keys = batch.column("key")
             columns = [batch.column(f"x{i}") for i in range(len(arrays))]
-            rows, at, slices = [], [], [[] for _ in range(2 * len(arrays))]
+            begins = [np.cumsum(pc.fill_null(pc.list_value_length(c), 0).to_numpy()) for c in columns]
+            rows, at = [], []
             for r, (k, p, rn, n_rows) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "pieces", "rn", "n_rows")), strict=True)):
-                values = [c[r].values for c in columns]
                 for pair, (a, b, follows, draw, start) in enumerate(_pairs(str(k), p, most, seed)):
                     want = (rn + draw % max(n_rows - 1, 1)) % n_rows + 1
                     rows.append((pair, *a, follows, *(b or (None, None)), want, start, most - (a[1] - a[0])))
                     at.append(r)
-                    for i, v in enumerate(values):
-                        slices[2 * i].append(v[a[0] : a[1]])
-                        slices[2 * i + 1].append(v[b[0] : b[1]] if b else None)
             if rows:
+                places = [[np.array([x[k] or 0 for x in rows]) for k in (f, f + 1)] for f in (1, 4)]  # of A and of B
                 cols = [keys.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))]
-                cols += [pa.array(s, batch.schema.field(f"x{j // 2}").type) for j, s in enumerate(slices)]
+                for c, begin in zip(columns, begins, strict=True):
+                    values = c.flatten()
+                    shift = np.concatenate([[0], begin])[np.array(at)]
+                    for first, last in places:
+                        n = last - first
+                        ends = np.concatenate([[0], np.cumsum(n)])
+                        index = np.arange(ends[-1]) + np.repeat(shift + first - ends[:-1], n)
+                        cols.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values.take(pa.array(index))).cast(c.type))
                 yield pa.RecordBatch.from_arrays(cols, ["key", *names, *(f"{s}{i}" for i in range(len(arrays)) for s in "ab")])
 
     made = work.mapInArrow(cut, schema)

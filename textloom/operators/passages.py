@@ -31,6 +31,21 @@ def with_offsets(df: DataFrame, text: str = "text") -> DataFrame:
     return df.mapInArrow(batches, schema)
 
 
+def sentence_tokens(lines: Column) -> Column:
+    """An array of texts as an array of structs of white-space ``tokens``, their ``offsets`` and ``initial``, 1 for each."""
+
+    @F.arrow_udf("array<struct<tokens: array<string>, offsets: array<bigint>, initial: array<int>>>")
+    def cut(rows: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("tokens", pa.list_(pa.string())), ("offsets", pa.list_(pa.int64())), ("initial", pa.list_(pa.int32()))]))
+        out = []
+        for row in rows.to_pylist():
+            found = [list(TOKEN.finditer(t or "")) for t in row or ()]
+            out.append([{"tokens": [m.group() for m in f], "offsets": [m.start() for m in f], "initial": [1] * len(f)} for f in found])
+        return pa.array(out, kind)
+
+    return cut(lines)
+
+
 def token_at(starts: Column, ch: Column) -> Column:
     """The last token that starts at or before a character; null before the first one."""
     n = F.size(F.filter(starts, lambda s: s <= ch))

@@ -9,6 +9,7 @@ from textloom.functions import text as T
 from textloom.functions import vectors as V
 from textloom.operators import metrics as M
 from textloom.operators import pairs as PR
+from textloom.operators import passages as PS
 from textloom.plans.common import read, shared_folder
 from textloom.sources import readers as R
 from textloom.sources import writers as W
@@ -234,15 +235,7 @@ def linear_and_softmax(spark: SparkSession, d: str) -> DataFrame:
 )
 def joined_sentences(spark: SparkSession, d: str) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))
-
-    def sentence(line: Column) -> Column:
-        parts = F.regexp_extract_all(line, F.lit(r"\s*\S+"), F.lit(0))
-        tokens = F.transform(parts, lambda p: F.regexp_extract(p, r"\S+", 0))
-        ends = F.aggregate(parts, F.array().cast("array<bigint>"), lambda a, p: F.concat(a, F.array((F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long")) + F.length(p)).cast("long"))))
-        offsets = F.transform(F.arrays_zip(ends.alias("e"), tokens.alias("t")), lambda x: x["e"] - F.length(x["t"]))
-        return F.struct(tokens.alias("tokens"), offsets.alias("offsets"), F.transform(tokens, lambda _: F.lit(1)).alias("initial"))
-
-    docs = read(spark, d, "documents").select("doc_id", T.joined_sentences(F.transform(lines, sentence)).alias("j"))
+    docs = read(spark, d, "documents").select("doc_id", T.joined_sentences(PS.sentence_tokens(lines)).alias("j"))
     return docs.select("doc_id", F.size("j.tokens").cast("long").alias("n_tokens"), F.coalesce(F.try_element_at("j.offsets", F.lit(-1)), F.lit(-1)).cast("long").alias("last_offset"))
 
 
