@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import subwords, tables
 from textloom.functions import tokenizers as K
-from textloom.operators import calibration, fitting, heads, ranking, retrieval, splits, tagging, tags, validation
+from textloom.operators import calibration, fitting, heads, models, ranking, retrieval, splits, tagging, tags, validation
 
 LABELS = ["O", "B-PER", "I-PER", "B-LOC", "I-LOC"]
 
@@ -351,3 +351,43 @@ def test_sql_functions(spark):
     assert got == {("1", "a", "1", "2", 2), ("1", "b", "3", "3", 1), ("1", "a", "4", "4", 1), ("2", "a", "1", "1", 1), (None, None, "5", "6", 2)}
     counts = spark.createDataFrame([("x", 1), ("x", 1), ("y", 5), ("z", None)], "g string, n long")
     assert {r[0]: r[1] for r in spark.sql("SELECT g, entropy(n) FROM {c} GROUP BY g", c=counts).collect()} == {"x": 1.0, "y": 0.0, "z": 0.0}
+
+
+# vectors of sentences, several labels
+
+
+def test_cluster_pooling_against_numpy(spark):
+    rnd = np.random.default_rng(4)
+    size, k = 3, 4
+    v = {f"t{i}": rnd.normal(size=size) for i in range(20)}
+    cluster = {t: int(rnd.integers(k)) for t in v}
+    weight = {t: float(rnd.random()) for t in v}
+    centroid = rnd.normal(size=(k, size))
+    sentences = {s: [f"t{rnd.integers(22)}" for _ in range(rnd.integers(1, 12))] for s in range(8)}  # two tokens have no vector
+    tokens = spark.createDataFrame([(s, t) for s, ts in sentences.items() for t in ts], "s long, token string")
+    clustered = spark.createDataFrame([(t, x.tolist(), cluster[t], weight[t]) for t, x in v.items()], "token string, v array<double>, cluster int, weight double")
+    centroids = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroid)], "cluster int, centroid array<double>")
+    got = {r["s"]: r["v"] for r in models.cluster_pooling(tokens, clustered, centroids, "s", size, k).collect()}
+    for s, ts in sentences.items():
+        own = {t for t in ts if t in v}
+        if not own:
+            assert s not in got
+            continue
+        m = np.zeros((k, size))
+        for t in own:
+            m[cluster[t]] += weight[t] * v[t] - centroid[cluster[t]]
+        c = np.cov(m.T)
+        flat = np.array([c[i, j] * (1 if i == j else math.sqrt(2)) for i in range(size) for j in range(i, size)])
+        mean = sum(weight[t] * v[t] for t in own) / len(own)
+        assert np.allclose(got[s], np.concatenate([mean, flat / np.linalg.norm(flat)]))
+
+
+def test_multilabel(spark):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(80):
+        a, b = i % 2, i // 2 % 2
+        rows.append((i, " ".join([*["red"] * (3 * a), *["blue"] * (3 * b), *[f"w{rnd.randrange(9)}" for _ in range(4)]]), a, b))
+    df = spark.createDataFrame(rows, "id long, text string, a int, b int")
+    out = models.classify_multilabel(models.fit_multilabel(df, "text", ["a", "b"]), df)
+    assert all(r["labels"] == [x for x in ("a", "b") if r[x]] for r in out.collect())

@@ -145,17 +145,17 @@ def cluster_pooling(tokens: DataFrame, clustered: DataFrame, centroids: DataFram
     rows = tokens.select(by, "token").distinct().join(clustered, "token").join(F.broadcast(centroids), "cluster")  # k rows
     moved = rows.select(by, "cluster", F.transform("v", lambda x: x * F.col("weight")).alias("wv"), "centroid")
     parts = moved.groupBy(by, "cluster").agg(
-        F.count("*").alias("n"),
-        F.array(*[F.sum(F.get("wv", F.lit(i))) for i in range(size)]).alias("s"),
-        F.array(*[F.sum(F.get("wv", F.lit(i)) - F.get("centroid", F.lit(i))) for i in range(size)]).alias("r"),
+        F.count("*").alias("__n"),
+        F.array(*[F.sum(F.get("wv", F.lit(i))) for i in range(size)]).alias("__s"),
+        F.array(*[F.sum(F.get("wv", F.lit(i)) - F.get("centroid", F.lit(i))) for i in range(size)]).alias("__r"),
     )
-    sentences = parts.groupBy(by).agg(F.sum("n").alias("n"), F.collect_list(F.struct("cluster", "s", "r")).alias("p"))
+    sentences = parts.groupBy(by).agg(F.sum("__n").alias("__n"), F.collect_list(F.struct("cluster", F.col("__s").alias("s"), F.col("__r").alias("r"))).alias("__p"))
     upper = np.triu_indices(size if size < k else k)
 
     def pooled(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in it:
             out = []
-            for n, p in zip(g["n"], g["p"], strict=True):
+            for n, p in zip(g["__n"], g["__p"], strict=True):
                 m = np.zeros((k, size))
                 for x in p:
                     m[x["cluster"]] = x["r"]
