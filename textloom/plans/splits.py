@@ -165,13 +165,17 @@ FROM documents d, benchmark b WHERE contains(d.text, b.text) AND len(regexp_extr
 
 
 def find_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Verbatim finds of ``items(item_id, text)`` in documents: an equi-join on the items' first eight words, then a comparison."""
+    """Verbatim finds of ``items(item_id, text)`` in documents: an equi-join on hashes of six inner words, then a comparison.
+
+    An item may begin and end within a word, so only its inner words are sure to be words of the document; items of fewer than eight
+    words are not searched.
+    """
     words = T.space_tokens(F.col("text"))
     keyed = items.select("item_id", F.col("text").alias("item"), words.alias("w")).where(F.size("w") >= 8)
-    keyed = keyed.select("item_id", "item", F.get("w", F.lit(3)).alias("w3"), F.array_join(F.slice("w", 2, 6), " ").alias("key"))
+    keyed = keyed.select("item_id", "item", F.xxhash64(F.slice("w", 2, 6)).alias("key"))
     grams = docs.select("doc_id", T.space_tokens(F.col("text")).alias("t")).where(F.size("t") >= 6)
-    grams = grams.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 5), lambda i: F.array_join(F.slice("t", i, 6), " "))).alias("key"))
-    found = grams.join(keyed.select("item_id", "item", "key"), "key").select("doc_id", "item_id", "item").distinct()
+    grams = grams.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 5), lambda i: F.xxhash64(F.slice("t", i, 6)))).alias("key"))
+    found = grams.join(keyed, "key").select("doc_id", "item_id", "item").distinct()
     out = found.join(docs.select("doc_id", "text"), "doc_id").withColumn("at", F.expr("instr(text, item)")).where("at > 0")
     return out.select("doc_id", "item_id", (F.col("at") - 1).alias("start_ch"), (F.col("at") - 1 + F.length("item")).alias("end_ch"), "text")
 
