@@ -44,27 +44,22 @@ class Codec:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_padding()
         self.whole.no_truncation()
-        with open(path, encoding="utf-8") as f:
-            raw = json.load(f)
-        self.raw = raw | {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "post_processor": None}
-        self.suffix = raw["model"].get("end_of_word_suffix") or ""
+        self.path, self.last = path, self.whole.model
+        self.suffix = self.last.end_of_word_suffix or ""
         added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.known: dict[bytes, tuple[str, str, int, int]] = {}
 
-    @cached_property
-    def last(self) -> object:
-        """The model alone, for the last piece of a pre-token."""
-        from tokenizers import Tokenizer
-
-        return Tokenizer.from_str(json.dumps(self.raw))
-
     @cached_property
     def inner(self) -> object:
-        """The model alone, for the other pieces."""
-        from tokenizers import Tokenizer
+        """The model for pieces that do not end their pre-token; nothing but it stays of the file."""
+        from tokenizers.models import BPE
 
-        return Tokenizer.from_str(json.dumps(self.raw | {"model": self.raw["model"] | {"end_of_word_suffix": None}}))
+        with open(self.path, encoding="utf-8") as f:
+            raw = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in raw["merges"]]
+        rest = {k: raw.get(k) for k in ("unk_token", "continuing_subword_prefix") if raw.get(k) is not None}
+        return BPE(raw["vocab"], merges, fuse_unk=bool(raw.get("fuse_unk")), byte_fallback=bool(raw.get("byte_fallback")), **rest)
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > REMEMBERED:
@@ -110,7 +105,7 @@ class Codec:
                     yield unit, False
 
     def tokens(self, text: str, last: bool) -> list[str]:
-        return (self.last if last else self.inner).encode(text, add_special_tokens=False).tokens
+        return [t.value for t in (self.last if last else self.inner).tokenize(text)]
 
     def text(self, tokens: list[str], last: bool) -> str:
         s = "".join(tokens)

@@ -50,6 +50,8 @@ WORDS, SHAPES, STEPS, LANGS, SOURCES = 61440, 4096, 32, 64, 256
 #: The labelled sample is read once per step of a fit, so it lies in few files.
 PARTS = 6
 REMEMBERED = 200_000
+#: So many texts are held at a time with their features.
+SLICE = 500
 #: layout figure -> steps per unit
 FIGURES = {"words": 3, "chars": 2, "word_length": 2, "symbols": 80, "dup_lines": 20, "repeats": 20, "upper": 20, "line_words": 4, "lines": 3, "digits": 40}
 WIDTH = {"text": WORDS + SHAPES, "meta": len(FIGURES) * STEPS + LANGS + SOURCES}
@@ -108,12 +110,14 @@ def extract(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, dict[str
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Features()
-        for b in it:
-            texts = b.column("t").to_pylist()
-            found = [text_features(t, known) for t in texts]
-            meta = [meta_features(*row) for row in zip(texts, b.column("l").to_pylist(), b.column("s").to_pylist(), strict=True)]
-            cols = [_lists([f for f, _ in found], pa.int32()), _lists([np.log1p(n) for _, n in found], pa.float32()), _lists(meta, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in held), *cols], [*keep, *names.values()])
+        for whole in it:
+            for first in range(0, whole.num_rows, SLICE):
+                b = whole.slice(first, SLICE)
+                texts = b.column("t").to_pylist()
+                found = [text_features(t, known) for t in texts]
+                meta = [meta_features(*row) for row in zip(texts, b.column("l").to_pylist(), b.column("s").to_pylist(), strict=True)]
+                cols = [_lists([f for f, _ in found], pa.int32()), _lists([np.log1p(n) for _, n in found], pa.float32()), _lists(meta, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in held), *cols], [*keep, *names.values()])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     kinds = f"{kinds}, {names['text']} array<int>, {names['values']} array<float>, {names['meta']} array<int>"
