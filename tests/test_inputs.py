@@ -1,5 +1,6 @@
 """Subword pieces and the processors that end in ids, on small tables."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,33 @@ def test_no_answer_passages_are_sampled(spark):
     for part in (some, none):
         assert {r.k for r in part} == set(range(20)) and sum(r.answer_type_ids > 0 for r in part) == sum(r.answer_type_ids > 0 for r in every)
     assert all(sum(r.k == k for r in none) == max(1, sum(r.k == k and r.answer_type_ids > 0 for r in every)) for k in range(20))
+
+
+def test_batches_are_taken_in_slices_of_bounded_size():
+    from textloom.functions import batches as B
+
+    b = pa.RecordBatch.from_arrays([pa.array(["x" * (1 + i % 3) * 1000 for i in range(100)]), pa.array([["y"] * i for i in range(100)])], ["text", "words"]).slice(7)
+    parts = list(B.slices(b, 20_000))
+    assert len(parts) > 1 and all(p.nbytes <= 20_000 or p.num_rows == 1 for p in parts)
+    assert pa.Table.from_batches(parts).to_pylist() == b.to_pylist()
+    assert [p.num_rows for p in B.slices(b.slice(0, 0))] == [0]
+
+
+def test_slices_of_words_keep_nulls_and_cut_a_kept_word_alike(monkeypatch):
+    from textloom.functions import batches as B
+
+    monkeypatch.setattr(B, "KEPT", 2)
+    cutter = B.Pieces(lambda w: [(len(w),)] * len(w), 1)
+    for words in (pa.array([["a", None, "bcd"], None, [], ["bcd", "ef"]]), pa.array([["g", "a"], ["hij"]])):
+        rows, ends, found, *_ = cutter(words)
+        want = [None if w is None else [len(x) for x in w if x for _ in x] for w in words.to_pylist()]
+        assert B.lists(ends[rows], found[:, 0], words.is_null()).to_pylist() == want
+        assert len(cutter.known) <= 2
+
+
+def test_a_text_of_questions_is_cut_once(spark):
+    from textloom.plans import inputs
+
+    df = spark.createDataFrame([("is it", "a b c", [(0, "a")])], "question string, text string, answers array<struct<start: bigint, text: string>>")
+    plan = inputs.question_inputs(inputs.VOCABULARY, 16, 4, 5)(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # of the question and of the text; a filter on pieces would be a third

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions import batches as B
+
 # fixed values: the special tokens and the mark of a piece that goes on within a word
 PAD, UNK, CLS, SEP, MASK = "[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"
 INNER = "##"
@@ -37,8 +38,9 @@ def word_pieces(words: Column, vocabulary: Sequence[str], text: Column | None =
     """A struct of three arrays for an array of words: ``ids`` of the pieces, ``initial`` (1 at a word's first piece), ``starts``.
 
     ``starts`` are the pieces' first characters in ``text``, in which the words stand in this order with only white space between
-    them, or else in the words set side by side.  An id is a token's place in ``vocabulary``, which has to hold ``[UNK]``.  A batch
-    cuts each different word once; its rows are put together by whole arrays.  Null words have no pieces.
+    them, or else in the words set side by side.  An id is a token's place in ``vocabulary``, which has to hold ``[UNK]``.  Batches
+    come in slices of bounded size (:mod:`textloom.functions.batches`), whose rows are put together by whole arrays; a task keeps the
+    pieces of its words up to a bound.  Null words have no pieces.
     """
     ids = {t: i for i, t in enumerate(vocabulary)}
     unknown = ids[UNK]
@@ -49,32 +51,25 @@ def word_pieces(words: Column, vocabulary: Sequence[str], text: Column | None =
         return (cut_word(form, ids, longest) if len(w) <= LONGEST_WORD else None) or [(unknown, 0)]
 
     @F.arrow_udf("struct<ids: array<int>, initial: array<int>, starts: array<int>>")
-    def pieces(words: pa.Array, text: pa.Array) -> pa.Array:
-        per_row = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
-        coded = words.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        cuts = [cut(w) for w in known] + [[]]  # the last is a null word's
-        codes = pc.fill_null(coded.indices, len(known)).to_numpy().astype(np.int64)
-        firsts = np.cumsum([0, *map(len, cuts)])
-        table = np.array([p for c in cuts for p in c], np.int64).reshape(-1, 2)
-        n = np.diff(firsts)[codes]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        within = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
-        found = table[np.repeat(firsts[codes], n) + within]
-        rows = np.concatenate([[0], np.cumsum(per_row)])
-        sizes = np.array([*map(len, known), 0], np.int64)[codes]
-        before = np.cumsum(sizes) - sizes
-        at = before - np.repeat(np.concatenate([before, [0]])[np.minimum(rows[:-1], len(before))], per_row)
-        if text.null_count < len(text):
-            for r, t in enumerate(text.to_pylist()):
-                place = 0
-                for i in range(rows[r], rows[r + 1]) if t is not None else ():
-                    if codes[i] < len(known):
-                        place = t.index(known[codes[i]], place)
-                        at[i] = place
-                        place += sizes[i]
-        bounds = pa.array(ends[rows].astype(np.int32))
-        lists = [found[:, 0], within == 0, np.repeat(at, n) + found[:, 1]]
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in lists], ["ids", "initial", "starts"])
+    def pieces(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        cutter = B.Pieces(cut, 2)
+        for batch in it:
+            for words, text in B.column_slices(batch):
+                rows, ends, found, within, codes, different = cutter(words)
+                n = np.diff(ends)
+                known = different.to_pylist()
+                sizes = np.array([*map(len, known), 0], np.int64)[codes]
+                before = np.cumsum(sizes) - sizes
+                at = before - np.repeat(np.concatenate([before, [0]])[np.minimum(rows[:-1], len(before))], np.diff(rows))
+                if text.null_count < len(text):
+                    for r, t in enumerate(text.to_pylist()):
+                        place = 0
+                        for i in range(rows[r], rows[r + 1]) if t is not None else ():
+                            if codes[i] < len(known):
+                                place = t.index(known[codes[i]], place)
+                                at[i] = place
+                                place += sizes[i]
+                parts = (found[:, 0], within == 0, np.repeat(at, n) + found[:, 1])
+                yield pa.StructArray.from_arrays([B.lists(ends[rows], x) for x in parts], ["ids", "initial", "starts"])
 
     return pieces(words, F.lit(None).cast("string") if text is None else text)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions import batches as B
 from textloom.operators.ranks import hash_key, hash_rank
 
 
@@ -59,7 +60,7 @@ def segment_pairs(docs: DataFrame, key: str, sizes: str, limit: int, seed: int,
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in base.split(", ")]
         types = [{"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}[part.split()[1]] for part in base.split(", ")]
-        for batch in it:
+        for batch in (part for whole in it for part in B.slices(whole)):
             keys = batch.column("key")
             columns = [batch.column(f"x{i}") for i in range(len(arrays))]
             begins = [np.cumsum(pc.fill_null(pc.list_value_length(c), 0).to_numpy()) for c in columns]

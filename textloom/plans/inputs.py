@@ -7,13 +7,15 @@ list of tokens in the order of their ids and is the only thing sent to the tasks
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import batches as B
 from textloom.functions import subwords as S
 from textloom.functions import text as T
 from textloom.operators import pairs as PR
@@ -29,8 +31,10 @@ SQL: dict[str, str] = {}
 ANSWER_TYPES = ("no_answer", "span", "yes", "no")
 
 
-def _words(text: Column) -> Column:
-    return T.punctuation_tokens(F.coalesce(text, F.lit("")))
+def _words(text: Column, most: int | None = None) -> Column:
+    """The words of a text; the ``most`` first ones are enough where no more pieces are taken, as each word has a piece."""
+    found = T.punctuation_tokens(F.coalesce(text, F.lit("")))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def _assembled(vocabulary: Sequence[str], first: Column, second: Column | None, size: int) -> list[Column]:
@@ -62,7 +66,7 @@ def text_inputs(
 
     def run(df: DataFrame) -> DataFrame:
         names = [text] if text_b is None else [text, text_b]
-        sides = [S.word_pieces(_words(F.col(c)), vocabulary)["ids"] for c in names]
+        sides = [S.word_pieces(_words(F.col(c), size), vocabulary)["ids"] for c in names]
         out = df.select("*", *_assembled(vocabulary, *_truncated(sides[0], sides[1] if text_b else None, size), size))
         if scaling is not None:
             return out.withColumn("regression_label", ((F.col(label) - scaling[0]) / scaling[1]).cast("double"))
@@ -82,7 +86,7 @@ def tag_inputs(vocabulary: Sequence[str], labels: Sequence[str], tokens: str = "
 
     def run(df: DataFrame) -> DataFrame:
         work = df if tags is None else df.where(F.forall(tags, lambda t: t.isin(*labels)))
-        cut = S.word_pieces(F.col(tokens), vocabulary)
+        cut = S.word_pieces(F.slice(F.filter(tokens, lambda w: w.isNotNull()), 1, size), vocabulary)
         first, initial = F.slice(cut["ids"], 1, size - 2), F.slice(cut["initial"], 1, size - 2)
         mask = T.pad(T.with_specials(initial, None, 0, 0), size, F.lit(0))
         out = work.select("*", *_assembled(vocabulary, first, None, size), mask.alias("initial_mask"))
@@ -100,13 +104,17 @@ def _passages(df: DataFrame, vocabulary: Sequence[str], size: int, stride: int,
     """Passages of ``df(..., q, p, spans)``: ids of the question and the document, and answers as first and last piece.
 
     Positions of labels count from the start of the input.  An answer that is not whole within the passage is (0, 0), as is the first
-    slot where there is none; free slots are (-1, -1).
+    slot where there is none; free slots are (-1, -1).  A passage's row holds its own pieces, not the document's; every document has a piece.
     """
-    n, room = F.size("p"), size - 3 - F.size("q")
-    last = F.greatest(F.lit(0), F.ceil((n - room) / stride)).cast("int")
-    out = df.where(n > 0).withColumn("passage", F.explode(F.sequence(F.lit(0), last))).withColumn("passage_start_t", F.col("passage") * stride)
-    shift = F.size("q") + 2
-    held = F.slice(F.col("p"), F.col("passage_start_t") + 1, room)
+    room, shift = size - 3 - F.size("q"), F.size("q") + 2
+    last = F.greatest(F.lit(0), F.ceil((F.size("p") - room) / stride)).cast("int")
+
+    def window(k: Column) -> Column:
+        return F.struct(k.alias("passage"), (k * stride).alias("passage_start_t"), F.slice(F.col("p"), k * stride + 1, room).alias("__held"))
+
+    work = df.withColumn("__n", F.size("p"))
+    out = work.select(*[c for c in work.columns if c != "p"], F.inline(F.transform(F.sequence(F.lit(0), last), window)))
+    n, held = F.col("__n"), F.col("__held")
 
     def moved(a: Column) -> Column:
         first, end = a["first"] - F.col("passage_start_t"), a["last"] - F.col("passage_start_t")
@@ -118,7 +126,7 @@ def _passages(df: DataFrame, vocabulary: Sequence[str], size: int, stride: int,
     answers = F.when(F.size("spans") > 0, F.transform("spans", moved)).otherwise(none)
     return out.select(
         "*", *_assembled(vocabulary, F.col("q"), held, size), shift.alias("seq_2_start_t"), PS.label_slots(answers, slots).alias("labels")
-    ).drop("q", "p", "spans")
+    ).drop("q", "__n", "__held", "spans")
 
 
 def _check(size: int, stride: int, question_size: int) -> None:
@@ -136,7 +144,8 @@ def question_inputs(vocabulary: Sequence[str], size: int = 384, stride: int = 12
 
     def run(df: DataFrame) -> DataFrame:
         cut = S.word_pieces(_words(F.col("text")), vocabulary, F.coalesce("text", F.lit("")))
-        work = df.withColumn("q", F.slice(S.word_pieces(_words(F.col("question")), vocabulary)["ids"], 1, question_size)).withColumn("cut", cut)
+        work = df.where(F.col("text").rlike(r"\S"))  # not of the pieces, which a pushed filter would cut twice
+        work = work.withColumn("q", F.slice(S.word_pieces(_words(F.col("question"), question_size), vocabulary)["ids"], 1, question_size)).withColumn("cut", cut)
         place = lambda ch: F.coalesce(PS.token_at(F.col("cut.starts"), ch), F.lit(-1))
         span = lambda a: F.struct(place(a["start"]).alias("first"), place(a["start"] + F.length(a["text"]) - 1).alias("last"))
         work = work.withColumn("spans", F.transform("answers", span)).withColumn("p", F.col("cut.ids")).drop("cut")
@@ -155,8 +164,8 @@ def natural_questions_inputs(vocabulary: Sequence[str], size: int = 384, stride:
     _check(size, stride, question_size)
 
     def run(df: DataFrame) -> DataFrame:
-        work = processor("natural_questions", radius=radius)(df)
-        work = work.withColumn("q", F.slice(S.word_pieces(_words(F.col("question")), vocabulary)["ids"], 1, question_size))
+        work = processor("natural_questions", radius=radius)(df).where(F.exists("cropped", lambda w: w.isNotNull()))
+        work = work.withColumn("q", F.slice(S.word_pieces(_words(F.col("question"), question_size), vocabulary)["ids"], 1, question_size))
         work = work.withColumn("cut", S.word_pieces(F.col("cropped"), vocabulary))
         firsts = F.filter(F.transform("cut.initial", lambda m, i: F.when(m == 1, i)), lambda i: i.isNotNull())  # a word's first piece
         work = work.withColumn("firsts", firsts)
@@ -190,10 +199,10 @@ def similarity_inputs(vocabulary: Sequence[str], positives: int = 1, negatives:
         work = df.withColumn("chosen", chosen)
         outs = []
         for i in range(count):
-            title, body = (S.word_pieces(_words(F.col("chosen")[i][c]), vocabulary)["ids"] for c in ("title", "text"))
+            title, body = (S.word_pieces(_words(F.col("chosen")[i][c], passage_size), vocabulary)["ids"] for c in ("title", "text"))
             sides = _truncated(title, body, passage_size) if titles else _truncated(body, None, passage_size)
             outs.append(F.struct(*_assembled(vocabulary, *sides, passage_size)))
-        query, _ = _truncated(S.word_pieces(_words(F.col("query")), vocabulary)["ids"], None, size)
+        query, _ = _truncated(S.word_pieces(_words(F.col("query"), size), vocabulary)["ids"], None, size)
         names = ("input_ids", "segment_ids", "padding_mask")
         of_query = [c.alias("query_" + n) for c, n in zip(_assembled(vocabulary, query, None, size), ("input_ids", "padding_mask", "segment_ids"), strict=True)]
         marks = F.transform("chosen", lambda p: (p["label"] == "positive").cast("int")).alias("label_ids")
@@ -207,30 +216,34 @@ def _masking(vocabulary: Sequence[str], size: int, share: float, most: int, seed
     """The masking of :func:`language_inputs`, as a function of keys, ids and word starts."""
     mask, budget, ids = list(vocabulary).index(S.MASK), min(most, max(1, round(share * size))), len(vocabulary)
 
-    @F.pandas_udf("struct<input_ids: array<int>, lm_label_ids: array<int>>")
-    def masked(keys: pd.Series, tokens: pd.Series, initial: pd.Series) -> pd.DataFrame:
-        rows = []
-        for k, row, starts in zip(keys, tokens, initial, strict=True):
-            row, wanted = list(map(int, row)), [-1] * len(row)
-            words: list[list[int]] = []
-            last = -1
-            for i, m in enumerate(starts):
-                if m == 1 or (m == 0 and last == -1):  # a segment may begin within a word
-                    words.append([i])
-                elif m == 0:
-                    words[-1].append(i)
-                last = m
-            draw = lambda i: int.from_bytes(hashlib.md5(f"{k}-{i}-{seed}".encode()).digest()[:8], "big")  # noqa: B023, E731
-            used = 0
-            for word in sorted(words, key=lambda w: draw(w[0])):  # noqa: B023
-                if used + len(word) > budget:
-                    continue
-                used += len(word)
-                for i in word:
-                    wanted[i], what = row[i], draw(-1 - i)
-                    row[i] = mask if what % 10 < 8 else what // 10 % ids if what % 10 == 8 else row[i]
-            rows.append((row, wanted))
-        return pd.DataFrame(rows, columns=["input_ids", "lm_label_ids"])
+    ends = [f"-{i}-{seed}".encode() for i in range(size)], [f"-{-1 - i}-{seed}".encode() for i in range(size)]
+
+    @F.arrow_udf("struct<input_ids: array<int>, lm_label_ids: array<int>>")
+    def masked(it: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for keys, tokens, initial in (part for batch in it for part in B.column_slices(batch)):
+            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy())])
+            values, starts = tokens.flatten().to_numpy().copy(), initial.flatten().to_numpy()
+            wanted = np.full(len(values), -1, np.int32)
+            last = np.concatenate([[-1], starts[:-1]])
+            last[bounds[:-1]] = -1
+            begins = (starts == 1) | ((starts == 0) & (last == -1))  # a segment may begin within a word
+            firsts = np.flatnonzero(begins)
+            sizes = np.bincount(np.cumsum(begins)[starts != -1] - 1, minlength=len(firsts)).tolist()
+            words = np.searchsorted(firsts, bounds).tolist()
+            firsts = firsts.tolist()
+            for r, k in enumerate(keys.to_pylist()):
+                key, at, used = str(k).encode("utf-8", "surrogatepass"), int(bounds[r]), 0
+                draw = lambda end: hashlib.md5(key + end, usedforsecurity=False).digest()[:8]  # noqa: B023, E731
+                for _, w in sorted((draw(ends[0][firsts[w] - at]), w) for w in range(words[r], words[r + 1])):
+                    if used + sizes[w] > budget:
+                        continue
+                    used += sizes[w]
+                    for i in range(firsts[w], firsts[w] + sizes[w]):
+                        wanted[i], what = values[i], int.from_bytes(draw(ends[1][i - at]), "big")
+                        if what % 10 < 9:
+                            values[i] = mask if what % 10 < 8 else what // 10 % ids
+            yield pa.StructArray.from_arrays([B.lists(bounds, values), B.lists(bounds, wanted)], ["input_ids", "lm_label_ids"])
+
     return masked
 
 
@@ -250,14 +263,15 @@ def bert_inputs(vocabulary: Sequence[str], key: str = "doc_id", text: str = "tex
     """
     masked = _masking(vocabulary, size, share, most, seed)
 
-    @F.pandas_udf("array<int>")
-    def sizes(initial: pd.Series, words: pd.Series) -> pd.Series:
-        out = []
-        for m, n in zip(initial, words, strict=True):
-            firsts = np.flatnonzero(np.asarray(m) == 1)
-            ends = np.append(firsts, len(m))[np.cumsum(np.asarray(n, dtype=int))] if len(n) else np.zeros(0, int)
-            out.append(np.diff(ends, prepend=0).tolist())
-        return pd.Series(out)
+    @F.arrow_udf("array<int>")
+    def sizes(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for initial, words in (part for batch in it for part in B.column_slices(batch)):
+            out = []
+            for m, n in zip(initial, words, strict=True):
+                m, n = (np.zeros(0, int) if x.values is None else x.values.to_numpy() for x in (m, n))
+                firsts = np.flatnonzero(m == 1)
+                out.append(np.diff(np.append(firsts, len(m))[np.cumsum(n)], prepend=0).tolist() if len(n) else [])
+            yield pa.array(out, pa.list_(pa.int32()))
 
     def run(df: DataFrame) -> DataFrame:
         lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"\S"))
@@ -282,7 +296,7 @@ def language_inputs(vocabulary: Sequence[str], key: str = "id", size: int = 128,
     masked = _masking(vocabulary, size, share, most, seed)
 
     def run(df: DataFrame) -> DataFrame:
-        a, b = (S.word_pieces(_words(F.col(c)), vocabulary) for c in ("text", "text_b"))
+        a, b = (S.word_pieces(_words(F.col(c), size), vocabulary) for c in ("text", "text_b"))
         na, nb = T.pair_lengths(F.size("a.ids"), F.size("b.ids"), size - 3)
         work = df.withColumn("a", a).withColumn("b", b).withColumn("na", na).withColumn("nb", nb)
         side = lambda s, field: F.slice(F.col(f"{s}.{field}"), F.lit(1), F.col("n" + s))
