@@ -391,3 +391,24 @@ def test_multilabel(spark):
     df = spark.createDataFrame(rows, "id long, text string, a int, b int")
     out = models.classify_multilabel(models.fit_multilabel(df, "text", ["a", "b"]), df)
     assert all(r["labels"] == [x for x in ("a", "b") if r[x]] for r in out.collect())
+
+
+def test_kept_rows_are_not_worked_out_again(spark):
+    from textloom.operators import splits
+    from textloom.plans.common import kept
+
+    rows = spark.createDataFrame([(i, i % 2) for i in range(20)], "k long, y long")
+    folds = splits.stratified_k_fold(rows, "k", "y", 3, 7)
+    out = kept(spark, folds, "folds")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, folds.collect()))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cv_classifier_deals_its_folds_once(spark, monkeypatch):
+    from textloom.operators import splits, validation
+    from textloom.plans import learning
+
+    seen = []
+    monkeypatch.setattr(validation, "cross_validate", lambda df, *a, **k: seen.append(df) or df.selectExpr("0 AS grid", "doc_id", "quality", "quality AS prediction"))
+    learning.cv_classifier(spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()

@@ -17,3 +17,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/textloom-{name}/{uuid.uuid4().hex}"
+
+
+def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read from there, so that several jobs do not work it out again."""
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -11,7 +11,7 @@ from textloom.functions import text as T
 from textloom.functions import tokenizers as K
 from textloom.operators import calibration, heads, models, ranking, retrieval, splits, tagging, validation
 from textloom.operators import tags as G
-from textloom.plans.common import read
+from textloom.plans.common import kept, read
 from textloom.plans.splits import SQL as SPLIT_SQL
 
 QUERIES: dict = {}
@@ -156,7 +156,8 @@ def cv_ridge_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
 def cv_classifier(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy of out-of-fold predictions of document quality, for each of a grid of settings."""
     docs = read(spark, d, "documents").join(read(spark, d, "labels").where("quality IS NOT NULL"), "doc_id").select("doc_id", "text", "quality")
-    folds = splits.stratified_k_fold(docs, "doc_id", "quality", 3, 7)
+    # every fit and prediction reads the folds, so they are joined and dealt once
+    folds = kept(spark, splits.stratified_k_fold(docs, "doc_id", "quality", 3, 7), "folds")
     grid = validation.parameter_grid({"iterations": [2, 10], "size": [256, 1024]}, [{"iterations": 2, "size": 1024}])
 
     def fit(train: DataFrame, iterations: int, size: int) -> object:
