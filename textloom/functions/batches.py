@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 #: Bytes of a slice at most, unless one row has more.
 SLICE = 1 << 20
-#: Words that a task keeps with their pieces at most.
+#: Words that a task keeps with their pieces at most, and as many older ones, of which those that come again stay.
 KEPT = 1 << 16
 
 
@@ -31,10 +31,11 @@ def column_slices(columns: tuple[pa.Array, ...], most: int = SLICE) -> Iterator[
 
 
 class Pieces:
-    """Pieces of words by a function ``cut`` that gives tuples of numbers; frequent words are cut once a task, ``KEPT`` are kept at most."""
+    """Pieces of words by a function ``cut`` that gives tuples of numbers; a task keeps the words that come again."""
 
     def __init__(self, cut: Callable[[str], list[tuple[int, ...]]], width: int):
-        self.cut, self.width, self.known = cut, width, {}
+        self.cut, self.width = cut, width
+        self.known, self.older = {}, {}
 
     def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """For an array of arrays of words: each row's first word (and the end), each word's first piece (and the end), numbers of the
@@ -42,15 +43,16 @@ class Pieces:
         rows = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64))])
         coded = words.flatten().dictionary_encode()
         different = coded.dictionary.to_pylist()
-        if len(self.known) + len(different) > KEPT:
-            self.known.clear()
         cuts = []
         for w in different:
             found = self.known.get(w)
             if found is None:
-                found = self.cut(w)
-                if len(self.known) < KEPT:
-                    self.known[w] = found
+                found = self.older.get(w)
+                if found is None:
+                    found = self.cut(w)
+                if len(self.known) >= KEPT:
+                    self.older, self.known = self.known, {}
+                self.known[w] = found
             cuts.append(found)
         cuts.append([])  # a null word's
         codes = pc.fill_null(coded.indices, len(different)).to_numpy().astype(np.int64)

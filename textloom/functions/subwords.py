@@ -18,12 +18,23 @@ INNER = "##"
 LONGEST_WORD = 100
 
 
-def cut_word(word: str, ids: dict[str, int], longest: int) -> list[tuple[int, int]] | None:
-    """``(id, first character)`` of the pieces of a word; None if some part of it is in no piece."""
+def reaches(vocabulary: Sequence[str]) -> dict[str, int]:
+    """The most characters of a piece by its first one, with the mark where it goes on within a word."""
+    found: dict[str, int] = {}
+    for t in vocabulary:
+        for mark in ("", INNER):
+            if t.startswith(mark) and len(t) > len(mark):
+                first = t[: len(mark) + 1]
+                found[first] = max(found.get(first, 0), len(t) - len(mark))
+    return found
+
+
+def cut_word(word: str, ids: dict[str, int], longest: int, reach: dict[str, int] | None = None) -> list[tuple[int, int]] | None:
+    """``(id, first character)`` of the pieces of a word; None if some part of it is in no piece.  ``reach``, of :func:`reaches`, saves look-ups."""
     found, at = [], 0
     while at < len(word):
         mark = INNER if at else ""
-        for end in range(min(len(word), at + longest), at, -1):
+        for end in range(min(len(word), at + (longest if reach is None else reach.get(mark + word[at], 0))), at, -1):
             piece = ids.get(mark + word[at:end])
             if piece is not None:
                 found.append((piece, at))
@@ -45,10 +56,11 @@ def word_pieces(words: Column, vocabulary: Sequence[str], text: Column | None =
     ids = {t: i for i, t in enumerate(vocabulary)}
     unknown = ids[UNK]
     longest = max(map(len, vocabulary))
+    reach = reaches(vocabulary)
 
     def cut(w: str) -> list[tuple[int, int]]:
         form = w.lower() if lower and len(w.lower()) == len(w) else w
-        return (cut_word(form, ids, longest) if len(w) <= LONGEST_WORD else None) or [(unknown, 0)]
+        return (cut_word(form, ids, longest, reach) if len(w) <= LONGEST_WORD else None) or [(unknown, 0)]
 
     @F.arrow_udf("struct<ids: array<int>, initial: array<int>, starts: array<int>>")
     def pieces(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
