@@ -382,3 +382,15 @@ def test_cotraining_without_labels(spark, docs):
 ])
 def test_no_rows(spark, run):
     assert run(spark.createDataFrame([], DOCS), spark).collect() == []
+
+
+def test_plans_do_not_hold_the_word_table(docs, monkeypatch):
+    sizes, write = [], line_dedup.materialise
+
+    def kept(df, name, *rest):
+        sizes.append(len(df._jdf.queryExecution().toString()))
+        return write(df, name, *rest)
+
+    monkeypatch.setattr(line_dedup, "materialise", kept)
+    line_dedup.later_matches(docs)
+    assert len(sizes) > 5 and max(sizes) < 100_000

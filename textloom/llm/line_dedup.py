@@ -30,12 +30,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import drop_table, free_names, materialise, need
 
-BUCKETS, SIMILARITY = 1 << 18, 80  # per cent
+BUCKETS, SIMILARITY = 1 << 22, 80  # per cent
 #: A key of more lines than this is common, and one of up to so many words is lengthened.  The values change the speed and never the result.
 OFTEN, LEVELS = 256, 3
 #: A key of more than this part of a level's rows is hot; there are fewer such keys than this.
@@ -63,19 +65,24 @@ def _words(text: Column) -> Column:
 
 def rarity(docs: DataFrame, text: str) -> bytes:
     """For each of ``BUCKETS`` hash buckets of words a class of 0 to 127 by the count of its words in all texts."""
-    words = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(F.explode(_words(F.col("line"))).alias("w"))
+    words = docs.select(F.explode(_words(F.replace(F.col(text), F.lit("\n"), F.lit(" ")))).alias("w"))
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
     rare = F.least(F.lit(127), 1 + F.floor(3 * F.log2("count")))
-    table = bytearray(BUCKETS)
-    for batch in counts.select("b", rare.cast("int").alias("r")).toArrow().to_batches():  # at most BUCKETS rows
-        for b, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            table[b] = r
-    return bytes(table)
+    table = np.zeros(BUCKETS, np.int8)
+    for batch in counts.select("b", rare.cast("byte").alias("r")).toArrow().to_batches():  # at most BUCKETS rows
+        table[batch.column("b").to_numpy()] = batch.column("r").to_numpy()
+    return table.tobytes()
 
 
-def _values(line: Column, table: bytes) -> Column:
-    """A line's words as 64-bit values, rarest first."""
-    classes = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")  # folded to a constant
+def _classes(table: bytes) -> Column:
+    """The table as a value that a query looks up once: a literal of its size would stand in every text of a plan that the driver keeps."""
+    classes = pa.ListArray.from_arrays([0, len(table)], pa.Array.from_buffers(pa.int8(), len(table), [None, pa.py_buffer(table)]))
+    return SparkSession.active().createDataFrame(pa.table({"classes": classes})).scalar()
+
+
+def _values(line: Column, table: Column | bytes) -> Column:
+    """A line's words as 64-bit values, rarest first; ``table`` is a column with the classes, or the classes as a literal."""
+    classes = F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>") if isinstance(table, bytes) else table
 
     def value(w: Column) -> Column:
         h = F.xxhash64(w)
@@ -85,6 +92,11 @@ def _values(line: Column, table: bytes) -> Column:
     return F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(line), ""), value)))
 
 
+def _valued(lines: DataFrame, table: bytes) -> DataFrame:
+    """``lines(d, i, line)`` as ``(d, i, v)``.  The first step is only a name: functions of words may not hold queries, and Spark puts both steps together."""
+    return lines.select("d", "i", "line", _classes(table).alias("classes")).select("d", "i", _values(F.col("line"), F.col("classes")).alias("v"))
+
+
 def _bitmap(v: Column) -> Column:
     """64 parity bits of the values."""
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))
@@ -120,7 +132,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, table: by
     held = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(wanted, "d")
     held = held.select("d", _base(F.col("t")).alias("base"), "wanted", F.posexplode(F.split("t", "\n")).alias("i", "line")).withColumn("i", F.col("base") + F.col("i"))
     held = held.where(F.array_contains("wanted", F.col("i")))
-    sets = materialise(held.select("d", "i", _values(F.col("line"), table).alias("v")).dropDuplicates(LINE), "line-sets")
+    sets = materialise(_valued(held, table).dropDuplicates(LINE), "line-sets")
     both = pairs.join(sets.select(F.col("d").alias("xd"), F.col("i").alias("xi"), F.col("v").alias("xv")), ["xd", "xi"])
     both = both.join(sets.select(F.col("d").alias("yd"), F.col("i").alias("yi"), F.col("v").alias("yv")), ["yd", "yi"])
     common = F.size(F.array_intersect("xv", "yv"))
@@ -188,7 +200,7 @@ def _similar(classes: DataFrame, docs: DataFrame, text: str, doc_id: str, table:
 def later_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = SIMILARITY) -> DataFrame:
     """``(d, gone)``: the numbers of each document's lines that have an earlier match (``_base`` of the text is its first)."""
     table = rarity(docs, text)
-    lines = _lines(docs, text, doc_id).select("d", "i", _values(F.col("line"), table).alias("v")).withColumn("n", F.size("v"))
+    lines = _valued(_lines(docs, text, doc_id), table).withColumn("n", F.size("v"))
     first = F.slice("v", F.lit(1), F.least(F.col("n"), _prefix(percent) + LEVELS - 1))
     # lines without words go afterwards: a filter here would be pushed down and make every set twice
     marks = materialise(lines.select("d", "i", "n", F.xxhash64("v").alias("s1"), F.xxhash64("v", F.lit(7)).alias("s2"), _bitmap(F.col("v")).alias("b"), first.alias("v")), "lines")
