@@ -97,3 +97,19 @@ def test_parts_settings_scores_pairs(spark, tmp_path):
     assert sorted(map(tuple, W.labelled_pairs(t).collect())) == [("q", "n", 0), ("q", "p", 1)]
     W.log_metrics(spark.range(1).select(F.lit(0.5).alias("acc")), str(tmp_path / "m"), 3)
     assert spark.read.parquet(str(tmp_path / "m")).first()["value"] == 0.5
+
+
+def test_lines_of_a_split_are_counted_in_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "CHUNK", 1)  # runs of two lines
+    sizes = [3, 1, 7, 2, 40, 1]
+    want = [[f"w{k}x{i}" for i in range(n)] for k, n in enumerate(sizes)]
+    (tmp_path / "a.txt").write_text("\n\n".join("\n".join(f"{w} T" for w in s) for s in want) + "\n")
+    path = str(tmp_path / "a.txt")
+    tagged = R.read_tagged(spark, path)
+    assert [r["tokens"] for r in sorted(tagged.collect(), key=lambda r: r["sentence"])] == want
+    documents = R.read_documents(spark, path)
+    assert [r["sentences"] for r in sorted(documents.collect(), key=lambda r: r["doc"])] == [[f"{w} T" for w in s] for s in want]
+    lines = R.indexed_lines(spark, path)
+    assert [r["value"] for r in sorted(lines.collect(), key=lambda r: r["n"])] == (tmp_path / "a.txt").read_text().split("\n")[:-1]
+    for df in (tagged, documents, lines):
+        assert "__run" in df._jdf.queryExecution().optimizedPlan().toString()

@@ -42,28 +42,41 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), "value")
 
 
-def _groups(lines: DataFrame, closes: str) -> DataFrame:
+#: Lines of a split are counted in runs of at most 2^CHUNK, so that no task sorts a split as one group.
+CHUNK = 16
+RUN = ["file", "block", "__run"]
+#: Bytes of text that a task sorts: Spark joins small partitions by their compressed size, and lines with their file's name compress well.
+TASK_BYTES = 1 << 22
+
+
+def _runs(lines: DataFrame, path: str) -> DataFrame:
+    """``lines`` of a path with ``__run``, the run of a split's lines that a line is in, dealt by runs; runs are ordered as the lines are."""
+    size = lines.sparkSession.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0  # a listing, no content is read
+    return lines.withColumn("__run", F.shiftright("line_no", CHUNK)).repartition(1 + size // TASK_BYTES, *RUN)
+
+
+def _groups(lines: DataFrame, path: str, closes: str) -> DataFrame:
     """``lines`` with ``grp``, how many lines of the file up to this one close a group.
 
-    Each split counts by itself; what its file's earlier splits closed is carried over by a window on one row a split.
+    Each run counts by itself; what its file's earlier runs closed is carried over by a window on one row a run.
     """
-    within = F.sum("__c").over(Window.partitionBy("file", "block").orderBy("line_no"))
-    counted = lines.withColumn("__c", F.expr(closes).cast("int")).withColumn("__run", within)
-    splits = counted.groupBy("file", "block").agg(F.sum("__c").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    carried = splits.select("file", "block", F.coalesce(before, F.lit(0)).alias("__before"))
-    return counted.join(carried, ["file", "block"]).withColumn("grp", F.col("__run") + F.col("__before")).drop("__c", "__run", "__before")
+    within = F.sum("__c").over(Window.partitionBy(*RUN).orderBy("line_no"))
+    marked = _runs(lines, path).withColumn("__c", F.expr(closes).cast("int"))
+    counted = marked.withColumn("__sum", within)
+    runs = marked.groupBy(*RUN).agg(F.sum("__c").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("file").orderBy("block", "__run").rowsBetween(Window.unboundedPreceding, -1))
+    carried = runs.select(*RUN, F.coalesce(before, F.lit(0)).alias("__before"))
+    return counted.join(carried, RUN).withColumn("grp", F.col("__sum") + F.col("__before")).drop("__c", "__run", "__sum", "__before")
 
 
 def indexed_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(n, value)``: the lines of a file, or of a folder's files by name, numbered from 0 without a window over a file."""
-    lines = numbered_lines(spark, path)
-    at = F.row_number().over(Window.partitionBy("file", "block").orderBy("line_no"))
-    counted = lines.withColumn("__at", at)
-    splits = counted.groupBy("file", "block").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))  # a row per split
-    starts = splits.select("file", "block", F.coalesce(before, F.lit(0)).alias("__before"))
-    return counted.join(starts, ["file", "block"]).select((F.col("__at") + F.col("__before") - 1).alias("n"), "value")
+    lines = _runs(numbered_lines(spark, path), path)
+    at = F.row_number().over(Window.partitionBy(*RUN).orderBy("line_no"))
+    runs = lines.groupBy(*RUN).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("file", "block", "__run").rowsBetween(Window.unboundedPreceding, -1))  # a row per run
+    starts = runs.select(*RUN, F.coalesce(before, F.lit(0)).alias("__before"))
+    return lines.withColumn("__at", at).join(starts, RUN).select((F.col("__at") + F.col("__before") - 1).alias("n"), "value")
 
 
 def zip_files(spark: SparkSession, left: str, right: str, skip_left: int = 0, skip_right: int = 0) -> DataFrame:
@@ -78,7 +91,7 @@ def read_tagged(spark: SparkSession, path: str, sep: str = " ", token_at: int =
     Blank and ``-DOCSTART-`` lines close a sentence; lines that begin with ``#`` are left out.
     """
     lines = numbered_lines(spark, path).where("NOT value LIKE '#%'")
-    work = _groups(lines, "trim(value) = '' OR value LIKE '-DOCSTART-%'").where("trim(value) <> '' AND value NOT LIKE '-DOCSTART-%'")
+    work = _groups(lines, path, "trim(value) = '' OR value LIKE '-DOCSTART-%'").where("trim(value) <> '' AND value NOT LIKE '-DOCSTART-%'")
     parts = F.split("value", sep)
     at = lambda i: F.element_at(parts, i + 1 if i >= 0 else i)
     rows = work.groupBy("file", "grp").agg(F.array_sort(F.collect_list(F.struct("block", "line_no", at(token_at).alias("token"), at(tag_at).alias("tag")))).alias("r"))
@@ -166,7 +179,7 @@ def read_retrieval(spark: SparkSession, path: str, positives: int = 1, negatives
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Documents of sentences, one sentence a line, a blank line between documents: ``(file, doc, sentences)``."""
-    work = _groups(numbered_lines(spark, path), "trim(value) = ''").where("trim(value) <> ''")
+    work = _groups(numbered_lines(spark, path), path, "trim(value) = ''").where("trim(value) <> ''")
     rows = work.groupBy("file", "grp").agg(F.array_sort(F.collect_list(F.struct("block", "line_no", "value"))).alias("r"))
     return rows.select("file", F.col("grp").alias("doc"), F.transform("r", lambda x: F.trim(x["value"])).alias("sentences"))
 
