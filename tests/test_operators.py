@@ -314,3 +314,16 @@ def test_no_answer_ties_with_a_span_to_six_digits(spark):
     assert 9.6 - 7.0 != 2.6
     out = {r["rank"]: r["start"] for r in qa.document_answers(cand, none, 4).collect()}
     assert out == {1: 1, 2: -1, 3: 3, 4: None}
+
+
+def test_similar_by_slices_of_a_block(spark, monkeypatch):
+    from textloom.operators import ranking
+
+    rnd = np.random.default_rng(3)
+    v = rnd.integers(-3, 4, (40, 4)).astype(float).tolist()
+    items = spark.createDataFrame(list(enumerate(v)), "id long, v array<double>")
+    queries = items.where("id % 3 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    rows = lambda: sorted(tuple(r) for r in ranking.similar(queries, items, 5, "cosine").select("qid", "id", "rank").collect())
+    whole = rows()
+    monkeypatch.setattr(ranking, "SLICE", 3)
+    assert rows() == whole and len(whole) == 14 * 5 and all(q != i for q, i, _ in whole)

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: So many queries of a block are scored at once: a block's scores are not held as a whole.
+SLICE = 256
+
 
 def top_ranked(scores: DataFrame, query: str, item: str, score: str, n: int) -> DataFrame:
     """The n best items of each query, ties by item; partial limits run before the shuffle."""
@@ -35,11 +38,12 @@ def repeated_items(run: DataFrame, query: str = "qid", item: str = "pid") -> Dat
     return run.groupBy(query, item).agg(F.count("*").alias("times")).where("times > 1")
 
 
-def similar(queries: DataFrame, items: DataFrame, n: int, measure: str = "dot", query_rows: int = 1024, item_rows: int = 4096) -> DataFrame:
+def similar(queries: DataFrame, items: DataFrame, n: int, measure: str = "dot", query_rows: int = 8192, item_rows: int = 16384) -> DataFrame:
     """The n most similar items ``(id, v)`` of each query ``(qid, q)`` of a stated query set, blockwise: ``(qid, id, score, rank)``.
 
     Queries and items are dealt evenly to blocks of about these many rows, so the blocks follow the tables; each block of queries meets
-    each block of items in one matrix product, of which the best n of a query go on to the final ranking.  Scores are rounded to four
+    each block of items in one task, by matrix products of ``SLICE`` queries, of which the best n of a query go on to the final ranking.
+    A row is sent once for each block of the other side, so what is shuffled falls with the size of the blocks.  Scores are rounded to four
     places, ties go to smaller ids, a cosine with a vector of zeros is null and comes last.  Null vectors take no part; vectors are of one length.
     """
     asked, held = queries.where("q IS NOT NULL"), items.where("v IS NOT NULL")
@@ -58,24 +62,29 @@ def similar(queries: DataFrame, items: DataFrame, n: int, measure: str = "dot",
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
         if a.num_rows and b.num_rows:
             x, y = matrix(a, "q"), matrix(b, "v")
-            scores = x @ y.T
-            if measure == "cosine":
-                sizes = np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
-                scores = np.divide(scores, sizes, out=np.full(scores.shape, -np.inf), where=sizes > 0)
-            places = {name: i for i, name in enumerate(names)}
-            for r, q in enumerate(a.column("qid").to_pylist()):
-                row = scores[r]
-                own = np.arange(len(names)) if q not in places else np.array([i for i in range(len(names)) if names[i] != q], np.int64)
-                if len(own) > n:
-                    least = np.partition(row[own], len(own) - n)[len(own) - n]
-                    own = own[row[own] >= least - 2e-4]  # what rounding may lift to the n-th score
-                if len(own) > 3 * n:  # many equal scores: n of each are enough
-                    level = np.round(row[own], 4)
-                    own = own[np.lexsort((order[own], -level))]
-                    level = np.round(row[own], 4)
-                    run = np.arange(len(own)) - np.searchsorted(-level, -level, side="left")
-                    own = own[run < n]
-                found.append((r, own, row[own]))
+            places: dict = {}
+            for i, name in enumerate(names):
+                places.setdefault(name, []).append(i)
+            every_one, asked_ids = np.arange(len(names)), a.column("qid").to_pylist()
+            for first in range(0, len(x), SLICE):
+                some = x[first : first + SLICE]
+                scores = some @ y.T
+                if measure == "cosine":
+                    sizes = np.outer(np.linalg.norm(some, axis=1), np.linalg.norm(y, axis=1))
+                    scores = np.divide(scores, sizes, out=np.full(scores.shape, -np.inf), where=sizes > 0)
+                for r, q in enumerate(asked_ids[first : first + SLICE], first):
+                    row = scores[r - first]
+                    own = np.delete(every_one, places[q]) if q in places else every_one
+                    if len(own) > n:
+                        least = np.partition(row[own], len(own) - n)[len(own) - n]
+                        own = own[row[own] >= least - 2e-4]  # what rounding may lift to the n-th score
+                    if len(own) > 3 * n:  # many equal scores: n of each are enough
+                        level = np.round(row[own], 4)
+                        own = own[np.lexsort((order[own], -level))]
+                        level = np.round(row[own], 4)
+                        run = np.arange(len(own)) - np.searchsorted(-level, -level, side="left")
+                        own = own[run < n]
+                    found.append((r, own, row[own]))
         at = np.concatenate([np.full(len(o), r, np.int64) for r, o, _ in found] or [np.zeros(0, np.int64)])
         own = np.concatenate([o for _, o, _ in found] or [np.zeros(0, np.int64)])
         score = np.concatenate([s for _, _, s in found] or [np.zeros(0)])
