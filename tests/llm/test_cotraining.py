@@ -128,3 +128,24 @@ def test_one_class_and_calibration(spark, tables):
     z = rnd.normal(0, 2, 4000)
     y = (rnd.random(4000) < 1 / (1 + np.exp(-(0.5 + 0.7 * z)))).astype(float)
     assert cotraining.calibrate(z, y) == pytest.approx((0.5, 0.7), abs=0.1) and cotraining.calibrate(z, y * 0) == (0.0, 1.0)
+
+
+def test_a_fit_is_over_the_features_that_occur(tables, monkeypatch):
+    docs, labels = tables
+    features, names = cotraining.extract(docs, ("doc_id",))
+    rows = features.join(labels.where("quality IS NOT NULL"), "doc_id").withColumn("quality", F.col("quality").cast("double")).repartition(9).cache()
+    fitted, fit = [], cotraining.LogisticRegression.fit
+    monkeypatch.setattr(cotraining.LogisticRegression, "fit", lambda self, df: fitted.append(df) or fit(self, df))
+    have = {f for r in rows.collect() for f in r[names["text"]]}
+    taught = np.zeros(cotraining.WIDTH["text"])
+    taught[[min(set(range(99)) - have), max(have)]] = 0.5
+    for points, used in (([], have), ([(1.0, 2.0, taught)], have | set(np.flatnonzero(taught).tolist()))):
+        weights, _ = cotraining._fit(rows, names, "text", "quality", None, 0.001, 0.0, points)
+        assert {r["x"].size for r in fitted[-1].collect()} == {len(used)} and fitted[-1].rdd.getNumPartitions() <= 4
+        assert set(np.flatnonzero(weights).tolist()) <= used and len(weights) == cotraining.WIDTH["text"]
+    whole = [(r["quality"], 1.0, cotraining.Vectors.sparse(len(weights), dict(zip(r[names["text"]], map(float, r[names["values"]]), strict=True)))) for r in rows.collect()]
+    lr = cotraining.LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=cotraining.ITERATIONS, regParam=0.001)
+    want = fit(lr, docs.sparkSession.createDataFrame(whole, ["y", "w", "x"])).coefficients.toArray()
+    assert np.allclose(cotraining._fit(rows, names, "text", "quality", None, 0.001, 0.0)[0], want, atol=1e-6)
+    nothing = rows.withColumn(names["text"], F.array().cast("array<int>")).withColumn(names["values"], F.array().cast("array<float>"))
+    assert not cotraining._fit(nothing, names, "text", "quality", None, 0.001, 0.0)[0].any()

@@ -47,8 +47,8 @@ LABELLED, ROUNDS, ITERATIONS = 8000, 2, 25
 SURE = 0.99
 #: The numbers of the text view's features: words, then shapes; of the metadata view's: steps of the figures, languages, sources.
 WORDS, SHAPES, STEPS, LANGS, SOURCES = 61440, 4096, 32, 64, 256
-#: The labelled sample is read once per step of a fit, so it lies in few files.
-PARTS = 6
+#: The labelled sample is read once per step of a fit, so it lies in few files; with four, a step is one stage.
+PARTS = 4
 REMEMBERED = 200_000
 #: So many texts are held at a time with their features.
 SLICE = 500
@@ -195,36 +195,50 @@ def mean_points(labelled: tuple[np.ndarray, np.ndarray], taught: tuple[np.ndarra
     return [(float(c), float(min(labelled[1][c], taught[1][c])), once * taught[0][c] / taught[1][c]) for c in (0, 1) if taught[1][c] and labelled[1][c]]
 
 
+def _occurring(rows: DataFrame, names: dict[str, str], view: str) -> np.ndarray:
+    """The features of a view that the rows have; at most ``WIDTH`` numbers."""
+    return rows.select(F.explode(names[view]).alias("f")).distinct().toArrow().column("f").to_numpy()
+
+
 def _fit(
-    rows: DataFrame, names: dict[str, str], view: str, label: str, scale: np.ndarray | None, reg: float, l1: float, points_of_classes: list[tuple[float, float, np.ndarray]] = ()
+    rows: DataFrame, names: dict[str, str], view: str, label: str, scale: np.ndarray | None, reg: float, l1: float, points_of_classes: list[tuple[float, float, np.ndarray]] = (),
+    occurring: np.ndarray | None = None,
 ) -> Linear | None:
     """Weights and intercept over the features times ``scale``, or None where the labels are of one class.
 
-    Besides the rows, each of weight 1, the weighted points take part.
+    Besides the rows, each of weight 1, the weighted points take part.  The weight of a feature that neither has is 0 at every step of a
+    fit, so the fit is over the others (``occurring``, those of the rows, and the points'): the driver holds dozens of vectors of that size.
     """
     rows = rows.where(F.col(label).isNotNull())
     if rows.agg(F.countDistinct(label)).first()[0] < 2:
         return None
+    occurring = _occurring(rows, names, view) if occurring is None else occurring
+    used = np.unique(np.concatenate([occurring, *(np.flatnonzero(v) for _, _, v in points_of_classes)])).astype(np.int64)
+    used = used if len(used) else np.zeros(1, np.int64)
+    place = np.zeros(WIDTH[view], np.int32)
+    place[used] = np.arange(len(used))
 
     def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ids, values, _ = _flat(b, names, view)
             lists = b.column(names[view])
             values = pa.ListArray.from_arrays(lists.offsets, pa.array(values if scale is None else values * scale[ids]))
-            ids = pa.ListArray.from_arrays(lists.offsets, pa.array(ids, pa.int32()))
-            parts = [pa.array(np.zeros(b.num_rows, np.int8)), pa.array(np.full(b.num_rows, WIDTH[view], np.int32)), ids, values]
+            ids = pa.ListArray.from_arrays(lists.offsets, pa.array(place[ids]))
+            parts = [pa.array(np.zeros(b.num_rows, np.int8)), pa.array(np.full(b.num_rows, len(used), np.int32)), ids, values]
             x = pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])
             yield pa.RecordBatch.from_arrays([b.column(label), pa.array(np.ones(b.num_rows)), x], ["y", "w", "x"])
 
     kind = StructType([StructField("y", DoubleType()), StructField("w", DoubleType()), StructField("x", VectorUDT())])
     points = rows.select(label, *names.values()).mapInArrow(vectors, kind)
     if points_of_classes:  # two rows at most
-        of = lambda v: Vectors.sparse(WIDTH[view], np.flatnonzero(v).tolist(), v[np.flatnonzero(v)].tolist())
+        of = lambda v: Vectors.sparse(len(used), place[np.flatnonzero(v)].tolist(), v[np.flatnonzero(v)].tolist())
         means = [(y, w, of(v if scale is None else v * scale)) for y, w, v in points_of_classes]
         points = points.unionByName(rows.sparkSession.createDataFrame(means, kind))
     lr = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=ITERATIONS, regParam=reg, elasticNetParam=l1, standardization=scale is None)
-    model = lr.fit(points)
-    weights = model.coefficients.toArray()
+    model = lr.fit(points.coalesce(PARTS))
+    weights = np.zeros(WIDTH[view])
+    weights[used] = model.coefficients.toArray()
+    rows.sparkSession.sparkContext._jvm.System.gc()  # else the driver's heap grows from fit to fit by what their steps have left
     return weights if scale is None else weights * scale, float(model.intercept)
 
 
@@ -288,12 +302,13 @@ def train(features: DataFrame, names: dict[str, str], labels: DataFrame, lost: f
     """Fit on the features of all documents."""
     rows = materialise(_labelled(features, labels, names), "cotraining-labelled")
     learn = rows.where("role = 'fit'")
-    toxic = _fit(learn, names, "text", "toxic", None, 0.001, 0.5)
+    have = {v: _occurring(learn, names, v) for v in WIDTH}
+    toxic = _fit(learn, names, "text", "toxic", None, 0.001, 0.5, (), have["text"])
     counted = count_features(learn.where("quality IS NOT NULL"), names, None)
 
     def view(v: str, taught: dict | None) -> Linear | None:
         points = mean_points(counted[v], taught[v], v) if taught else []
-        return _fit(learn, names, v, "quality", ratios(counted[v], taught and taught[v]), 0.002, 0.0, points)
+        return _fit(learn, names, v, "quality", ratios(counted[v], taught and taught[v]), 0.002, 0.0, points, have[v])
 
     views = {v: view(v, None) for v in WIDTH}
     if views["text"] is not None:
