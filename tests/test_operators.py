@@ -164,6 +164,25 @@ def test_all_passages_are_masked(spark, tmp_path):
     assert masked == [19, 19, 7]
 
 
+def test_masks_within_rows(spark, tmp_path):
+    rnd = random.Random(3)
+    text = lambda n: " ".join("x" * rnd.choice([1, 3, 6, 7, 9]) + "é" * (rnd.random() < 0.2) + str(i) for i in range(n))
+    rows = [(i, text(n)) for i, n in enumerate([0, 1, 2, 7, 125, 126, 127, 400, 260])] + [(50, None), (51, "  "), (None, text(40)), (None, "a b")]
+    for more in ([], [(7, text(130)), (7, "one longerword"), (2, text(3))]):
+        path = f"{tmp_path}/{len(more)}"
+        spark.createDataFrame(rows + more, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+        words = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("word", "w"))
+        split = F.when(F.length("w") > 6, F.array(F.substring("w", 1, 6), F.expr("substring(w, 7)"))).otherwise(F.array("w"))
+        tokens = words.withColumn("passage", F.floor(F.col("word") / 126).cast("int")).select("doc_id", "passage", "word", F.posexplode(split).alias("part", "token"))
+        tokens = tokens.withColumn("pos", F.col("word") * 2 + F.col("part")).drop("part")
+        want = pairs.mask_words(tokens, 30000, seed=3, sample=("doc_id", "passage"))
+        got = catalog.QUERIES["mlm_whole_word_mask"](spark, path)
+        assert got.columns == want.columns and [t for _, t in got.dtypes] == [t for _, t in want.dtypes]
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        if not more:
+            assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_running_sums_of_many_values(spark):
     rnd = random.Random(6)
     rows = [(rnd.gauss(0, 1), rnd.randint(0, 3)) for _ in range(3000)] + [(float("-inf"), 1), (float("inf"), 2)]

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,6 +18,9 @@ from textloom.functions import batches as B
 from textloom.operators.ranks import hash_key, hash_rank
 
 
+ACTIONS = ("keep", "mask", "random", "same")
+
+
 def next_sentences(lines: DataFrame, doc: str = "doc_id", pos: str = "line", text: str = "sentence") -> DataFrame:
     """Consecutive sentences of a document: ``(doc, pos, text, text_b)``."""
     follow = F.lead(text).over(Window.partitionBy(doc).orderBy(pos))
@@ -158,5 +163,67 @@ def mask_words(tokens: DataFrame, vocabulary_size: int, most: int = 20, share: f
     draw = F.conv(F.substring(hash_key(F.concat_ws("/", "doc_id", "word"), seed + 1), 1, 6), 16, 10).cast("long") % 10
     taken = taken.withColumn("action", F.when(draw < 8, "mask").when(draw == 8, "random").otherwise("same"))
     out = tokens.join(taken, [*sample, "word"], "left").withColumn("action", F.coalesce("action", F.lit("keep")))
+    return _replaced(out, vocabulary_size, seed)
+
+
+def _replaced(out: DataFrame, vocabulary_size: int, seed: int) -> DataFrame:
+    """Tokens with their ``action``: adds the replacement of the random ones and the target of all but those to keep."""
     pick = F.conv(F.substring(hash_key(F.concat_ws("/", "doc_id", "pos"), seed + 2), 1, 7), 16, 10).cast("long") % vocabulary_size
     return out.withColumn("random_id", F.when(F.col("action") == "random", pick)).withColumn("target", F.when(F.col("action") != "keep", F.col("token")))
+
+
+@cache
+def _budget(total: int, most: int, share: float) -> int:
+    return min(most, max(1, int(Decimal(repr(total * share)).quantize(Decimal(1), ROUND_HALF_UP))))
+
+
+def _word_actions(key: Column, sizes: Column, size: int, most: int, share: float, seed: int) -> Column:
+    """For each word of a document its place in ``ACTIONS``, from its words' numbers of tokens; a null key keeps all."""
+
+    @F.arrow_udf("array<tinyint>")
+    def actions(keys: pa.Array, sizes: pa.Array) -> pa.Array:
+        counts = pc.fill_null(pc.list_value_length(sizes), 0).to_numpy()
+        flat, out, at = sizes.flatten().to_numpy(), np.zeros(counts.sum(), np.int8), 0
+        for k, n in zip(keys.to_pylist(), counts.tolist(), strict=True):
+            for first in range(0, n if k is not None else 0, size):
+                own = flat[at + first : at + min(first + size, n)].tolist()
+                hashes = [hashlib.md5(b"%b/%d-%d" % (k, w, seed), usedforsecurity=False).digest() for w in range(first, first + len(own))]
+                left = _budget(sum(own), most, share)
+                for i in sorted(range(len(own)), key=hashes.__getitem__):
+                    if 0 < own[i] <= left:
+                        left -= own[i]
+                        draw = int(hashlib.md5(b"%b/%d-%d" % (k, first + i, seed + 1), usedforsecurity=False).hexdigest()[:6], 16) % 10
+                        out[at + first + i] = 1 if draw < 8 else 2 if draw == 8 else 3
+                        if not left:
+                            break
+            at += n
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(out))
+
+    return actions(key.cast("string").cast("binary"), sizes)
+
+
+def mask_documents(docs: DataFrame, parts: Callable[[Column], Column], width: int, vocabulary_size: int, size: int, most: int = 20, share: float = 0.15, seed: int = 0) -> DataFrame:
+    """:func:`mask_words` of whole documents ``(doc_id, words)``, of which each ``size`` words are a sample.
+
+    ``parts`` gives the tokens of a word, at most ``width``.  Gives ``doc_id, passage, word, token, pos, action, random_id, target``, where
+    ``pos`` is word * width + the token's place in the word.  A document's words are drawn in one pass over its row, and no token is
+    shuffled.  Rows that share an id have common samples, so they go by :func:`mask_words`; the ids are counted for that before.
+    """
+
+    def tokens(rows: DataFrame, *more: str) -> DataFrame:
+        rows = rows.select("doc_id", F.floor(F.col("word") / size).cast("int").alias("passage"), "word", *more, F.posexplode(parts(F.col("w"))).alias("part", "token"))
+        return rows.select("doc_id", "passage", "word", "token", (F.col("word") * width + F.col("part")).alias("pos"), *more)
+
+    def alone(rows: DataFrame) -> DataFrame:
+        sizes = F.transform("words", lambda w: F.size(parts(w)))
+        rows = rows.select("doc_id", "words", _word_actions(F.col("doc_id"), sizes, size, most, share, seed).alias("actions"))
+        rows = rows.select("doc_id", F.posexplode(F.arrays_zip("words", "actions")).alias("word", "x")).select("doc_id", "word", F.col("x.words").alias("w"), F.col("x.actions").alias("a"))
+        name = F.element_at(F.array(*map(F.lit, ACTIONS)), F.col("a") + 1)
+        return _replaced(tokens(rows, "a").withColumn("action", name).drop("a"), vocabulary_size, seed)
+
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return alone(docs)
+    shared = tokens(docs.join(repeated, "doc_id", "left_semi").select("doc_id", F.posexplode("words").alias("word", "w")))
+    shared = mask_words(shared, vocabulary_size, most, share, seed, ("doc_id", "passage"))
+    return alone(docs.join(repeated, "doc_id", "left_anti")).unionByName(shared)

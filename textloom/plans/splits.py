@@ -265,11 +265,9 @@ def bert_style_packing(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mlm_whole_word_mask(spark: SparkSession, d: str) -> DataFrame:
-    words = read(spark, d, "documents").select("doc_id", F.posexplode(T.space_tokens(F.col("text"))).alias("word", "w"))
-    words = words.withColumn("passage", F.floor(F.col("word") / 126).cast("int"))
-    parts = F.when(F.length("w") > 6, F.array(F.substring("w", 1, 6), F.expr("substring(w, 7)"))).otherwise(F.array("w"))
-    tokens = words.select("doc_id", "passage", "word", F.posexplode(parts).alias("part", "token")).withColumn("pos", F.col("word") * 2 + F.col("part"))
-    return PR.mask_words(tokens.drop("part"), 30000, seed=3, sample=("doc_id", "passage"))
+    docs = read(spark, d, "documents").select("doc_id", T.space_tokens(F.col("text")).alias("words"))
+    parts = lambda w: F.when(F.length(w) > 6, F.array(F.substring(w, 1, 6), F.substring(w, F.lit(7), F.length(w)))).otherwise(F.array(w))
+    return PR.mask_documents(docs, parts, 2, 30000, 126, seed=3)
 
 
 @query("SELECT DISTINCT part, count(*) OVER (PARTITION BY part) AS n FROM (SELECT floor((doc_id // 10)::DOUBLE)::BIGINT % 4 AS part FROM documents)")
