@@ -305,6 +305,18 @@ def test_lines(docs, spark, monkeypatch, often):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == kept_lines(rows)
 
 
+@pytest.mark.parametrize("percent", [30, 50, 80, 100])
+def test_common_words_by_size(spark, percent):
+    keys = spark.createDataFrame([(5, n, 0) for n in range(1, 260)], "k long, n int, q int")
+    found = {}
+    for r in line_dedup._by_size(keys, percent).collect():
+        found.setdefault(r["n"], set()).add(r["k"])
+    for n in found:
+        for m in range(1, n + 1):
+            near, far = 100 * m >= percent * n, 100**3 * m < percent**3 * n
+            assert near <= bool(found[n] & found[m]) <= (not far)
+
+
 @pytest.mark.parametrize("percent", [30])
 def test_lines_of_few_words(spark, monkeypatch, percent):
     monkeypatch.setattr(line_dedup, "OFTEN", 1)

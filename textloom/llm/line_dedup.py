@@ -6,7 +6,8 @@ positions of the shared word leave room for enough common words and if their bit
 that only one of two lines has flips one of 64 bits), and are then verified on their whole sets.  A line goes if an
 earlier line (by doc_id, then line number) of the input is equal or similar; each line is judged on the input, not on what is left.
 
-A word that stands in more than ``OFTEN`` prefixes is too common to be a key by itself.  Two lines that have to share two words
+A word that stands in more than ``OFTEN`` prefixes is too common to be a key by itself, and is taken together with the size of
+the line's set, in classes of which similar lines share one.  Two lines that have to share two words
 share two of their p + 1 rarest, so such words are paired with each later one; pairs that are still too common take a third word.
 Only lines under a common key of ``LEVELS`` words (or of all the words they have to share) are left, which means families of
 variants of one line: each line there is compared with the earliest one, and only those that find no match by that or by another
@@ -28,6 +29,7 @@ columns pass through, whatever their names; only ``n_lines`` and ``n_removed`` a
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -39,7 +41,7 @@ from textloom.llm.common import drop_table, free_names, materialise, need
 
 BUCKETS, SIMILARITY = 1 << 22, 80  # per cent
 #: A key of more lines than this is common, and one of up to so many words is lengthened.  The values change the speed and never the result.
-OFTEN, LEVELS = 256, 3
+OFTEN, LEVELS = 1024, 3
 #: A key of more than this part of a level's rows is hot; there are fewer such keys than this.
 HEAVY = 4096
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -107,6 +109,16 @@ def _prefix(percent: int) -> Column:
     return F.col("n") - need(F.col("n"), percent) + 1
 
 
+def _by_size(keys: DataFrame, percent: int) -> DataFrame:
+    """The rows with each key taken together with two neighbouring classes of sizes; lines that are similar share one.
+
+    Sizes that can be similar are of the same class or of neighbouring ones, as a class is a little wider than they may differ.
+    """
+    size = F.floor(F.log("n") / math.log(100 / percent * (1 + 1e-9)))
+    keys = keys.withColumn("size", F.explode(F.array(size, size + 1)))
+    return keys.select(F.xxhash64("k", "size").alias("k"), *[c for c in keys.columns if c not in ("k", "size")])
+
+
 def _alike(percent: int) -> Column:
     """Order, length, positional and bitmap filter of lines x and y that share the words of a key (``m``, the last at ``q``)."""
     x, y = F.col("xn"), F.col("yn")
@@ -147,7 +159,8 @@ def _similar(classes: DataFrame, docs: DataFrame, text: str, doc_id: str, table:
     columns = ["k", "d", "i", "n", "b", "m", "q"]
     keys = classes.select("d", "i", "n", "b", F.lit(1).alias("m"), F.posexplode(F.slice("v", F.lit(1), _prefix(percent))).alias("q", "k")).select(*columns)
     tables, few, left = [], [], []
-    for m in range(2, LEVELS + 2):
+    steps = [1, *range(2, LEVELS + 2)]  # the first lengthens common words by the lines' sizes
+    for at, m in enumerate(steps):
         counts = materialise(keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "line-key-counts")
         rows, common, most = counts.agg(F.sum("c"), F.count_if(F.col("c") > OFTEN), F.max("c")).first()
         limit = max(OFTEN, (rows or 0) // HEAVY)
@@ -165,6 +178,9 @@ def _similar(classes: DataFrame, docs: DataFrame, text: str, doc_id: str, table:
         if m > LEVELS:
             left.append(hot)
             break
+        if not at:
+            keys = _by_size(hot, percent)
+            continue
         left.append(hot.where(need(F.col("n"), percent) < m))  # two such lines need not share more words than they do
         spots = hot.groupBy(*LINE).agg(F.collect_list(F.struct("k", "q")).alias("spots"))
         rows = materialise(classes.join(spots, LINE), "line-rows")
