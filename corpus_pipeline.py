@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, cotraining, line_dedup, mixing, shingle_join
-from textloom.llm.common import has_words, materialise, read
+from textloom.llm.common import collect_garbage, has_words, materialise, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -70,4 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        collect_garbage(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import weakref
 
 import numpy as np
 import pytest
@@ -149,3 +150,19 @@ def test_a_fit_is_over_the_features_that_occur(tables, monkeypatch):
     assert np.allclose(cotraining._fit(rows, names, "text", "quality", None, 0.001, 0.0)[0], want, atol=1e-6)
     nothing = rows.withColumn(names["text"], F.array().cast("array<int>")).withColumn(names["values"], F.array().cast("array<float>"))
     assert not cotraining._fit(nothing, names, "text", "quality", None, 0.001, 0.0)[0].any()
+
+
+def test_nothing_of_a_fit_is_held_when_the_driver_collects(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 7} v{i % 3}", "en", "a", float(i % 2)) for i in range(40)], "doc_id long, text string, lang string, source string, quality double")
+    features, names = cotraining.extract(docs, ("doc_id", "quality"))
+    models, held, fit, collect = [], [], cotraining.LogisticRegression.fit, cotraining.collect_garbage
+
+    def kept(self, df):
+        model = fit(self, df)
+        models.append(weakref.ref(model))
+        return model
+
+    monkeypatch.setattr(cotraining.LogisticRegression, "fit", kept)
+    monkeypatch.setattr(cotraining, "collect_garbage", lambda s: (collect(s), held.append([m() is not None for m in models])))
+    assert cotraining._fit(features, names, "text", "quality", None, 0.001, 0.0) is not None
+    assert held == [[], [False]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,6 +99,12 @@ def drop_table(df: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver free what ended steps have left (models, broadcasts, vectors) in Python and in its heap, which shrinks by that."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def grown(df: DataFrame) -> DataFrame:
     """``df`` as a side of a join that grows with the corpus: the join is a shuffled one at every size, never a broadcast."""
     return df.hint("merge")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from textloom.llm.common import drop_table, free_names, materialise
+from textloom.llm.common import collect_garbage, drop_table, free_names, materialise
 from textloom.llm.risk_rules import text_counts
 
 LABELLED, ROUNDS, ITERATIONS = 8000, 2, 25
@@ -235,11 +235,13 @@ def _fit(
         means = [(y, w, of(v if scale is None else v * scale)) for y, w, v in points_of_classes]
         points = points.unionByName(rows.sparkSession.createDataFrame(means, kind))
     lr = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=ITERATIONS, regParam=reg, elasticNetParam=l1, standardization=scale is None)
+    collect_garbage(rows.sparkSession)  # else the driver's heap grows from fit to fit by what the steps before have left
     model = lr.fit(points.coalesce(PARTS))
-    weights = np.zeros(WIDTH[view])
+    weights, intercept = np.zeros(WIDTH[view]), float(model.intercept)
     weights[used] = model.coefficients.toArray()
-    rows.sparkSession.sparkContext._jvm.System.gc()  # else the driver's heap grows from fit to fit by what their steps have left
-    return weights if scale is None else weights * scale, float(model.intercept)
+    del model, points, lr  # while they are held, so are their plans and vectors in the driver's heap
+    collect_garbage(rows.sparkSession)
+    return weights if scale is None else weights * scale, intercept
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -353,4 +355,5 @@ def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_i
     """``keep`` (doc_id among them), p_quality, p_toxic, score and kept of every row of ``docs(doc_id, text, lang, source)``."""
     features, names = extract(docs, keep)
     features = materialise(features, "cotraining-features")
+    collect_garbage(features.sparkSession)
     return score_features(features, names, train(features, names, labels, lost, rounds), keep)
