@@ -6,6 +6,10 @@ positions of the shared word leave room for enough common words and if their bit
 that only one of two lines has flips one of 64 bits), and are then verified on their whole sets.  A line goes if an
 earlier line (by doc_id, then line number) of the input is equal or similar; each line is judged on the input, not on what is left.
 
+Most lines of a family of variants are settled before by the first line with the same two least, or greatest, hashes of words; a
+line with a match serves only as the earlier one of later pairs, so pairs do not grow with the square of a family.  Of two lines the
+smaller one need only bring the inner part of its prefix.
+
 A word that stands in more than ``OFTEN`` prefixes is too common to be a key by itself, and is taken together with the size of
 the line's set, in classes of which similar lines share one.  Two lines that have to share two words
 share two of their p + 1 rarest, so such words are paired with each later one; pairs that are still too common take a third word.
@@ -37,15 +41,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import drop_table, free_names, materialise, need
+from textloom.llm.common import drop_table, free_names, grown, materialise, need
 
 BUCKETS, SIMILARITY = 1 << 22, 80  # per cent
 #: A key of more lines than this is common, and one of up to so many words is lengthened.  The values change the speed and never the result.
 OFTEN, LEVELS = 1024, 3
+#: Lines of more words have bitmaps of 256 bits too.
+LONG = 96
 #: A key of more than this part of a level's rows is hot; there are fewer such keys than this.
 HEAVY = 4096
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 LINE = ["d", "i"]
+ENDS = ["e0", "e1", "e2"]
 PAIR = ["xd", "xi", "yd", "yi"]
 
 
@@ -86,12 +93,12 @@ def _values(line: Column, table: Column | bytes) -> Column:
     """A line's words as 64-bit values, rarest first; ``table`` is a column with the classes, or the classes as a literal."""
     classes = F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>") if isinstance(table, bytes) else table
 
-    def value(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rare = classes[F.pmod(h, F.lit(BUCKETS)).cast("int")]
-        return F.shiftleft(rare.cast("long") - 64, 57) + F.shiftrightunsigned(h, 7)
+    def value(h: Column) -> Column:
+        rare = classes[h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")]  # as pmod, BUCKETS being a power of two
+        return F.coalesce(F.shiftleft(rare.cast("long") - 64, 57) + F.shiftrightunsigned(h, 7), F.lit(0).cast("long"))  # never null, which sorts faster
 
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(line), ""), value)))
+    hashes = F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w))  # by themselves, so that each is taken once
+    return F.sort_array(F.array_distinct(F.transform(hashes, value)))
 
 
 def _valued(lines: DataFrame, table: bytes) -> DataFrame:
@@ -105,10 +112,32 @@ def _bitmap(v: Column) -> Column:
     return F.aggregate(v, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x)))
 
 
+def _wide(v: Column) -> Column:
+    """256 parity bits of the values as four numbers, for lines of which 64 would be half set whatever their words; null for the others."""
+    part = lambda j: F.filter(v, lambda x: x.bitwiseAND(F.lit(192).cast("long")) == F.lit(64 * j).cast("long"))
+    return F.when(F.size(v) > LONG, F.array(*[_bitmap(part(j)) for j in range(4)]))
+
+
+def _ends(hashes: Column) -> list[Column]:
+    """Three keys of a line: its two least hashes, its two greatest ones, and the least and the greatest."""
+    lo, hi = F.array_min(hashes), F.array_max(hashes)
+    pairs = [(lo, F.array_min(F.array_remove(hashes, lo))), (hi, F.array_max(F.array_remove(hashes, hi))), (lo, hi)]
+    return [F.xxhash64(*x).alias(f"e{k}") for k, x in enumerate(pairs)]
+
+
 def _prefix(percent: int) -> Column:
     return F.col("n") - need(F.col("n"), percent) + 1
 
 
+def _inner(percent: int) -> Column:
+    """The part of a line's prefix that has a word in the prefix of each similar line of its size or a larger one.
+
+    Such lines share 2t/(1+t) of the smaller one's words at least, which is more than t of them.
+    """
+    n = F.col("n")
+    return n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)).cast("int") + 1
+
+
 def _by_size(keys: DataFrame, percent: int) -> DataFrame:
     """The rows with each key taken together with two neighbouring classes of sizes; lines that are similar share one.
 
@@ -119,22 +148,43 @@ def _by_size(keys: DataFrame, percent: int) -> DataFrame:
     return keys.select(F.xxhash64("k", "size").alias("k"), *[c for c in keys.columns if c not in ("k", "size")])
 
 
+def _earlier() -> Column:
+    return (F.col("yd") < F.col("xd")) | ((F.col("yd") == F.col("xd")) & (F.col("yi") < F.col("xi")))
+
+
 def _alike(percent: int) -> Column:
-    """Order, length, positional and bitmap filter of lines x and y that share the words of a key (``m``, the last at ``q``)."""
+    """Length, positional and bitmap filters of lines x and y that share the words of a key (``m``, the last at ``q``)."""
     x, y = F.col("xn"), F.col("yn")
     most = F.col("xm") + F.least(x - F.col("xq") - 1, y - F.col("yq") - 1)
     bits = F.bit_count(F.col("xb").bitwiseXOR(F.col("yb")))
-    earlier = (F.col("yd") < F.col("xd")) | ((F.col("yd") == F.col("xd")) & (F.col("yi") < F.col("xi")))
+    wide = reduce(lambda a, b: a + b, [F.bit_count(F.col("xw")[j].bitwiseXOR(F.col("yw")[j])) for j in range(4)])
     return (
-        earlier
-        & (100 * F.least(x, y) >= percent * F.greatest(x, y))
+        (100 * F.least(x, y) >= percent * F.greatest(x, y))
         & ((100 + percent) * most >= percent * (x + y))
         & (bits * (100 + percent) <= (x + y) * (100 - percent))
+        & F.coalesce(wide * (100 + percent) <= (x + y) * (100 - percent), F.lit(True))
     )
 
 
+def _near(few: DataFrame, percent: int) -> DataFrame:
+    """The pairs of lines of ``few`` (x the later one, without a match so far) that share a key and pass the filters.
+
+    The smaller line of a pair, or the earlier one of two that are of a size, need only bring the inner part of its prefix.
+    """
+    inner = few.where(F.col("q") < _inner(percent) + F.col("m") - 1)
+    x, y = F.col("xn"), F.col("yn")
+    wanted = ~F.when(_earlier(), F.col("xs")).otherwise(F.col("ys"))
+    near = _side(few, "x").join(_side(inner, "y"), "k").where(wanted & ((y < x) | ((y == x) & _earlier())) & _alike(percent))
+    ends = [F.when(_earlier(), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in zip(PAIR, [*PAIR[2:], *PAIR[:2]], strict=True)]
+    return near.select(*ends, _apart())
+
+
+def _apart() -> Column:
+    return F.bit_count(F.col("xb").bitwiseXOR(F.col("yb"))).alias("apart")
+
+
 def _side(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("k", *[F.col(c).alias(side + c) for c in ("d", "i", "n", "b", "m", "q")])
+    return rows.select("k", *[F.col(c).alias(side + c) for c in ("d", "i", "n", "b", "w", "s", "m", "q")])
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, table: bytes, percent: int) -> DataFrame:
@@ -154,14 +204,35 @@ def _verify(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, table: by
     return found
 
 
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    return materialise(pairs.groupBy("xd", "xi").agg(F.min(F.struct("apart", "yd", "yi")).alias("y")).select("xd", "xi", "y.yd", "y.yi"), "line-likely")
+
+
+def _of_first(classes: DataFrame, docs: DataFrame, text: str, doc_id: str, table: bytes, percent: int) -> DataFrame:
+    """The lines ``(xd, xi)`` that are similar to the first line of those with one of their three ``ENDS``.
+
+    Variants of a line mostly share one of them, so most of a family is settled by as many pairs as it has lines.
+    """
+    keys = classes.select("d", "i", "n", "b", "w", F.lit(False).alias("s"), F.lit(1).alias("m"), F.lit(0).alias("q"), F.explode(F.array(*ENDS)).alias("k"))
+    firsts = keys.groupBy("k").agg(F.min(F.struct("d", "i", "n", "b", "w", "s", "m", "q")).alias("y")).select("k", "y.*")
+    likely = _likeliest(_side(keys, "x").join(grown(_side(firsts, "y")), "k").where(_earlier() & _alike(percent)).select(*PAIR, _apart()))
+    settled = _verify(likely, docs, text, doc_id, table, percent)
+    drop_table(likely)
+    return settled
+
+
 def _similar(classes: DataFrame, docs: DataFrame, text: str, doc_id: str, table: bytes, percent: int) -> DataFrame:
-    """The lines ``(xd, xi)`` of ``classes(d, i, n, b, v)`` that are similar to an earlier one."""
-    columns = ["k", "d", "i", "n", "b", "m", "q"]
-    keys = classes.select("d", "i", "n", "b", F.lit(1).alias("m"), F.posexplode(F.slice("v", F.lit(1), _prefix(percent))).alias("q", "k")).select(*columns)
+    """The lines ``(xd, xi)`` of ``classes(d, i, n, b, w, v, e0, e1, e2)`` that are similar to an earlier one."""
+    columns = ["k", "d", "i", "n", "b", "w", "s", "m", "q"]
+    words = lambda of, *more: of.select("d", "i", "n", "b", "w", *more, F.lit(1).alias("m"), F.posexplode(F.slice("v", F.lit(1), _prefix(percent))).alias("q", "k"))
+    settled = _of_first(classes, docs, text, doc_id, table, percent)
+    # s: the line has a match already; it only serves as the earlier line of a pair then
+    marked = classes.join(grown(settled.select(F.col("xd").alias("d"), F.col("xi").alias("i"), F.lit(True).alias("s"))), LINE, "left").withColumn("s", F.coalesce("s", F.lit(False)))
+    counted, keys = words(classes), words(marked, "s").select(*columns)
     tables, few, left = [], [], []
     steps = [1, *range(2, LEVELS + 2)]  # the first lengthens common words by the lines' sizes
     for at, m in enumerate(steps):
-        counts = materialise(keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "line-key-counts")
+        counts = materialise(counted.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "line-key-counts")
         rows, common, most = counts.agg(F.sum("c"), F.count_if(F.col("c") > OFTEN), F.max("c")).first()
         limit = max(OFTEN, (rows or 0) // HEAVY)
         light, hot = keys, []
@@ -179,31 +250,32 @@ def _similar(classes: DataFrame, docs: DataFrame, text: str, doc_id: str, table:
             left.append(hot)
             break
         if not at:
-            keys = _by_size(hot, percent)
+            counted = keys = _by_size(hot, percent)
             continue
         left.append(hot.where(need(F.col("n"), percent) < m))  # two such lines need not share more words than they do
         spots = hot.groupBy(*LINE).agg(F.collect_list(F.struct("k", "q")).alias("spots"))
-        rows = materialise(classes.join(spots, LINE), "line-rows")
+        rows = materialise(marked.join(spots, LINE), "line-rows")
         tables.append(rows)
         end = F.least(F.size("v"), _prefix(percent) + m - 1)
-        rows = rows.select("d", "i", "n", "b", "v", F.explode("spots").alias("s")).where(F.col("s.q") + 1 < end)
-        rows = rows.select("*", F.explode(F.sequence(F.col("s.q") + 1, end - 1)).alias("at"))
-        keys = rows.select(F.xxhash64("s.k", F.get("v", F.col("at"))).alias("k"), "d", "i", "n", "b", F.lit(m).alias("m"), F.col("at").alias("q"))
-    none = classes.where("false").select(F.lit(0).cast("long").alias("k"), "d", "i", "n", "b", F.lit(1).alias("m"), F.lit(0).alias("q"))
+        rows = rows.select("d", "i", "n", "b", "w", "s", "v", F.explode("spots").alias("spot")).where(F.col("spot.q") + 1 < end)
+        rows = rows.select("*", F.explode(F.sequence(F.col("spot.q") + 1, end - 1)).alias("at"))
+        counted = keys = rows.select(F.xxhash64("spot.k", F.get("v", F.col("at"))).alias("k"), "d", "i", "n", "b", "w", "s", F.lit(m).alias("m"), F.col("at").alias("q"))
+    none = classes.where("false").select(F.lit(0).cast("long").alias("k"), "d", "i", "n", "b", "w", F.lit(False).alias("s"), F.lit(1).alias("m"), F.lit(0).alias("q"))
     families = reduce(DataFrame.unionByName, left, none)
-    hubs = families.groupBy("k").agg(F.min(F.struct("d", "i", "n", "b", "m", "q")).alias("y")).select("k", "y.*")
-    near = [_side(x, "x").join(_side(x, "y"), "k") for x in few] + ([_side(families, "x").join(_side(hubs, "y"), "k")] if left else [])
-    apart = F.bit_count(F.col("xb").bitwiseXOR(F.col("yb"))).alias("apart")
-    pairs = materialise(reduce(DataFrame.unionByName, [x.where(_alike(percent)).select(*PAIR, apart) for x in near]).distinct(), "line-pairs")
+    hubs = families.groupBy("k").agg(F.min(F.struct("d", "i", "n", "b", "w", "s", "m", "q")).alias("y")).select("k", "y.*")
+    near = [_near(x, percent) for x in few]
+    if left:
+        near.append(_side(families, "x").join(_side(hubs, "y"), "k").where(~F.col("xs") & _earlier() & _alike(percent)).select(*PAIR, _apart()))
+    pairs = materialise(reduce(DataFrame.unionByName, near).distinct(), "line-pairs")
     # one match is enough, so the likeliest candidate of each line goes first
-    likely = materialise(pairs.groupBy("xd", "xi").agg(F.min(F.struct("apart", "yd", "yi")).alias("y")).select("xd", "xi", "y.yd", "y.yi"), "line-likely")
-    settled = _verify(likely, docs, text, doc_id, table, percent)
+    likely = _likeliest(pairs)
+    settled = settled.unionByName(_verify(likely, docs, text, doc_id, table, percent))
     others = materialise(pairs.select(*PAIR).join(settled, ["xd", "xi"], "left_anti").join(likely, PAIR, "left_anti"), "line-pairs")
     if not others.isEmpty():
         settled = settled.unionByName(_verify(others, docs, text, doc_id, table, percent))
     tables += [pairs, likely, others]
     if left:
-        rest = _side(families, "x").join(settled, ["xd", "xi"], "left_anti").join(_side(families, "y"), "k").where(_alike(percent))
+        rest = _side(families, "x").join(settled, ["xd", "xi"], "left_anti").join(_side(families, "y"), "k").where(_earlier() & _alike(percent))
         rest = materialise(rest.select(*PAIR).distinct().join(pairs, PAIR, "left_anti"), "line-pairs")
         if not rest.isEmpty():
             settled = settled.unionByName(_verify(rest, docs, text, doc_id, table, percent))
@@ -216,18 +288,18 @@ def _similar(classes: DataFrame, docs: DataFrame, text: str, doc_id: str, table:
 def later_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = SIMILARITY) -> DataFrame:
     """``(d, gone)``: the numbers of each document's lines that have an earlier match (``_base`` of the text is its first)."""
     table = rarity(docs, text)
-    lines = _valued(_lines(docs, text, doc_id), table).withColumn("n", F.size("v"))
+    lines = _valued(_lines(docs, text, doc_id), table).withColumns({"n": F.size("v"), "hashes": F.transform("v", lambda x: x.bitwiseAND(F.lit((1 << 57) - 1)))})
     first = F.slice("v", F.lit(1), F.least(F.col("n"), _prefix(percent) + LEVELS - 1))
     # lines without words go afterwards: a filter here would be pushed down and make every set twice
-    marks = materialise(lines.select("d", "i", "n", F.xxhash64("v").alias("s1"), F.xxhash64("v", F.lit(7)).alias("s2"), _bitmap(F.col("v")).alias("b"), first.alias("v")), "lines")
+    marks = materialise(lines.select("d", "i", "n", F.xxhash64("v").alias("s1"), F.xxhash64("v", F.lit(7)).alias("s2"), _bitmap(F.col("v")).alias("b"), _wide(F.col("v")).alias("w"), first.alias("v"), *_ends(F.col("hashes"))), "lines")
     marks = marks.where("n > 0")
-    classes = marks.groupBy("s1", "s2").agg(F.min(F.struct("d", "i", "n", "b", "v")).alias("f"), F.count("*").alias("c"))
+    classes = marks.groupBy("s1", "s2").agg(F.min(F.struct("d", "i", "n", "b", "w", "v", *ENDS)).alias("f"), F.count("*").alias("c"))
     classes = materialise(classes.select("s1", "s2", "c", "f.*"), "line-classes")
     several = classes.where("c > 1").select("s1", "s2", F.col("d").alias("fd"), F.col("i").alias("fi"))
     copies = marks.select("d", "i", "s1", "s2").join(several, ["s1", "s2"]).where((F.col("fd") != F.col("d")) | (F.col("fi") != F.col("i")))
     copies = materialise(copies.select("d", "i"), "line-copies")
     drop_table(marks)
-    similar = _similar(classes.select("d", "i", "n", "b", "v"), docs, text, doc_id, table, percent)
+    similar = _similar(classes.select("d", "i", "n", "b", "w", "v", *ENDS), docs, text, doc_id, table, percent)
     gone = copies.unionByName(similar.select(F.col("xd").alias("d"), F.col("xi").alias("i")))
     out = materialise(gone.groupBy("d").agg(F.collect_set("i").alias("gone")), "lines-gone")
     for t in (copies, classes, similar):
