@@ -185,3 +185,33 @@ def test_a_text_of_questions_is_cut_once(spark):
     df = spark.createDataFrame([("is it", "a b c", [(0, "a")])], "question string, text string, answers array<struct<start: bigint, text: string>>")
     plan = inputs.question_inputs(inputs.VOCABULARY, 16, 4, 5)(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 2  # of the question and of the text; a filter on pieces would be a third
+
+
+def test_cutter_cuts_as_cut_word_does():
+    rnd = __import__("random").Random(1)
+    for k in range(30):
+        drawn = {rnd.choice(["", S.INNER]) + "".join(rnd.choice("abä#") for _ in range(rnd.randrange(1, 4))) for _ in range(20)}
+        vocabulary = [S.PAD, S.UNK, *sorted(drawn), *(["", S.INNER, "#"] if k % 3 == 0 else [])]
+        vocabulary = list(dict.fromkeys(vocabulary))
+        numbers, longest, reach = {t: i for i, t in enumerate(vocabulary)}, max(map(len, vocabulary)), S.reaches(vocabulary)
+        for lower in (True, False):
+            cut = S.cutter(vocabulary, lower)
+            for _ in range(100):
+                w = "".join(rnd.choice("abÄ#İ") for _ in range(rnd.choice([0, 1, 3, 7, 100, 101])))
+                form = w.lower() if lower and len(w.lower()) == len(w) else w
+                assert cut(w) == ((S.cut_word(form, numbers, longest, reach) if len(w) <= S.LONGEST_WORD else None) or [(1, 0)])
+
+
+def test_bert_inputs_cut_documents_once(spark):
+    df = spark.createDataFrame([(i, "the cats sat\non mats\nthe mat") for i in range(12)] + [(None, "the cats"), (50, "  \n")], "doc_id long, text string")
+    run = processor("bert_inputs", vocabulary=V, size=12)
+    plan = run(df)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 2 and "Join" not in plan[plan.index("MapInArrow") : plan.rindex("MapInArrow")]
+    rows = run(df).collect()
+    want = sorted(map(repr, rows))
+    assert {r.doc_id for r in rows} == {None, *range(12)}  # a null id is a document too
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a document and the pairs that want it come in different batches
+    try:
+        assert sorted(map(repr, run(df).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

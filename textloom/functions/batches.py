@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,8 @@ class Pieces:
         cuts.append([])  # a null word's
         codes = pc.fill_null(coded.indices, len(different)).to_numpy().astype(np.int64)
         firsts = np.cumsum([0, *map(len, cuts)])
-        table = np.array([p for c in cuts for p in c], np.int64).reshape(-1, self.width)
+        flat = chain.from_iterable(chain.from_iterable(cuts))
+        table = np.fromiter(flat, np.int64, int(firsts[-1]) * self.width).reshape(-1, self.width)
         n = np.diff(firsts)[codes]
         ends = np.concatenate([[0], np.cumsum(n)])
         within = np.arange(ends[-1]) - np.repeat(ends[:-1], n)

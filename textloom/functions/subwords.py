@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,43 @@ def cut_word(word: str, ids: dict[str, int], longest: int, reach: dict[str, int]
     return found
 
 
+def cutter(vocabulary: Sequence[str], lower: bool = True) -> Callable[[str], list[tuple[int, int]]]:
+    """:func:`cut_word` by a vocabulary, which has to hold ``[UNK]``: a word that can't be cut, or is too long, is one unknown piece."""
+    first = {t: i for i, t in enumerate(vocabulary)}
+    inner = {t[len(INNER) :]: i for t, i in first.items() if t.startswith(INNER) and len(t) > len(INNER)}
+    unknown, tables = first[UNK], []
+    for pieces in (first, inner):  # with the most characters of a piece by its first one
+        reach: dict[str, int] = {}
+        for t in filter(None, pieces):
+            reach[t[0]] = max(reach.get(t[0], 0), len(t))
+        tables.append((pieces.get, reach.get))
+
+    def cut(w: str) -> list[tuple[int, int]]:
+        form = w.lower() if lower else w
+        n = len(w)
+        if len(form) != n:
+            form = w
+        found, at = [], 0
+        piece, reach = tables[0]
+        while at < n <= LONGEST_WORD:
+            end = at + reach(form[at], 0)
+            if end > n:
+                end = n
+            while end > at:
+                what = piece(form[at:end])
+                if what is not None:
+                    break
+                end -= 1
+            else:
+                return [(unknown, 0)]
+            found.append((what, at))
+            at = end
+            piece, reach = tables[1]
+        return found or [(unknown, 0)]
+
+    return cut
+
+
 def word_pieces(words: Column, vocabulary: Sequence[str], text: Column | None = None, lower: bool = True) -> Column:
     """A struct of three arrays for an array of words: ``ids`` of the pieces, ``initial`` (1 at a word's first piece), ``starts``.
 
@@ -53,14 +90,7 @@ def word_pieces(words: Column, vocabulary: Sequence[str], text: Column | None =
     come in slices of bounded size (:mod:`textloom.functions.batches`), whose rows are put together by whole arrays; a task keeps the
     pieces of its words up to a bound.  Null words have no pieces.
     """
-    ids = {t: i for i, t in enumerate(vocabulary)}
-    unknown = ids[UNK]
-    longest = max(map(len, vocabulary))
-    reach = reaches(vocabulary)
-
-    def cut(w: str) -> list[tuple[int, int]]:
-        form = w.lower() if lower and len(w.lower()) == len(w) else w
-        return (cut_word(form, ids, longest, reach) if len(w) <= LONGEST_WORD else None) or [(unknown, 0)]
+    cut = cutter(vocabulary, lower)
 
     @F.arrow_udf("struct<ids: array<int>, initial: array<int>, starts: array<int>>")
     def pieces(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

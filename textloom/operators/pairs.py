@@ -19,6 +19,8 @@ from textloom.operators.ranks import hash_key, hash_rank
 
 
 ACTIONS = ("keep", "mask", "random", "same")
+#: Where a pair's segments are.
+PLACES = ("pair", "a_from", "a_to", "b_key", "b_from", "b_to", "is_next")
 
 
 def next_sentences(lines: DataFrame, doc: str = "doc_id", pos: str = "line", text: str = "sentence") -> DataFrame:
@@ -48,62 +50,126 @@ def segment_pairs(docs: DataFrame, key: str, sizes: str, limit: int, seed: int,
 
     Gives ``key, pair, a_from, a_to, b_key, b_from, b_to, is_next``, places in the documents' tokens (ends exclusive), and for each of
     ``arrays`` (a value per token) its slices ``a_<name>`` and ``b_<name>``.  Documents without a token have no pairs; in a table of
-    one document its other segments are its own.  A document's pairs are made in one pass over its row; other documents are met by
-    their place in hash order.
+    one document its other segments are its own.  A document's pairs are made in one pass over its row; other documents are met at
+    their place in hash order (:func:`met_pairs`).
     """
     most = limit - 3
     if most < 2:
         raise ValueError("no room for two segments")
-    kind = docs.schema[key].dataType
     pieces = F.flatten(F.transform(sizes, lambda n: F.concat(F.array_repeat(F.lit(most), (n / most).cast("int")), F.when(n % most > 0, F.array((n % most).cast("int"))).otherwise(F.array().cast("array<int>")))))
     work = docs.select(F.col(key).alias("key"), pieces.alias("pieces"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(arrays)]).where("size(pieces) > 0")
-    work = hash_rank(work, "key", seed)
-    kept = [docs.schema[c].dataType.simpleString() for c in arrays]
-    base = "pair int, a_from long, a_to long, is_next boolean, b_from long, b_to long, want long, start long, room long"
-    schema = f"key {kind.simpleString()}, {base}" + "".join(f", a{i} {t}, b{i} {t}" for i, t in enumerate(kept))
+    kinds = [docs.schema[c].dataType.simpleString() for c in arrays]
+    made = met_pairs(in_hash_order(work, seed), lambda b: (b.column("pieces").to_pylist(), [b.column(f"x{i}") for i in range(len(arrays))]), kinds, most, seed)
+    return made.select(F.col("key").alias(key), *PLACES, *[F.col(f"{s}{i}").alias(f"{s}_{c}") for i, c in enumerate(arrays) for s in "ab"])
+
+
+def in_hash_order(docs: DataFrame, seed: int) -> DataFrame:
+    """Documents with their place ``rn`` by the hash of ``key`` and their number ``n_rows``; a null key takes part as an empty one."""
+    return hash_rank(docs.withColumn("__k", F.coalesce(F.col("key").cast("string"), F.lit(""))), "__k", seed).drop("__k")
+
+
+def met_pairs(
+    ranked: DataFrame, read: Callable[[pa.RecordBatch], tuple[list[list[int]], list[pa.Array]]], kinds: Sequence[str], most: int, seed: int,
+    finish: Callable[[pa.RecordBatch, list[str | None]], pa.RecordBatch] | None = None, finished: str = "",
+) -> DataFrame:
+    """The pairs of :func:`segment_pairs` of documents ``(key, rn, n_rows, ...)`` in hash order: ``key``, ``PLACES``, and ``a<i>``, ``b<i>`` of the arrays.
+
+    ``read`` gives of a batch each document's sentences (none of more than ``most``, one at least) and its arrays, of the types ``kinds``.
+    ``finish`` makes the columns ``finished`` from those of the arrays, given the keys as strings; they stand in place of the arrays.
+
+    A document is read once and sent once, to its place in hash order, where it meets the pairs that want it; its own pairs are cut there too, and
+    only the segment A of a pair with another document is sent besides.  A task holds one document and a slice of rows.
+    """
+    kind = ranked.schema["key"].dataType.simpleString()
+    names = ["pair", "a_from", "a_to", "is_next", "b_from", "b_to", "start"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+    sent_schema = f"target long, kind int, key {kind}, pieces array<int>, pair int, a_from long, a_to long, is_next boolean, b_from long, b_to long, start long" + "".join(f", x{i} {t}" for i, t in enumerate(kinds))
+    counted = lambda c: pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before = lambda n: np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+
+    def parts(values: pa.Array, first: np.ndarray, n: np.ndarray, kind: pa.DataType) -> pa.Array:
+        ends = before(n)
+        index = np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values.take(pa.array(index))).cast(kind)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [part.split()[0] for part in base.split(", ")]
-        types = [{"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}[part.split()[1]] for part in base.split(", ")]
         for batch in (part for whole in it for part in B.slices(whole)):
-            keys = batch.column("key")
-            columns = [batch.column(f"x{i}") for i in range(len(arrays))]
-            begins = [np.cumsum(pc.fill_null(pc.list_value_length(c), 0).to_numpy()) for c in columns]
-            rows, at = [], []
-            for r, (k, p, rn, n_rows) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "pieces", "rn", "n_rows")), strict=True)):
+            keys, (pieces, columns) = batch.column("key"), read(batch)
+            places, n_rows = batch.column("rn").to_pylist(), batch.column("n_rows").to_pylist()
+            rows, at, targets = [], [], []
+            for r, (k, p, rn, total) in enumerate(zip(keys.to_pylist(), pieces, places, n_rows, strict=True)):
                 for pair, (a, b, follows, draw, start) in enumerate(_pairs(str(k), p, most, seed)):
-                    want = (rn + draw % max(n_rows - 1, 1)) % n_rows + 1
-                    rows.append((pair, *a, follows, *(b or (None, None)), want, start, most - (a[1] - a[0])))
+                    rows.append((pair, *a, follows, *(b or (None, None)), start))
                     at.append(r)
+                    targets.append(rn if follows else (rn + draw % max(total - 1, 1)) % total + 1)
+            if not batch.num_rows:
+                continue
+            labels = ["target", "kind", "key", "pieces", *names, *(f"x{i}" for i in range(len(columns)))]
+            none = lambda t: pa.nulls(len(keys), t)
+            yield pa.RecordBatch.from_arrays([batch.column("rn"), pa.array(np.zeros(len(keys), np.int32)), keys, pa.array(pieces, pa.list_(pa.int32())), *map(none, types), *columns], labels)
+            if rows:
+                own = np.array([x[3] for x in rows])
+                index = np.array(at)
+                first, last = (np.array([x[i] for x in rows], np.int64) for i in (1, 2))
+                cols = [pa.array(targets, pa.int64()), pa.array(np.ones(len(at), np.int32)), keys.take(pa.array(index)), pa.nulls(len(at), pa.list_(pa.int32()))]
+                cols += [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                cols += [parts(c.flatten(), before(counted(c))[index] + first, np.where(own, 0, last - first), c.type) for c in columns]
+                yield pa.RecordBatch.from_arrays(cols, labels)
+
+    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the key, the sentences' places and the arrays of the document that was met last
+        for batch in (part for whole in it for part in B.slices(whole)):
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(f"x{i}") for i in range(len(kinds))]
+            sizes, values = [counted(c) for c in columns], [c.flatten() for c in columns]
+            keys = batch.column("key")
+            shift = [0] * len(kinds)
+            doc, at = -1, 0  # the document's row, counted with the held one as the first
+            if held is not None:
+                at, shift = 1, [len(x) for x in held[2]]
+                keys = pa.concat_arrays([held[0], keys])
+                values = [pa.concat_arrays([old, new]) for old, new in zip(held[2], values, strict=True)]
+                sizes = [np.concatenate([[s], n]) for s, n in zip(shift, sizes, strict=True)]
+                doc, places = 0, held[1]
+            starts = [before(n) for n in sizes]
+            rows, own, docs, b_from, b_to = [], [], [], [], []
+            asked = zip(*(batch.column(c).to_pylist() for c in ("kind", "pieces", "a_from", "a_to", "is_next", "b_from", "b_to", "start")), strict=True)
+            for r, (what, p, first, last, follows, low, high, start) in enumerate(asked, at):
+                if what == 0:
+                    doc, places = r, before(p).tolist()
+                    continue
+                if not follows:
+                    room, begin = most - (last - first), start % (len(places) - 1)
+                    low, end = places[begin], begin
+                    while end < len(places) - 1 and places[end + 1] - low <= room:
+                        end += 1
+                    high = places[end] if end > begin else low + room
+                rows.append(r)
+                own.append(follows)
+                docs.append(doc)
+                b_from.append(low)
+                b_to.append(high)
             if rows:
-                places = [[np.array([x[k] or 0 for x in rows]) for k in (f, f + 1)] for f in (1, 4)]  # of A and of B
-                cols = [keys.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))]
-                for c, begin in zip(columns, begins, strict=True):
-                    values = c.flatten()
-                    shift = np.concatenate([[0], begin])[np.array(at)]
-                    for first, last in places:
-                        n = last - first
-                        ends = np.concatenate([[0], np.cumsum(n)])
-                        index = np.arange(ends[-1]) + np.repeat(shift + first - ends[:-1], n)
-                        cols.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values.take(pa.array(index))).cast(c.type))
-                yield pa.RecordBatch.from_arrays(cols, ["key", *names, *(f"{s}{i}" for i in range(len(arrays)) for s in "ab")])
-
-    made = work.mapInArrow(cut, schema)
-    out = [F.col("key").alias(key), "pair", "a_from", "a_to"]
-    end = [F.col("is_next")]
-    own = made.where("is_next").select(*out, F.col("key").alias("b_key"), "b_from", "b_to", *end, *[F.col(f"{s}{i}").alias(f"{s}_{c}") for i, c in enumerate(arrays) for s in "ab"])
-    others = work.select(F.col("key").alias("b_key"), F.col("rn").alias("want"), "pieces", *[F.col(f"x{i}").alias(f"y{i}") for i in range(len(arrays))])
-    met = made.where("NOT is_next").drop("b_from", "b_to").join(others, "want")
-    begin = (F.col("start") % F.size("pieces")).cast("int")
-    add = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, n: a + n)
-    fill = lambda a, n: F.when(a["open"] & (a["n"] + n <= F.col("room")), F.struct((a["n"] + n).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(a["n"].alias("n"), F.lit(False).alias("open")))
-    rest = F.slice("pieces", begin + 1, F.size("pieces"))
-    taken = F.aggregate(rest, F.struct(F.lit(0).cast("long").alias("n"), F.lit(True).alias("open")), fill, lambda a: a["n"])
-    met = met.withColumn("b_from", add(F.slice("pieces", F.lit(1), begin))).withColumn("taken", taken)
-    met = met.withColumn("b_to", F.col("b_from") + F.when(F.col("taken") > 0, F.col("taken")).otherwise(F.least(F.get("pieces", begin), F.col("room"))))
-    part = lambda i: F.slice(f"y{i}", (F.col("b_from") + 1).cast("int"), (F.col("b_to") - F.col("b_from")).cast("int"))
-    random = met.select(*out, "b_key", "b_from", "b_to", *end, *[x for i, c in enumerate(arrays) for x in (F.col(f"a{i}").alias(f"a_{c}"), part(i).alias(f"b_{c}"))])
-    return own.unionByName(random)
+                index, docs, own = np.array(rows), np.array(docs), np.array(own)
+                picked = batch.take(pa.array(index - at))
+                first, last = (picked.column(c).to_numpy() for c in ("a_from", "a_to"))
+                low, high = np.array(b_from, np.int64), np.array(b_to, np.int64)
+                cols = [picked.column("key"), *(picked.column(c) for c in ("pair", "a_from", "a_to")), keys.take(pa.array(docs)), pa.array(low), pa.array(high), picked.column("is_next")]
+                labels = ["key", *PLACES]
+                for i, (v, s, c) in enumerate(zip(values, starts, columns, strict=True)):
+                    cols += [parts(v, np.where(own, s[docs] + first, s[index]), last - first, c.type), parts(v, s[docs] + low, high - low, c.type)]
+                    labels += [f"a{i}", f"b{i}"]
+                out = pa.RecordBatch.from_arrays(cols, labels)
+                yield out if finish is None else finish(out, picked.column("name").to_pylist())
+            copied = lambda x, first, n: x.take(pa.array(np.arange(first, first + n)))
+            held = copied(keys, doc, 1), places, [copied(v, s[doc], n[doc]) for v, s, n in zip(values, starts, sizes, strict=True)]
+
+    sent = ranked.mapInArrow(cut, sent_schema).repartition("target").sortWithinPartitions("target", "kind")
+    base = f"key {kind}, pair int, a_from long, a_to long, b_key {kind}, b_from long, b_to long, is_next boolean"
+    if finish is not None:
+        return sent.withColumn("name", F.col("key").cast("string")).mapInArrow(meet, f"{base}, {finished}")
+    return sent.mapInArrow(meet, base + "".join(f", a{i} {t}, b{i} {t}" for i, t in enumerate(kinds)))
 
 
 def estimated_pairs(lines: DataFrame, text: str = "value", closed: bool = False) -> DataFrame:

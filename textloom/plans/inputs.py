@@ -213,75 +213,87 @@ def similarity_inputs(vocabulary: Sequence[str], positives: int = 1, negatives:
 
 
 def _masking(vocabulary: Sequence[str], size: int, share: float, most: int, seed: int):
-    """The masking of :func:`language_inputs`, as a function of keys, ids and word starts."""
+    """The masking of :func:`language_inputs`, as a function of keys, bounds of rows, ids (changed in place) and word starts; gives what is asked for."""
     mask, budget, ids = list(vocabulary).index(S.MASK), min(most, max(1, round(share * size))), len(vocabulary)
 
     ends = [f"-{i}-{seed}".encode() for i in range(size)], [f"-{-1 - i}-{seed}".encode() for i in range(size)]
 
-    @F.arrow_udf("struct<input_ids: array<int>, lm_label_ids: array<int>>")
-    def masked(it: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for keys, tokens, initial in (part for batch in it for part in B.column_slices(batch)):
-            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy())])
-            values, starts = tokens.flatten().to_numpy().copy(), initial.flatten().to_numpy()
-            wanted = np.full(len(values), -1, np.int32)
-            last = np.concatenate([[-1], starts[:-1]])
-            last[bounds[:-1]] = -1
-            begins = (starts == 1) | ((starts == 0) & (last == -1))  # a segment may begin within a word
-            firsts = np.flatnonzero(begins)
-            sizes = np.bincount(np.cumsum(begins)[starts != -1] - 1, minlength=len(firsts)).tolist()
-            words = np.searchsorted(firsts, bounds).tolist()
-            firsts = firsts.tolist()
-            for r, k in enumerate(keys.to_pylist()):
-                key, at, used = str(k).encode("utf-8", "surrogatepass"), int(bounds[r]), 0
-                draw = lambda end: hashlib.md5(key + end, usedforsecurity=False).digest()[:8]  # noqa: B023, E731
-                for _, w in sorted((draw(ends[0][firsts[w] - at]), w) for w in range(words[r], words[r + 1])):
-                    if used + sizes[w] > budget:
-                        continue
-                    used += sizes[w]
-                    for i in range(firsts[w], firsts[w] + sizes[w]):
-                        wanted[i], what = values[i], int.from_bytes(draw(ends[1][i - at]), "big")
-                        if what % 10 < 9:
-                            values[i] = mask if what % 10 < 8 else what // 10 % ids
-            yield pa.StructArray.from_arrays([B.lists(bounds, values), B.lists(bounds, wanted)], ["input_ids", "lm_label_ids"])
+    def masked(keys: list[str], bounds: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        wanted = np.full(len(values), -1, np.int32)
+        last = np.concatenate([[-1], starts[:-1]])
+        last[bounds[:-1]] = -1
+        begins = (starts == 1) | ((starts == 0) & (last == -1))  # a segment may begin within a word
+        firsts = np.flatnonzero(begins)
+        sizes = np.bincount(np.cumsum(begins)[starts != -1] - 1, minlength=len(firsts)).tolist()
+        words = np.searchsorted(firsts, bounds).tolist()
+        firsts = firsts.tolist()
+        for r, k in enumerate(keys):
+            key, at, used = str(k).encode("utf-8", "surrogatepass"), int(bounds[r]), 0
+            draw = lambda end: hashlib.md5(key + end, usedforsecurity=False).digest()[:8]  # noqa: B023, E731
+            for _, w in sorted((draw(ends[0][firsts[w] - at]), w) for w in range(words[r], words[r + 1])):
+                if used + sizes[w] > budget:
+                    continue
+                used += sizes[w]
+                for i in range(firsts[w], firsts[w] + sizes[w]):
+                    wanted[i], what = values[i], int.from_bytes(draw(ends[1][i - at]), "big")
+                    if what % 10 < 9:
+                        values[i] = mask if what % 10 < 8 else what // 10 % ids
+                if used == budget:
+                    break
+        return wanted
 
     return masked
 
 
-def _language(df: DataFrame, vocabulary: Sequence[str], size: int, masked, key: Column, a: tuple[Column, Column], b: tuple[Column, Column]) -> DataFrame:
-    """``df`` with the masked inputs of its sides, each (ids, word starts), and the label of the next sentence."""
-    starts = T.pad(T.with_specials(a[1], b[1], -1, -1), size, F.lit(-1))
-    tokens, *masks = _assembled(vocabulary, a[0], b[0], size)
-    out = df.withColumn("made", masked(key.cast("string"), tokens, starts)).select("*", "made.*", *masks).drop("made")
-    return out.withColumn("nextsentence_label_ids", F.when(F.col("is_next"), 0).otherwise(1))
-
-
 def bert_inputs(vocabulary: Sequence[str], key: str = "doc_id", text: str = "text", size: int = 128, share: float = 0.15, most: int = 20, seed: int = 0) -> Processor:
     """Documents ``(key, text)``, a sentence a line, to masked inputs of packed pairs, of which half go on in another document.
 
     Pieces are packed as :func:`textloom.operators.pairs.segment_pairs` packs tokens, so every piece of a document is in one pair; masks
     and labels are those of :func:`language_inputs`.  Gives ``key, pair, a_from, a_to, b_key, b_from, b_to, is_next`` and the inputs.
     """
-    masked = _masking(vocabulary, size, share, most, seed)
-
-    @F.arrow_udf("array<int>")
-    def sizes(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for initial, words in (part for batch in it for part in B.column_slices(batch)):
-            out = []
-            for m, n in zip(initial, words, strict=True):
-                m, n = (np.zeros(0, int) if x.values is None else x.values.to_numpy() for x in (m, n))
-                firsts = np.flatnonzero(m == 1)
-                out.append(np.diff(np.append(firsts, len(m))[np.cumsum(n)], prepend=0).tolist() if len(n) else [])
-            yield pa.array(out, pa.list_(pa.int32()))
+    masked, room = _masking(vocabulary, size, share, most, seed), size - 3
+    small = len(vocabulary) <= 1 << 15
+    number, kinds = pa.int16() if small else pa.int32(), ["array<smallint>" if small else "array<int>", "array<tinyint>"]
+    cls, sep, pad = (vocabulary.index(t) for t in (S.CLS, S.SEP, S.PAD))
+    cut = S.cutter(vocabulary)
+    memory: list[B.Pieces] = []  # a task's
+
+    def read(batch: pa.RecordBatch) -> tuple[list[list[int]], list[pa.Array]]:
+        if not memory:
+            memory.append(B.Pieces(cut, 2))
+        lines = batch.column("lines")
+        rows, ends, found, within, *_ = memory[0](lines.flatten())
+        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(lines).to_numpy())])
+        sizes = np.diff(ends[rows]).tolist()
+        pieces = [[m for n in sizes[i:j] for m in (*[room] * (n // room), *([n % room] if n % room else ()))] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        bounds = pa.array(ends[rows][edges].astype(np.int32))
+        return pieces, [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (found[:, 0].astype(number.to_pandas_dtype()), (within == 0).astype(np.int8))]
+
+    def finish(pairs: pa.RecordBatch, names: list[str | None]) -> pa.RecordBatch:
+        na, nb = (pc.list_value_length(pairs.column(c)).to_numpy().astype(np.int64) for c in ("a0", "b0"))
+        tokens, starts = np.full((len(na), size), pad, np.int32), np.full((len(na), size), -1, np.int32)
+        for first, n, c in ((np.ones(len(na), np.int64), na, "a"), (na + 2, nb, "b")):
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(np.arange(len(n)) * size + first, n) + within
+            tokens.ravel()[at], starts.ravel()[at] = (pairs.column(f"{c}{i}").flatten().to_numpy() for i in (0, 1))
+        every = np.arange(len(na))
+        tokens[:, 0], tokens[every, na + 1], tokens[every, na + nb + 2] = cls, sep, sep
+        bounds = np.arange(len(na) + 1) * size
+        keys = [str(p) if k is None else f"{k}/{p}" for k, p in zip(names, pairs.column("pair").to_pylist(), strict=True)]
+        wanted = masked(keys, bounds, tokens.ravel(), starts.ravel())
+        return pa.RecordBatch.from_arrays([*pairs.columns[:8], B.lists(bounds, tokens.ravel()), B.lists(bounds, wanted)], [*pairs.schema.names[:8], "input_ids", "lm_label_ids"])
 
     def run(df: DataFrame) -> DataFrame:
-        lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"\S"))
-        work = df.select(key, F.transform(lines, T.punctuation_tokens).alias("words"))
-        work = work.select(key, S.word_pieces(F.flatten("words"), vocabulary).alias("cut"), F.transform("words", F.size).alias("n"))
-        docs = work.select(key, F.col("cut.ids").alias("ids"), F.col("cut.initial").alias("initial"), sizes(F.col("cut.initial"), F.col("n")).alias("sizes"))
-        pairs = PR.segment_pairs(docs, key, "sizes", size, seed, ("ids", "initial"))
-        place = F.concat_ws("/", F.col(key).cast("string"), "pair")
-        out = _language(pairs, vocabulary, size, masked, place, (F.col("a_ids"), F.col("a_initial")), (F.col("b_ids"), F.col("b_initial")))
-        return out.drop("a_ids", "a_initial", "b_ids", "b_initial")
+        if room < 2:
+            raise ValueError("no room for two segments")
+        docs = PR.in_hash_order(df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(r"\S")), seed)
+        lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))
+        docs = docs.select("key", "rn", "n_rows", F.transform(lines, T.punctuation_tokens).alias("lines"))
+        out = PR.met_pairs(docs, read, kinds, room, seed, finish, "input_ids array<int>, lm_label_ids array<int>")
+        na, nb = ((F.col(f"{s}_to") - F.col(f"{s}_from")).cast("int") for s in "ab")
+        ones, zeros = (lambda n, x=x: F.array_repeat(F.lit(x), n) for x in (1, 0))
+        masks = T.pad(ones(na + nb + 3), size, F.lit(0)).alias("padding_mask"), T.pad(F.concat(zeros(na + 2), ones(nb + 1)), size, F.lit(0)).alias("segment_ids")
+        return out.select(F.col("key").alias(key), *PR.PLACES, "input_ids", "lm_label_ids", *masks, F.when(F.col("is_next"), 0).otherwise(1).alias("nextsentence_label_ids"))
 
     return run
 
@@ -295,13 +307,23 @@ def language_inputs(vocabulary: Sequence[str], key: str = "id", size: int = 128,
     """
     masked = _masking(vocabulary, size, share, most, seed)
 
+    @F.arrow_udf("struct<input_ids: array<int>, lm_label_ids: array<int>>")
+    def made(it: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for keys, tokens, initial in (part for batch in it for part in B.column_slices(batch)):
+            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy())])
+            values = tokens.flatten().to_numpy().copy()
+            wanted = masked(keys.to_pylist(), bounds, values, initial.flatten().to_numpy())
+            yield pa.StructArray.from_arrays([B.lists(bounds, values), B.lists(bounds, wanted)], ["input_ids", "lm_label_ids"])
+
     def run(df: DataFrame) -> DataFrame:
         a, b = (S.word_pieces(_words(F.col(c), size), vocabulary) for c in ("text", "text_b"))
         na, nb = T.pair_lengths(F.size("a.ids"), F.size("b.ids"), size - 3)
         work = df.withColumn("a", a).withColumn("b", b).withColumn("na", na).withColumn("nb", nb)
         side = lambda s, field: F.slice(F.col(f"{s}.{field}"), F.lit(1), F.col("n" + s))
-        sides = [(side(s, "ids"), side(s, "initial")) for s in "ab"]
-        return _language(work, vocabulary, size, masked, F.col(key), *sides).drop("a", "b", "na", "nb")
+        starts = T.pad(T.with_specials(side("a", "initial"), side("b", "initial"), -1, -1), size, F.lit(-1))
+        tokens, *masks = _assembled(vocabulary, side("a", "ids"), side("b", "ids"), size)
+        out = work.withColumn("made", made(F.col(key).cast("string"), tokens, starts)).select("*", "made.*", *masks).drop("made")
+        return out.withColumn("nextsentence_label_ids", F.when(F.col("is_next"), 0).otherwise(1)).drop("a", "b", "na", "nb")
 
     return run
 
