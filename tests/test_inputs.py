@@ -215,3 +215,57 @@ def test_bert_inputs_cut_documents_once(spark):
         assert sorted(map(repr, run(df).collect())) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ascii_words_are_cut_together():
+    rnd = __import__("random").Random(3)
+    for k in range(20):
+        drawn = {rnd.choice(["", S.INNER]) + "".join(rnd.choice("abä#") for _ in range(rnd.randrange(1, 4))) for _ in range(20)}
+        vocabulary = list(dict.fromkeys([S.PAD, S.UNK, *sorted(drawn), *(["", S.INNER, "#"] if k % 3 == 0 else [])]))
+        for lower in (True, False):
+            words = ["".join(rnd.choice("abAÄ#" if rnd.random() < 0.2 else "abA#") for _ in range(rnd.choice([0, 1, 3, 7, 100, 101]))) for _ in range(60)] + [None]
+            cut, cutter = S.cutter(vocabulary, lower), S.pieces_of(vocabulary, lower)()
+            _, ends, found, *_ = cutter(pa.array([words[:20], None, words[20:]], pa.list_(pa.string())))
+            assert [[tuple(x) for x in found[i:j].tolist()] for i, j in zip(ends[:-1], ends[1:], strict=True)] == [[] if w is None else cut(w) for w in words]
+            assert not any(w.isascii() and 0 < len(w) <= S.LONGEST_WORD for w in cutter.known)
+
+
+def test_question_inputs_make_passages_in_the_pass_that_cuts(spark):
+    rnd = __import__("random").Random(5)
+    words = ["the", "cats", "sat,", "on", "unaffable", "mats", "zzz", "été"]
+    rows = []
+    for k in range(40):
+        text = " ".join(rnd.choice(words) for _ in range(rnd.choice([1, 3, 12, 60])))
+        spots = [None if rnd.random() < 0.1 else (rnd.choice([-3, 0, rnd.randrange(len(text) + 5), None]), rnd.choice([text[:3], "", None, "x" * 40])) for _ in range(rnd.randrange(5))]
+        rows.append((k, rnd.choice(["who sat", "", None]), text, rnd.choice([spots, spots, None])))
+    df = spark.createDataFrame(rows, "k int, question string, text string, answers array<struct<start: int, text: string>>")
+    out = processor("question_inputs", vocabulary=V, size=16, stride=5, question_size=4, slots=3)(df)
+    assert out.columns == [*df.columns, "passage", "passage_start_t", "input_ids", "padding_mask", "segment_ids", "seq_2_start_t", "labels"]
+    assert "sequence" not in out._jdf.queryExecution().executedPlan().toString()  # passages are no array of positions that expressions slice
+    got = out.collect()
+    cut = S.pieces_of(V)()
+    for k, _, text, answers in rows:
+        tokens = __import__("re").findall(r"\w+|[^\w\s]", text)
+        _, ends, found, within, *_ = cut(pa.array([tokens]))
+        at, starts = 0, []
+        for i, w in enumerate(tokens):
+            at = text.index(w, at)
+            starts += [at + int(o) for o in found[ends[i] : ends[i + 1], 1]]
+            at += len(w)
+        own = sorted((r for r in got if r.k == k), key=lambda r: r.passage)
+        room = 18 - own[0].seq_2_start_t - 3
+        assert [r.passage_start_t for r in own] == [5 * i for i in range(max(0, -(-(len(starts) - room) // 5)) + 1)]
+        place = lambda c: -1 if c is None else sum(s <= c for s in starts) - 1  # noqa: B023, E731
+        for r in own:
+            held = found[r.passage_start_t : r.passage_start_t + room, 0].tolist()
+            n = r.seq_2_start_t + len(held) + 1
+            assert r.input_ids[r.seq_2_start_t :] == held + [3] + [0] * (16 - n) and r.padding_mask == [1] * n + [0] * (16 - n)
+            assert r.segment_ids == [0] * r.seq_2_start_t + [1] * (len(held) + 1) + [0] * (16 - n)
+            want = [(0, 0)] if not answers else []
+            for a in (answers or [])[:3]:
+                c, t = a or (None, None)
+                first, last = place(c), place(None if c is None or t is None else c + len(t) - 1)
+                first, last = first - r.passage_start_t, last - r.passage_start_t
+                inside = 0 <= first <= last < len(held)
+                want.append((first + r.seq_2_start_t, last + r.seq_2_start_t) if inside else (0, 0))
+            assert [tuple(x) for x in r.labels] == want + [(-1, -1)] * (3 - len(want))

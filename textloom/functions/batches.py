@@ -32,38 +32,50 @@ def column_slices(columns: tuple[pa.Array, ...], most: int = SLICE) -> Iterator[
 
 
 class Pieces:
-    """Pieces of words by a function ``cut`` that gives tuples of numbers; a task keeps the words that come again."""
+    """Pieces of words by a function ``cut`` that gives tuples of numbers; a task keeps the words that come again.
 
-    def __init__(self, cut: Callable[[str], list[tuple[int, ...]]], width: int):
-        self.cut, self.width = cut, width
+    ``many`` may cut some of an array of words at once: it gives which, and of their pieces the words, the places among the word's
+    pieces and the numbers (:func:`textloom.functions.subwords.ascii_cutter`).
+    """
+
+    def __init__(self, cut: Callable[[str], list[tuple[int, ...]]], width: int, many: Callable[[pa.Array], tuple[np.ndarray, ...]] | None = None):
+        self.cut, self.width, self.many = cut, width, many
         self.known, self.older = {}, {}
 
+    def _one(self, w: str) -> list[tuple[int, ...]]:
+        found = self.known.get(w)
+        if found is None:
+            found = self.older.get(w)
+            if found is None:
+                found = self.cut(w)
+            if len(self.known) >= KEPT:
+                self.older, self.known = self.known, {}
+            self.known[w] = found
+        return found
+
     def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """For an array of arrays of words: each row's first word (and the end), each word's first piece (and the end), numbers of the
         pieces and their places within their words, codes of the words in the last, the different words; null words have no pieces."""
         rows = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64))])
         coded = words.flatten().dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        cuts = []
-        for w in different:
-            found = self.known.get(w)
-            if found is None:
-                found = self.older.get(w)
-                if found is None:
-                    found = self.cut(w)
-                if len(self.known) >= KEPT:
-                    self.older, self.known = self.known, {}
-                self.known[w] = found
-            cuts.append(found)
-        cuts.append([])  # a null word's
-        codes = pc.fill_null(coded.indices, len(different)).to_numpy().astype(np.int64)
-        firsts = np.cumsum([0, *map(len, cuts)])
+        different = coded.dictionary
+        done, *made = self.many(different) if self.many else (np.zeros(len(different), bool),)
+        cuts = [self._one(w) for w in different.filter(pa.array(~done)).to_pylist()]
+        counts = np.zeros(len(different) + 1, np.int64)  # the last one is a null word's
+        if made:
+            counts += np.bincount(made[0], minlength=len(counts))
+        counts[np.flatnonzero(~done)] = [*map(len, cuts)]
+        firsts = np.concatenate([[0], np.cumsum(counts)])
+        table = np.empty((int(firsts[-1]), self.width), np.int64)
+        if made:
+            table[firsts[made[0]] + made[1]] = made[2]
         flat = chain.from_iterable(chain.from_iterable(cuts))
-        table = np.fromiter(flat, np.int64, int(firsts[-1]) * self.width).reshape(-1, self.width)
-        n = np.diff(firsts)[codes]
+        table[np.repeat(np.append(~done, False), counts)] = np.fromiter(flat, np.int64).reshape(-1, self.width)
+        codes = pc.fill_null(coded.indices, len(different)).to_numpy().astype(np.int64)
+        n = counts[codes]
         ends = np.concatenate([[0], np.cumsum(n)])
         within = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
-        return rows, ends, table[np.repeat(firsts[codes], n) + within], within, codes, coded.dictionary
+        return rows, ends, table[np.repeat(firsts[codes], n) + within], within, codes, different
 
 
 def lists(bounds: np.ndarray, values: np.ndarray, nulls: pa.Array | None = None) -> pa.ListArray:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,15 +17,15 @@ from textloom.functions import batches as B
 TOKEN = re.compile(r"\S+", re.ASCII)
 
 
-def with_offsets(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``tokens`` and ``starts``: the white-space tokens of each text and their first characters.
+def with_offsets(df: DataFrame, text: str = "text", most: int | None = None) -> DataFrame:
+    """``df`` with ``tokens`` and ``starts``: the white-space tokens of each text, or the ``most`` first ones, and their first characters.
 
     One Arrow pass in time linear in the text, in slices of bounded size, with no shuffle; a null text has none.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in it for part in B.slices(whole)):
-            found = [[(m.group(), m.start()) for m in TOKEN.finditer(t or "")] for t in b.column(text).to_pylist()]
+            found = [[(m.group(), m.start()) for m in islice(TOKEN.finditer(t or ""), most)] for t in b.column(text).to_pylist()]
             tokens = pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string()))
             starts = pa.array([[i for _, i in f] for f in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns, tokens, starts], [*b.schema.names, "tokens", "starts"])

@@ -141,19 +141,93 @@ def question_inputs(vocabulary: Sequence[str], size: int = 384, stride: int = 12
     empty or null text has no passages.  Up to ``slots`` answers have their place in ``labels``.
     """
     _check(size, stride, question_size)
+    pieces = S.pieces_of(vocabulary)
+    cls, sep, pad = (vocabulary.index(t) for t in (S.CLS, S.SEP, S.PAD))
+    label = "struct<start: int, end: int>"
+
+    @F.arrow_udf(f"array<struct<passage: int, passage_start_t: int, input_ids: array<int>, __held: int, labels: array<{label}>>>")
+    def passages(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        cutter = pieces()
+        for words, text, q, first, last in (part for batch in it for part in B.column_slices(batch)):
+            rows, ends, found, _, codes, different = cutter(words)
+            asked = _places(rows, ends, found[:, 1], codes, different, text, first, last, slots)
+            n, nq = np.diff(ends[rows]), pc.list_value_length(q).to_numpy().astype(np.int64)
+            room = size - 3 - nq
+            count = np.maximum(0, -(-(n - room) // stride)) + 1
+            bounds = np.concatenate([[0], np.cumsum(count)])
+            row = np.repeat(np.arange(len(n)), count)
+            k = np.arange(bounds[-1]) - bounds[:-1][row]
+            begin, room, shift = k * stride, room[row], nq[row] + 2
+            held = np.minimum(room, n[row] - begin)
+            ids = np.full((len(k), size), pad, np.int32)
+            for values, first_value, m, place in ((q.flatten().to_numpy(), (np.cumsum(nq) - nq)[row], nq[row], 1), (found[:, 0], ends[rows][:-1][row] + begin, held, shift)):
+                within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                ids.ravel()[np.repeat(np.arange(len(m)) * size + place, m) + within] = values[np.repeat(first_value, m) + within]
+            every = np.arange(len(k))
+            ids[:, 0], ids[every, shift - 1], ids[every, shift + held] = cls, sep, sep
+            start, end = (x[row] - begin[:, None] for x in asked[:2])
+            inside = (start >= 0) & (end < held[:, None]) & (start <= end)
+            given = np.arange(slots) < np.maximum(asked[2], 1)[row][:, None]  # without an answer the first slot is (0, 0)
+            spots = [pa.array(np.where(given, np.where(inside, x + shift[:, None], 0), -1).astype(np.int32).ravel()) for x in (start, end)]
+            labels = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * slots), pa.StructArray.from_arrays(spots, ["start", "end"]))
+            parts = [pa.array(k.astype(np.int32)), pa.array(begin.astype(np.int32)), B.lists(np.arange(len(k) + 1) * size, ids.ravel()), pa.array(held.astype(np.int32)), labels]
+            made = pa.StructArray.from_arrays(parts, ["passage", "passage_start_t", "input_ids", "__held", "labels"])
+            yield pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), made)
 
     def run(df: DataFrame) -> DataFrame:
-        cut = S.word_pieces(_words(F.col("text")), vocabulary, F.coalesce("text", F.lit("")))
         work = df.where(F.col("text").rlike(r"\S"))  # not of the pieces, which a pushed filter would cut twice
-        work = work.withColumn("q", F.slice(S.word_pieces(_words(F.col("question"), question_size), vocabulary)["ids"], 1, question_size)).withColumn("cut", cut)
-        place = lambda ch: F.coalesce(PS.token_at(F.col("cut.starts"), ch), F.lit(-1))
-        span = lambda a: F.struct(place(a["start"]).alias("first"), place(a["start"] + F.length(a["text"]) - 1).alias("last"))
-        work = work.withColumn("spans", F.transform("answers", span)).withColumn("p", F.col("cut.ids")).drop("cut")
-        return _passages(work, vocabulary, size, stride, slots)
+        work = work.withColumn("__q", F.slice(S.word_pieces(_words(F.col("question"), question_size), vocabulary)["ids"], 1, question_size))
+        spans = F.transform("answers", lambda a: a["start"].cast("long")), F.transform("answers", lambda a: a["start"].cast("long") + F.length(a["text"]) - 1)
+        work = work.withColumn("__made", passages(_words(F.col("text")), F.col("text"), F.col("__q"), *spans))
+        out = work.select(*df.columns, (F.size("__q") + 2).alias("seq_2_start_t"), F.inline_outer("__made"))  # outer, as a filter on the passages would make them twice
+        shift, held = F.col("seq_2_start_t"), F.col("__held")
+        ones, zeros = (lambda n, x=x: F.array_repeat(F.lit(x), n) for x in (1, 0))
+        masks = T.pad(ones(shift + held + 1), size, F.lit(0)).alias("padding_mask"), T.pad(F.concat(zeros(shift), ones(held + 1)), size, F.lit(0)).alias("segment_ids")
+        return out.select(*df.columns, "passage", "passage_start_t", "input_ids", *masks, "seq_2_start_t", "labels")
 
     return run
 
 
+def _places(rows: np.ndarray, ends: np.ndarray, offsets: np.ndarray, codes: np.ndarray, different: pa.Array, text: pa.Array, first: pa.Array, last: pa.Array, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the pieces that hold the first and last characters of its first ``slots`` answers, and how many these are.
+
+    -1 is before the first piece.  Words are looked for in the text only as far as the answers reach.
+    """
+    out, given = np.full((2, len(text), slots), -1, np.int64), np.zeros(len(text), np.int64)
+    known: dict[int, str] = {}
+    for r, (a, b) in enumerate(zip(first.to_pylist(), last.to_pylist(), strict=True)):
+        if not a:
+            continue
+        given[r] = min(len(a), slots)
+        t = text[r].as_py()
+        begin, end = int(ends[rows[r]]), int(ends[rows[r + 1]])
+        wanted = sorted({c for c in (*a[:slots], *b[:slots]) if c is not None})
+        at: dict[int, int] = {}
+        word, place, size, seen = int(rows[r]), 0, 0, begin  # pieces before ``seen`` start at or before the character
+        for c in wanted:
+            if c >= len(t):
+                seen, word = end, int(rows[r + 1])
+            while word < rows[r + 1]:
+                if not size:
+                    code = int(codes[word])
+                    w = known.get(code)
+                    if w is None:
+                        w = known[code] = different[code].as_py()
+                    place, size = t.index(w, place), len(w)
+                if place > c:
+                    break
+                stop = int(ends[word + 1])
+                while seen < stop and place + offsets[seen] <= c:
+                    seen += 1
+                if seen < stop:
+                    break
+                word, place, size = word + 1, place + size, 0
+            at[c] = seen - begin - 1
+        for i, x in enumerate((a, b)):
+            out[i, r, : given[r]] = [-1 if c is None else at[c] for c in x[:slots]]
+    return out[0], out[1], given
+
+
 def natural_questions_inputs(vocabulary: Sequence[str], size: int = 384, stride: int = 128, question_size: int = 64, slots: int = 6, radius: int = 200, key: str | None = None, keep_no_answer: float = 1.0, seed: int = 0) -> Processor:
     """Records of the natural-questions processor with their ``question``: the crop's passages, their slots and ``answer_type_ids``.
 
@@ -255,12 +329,12 @@ def bert_inputs(vocabulary: Sequence[str], key: str = "doc_id", text: str = "tex
     small = len(vocabulary) <= 1 << 15
     number, kinds = pa.int16() if small else pa.int32(), ["array<smallint>" if small else "array<int>", "array<tinyint>"]
     cls, sep, pad = (vocabulary.index(t) for t in (S.CLS, S.SEP, S.PAD))
-    cut = S.cutter(vocabulary)
+    made = S.pieces_of(vocabulary)
     memory: list[B.Pieces] = []  # a task's
 
     def read(batch: pa.RecordBatch) -> tuple[list[list[int]], list[pa.Array]]:
         if not memory:
-            memory.append(B.Pieces(cut, 2))
+            memory.append(made())
         lines = batch.column("lines")
         rows, ends, found, within, *_ = memory[0](lines.flatten())
         edges = np.concatenate([[0], np.cumsum(pc.list_value_length(lines).to_numpy())])
@@ -416,7 +490,7 @@ def process_tag_inputs(spark: SparkSession, d: str) -> DataFrame:
         CASE WHEN held THEN s + len(q) + 2 ELSE 0 END::INT AS label_start, CASE WHEN held THEN e + len(q) + 2 ELSE 0 END::INT AS label_end, CASE WHEN has THEN 0 ELSE -1 END::INT AS second FROM f"""
 )
 def process_question_inputs(spark: SparkSession, d: str) -> DataFrame:
-    docs = PS.with_offsets(read(spark, d, "documents").select("doc_id", "text", F.concat(F.col("lang"), F.lit(" or "), F.col("source"), F.lit("?")).alias("question")))
+    docs = PS.with_offsets(read(spark, d, "documents").select("doc_id", "text", F.concat(F.col("lang"), F.lit(" or "), F.col("source"), F.lit("?")).alias("question")), most=44)
     at, end = F.get("starts", 39), F.get("starts", 43) + F.length(F.get("tokens", 43))
     answer = F.struct(at.alias("start"), F.col("text").substr((at + 1).cast("int"), (end - at).cast("int")).alias("text"))
     far = F.struct((F.length("text") + 10).cast("long").alias("start"), F.lit("").alias("text"))  # an answer outside the text is none
