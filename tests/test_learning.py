@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -412,3 +413,50 @@ def test_cv_classifier_deals_its_folds_once(spark, monkeypatch):
     monkeypatch.setattr(validation, "cross_validate", lambda df, *a, **k: seen.append(df) or df.selectExpr("0 AS grid", "doc_id", "quality", "quality AS prediction"))
     learning.cv_classifier(spark, "/root/testdata/sf0.001")
     assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sequences_side_by_side_are_tagged_as_one_by_one():
+    rng = np.random.RandomState(4)
+    allowed = tagging.iob_transitions(LABELS)
+    for _ in range(30):
+        sizes = rng.randint(0, 9, rng.randint(0, 12))
+        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        e, t = rng.randint(0, 3, (bounds[-1], len(LABELS))) / 3, rng.randint(0, 3, (len(LABELS) + 1, len(LABELS))) / 3 + allowed
+        each = [tagging.viterbi(e[i:j], t) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert tagging.viterbi_many(e, bounds, t).tolist() == [x for path in each for x in path]
+        lists = [tagging._viterbi_lists(e[i:j].tolist(), t[-1].tolist(), t[:-1].T.tolist()) for i, j in zip(bounds[:-1], bounds[1:], strict=True) if i < j]
+        assert lists == [x for x in each if x]
+
+
+def test_a_round_of_the_tagger_is_the_plain_perceptron(monkeypatch):
+    rng = np.random.RandomState(5)
+    labels, width = ["O", "B-A", "I-A"], 64
+    allowed = tagging.iob_transitions(labels)
+    rows = []
+    for _ in range(300):
+        words = [f"w{rng.randint(9)}" for _ in range(rng.randint(1, 7))]
+        rows.append((words, [1 if w == "w1" or (w == "w2" and rng.rand() < 0.05) else 0 for w in words]))
+    start = {"words": rng.randint(-2, 3, (width, 3)) / 3, "steps": rng.randint(-2, 3, (4, 3)) / 3}
+    words, steps = start["words"].copy(), start["steps"].copy()
+    for row, gold in rows:
+        f = tagging.word_features(row, width)
+        guess, before = tagging.viterbi(words[f].sum(1), steps + allowed), (3, 3)
+        for x, g, p in zip(f, gold, guess, strict=True):
+            for tag, last, sign in ((g, before[0], 1.0), (p, before[1], -1.0)):
+                if g != p:
+                    np.add.at(words, (x, tag), sign)
+                if g != p or before[0] != before[1]:
+                    steps[last, tag] += sign
+            before = g, p
+    numbers = pa.array([tagging.word_features(row, width).ravel().tolist() for row, _ in rows], pa.list_(pa.int16()))
+    batch = pa.RecordBatch.from_arrays([numbers, pa.array([g for _, g in rows], pa.list_(pa.int32()))], ["features", "gold"])
+    for streak in (0, 2, 1000):
+        monkeypatch.setattr(tagging, "STREAK", streak)
+        change, n = tagging._learn(labels, allowed)(iter([batch.slice(0, 7), batch.slice(7)]), {k: v.copy() for k, v in start.items()})
+        assert n == 300 and (change["words"] == words - start["words"]).all() and (change["steps"] == steps - start["steps"]).all()
+
+
+def test_words_of_a_tagger_are_numbered_before_the_rounds(spark):
+    df = spark.createDataFrame([(1, ["a", "B"], ["O", "B-ORG"]), (2, None, ["O"]), (3, ["a"], None), (4, ["a"], ["O", "O"]), (5, [None], ["O"])], "id long, tokens array<string>, tags array<string>")
+    got = {r.id: (r.features, r.gold) for r in tagging._numbered(df, "id", ["O", "B-ORG"], "tokens", "tags", 128).collect()}
+    assert got == {1: (tagging.word_features(["a", "B"], 128).ravel().tolist(), [0, 1]), 5: (tagging.word_features([""], 128).ravel().tolist(), [0])}

@@ -70,9 +70,10 @@ def sequence_tagger(spark: SparkSession, d: str) -> DataFrame:
     turns = tagged_turns(spark, d)
     held = F.expr("(seq div 1000) % 4 = 0")
     model = tagging.fit_tagger(turns.where(~held), "seq", ["O", "B-NAME", "B-END", "I-END"])
-    scored = tagging.tag(model, turns.where(held))
-    flat = lambda c: scored.select("seq", F.posexplode(c).alias("pos", "tag"))
-    return G.entity_f1(G.entities(flat("preds"), "seq", "pos"), G.entities(flat("tags"), "seq", "pos"), "seq")
+    asked = turns.where(held)
+    flat = lambda df, c: df.select("seq", F.posexplode(c).alias("pos", "tag"))
+    preds = flat(tagging.tag(model, asked.select("seq", "tokens")), "preds")
+    return G.entity_f1(G.entities(preds, "seq", "pos"), G.entities(flat(asked, "tags"), "seq", "pos"), "seq")
 
 
 # two heads on one encoding
