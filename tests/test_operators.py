@@ -346,3 +346,30 @@ def test_similar_by_slices_of_a_block(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(ranking, "SLICE", 3)
     assert rows() == whole and len(whole) == 14 * 5 and all(q != i for q, i, _ in whole)
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties", "large", "zeros"])
+def test_likely_pairs_hold_the_best(monkeypatch, kind):
+    from textloom.operators import ranking
+
+    monkeypatch.setattr(ranking, "PIECE", 16)
+    rnd = np.random.default_rng(8)
+    x, y = rnd.normal(size=(9, 5)), rnd.normal(size=(150, 5))
+    if kind == "ties":
+        x, y = np.round(x), np.round(y)
+    if kind == "large":
+        x, y = x * 1e18, y * 1e20
+    if kind == "zeros":
+        y[10:60] = 0
+    for n in (1, 4, 20):
+        left_out, unused = [(2, [0, 17, 149]), (5, [3])], np.array([4, 5, 120])
+        row, col = ranking._likely(x, y, n, left_out, unused)
+        for r in range(9):
+            own = [i for i in range(150) if i not in unused and i not in dict(left_out).get(r, [])]
+            s = {i: float(x[r] @ y[i]) for i in own}
+            least = sorted(s.values())[-n]
+            got = set(col[row == r].tolist())
+            assert {i for i in own if s[i] >= least - 1e-4} <= got <= set(own)
+            assert kind != "plain" or len(got) <= n + 2
+    monkeypatch.setattr(ranking, "PAIRS", 10)
+    assert ranking._likely(x, y, 4, [], np.zeros(0, int)) is None
